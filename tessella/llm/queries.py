@@ -17,8 +17,43 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.result(_docs(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import toxicity
+
+    return toxicity.result(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import language
+
+    return language.result(_docs(spark, sf_dir))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import quality_rules
+
+    return quality_rules.result(_docs(spark, sf_dir))
+
+
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import quality_model
+
+    return quality_model.result(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import secrets
+
+    return secrets.result(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_language": op5_language,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_quality_model": op9_quality_model,
+    "op10_secrets": op10_secrets,
 }
 
 #: DuckDB SQL for the queries that it can express on whole tables.
