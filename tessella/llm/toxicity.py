@@ -2,7 +2,7 @@
 
 P(grade > k) = sigmoid(w . x - theta_k) with one weight vector for all ordered thresholds theta_1 <= ... <= theta_K.
 Features are words (lower-cased, outer punctuation stripped) and word beginnings of 4 and 6 bytes, valued log(1 + count).
-Only features of at least MIN_DF sampled documents get a weight; they are kept by their 64-bit hash, so an unknown word
+Only features of at least MIN_DF sampled documents, and telling by LEAST_Z standard errors, get a weight; they are kept by their 64-bit hash, so an unknown word
 never shares one. The labels say toxic or not; severity grades among the toxic rows are thirds of the density of words
 that the sample's toxic documents use far more often. Output is the expected grade and its share of the highest grade.
 
@@ -27,7 +27,7 @@ from tessella.llm.samples import held_out, sample
 from tessella.llm.store import own_columns
 
 SAMPLE, MIN_DF, GRADES, PREFIXES = 8000, 4, 3, (4, 6)
-STEPS, L1 = 400, 2e-4
+STEPS, L1, LEAST_Z = 600, 2e-4, 4.0
 
 _INNER = np.array([chr(b).isalnum() and b < 128 or b >= 128 for b in range(256)])
 
@@ -87,8 +87,14 @@ def fit(label: np.ndarray, hashes: list[np.ndarray], counts: list[np.ndarray]) -
     flat = np.concatenate(hashes)
     known, column, df = np.unique(flat, return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(label)), [len(x) for x in hashes])
-    keep = df[column] >= MIN_DF
-    known, renumber = known[df >= MIN_DF], np.cumsum(df >= MIN_DF) - 1
+    # sparse from the start: only features whose share among toxic rows differs by LEAST_Z standard errors
+    n1, n0 = label.sum(), (1 - label).sum()
+    d1 = np.bincount(column, label[row], len(known))
+    share = df / len(label)
+    z = (d1 / n1 - (df - d1) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+    good = (df >= MIN_DF) & (np.abs(z) >= LEAST_Z)
+    keep = good[column]
+    known, renumber = known[good], np.cumsum(good) - 1
     if not len(known):
         return empty
     row, column, count = row[keep], renumber[column[keep]], np.concatenate(counts)[keep].astype(float)
@@ -122,10 +128,10 @@ def fit(label: np.ndarray, hashes: list[np.ndarray], counts: list[np.ndarray]) -
         np.add.at(d_theta, grade[lower] - 1, (slope[i, grade] / q / n)[lower])
         gw += g * g
         gt += d_theta * d_theta
-        step = 0.5 / np.sqrt(gw)
+        step = 0.2 / np.sqrt(gw)
         w = w - step * g
         w = np.sign(w) * np.maximum(np.abs(w) - step * L1, 0)
-        theta = np.maximum.accumulate(theta - 0.3 / np.sqrt(gt) * d_theta)
+        theta = np.maximum.accumulate(theta - 0.1 / np.sqrt(gt) * d_theta)
     used = w != 0
     table = np.zeros(1 << 20, bool)
     table[(known[used] >> A.U(44)).astype(np.int64)] = True
