@@ -246,7 +246,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, margin: float = 0.17) ->
     centres = keys.groupBy("key").agg(F.min(order).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", "c.centre")
     crowded = cut(keys.join(centres, "key"), "buckets")
     pairs = crowded.where("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    check = _Pairs(texts, classes, percent, margin)
+    # texts of classes that share a bucket: the only ones whose sets may be compared; moved once
+    pool = cut(texts.join(crowded.select("node").distinct(), "node"), "pool")
+    check = _Pairs(pool, classes, percent, margin)
     likely = cut(check.likely(pairs), "likely")
     ends = likely.select(F.explode(F.array(F.struct(F.col("a").alias("n"), "a", "b", "est"), F.struct(F.col("b").alias("n"), "a", "b", "est"))).alias("x")).select("x.*")
     best = ends.groupBy("n").agg(F.max(F.struct("est", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
@@ -269,7 +271,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, margin: float = 0.17) ->
     odd = few.where("comp != main").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"))
     more = odd.join(few.select("key", "node", "comp", "main"), "key").where("cx != comp and (comp = main or x < node)")
     more = more.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    found = cut(check.likely(more), "likely").select("a", "b").union(_in_blocks(left.where(f"n > {SMALL}"), texts, percent)).distinct()
+    found = cut(check.likely(more), "likely").select("a", "b").union(_in_blocks(left.where(f"n > {SMALL}"), pool, percent)).distinct()
     links = links.union(cut(check.confirmed(found), "links"))
     comp = cut(components(links), "components")
     # a row's component is its class's; rows that share an id join their classes
