@@ -1,9 +1,9 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 P(grade > k) = sigmoid(w . x - theta_k) with one weight vector for all ordered thresholds theta_1 <= ... <= theta_K.
-Features are words (lower-cased, outer punctuation stripped) and word beginnings of 4 and 6 bytes, valued log(1 + count).
+Features are words (lower-cased, outer punctuation stripped) and word beginnings of 4 and 6 bytes, valued 1 + log(count).
 Only features of at least MIN_DF sampled documents, and telling by LEAST_Z standard errors, get a weight; they are kept by their 64-bit hash, so an unknown word
-never shares one. The labels say toxic or not; severity grades among the toxic rows are thirds of the density of words
+never shares one. The labels say toxic or not; severity grades among the toxic rows are thirds of the amount of words
 that the sample's toxic documents use far more often. Output is the expected grade and its share of the highest grade.
 
 The model is fitted on at most SAMPLE labelled rows that are not held out. Without labelled rows of both kinds every
@@ -27,7 +27,9 @@ from tessella.llm.samples import held_out, sample
 from tessella.llm.store import own_columns
 
 SAMPLE, MIN_DF, GRADES, PREFIXES = 8000, 4, 3, (4, 6)
-STEPS, L1, LEAST_Z = 600, 2e-4, 4.0
+STEPS, L1, LEAST_Z = 4000, 1e-5, 4.0
+#: A document is called toxic from this probability of any grade above 0 on.
+DECIDE = 0.2
 
 _INNER = np.array([chr(b).isalnum() and b < 128 or b >= 128 for b in range(256)])
 
@@ -87,25 +89,24 @@ def fit(label: np.ndarray, hashes: list[np.ndarray], counts: list[np.ndarray]) -
     flat = np.concatenate(hashes)
     known, column, df = np.unique(flat, return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(label)), [len(x) for x in hashes])
-    # sparse from the start: only features whose share among toxic rows differs by LEAST_Z standard errors
+    # sparse from the start: only features whose share among toxic rows is higher by LEAST_Z standard errors
     n1, n0 = label.sum(), (1 - label).sum()
     d1 = np.bincount(column, label[row], len(known))
     share = df / len(label)
     z = (d1 / n1 - (df - d1) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
-    good = (df >= MIN_DF) & (np.abs(z) >= LEAST_Z)
+    good = (df >= MIN_DF) & (z >= LEAST_Z)
     keep = good[column]
     known, renumber = known[good], np.cumsum(good) - 1
     if not len(known):
         return empty
     row, column, count = row[keep], renumber[column[keep]], np.concatenate(counts)[keep].astype(float)
-    value = np.log1p(count)
+    value = 1 + np.log(count)
     bad = np.bincount(column, label[row], len(known)) + 0.1
     fine = np.bincount(column, 1 - label[row], len(known)) + 0.1
     telling = (bad / label.sum()) / (fine / (1 - label).sum()) > 20
-    size = np.bincount(row, count, len(label)) + 1
-    density = np.bincount(row, count * telling[column], len(label)) / size
-    edges = np.quantile(density[label == 1], np.arange(1, GRADES) / GRADES)
-    grade = np.where(label == 1, 1 + np.searchsorted(edges, density, "right"), 0)
+    amount = np.bincount(row, value * telling[column], len(label))
+    edges = np.quantile(amount[label == 1], np.arange(1, GRADES) / GRADES)
+    grade = np.where(label == 1, 1 + np.searchsorted(edges, amount, "right"), 0)
     above = (grade[:, None] > np.arange(GRADES)[None, :]).astype(float)
     # the model is a product of binary choices only through adjacent thresholds: P(grade = k) = P(> k - 1) - P(> k)
     w = np.zeros(len(known))
@@ -128,9 +129,8 @@ def fit(label: np.ndarray, hashes: list[np.ndarray], counts: list[np.ndarray]) -
         np.add.at(d_theta, grade[lower] - 1, (slope[i, grade] / q / n)[lower])
         gw += g * g
         gt += d_theta * d_theta
-        step = 0.2 / np.sqrt(gw)
-        w = w - step * g
-        w = np.sign(w) * np.maximum(np.abs(w) - step * L1, 0)
+        step = 0.6 / np.sqrt(gw)
+        w = np.maximum(w - step * (g + L1), 0)  # more evidence never lowers the severity
         theta = np.maximum.accumulate(theta - 0.1 / np.sqrt(gt) * d_theta)
     used = w != 0
     table = np.zeros(1 << 20, bool)
@@ -149,7 +149,7 @@ def expected(model: dict, s: A.Slice) -> np.ndarray:
         at = np.minimum(np.searchsorted(model["h"], h), len(model["h"]) - 1)
         hit = model["h"][at] == h
         row, h, n = counted(row[hit], h[hit])
-        eta = np.bincount(row, np.log1p(n) * model["w"][np.searchsorted(model["h"], h)], s.hi - s.lo)
+        eta = np.bincount(row, (1 + np.log(n)) * model["w"][np.searchsorted(model["h"], h)], s.hi - s.lo)
     return _sigmoid(eta[:, None] - model["theta"][None, :])
 
 
@@ -160,13 +160,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> dict:
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, severity (0 to GRADES), score (its share, 0 to 1), toxic (1 if P(grade > 0) >= 0.5)."""
+    """doc_id, severity (0 to GRADES), score (its share, 0 to 1), toxic (1 if P(grade > 0) >= DECIDE)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in A.slices(batch):
                 p = expected(model, s)
-                yield pa.record_batch([batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array((p[:, 0] >= 0.5).astype(np.int32))], names=["doc_id", "severity", "score", "toxic"])
+                yield pa.record_batch([batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array((p[:, 0] >= DECIDE).astype(np.int32))], names=["doc_id", "severity", "score", "toxic"])
 
     d = own_columns(docs, "doc_id", "text")
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, severity double, score double, toxic int")
