@@ -11,12 +11,26 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import decontaminate
+
+    return decontaminate.result(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import near_dup
 
     return near_dup.result(_docs(spark, sf_dir))
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessella.llm import packing
+
+    return packing.pack(_docs(spark, sf_dir), str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import toxicity
 
@@ -48,7 +62,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
+    "op3_decontaminate": op3_decontaminate,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_language": op5_language,
     "op8_quality_rules": op8_quality_rules,
