@@ -43,6 +43,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.result(_docs(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import suffix
+
+    return suffix.result(_docs(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import quality_rules
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_language": op5_language,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_model": op9_quality_model,
     "op10_secrets": op10_secrets,
