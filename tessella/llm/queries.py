@@ -43,6 +43,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.result(_docs(spark, sf_dir))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import passages
+
+    return passages.result(_docs(spark, sf_dir))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import suffix
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_language": op5_language,
+    "op6_passages": op6_passages,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_model": op9_quality_model,
