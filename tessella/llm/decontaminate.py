@@ -2,7 +2,8 @@
 
 A window of words is read by a random walk (Chakraborty, Goldenberg, Koucky): step j writes the word it stands on and
 moves on if a random bit of (j, word) says so. Windows at a small edit distance give outputs at a small Hamming
-distance. Each repetition has its own walk and samples SAMPLES output positions; equal samples make a candidate. Windows
+distance. Each repetition has its own walk and samples SAMPLES output positions; equal samples are a hit, and
+several hits near one place a candidate. Windows
 of item size are covered by the starts of all walks in the texts against walks from every word of every item, so one
 stretch with few edits anywhere in an item is enough. Candidates are confirmed by the exact edit distance of the item to
 the best place in the text around it (Myers' bit vectors): at most MOST_EDITS of the item's characters.
@@ -32,7 +33,9 @@ from tessella.llm import arrays as A
 from tessella.llm.store import own_columns, row_key
 
 RECALL, SAMPLES, MOST_EDITS, LEAST_WORDS, BLOCK_WORDS = 0.95, 5, 0.2, 4, 400_000
-#: Steps of the walks; an item uses the longest walk that is not longer than itself.
+#: Starts with a hit near one place that make a candidate; a leaked item has one at most of its words.
+MIN_HITS = 2
+#: Steps of the walks; an item uses the longest walk whose three quarters it has as words.
 WALKS = (16, 8, 4)
 _SPACE = re.compile(r"[\x20\x09-\x0d]+")
 
@@ -75,12 +78,18 @@ def walk_keys(words: np.ndarray, last: np.ndarray, at: np.ndarray, steps: int, r
     return at, key
 
 
+def _slack(item: str) -> int:
+    """Words by which an item's place may shift by edits before a hit."""
+    return 2 + (item.count(" ") + 1) // 4
+
+
 class Index:
     """Walk keys of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], recall: float):
         self.items = [(i, plain(t)) for i, t in items]
         self.groups = []
+        self.slack = np.array([_slack(t) for _, t in self.items], np.int64)
         data = [t.encode() for _, t in self.items]
         off = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
         joined = np.frombuffer(b"".join(data), np.uint8)
@@ -90,40 +99,59 @@ class Index:
         owner = np.repeat(np.arange(len(data)), n_words)
         place = np.arange(len(words)) - first[owner]
         for k, steps in enumerate(WALKS):
-            most = WALKS[k - 1] if k else 1 << 60
-            # a walk never leaves its item: it starts at least ``steps`` words before the end
-            ok = np.flatnonzero((n_words[owner] >= steps) & (n_words[owner] < most) & (place + steps <= n_words[owner]))
-            for r in range(repetitions(recall)) if len(ok) else ():
+            n = n_words[owner]
+            most = WALKS[k - 1] * 3 // 4 if k else 1 << 60
+            mine = np.flatnonzero((n >= steps * 3 // 4) & (n < most))
+            for r in range(repetitions(recall)) if len(mine) else ():
+                # only walks that stay inside their item: a text goes on where an item ends
+                ends_at = _prefix_keys(words, mine, steps, r, len(sampled_steps(steps, r)))[1]
+                ok = mine[ends_at < first[owner[mine] + 1]]
+                if not len(ok):
+                    continue
                 tables, full = [], None
                 for m in range(1, len(sampled_steps(steps, r)) + 1):
-                    full = _prefix_keys(words, ok, steps, r, m)
+                    full = _prefix_keys(words, ok, steps, r, m)[0]
                     t = np.zeros(1 << 20, bool)
                     t[(full >> A.U(44)).astype(np.int64)] = True
                     tables.append(t)
                 order = np.argsort(full, kind="stable")
                 self.groups.append((steps, r, tables, full[order], owner[ok][order], place[ok][order]))
 
-    def candidates(self, words: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Rows (item number, word position where the item would begin), distinct."""
-        out = [np.zeros((0, 2), np.int64)]
+    def candidates(self, words: np.ndarray, row: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Rows (text, item number, word position where the item would begin) with hits from MIN_HITS starts close to one place."""
+        hits = [np.zeros((0, 4), np.int64)]
         for steps, r, tables, keys, owner, place in self.groups:
             at, key = walk_keys(words, last, np.arange(len(words)), steps, r, tables)
             lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
             n = hi - lo
             hit = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            out.append(np.stack([owner[hit], np.repeat(at, n) - place[hit]], 1))
-        return np.unique(np.concatenate(out), axis=0)
-
-
-def _prefix_keys(words: np.ndarray, at: np.ndarray, steps: int, r: int, m: int) -> np.ndarray:
+            hits.append(np.stack([row[np.repeat(at, n)], owner[hit], np.repeat(at, n) - place[hit], np.repeat(at, n)], 1))
+        # repetitions that hit at one start say the same: starts are counted
+        all_ = np.unique(np.concatenate(hits), axis=0)
+        if not len(all_):
+            return all_[:, :3]
+        # cells as wide as a search's slack, on two grids: hits of one place fill a cell of one of them
+        wide = self.slack[all_[:, 1]]
+        good = np.zeros(len(all_), bool)
+        for shift in (0, 1):
+            cell = np.stack([all_[:, 0], all_[:, 1], (all_[:, 2] + shift * (wide // 2)) // wide], 1)
+            _, which, count = np.unique(cell, axis=0, return_inverse=True, return_counts=True)
+            good |= count[which.ravel()] >= MIN_HITS
+        return np.unique(all_[good, :3], axis=0)
+
+
+def _prefix_keys(words: np.ndarray, at: np.ndarray, steps: int, r: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the first m samples, and where the walks stand at the last of them."""
     odd, wanted = A.seeds(steps, 77 + 13 * r + steps), sampled_steps(steps, r)[:m]
     here, key = at.copy(), np.full(len(at), A.U(r + 1), np.uint64)
     for j in range(wanted[-1] + 1):
         word = words[np.minimum(here, len(words) - 1)]
         if j in wanted:
             key = A.mix(key * A.BASE + word)
+        if j == wanted[-1]:
+            break
         here = here + ((word * odd[j]) >> A.U(63)).astype(np.int64)
-    return key
+    return key, here
 
 
 def best_place(pattern: str, text: str) -> tuple[int, int]:
@@ -158,16 +186,15 @@ def _matches(index: Index, s: A.Slice) -> Iterator[tuple[int, int, int, int, int
         return
     words = A.span_hashes(A.prefix_sums(data), starts, ends)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    found = index.candidates(words, first[row + 1])
+    found = index.candidates(words, row, first[row + 1])
     done: dict[tuple[int, int], int] = {}
-    for item, begin in found.tolist():
+    for i, item, begin in found.tolist():
         _, pattern = index.items[item]
         n = pattern.count(" ") + 1
-        i = int(np.searchsorted(first, min(max(begin, 0) + n // 2, len(words) - 1), "right")) - 1
         # one look covers all starts nearby: candidates of one place lie next to each other
         if begin < done.get((i, item), -(1 << 60)):
             continue
-        slack = 2 + n // 4
+        slack = int(index.slack[item])
         lo, hi = max(int(first[i]), begin - slack), min(int(first[i + 1]), begin + n + 2 * slack)
         if lo >= hi:
             continue
