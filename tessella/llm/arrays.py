@@ -10,7 +10,7 @@ import pyarrow as pa
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: Separators of words: space and the five controls from tab to carriage return.
 SEPARATOR = np.zeros(256, bool)
