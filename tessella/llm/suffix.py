@@ -9,8 +9,8 @@ that equal strings meet in one task, without moving the whole corpus:
 2. Anchors that occur once are done. Contexts that are equal byte for byte (by a 128-bit hash) repeat as a whole; one
    copy of each stays to be compared with contexts that only partly agree. Counts are grouped aggregations, combined
    before the shuffle.
-3. Shards. What is left, by anchor, is cut out of the texts and dealt to tasks; an anchor with more than HOT contexts
-   is dealt by the hashes of its windows instead, which needs no task to hold it.
+3. Shards. What is left, by anchor, is cut out of the texts and dealt to tasks. An anchor with more than HOT_BYTES of
+   contexts (a line that very many texts share) is dealt by the hashes of its windows instead: no task needs to hold it.
 4. In each shard the contexts are joined, suffix-sorted, and transformed. Intervals are expanded breadth first, one more
    byte to the left a level; a level's new interval borders are the suffixes whose common prefix with their
    predecessor has exactly that length. Expansion stops at ``least``: borders never reached are common prefixes
@@ -34,8 +34,8 @@ from tessella.llm import arrays as A
 from tessella.llm.store import cut, own_columns, row_key
 
 LEAST, ANCHOR = 400, 64
-#: Contexts of one anchor that a shard takes; more are dealt by windows. Bytes of contexts a shard has on average.
-HOT, SHARD_BYTES = 2000, 2 << 20
+#: Bytes of contexts that a shard has on average, and of one anchor's contexts that it takes at most.
+SHARD_BYTES, HOT_BYTES = 1 << 20, 2 << 20
 
 
 def _sliding_least(h: np.ndarray, width: int) -> np.ndarray:
@@ -83,53 +83,64 @@ def contexts(data: np.ndarray, offsets: np.ndarray, least: int, anchor: int) ->
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` symbols (prefix doubling, then by place)."""
-    _, rank = np.unique(text, return_inverse=True)
-    rank = rank.astype(np.int64)
-    n, k = len(text), 1
-    order = np.argsort(rank, kind="stable")
+    """Suffixes sorted by their first ``depth`` symbols or more, by prefix doubling from three symbols on.
+
+    Suffixes that agree so far stand in any order; they share every interval of strings up to ``depth``.
+    """
+    n, m = len(text), int(text.max()) + 1
+    pad = np.concatenate([text, np.zeros(2, np.int64)])
+    key, k = (pad[:n] * m + pad[1 : n + 1]) * m + pad[2 : n + 2], 3
+    rank = np.empty(n, np.int64)
     while True:
-        nxt = np.full(n, -1, np.int64)
-        nxt[: n - k] = rank[k:]
-        key = rank * (n + 1) + nxt + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         s = key[order]
-        new = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        k *= 2
+        new = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]]))
         if k >= depth or new[-1] == n - 1:
             return order
+        rank[order] = new
+        key = rank * (n + 1)
+        key[: n - k] += rank[k:] + 1
+        k *= 2
 
 
-def long_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
+def long_prefixes(text: np.ndarray, order: np.ndarray, least: int, separators: int) -> np.ndarray:
     """True at i > 0 if suffixes order[i - 1] and order[i] share at least ``least`` symbols.
 
-    ``text`` is circular for the transform; symbols that occur once (the separators) end every common prefix.
+    Symbols below ``separators`` occur once each; they end every common prefix and are never extended by.
     """
     n = len(text)
-    bwt = text[order - 1]
-    # LF: where the suffix one symbol longer stands
+    # the transform, in a few bits: all separators are 0
+    bwt = np.maximum(text[order - 1] - separators + 1, 0).astype(np.uint16)
     by_symbol = np.argsort(bwt, kind="stable")
-    lf = np.empty(n, np.int64)
-    lf[by_symbol] = np.arange(n)
+    # LF: where the suffix one symbol longer stands
+    lf = np.empty(n, np.int32)
+    lf[by_symbol] = np.arange(n, dtype=np.int32)
     reached = np.zeros(n + 1, bool)
-    reached[0] = reached[n] = True
-    lo, hi = np.array([0]), np.array([n])
-    for _ in range(least):
-        size = hi - lo
+    reached[: separators + 1] = reached[n] = True
+    # strings of one symbol: each separator, then a run of suffixes for every other symbol
+    first = bwt[by_symbol[separators:]]
+    hi = separators + np.concatenate([np.flatnonzero(first[1:] != first[:-1]) + 1, [n - separators]])
+    hi = np.concatenate([np.arange(1, separators + 1), hi]).astype(np.int32)
+    lo = np.concatenate([[0], hi[:-1]]).astype(np.int32)
+    reached[hi] = True
+    for _ in range(least - 1):
         # all suffixes of the level's intervals, one symbol longer; images of one interval and symbol are consecutive
-        which = np.repeat(np.arange(len(lo)), size)
-        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-        image, symbol = lf[at], bwt[at]
-        s = np.argsort(image, kind="stable") if len(lo) > 1 else by_symbol
+        size = hi - lo
+        at = np.repeat((lo - np.cumsum(size) + size).astype(np.int32), size) + np.arange(int(size.sum()), dtype=np.int32)
+        symbol = bwt[at]
+        real = symbol > 0
+        which = np.repeat(np.arange(len(lo), dtype=np.int32), size)[real]
+        image, symbol = lf[at[real]], symbol[real]
+        s = np.argsort(image)
         image, symbol, which = image[s], symbol[s], which[s]
         new = np.ones(len(image), bool)
         new[1:] = (image[1:] != image[:-1] + 1) | (symbol[1:] != symbol[:-1]) | (which[1:] != which[:-1])
         a = np.flatnonzero(new)
-        lo2, hi2 = image[a], image[np.append(a[1:], len(image)) - 1] + 1
-        fresh = ~reached[hi2]
-        lo, hi = lo2[fresh], hi2[fresh]
+        if not len(a):
+            break
+        lo, hi = image[a], image[np.append(a[1:], len(image)) - 1] + 1
+        fresh = ~reached[hi]
+        lo, hi = lo[fresh], hi[fresh]
         reached[hi] = True
         if not len(lo):
             break
@@ -144,10 +155,11 @@ def repeated_starts(parts: list[np.ndarray], least: int) -> tuple[np.ndarray, np
     begin = ends - size
     for p, b in zip(parts, begin.tolist()):
         text[b : b + len(p)] = p
-    text[text > 255] = 0
-    text[ends] = 256 + np.arange(len(parts))
+    _, text = np.unique(text.astype(np.uint8), return_inverse=True)
+    text = text.astype(np.int64) + len(parts)
+    text[ends] = np.arange(len(parts))
     order = suffix_order(text, least)
-    long = long_prefixes(text, order, least)
+    long = long_prefixes(text, order, least, len(parts))
     hit = long.copy()
     hit[:-1] |= long[1:]
     at = np.sort(order[hit])
@@ -239,12 +251,12 @@ def repeats(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR) -> DataFr
     often = all_.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     again = cut(all_.join(often, "anchor", "left_semi"), "repeated")
     content = again.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one"))
-    kinds = content.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    kinds = content.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("one.hi") - F.col("one.lo") + least).alias("n_bytes"))
     seen = cut(content.join(kinds, "anchor"), "shared")
     whole = seen.where("copies > 1").select("anchor", "c1", "c2")
     copies = again.join(whole, ["anchor", "c1", "c2"], "left_semi").select("k1", "k2", "lo", (F.col("hi") + least).alias("hi"))
     # one copy of each content goes into the comparison; copies that repeat as a whole need no other result
-    compare = seen.where("kinds > 1").select("anchor", "one.*", (F.col("kinds") > HOT).alias("hot"))
+    compare = seen.where("kinds > 1").select("anchor", "one.*", (F.col("n_bytes") > HOT_BYTES).alias("hot"))
     wanted = compare.groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "lo", "hi", "hot")).alias("want"))
     raw = texts.join(wanted, ["k1", "k2"]).mapInArrow(_cut_out(least), "k1 long, k2 long, anchor long, lo long, hot boolean, bytes binary")
     raw = cut(raw.dropDuplicates(["k1", "k2", "lo"]), "bytes")
