@@ -38,25 +38,20 @@ LEAST, ANCHOR = 400, 64
 SHARD_BYTES, HOT_BYTES = 1 << 20, 2 << 20
 
 
-def _sliding_least(h: np.ndarray, width: int) -> np.ndarray:
-    """Position of the least value (leftmost of equals) in every run of ``width``, by block-wise running minima."""
-    n = len(h) - width + 1
+def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
+    """Position of the least value in every run of ``width``, by block-wise running minima.
+
+    Values are compared by the bits that their position leaves free in 64; the leftmost of equals counts.
+    """
+    n, bits = len(h) - width + 1, np.uint64(max(1, int(len(h) - 1).bit_length()))
     blocks = -(-len(h) // width)
-    pad = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
-    pad[: len(h)] = h
-    grid = pad.reshape(blocks, width)
+    packed = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
+    packed[: len(h)] = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
+    grid = packed.reshape(blocks, width)
     back = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
     fore = np.minimum.accumulate(grid, 1).ravel()
     low = np.minimum(back[:n], fore[width - 1 : width - 1 + n])
-    # leftmost position with that value at or after the run's start: the next occurrence of equal hash
-    at = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    out = np.empty(n, np.int64)
-    end = np.append(at[1:], n)
-    for a, b in zip(at.tolist(), end.tolist()):
-        # runs a..b-1 share their least value; its occurrences between a and b - 1 + width, leftmost per run
-        spots = a + np.flatnonzero(h[a : b - 1 + width] == low[a])
-        out[a:b] = spots[0] if b - 1 <= spots[0] else spots[np.searchsorted(spots, np.arange(a, b))]
-    return out
+    return (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, least: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -69,7 +64,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray, least: int, anchor: int) ->
         a, b = int(offsets[r]), int(offsets[r + 1])
         pos = np.arange(a, b - anchor + 1)
         h = A.span_hashes(sums, pos, pos + anchor)
-        spot = _sliding_least(h, width)
+        spot = sliding_least(h, width)
         first = np.flatnonzero(np.concatenate([[True], spot[1:] != spot[:-1]]))
         last = np.append(first[1:], len(spot)) - 1
         lead = (spot[first] - first).astype(np.uint64)
