@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import arrays as A
-from tessella.llm.store import components, cut, own_columns
+from tessella.llm.store import Scratch, components, own_columns
 
 #: Registers: BANDS bands of ROWS. A pair of similarity 0.85 misses all bands with probability (1 - 0.85**5)**32 = 7e-9.
 BANDS, ROWS, B, RATE, Q = 32, 5, 1.001, 20.0, 2**16 - 2
@@ -150,8 +150,8 @@ def numbered(docs: DataFrame) -> DataFrame:
 class _Pairs:
     """Estimates and exact checks of pairs of classes."""
 
-    def __init__(self, texts: DataFrame, classes: DataFrame, percent: int, margin: float):
-        self.texts, self.classes, self.percent, self.margin = texts, classes, percent, margin
+    def __init__(self, texts: DataFrame, classes: DataFrame, percent: int, margin: float, scratch: Scratch):
+        self.texts, self.classes, self.percent, self.margin, self.scratch = texts, classes, percent, margin, scratch
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         c = self.classes
@@ -166,7 +166,7 @@ class _Pairs:
         need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         # of rows that share an id only the class's own text counts
         own = self.texts.join(need, "node").mapInArrow(_full_sets, "node long, items array<long>").dropDuplicates(["node"])
-        sets = cut(own, "sets")
+        sets = self.scratch.cut(own, "sets")
         x = pairs.join(sets.withColumnsRenamed({"node": "a", "items": "ia"}), "a").join(sets.withColumnsRenamed({"node": "b", "items": "ib"}), "b")
         x = x.withColumn("both", F.size(F.array_intersect("ia", "ib")).cast("long"))
         return x.where(100 * F.col("both") >= self.percent * (F.size("ia") + F.size("ib") - F.col("both"))).select("a", "b")
@@ -234,53 +234,53 @@ def near_duplicates(docs: DataFrame, percent: int = 85, margin: float = 0.17) ->
 
     ``margin``: how far below the threshold an estimate from 160 registers may lie (six standard errors) and still be checked.
     """
-    texts = numbered(docs)
-    rows = cut(texts.mapInArrow(_sets, _SETS), "sketches")
+    s, texts = Scratch(docs.sparkSession), numbered(docs)
+    rows = s.cut(texts.mapInArrow(_sets, _SETS), "sketches")
     full = rows.where("n_shingles > 0")
     of_set = full.groupBy("s1", "s2").agg(F.min("node").alias("rep"))
-    member = cut(full.select("node", "s1", "s2").join(of_set, ["s1", "s2"]).select("node", "rep").distinct(), "members")
+    member = s.cut(full.select("node", "s1", "s2").join(of_set, ["s1", "s2"]).select("node", "rep").distinct(), "members")
     classes = full.join(of_set.select(F.col("rep").alias("node")).distinct(), "node").dropDuplicates(["node"])
-    classes = cut(classes, "classes")
+    classes = s.cut(classes, "classes")
     keys = classes.select("node", F.explode("bands").alias("key"))
     order = F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("centre"))
     centres = keys.groupBy("key").agg(F.min(order).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", "c.centre")
-    crowded = cut(keys.join(centres, "key"), "buckets")
+    crowded = s.cut(keys.join(centres, "key"), "buckets")
     pairs = crowded.where("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     # texts of classes that share a bucket: the only ones whose sets may be compared; moved once
-    pool = cut(texts.join(crowded.select("node").distinct(), "node"), "pool")
-    check = _Pairs(pool, classes, percent, margin)
-    likely = cut(check.likely(pairs), "likely")
+    pool = s.cut(texts.join(crowded.select("node").distinct(), "node"), "pool")
+    check = _Pairs(pool, classes, percent, margin, s)
+    likely = s.cut(check.likely(pairs), "likely")
     ends = likely.select(F.explode(F.array(F.struct(F.col("a").alias("n"), "a", "b", "est"), F.struct(F.col("b").alias("n"), "a", "b", "est"))).alias("x")).select("x.*")
     best = ends.groupBy("n").agg(F.max(F.struct("est", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    links = cut(check.confirmed(best), "links")
+    links = s.cut(check.confirmed(best), "links")
 
     def label(pairs_: DataFrame, comp: DataFrame) -> DataFrame:
         x = pairs_.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         return x.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    comp = cut(components(links), "components")
-    rest = cut(label(likely.select("a", "b"), comp).exceptAll(best), "rest")
-    links = links.union(cut(check.confirmed(rest), "links"))
-    comp = cut(components(links), "components")
+    comp = components(links, s)
+    rest = s.cut(label(likely.select("a", "b"), comp).exceptAll(best), "rest")
+    links = links.union(s.cut(check.confirmed(rest), "links"))
+    comp = components(links, s)
     # what a bucket still holds of other components than its largest: each of them against all members of another one
     held = crowded.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     sizes = held.groupBy("key", "comp").agg(F.count("*").alias("n"))
     split = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps"), F.sum("n").alias("n"))
-    left = cut(held.join(split.where("comps > 1").select("key", "n", F.col("m.comp").alias("main")), "key"), "left")
+    left = s.cut(held.join(split.where("comps > 1").select("key", "n", F.col("m.comp").alias("main")), "key"), "left")
     few = left.where(f"n <= {SMALL}")
     odd = few.where("comp != main").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"))
     more = odd.join(few.select("key", "node", "comp", "main"), "key").where("cx != comp and (comp = main or x < node)")
     more = more.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    found = cut(check.likely(more), "likely").select("a", "b").union(_in_blocks(left.where(f"n > {SMALL}"), pool, percent)).distinct()
-    links = links.union(cut(check.confirmed(found), "links"))
-    comp = cut(components(links), "components")
+    found = s.cut(check.likely(more), "likely").select("a", "b").union(_in_blocks(left.where(f"n > {SMALL}"), pool, percent)).distinct()
+    links = links.union(s.cut(check.confirmed(found), "links"))
+    comp = components(links, s)
     # a row's component is its class's; rows that share an id join their classes
     member_links = member.where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     shared = member.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1").select("node", "low")
     merged = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a != b").union(member.join(shared, "node").select(F.col("rep").alias("a"), F.col("low").alias("b")).where("a != b"))
-    final = cut(components(merged), "components") if shared.limit(1).count() else comp
+    final = components(merged, s) if shared.limit(1).count() else comp
     whole = member.groupBy("node").agg(F.min("rep").alias("rep")).join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
-    return rows.select("node", "n_shingles").join(whole, "node", "left").select("node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    return s.done(rows.select("node", "n_shingles").join(whole, "node", "left").select("node", "n_shingles", F.coalesce("component", "node").alias("component")))
 
 
 def result(docs: DataFrame, percent: int = 85) -> DataFrame:

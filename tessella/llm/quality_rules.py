@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import arrays as A
-from tessella.llm.store import cut, own_columns
+from tessella.llm.store import Scratch, own_columns
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -173,18 +173,19 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """k1, k2, doc_id, the base counts, base_failed, distance, kept for every row of ``docs``."""
+    scratch = Scratch(docs.sparkSession)
     d = own_columns(docs, "doc_id", "text", "lang", "source")
     keyed = d.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64("doc_id", "text").alias("k2"), "doc_id", "lang", "source", "text")
     kinds = f"k1 long, k2 long, doc_id {d.schema['doc_id'].dataType.simpleString()}, lang {d.schema['lang'].dataType.simpleString()}, source {d.schema['source'].dataType.simpleString()}, "
     schema = kinds + ", ".join(f"{k} long" for k in _COUNTS) + ", " + ", ".join(f"{k} double" for k in STATS)
     rows = keyed.mapInArrow(_scan, schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    rows = cut(rows.withColumn("base_failed", failed), "statistics")
+    rows = scratch.cut(rows.withColumn("base_failed", failed), "statistics")
     fit = rows.where("not base_failed").withColumn("l", F.coalesce(F.col("lang").cast("string"), F.lit(""))).withColumn("s", F.coalesce(F.col("source").cast("string"), F.lit("")))
     # a group for each (language, source) with enough rows, otherwise its language, otherwise all
     counts = fit.groupBy("l", "s").agg(F.count("*").alias("n_ls"))
     by_l = counts.groupBy("l").agg(F.sum("n_ls").alias("n_l"))
-    groups = cut(
+    groups = scratch.cut(
         counts.join(by_l, "l").select(
             "l", "s", F.when(F.col("n_ls") >= MIN_ROWS, F.to_json(F.array("l", "s"))).when(F.col("n_l") >= MIN_ROWS, F.to_json(F.array("l"))).otherwise(F.lit("[]")).alias("grp")
         ),
@@ -195,9 +196,9 @@ def verdicts(docs: DataFrame) -> DataFrame:
     needed = groups.select("grp").distinct()
     levels = F.explode(F.array(F.to_json(F.array("l", "s")), F.to_json(F.array("l")), F.lit("[]")))
     member = counts.select("l", "s", levels.alias("grp")).join(needed, "grp")
-    work = cut(vec.join(member, ["l", "s"]).drop("l", "s"), "vectors")
+    work = scratch.cut(vec.join(member, ["l", "s"]).drop("l", "s"), "vectors")
     middle = work.groupBy("grp").agg(F.count("*").alias("n"), *[F.percentile_approx(k, 0.5, 1000).alias(f"m_{k}") for k in STATS])
-    middle = cut(middle, "medians")
+    middle = scratch.cut(middle, "medians")
     # the start: rows near the medians by each statistic's own floor, whatever the others do
     near = work.join(middle.drop("n"), "grp")
     start = sum((F.pow((F.col(k) - F.col(f"m_{k}")) / F.lit(v), 2) for k, v in STATS.items()), F.lit(0.0))
@@ -206,14 +207,14 @@ def verdicts(docs: DataFrame) -> DataFrame:
     for step in range(STEPS + 1):
         limit = near.groupBy("grp").agg(F.percentile_approx("d2", COVERAGE, 1000).alias("limit"))
         core = near.join(limit, "grp").where("d2 <= limit")
-        est = cut(_moments(core).mapInArrow(_estimate, "grp string, loc array<double>, inv array<double>"), "mcd")
+        est = scratch.cut(_moments(core).mapInArrow(_estimate, "grp string, loc array<double>, inv array<double>"), "mcd")
         if step < STEPS:
             near = work.join(est, "grp").withColumn("d2", _distance(list(STATS)))
     big = middle.where(F.col("n") >= MIN_ROWS).select("grp")
     judged = groups.join(est.join(big, "grp"), "grp", "left").select(F.col("l").alias("__l"), F.col("s").alias("__s"), "loc", "inv")
     x = rows.join(judged, (F.coalesce(F.col("lang").cast("string"), F.lit("")) == F.col("__l")) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("__s")), "left")
     x = x.withColumn("distance", _distance(list(STATS)))
-    return x.select("k1", "k2", "doc_id", *_COUNTS, "base_failed", "distance", (~F.col("base_failed") & ~F.coalesce(F.col("distance") > CUTOFF, F.lit(False))).alias("kept"), *STATS)
+    return scratch.done(x.select("k1", "k2", "doc_id", *_COUNTS, "base_failed", "distance", (~F.col("base_failed") & ~F.coalesce(F.col("distance") > CUTOFF, F.lit(False))).alias("kept"), *STATS))
 
 
 def result(docs: DataFrame) -> DataFrame:

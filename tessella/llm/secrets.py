@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.store import cut, own_columns
+from tessella.llm.store import Scratch, own_columns
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -90,7 +90,8 @@ def scan(docs: DataFrame) -> DataFrame:
     d = own_columns(docs, "doc_id", "source", "text")
     keyed = d.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64("doc_id", "text").alias("k2"), "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text")
     kind = d.schema["doc_id"].dataType.simpleString()
-    rows = cut(keyed.mapInArrow(_scan, f"k1 long, k2 long, doc_id {kind}, source string, found array<struct<start: long, kind: int, end: long, value: long>>"), "candidates")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.cut(keyed.mapInArrow(_scan, f"k1 long, k2 long, doc_id {kind}, source string, found array<struct<start: long, kind: int, end: long, value: long>>"), "candidates")
     each = rows.where("size(found) > 0").select("k1", "k2", "source", F.explode("found").alias("f")).select("k1", "k2", "source", "f.*")
     one = each.select("value", "source", "k1", "k2").distinct()
     per_owner = one.groupBy("value", "source").agg(F.count("*").alias("n"))
@@ -98,7 +99,7 @@ def scan(docs: DataFrame) -> DataFrame:
     judged = each.join(owned, "value").withColumn("live", F.col("owners") < EXAMPLE_OWNERS)
     judged = judged.where("kind < 3 or live")
     per_row = judged.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "owners", "repositories", "live"))).alias("spans"))
-    return rows.select("k1", "k2", "doc_id").join(per_row, ["k1", "k2"], "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start: bigint, kind: int, end: bigint, owners: bigint, repositories: bigint, live: boolean>>)")))
+    return scratch.done(rows.select("k1", "k2", "doc_id").join(per_row, ["k1", "k2"], "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start: bigint, kind: int, end: bigint, owners: bigint, repositories: bigint, live: boolean>>)"))))
 
 
 _NAMES = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"

@@ -25,12 +25,41 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later steps never recompute it, whatever executor is lost."""
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: later steps never recompute it, whatever executor is lost."""
+    return _write(df, name)[0]
+
+
+class Scratch:
+    """Tables of one operator in the shared folder; all but the last are deleted once that is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def cut(self, df: DataFrame, name: str = "table") -> DataFrame:
+        out, path = _write(df, name)
+        self.paths[path] = out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for path in [p for p, t in self.paths.items() if any(t is x for x in tables)]:
+            del self.paths[path]
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def done(self, df: DataFrame, name: str = "result") -> DataFrame:
+        """``df`` as a written table, everything else deleted."""
+        out = cut(df, name)
+        self.drop(*self.paths.values())
+        return out
 
 
 def own_columns(docs: DataFrame, *names: str) -> DataFrame:
@@ -44,28 +73,31 @@ def row_key() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64("doc_id", "text").alias("k2")]
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long); component is the smallest node reachable.
 
     Alternating large and small stars; every round is one grouped minimum (combined before the shuffle)
     and one join, and is written to the shared folder. A hot node is one row of the minimum table; the join's
     large side can be split by adaptive execution. The number of rounds grows with the logarithm of the longest path.
     """
-    spark = edges.sparkSession
-    e = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    own = Scratch(edges.sparkSession)
+    e = own.cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     before = None
     for _ in range(rounds):
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        e1 = cut(large.where("a != b").distinct(), "cc")
+        e1 = own.cut(large.where("a != b").distinct(), "cc")
         low = e1.groupBy("a").agg(F.min("b").alias("low"))
         small = e1.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("x")).select("x.a", "x.b")
-        e = cut(small.where("a != b").distinct(), "cc")
+        e, old = own.cut(small.where("a != b").distinct(), "cc"), e
+        own.drop(e1, old)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b"), F.col("b")).distinct())
+    out = scratch.cut(e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b"), F.col("b")).distinct()), "components")
+    own.drop(e)
+    return out

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import arrays as A
-from tessella.llm.store import cut, own_columns, row_key
+from tessella.llm.store import Scratch, own_columns, row_key
 
 LEAST, ANCHOR = 400, 64
 #: Bytes of contexts that a shard has on average, and of one anchor's contexts that it takes at most.
@@ -238,23 +238,24 @@ def _windows(least: int):
     return run
 
 
-def repeats(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR) -> DataFrame:
+def repeats(docs: DataFrame, scratch: Scratch, least: int = LEAST, anchor: int = ANCHOR) -> DataFrame:
     """k1, k2, lo, hi: byte ranges that strings of ``least`` bytes occurring twice or more cover (they may overlap)."""
     texts = own_columns(docs, "doc_id", "text").select(*row_key(), F.encode("text", "UTF-8").alias("text"))
-    all_ = cut(texts.mapInArrow(_anchors(least, min(anchor, least)), "k1 long, k2 long, anchor long, lo long, hi long, c1 long, c2 long"), "anchors")
+    all_ = scratch.cut(texts.mapInArrow(_anchors(least, min(anchor, least)), "k1 long, k2 long, anchor long, lo long, hi long, c1 long, c2 long"), "anchors")
     # anchors that occur once are done; of the others contexts are counted by content. Both counts combine before they move
     often = all_.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    again = cut(all_.join(often, "anchor", "left_semi"), "repeated")
+    again = scratch.cut(all_.join(often, "anchor", "left_semi"), "repeated")
+    scratch.drop(all_)
     content = again.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one"))
     kinds = content.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("one.hi") - F.col("one.lo") + least).alias("n_bytes"))
-    seen = cut(content.join(kinds, "anchor"), "shared")
+    seen = scratch.cut(content.join(kinds, "anchor"), "shared")
     whole = seen.where("copies > 1").select("anchor", "c1", "c2")
     copies = again.join(whole, ["anchor", "c1", "c2"], "left_semi").select("k1", "k2", "lo", (F.col("hi") + least).alias("hi"))
     # one copy of each content goes into the comparison; copies that repeat as a whole need no other result
     compare = seen.where("kinds > 1").select("anchor", "one.*", (F.col("n_bytes") > HOT_BYTES).alias("hot"))
     wanted = compare.groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "lo", "hi", "hot")).alias("want"))
     raw = texts.join(wanted, ["k1", "k2"]).mapInArrow(_cut_out(least), "k1 long, k2 long, anchor long, lo long, hot boolean, bytes binary")
-    raw = cut(raw.dropDuplicates(["k1", "k2", "lo"]), "bytes")
+    raw = scratch.cut(raw.dropDuplicates(["k1", "k2", "lo"]), "bytes")
     size = raw.where("not hot").agg(F.sum(F.length("bytes"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     cold = raw.where("not hot").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
@@ -295,10 +296,11 @@ def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges removed) of every row."""
     d = own_columns(docs, "doc_id", "text")
     kind = d.schema["doc_id"].dataType.simpleString()
-    runs = repeats(docs, least).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    scratch = Scratch(docs.sparkSession)
+    runs = repeats(docs, scratch, least).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     x = d.select(*row_key(), "doc_id", F.encode("text", "UTF-8").alias("text")).join(runs, ["k1", "k2"], "left").select("doc_id", "text", "runs")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
-    return x.mapInArrow(_remove(names), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo: long, hi: long>>")
+    return scratch.done(x.mapInArrow(_remove(names), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo: long, hi: long>>"))
 
 
 def result(docs: DataFrame) -> DataFrame:
