@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from tessella.plans import budgets
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in (budgets,):
+    QUERIES.update(_module.QUERIES)
+    ORACLE_SQL.update(_module.ORACLE_SQL)
