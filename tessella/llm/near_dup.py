@@ -9,7 +9,7 @@ exponential hash of the set is kept on an exponential scale, truncated to ``[0,
 2. Bands of registers give bucket keys. A bucket is never expanded into all pairs: each class is paired with the
    bucket's centre (least class by a hash), found by a grouped minimum and joined back, a join that can be split.
 3. Pairs get the joint maximum-likelihood Jaccard of their registers; only those within ``margin`` of the threshold,
-   or above it, go on. Best pair of each class first, then those that still run between different components.
+   or above it, go on.
 4. Links are confirmed on the full sets, recomputed from the texts.
 5. Buckets that still hold several components are worked through completely: every member outside the largest
    component of the bucket against every other member of another component; large buckets block against block,
@@ -250,17 +250,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, margin: float = 0.17) ->
     pool = s.cut(texts.join(crowded.select("node").distinct(), "node"), "pool")
     check = _Pairs(pool, classes, percent, margin, s)
     likely = s.cut(check.likely(pairs), "likely")
-    ends = likely.select(F.explode(F.array(F.struct(F.col("a").alias("n"), "a", "b", "est"), F.struct(F.col("b").alias("n"), "a", "b", "est"))).alias("x")).select("x.*")
-    best = ends.groupBy("n").agg(F.max(F.struct("est", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    links = s.cut(check.confirmed(best), "links")
-
-    def label(pairs_: DataFrame, comp: DataFrame) -> DataFrame:
-        x = pairs_.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        return x.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    comp = components(links, s)
-    rest = s.cut(label(likely.select("a", "b"), comp).exceptAll(best), "rest")
-    links = links.union(s.cut(check.confirmed(rest), "links"))
+    links = s.cut(check.confirmed(likely.select("a", "b")), "links")
     comp = components(links, s)
     # what a bucket still holds of other components than its largest: each of them against all members of another one
     held = crowded.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
@@ -272,7 +262,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, margin: float = 0.17) ->
     more = odd.join(few.select("key", "node", "comp", "main"), "key").where("cx != comp and (comp = main or x < node)")
     more = more.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     found = s.cut(check.likely(more), "likely").select("a", "b").union(_in_blocks(left.where(f"n > {SMALL}"), pool, percent)).distinct()
-    links = links.union(s.cut(check.confirmed(found), "links"))
+    # the components so far stand for their links
+    links = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a != b").union(s.cut(check.confirmed(found), "links"))
     comp = components(links, s)
     # a row's component is its class's; rows that share an id join their classes
     member_links = member.where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
