@@ -33,9 +33,8 @@ def decode_entities(c: Column) -> Column:
     """Named and numeric entities in one pass: what an entity gives is never read as one again."""
     for name, to in ENTITIES.items():
         if name != "amp":
-            c = F.when(F.contains(c, F.lit("&")), F.regexp_replace(c, f"(?i)&{name};", to.replace("$", r"\$"))).otherwise(c)
+            c = F.regexp_replace(c, f"(?i)&{name};", to)
     c = F.regexp_replace(c, "(?i)&amp;", _AMP)
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#(?:[0-9]{1,12}|[xX][0-9a-fA-F]{1,12});"), F.lit(0)))
 
     def put(text: Column, e: Column) -> Column:
         hexa = F.lower(F.substring(e, 3, 1)) == "x"
@@ -46,8 +45,9 @@ def decode_entities(c: Column) -> Column:
         char = F.when(char == "&", F.lit(_AMP)).otherwise(char)
         return F.when(ok, F.replace(text, e, char)).otherwise(text)
 
-    c = F.when(F.size(found) > 0, F.aggregate(found, c, put)).otherwise(c)
-    return F.replace(c, F.lit(_AMP), F.lit("&"))
+    # one element array: the text is named once, however often the fold reads it
+    once = F.transform(F.array(c), lambda t: F.aggregate(F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#(?:[0-9]{1,12}|[xX][0-9a-fA-F]{1,12});"), F.lit(0))), t, put))
+    return F.replace(F.element_at(once, 1), F.lit(_AMP), F.lit("&"))
 
 
 def title(html: Column) -> Column:
