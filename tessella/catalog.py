@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessella.plans import budgets, pages, state, texts
+from tessella.plans import budgets, pages, records, state, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (budgets, texts, pages, state):
+for _module in (budgets, texts, pages, state, records):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
