@@ -24,6 +24,8 @@ from tessella.llm.samples import held_out, sample
 from tessella.llm.store import own_columns
 
 SAMPLE, BUCKETS, RANK, EPOCHS, BATCH, THRESHOLD = 6000, 1 << 15, 8, 6, 64, 0.3
+#: Least number of steps: small samples are gone through more often than EPOCHS times.
+STEPS = 600
 
 
 def inputs(s: A.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +82,7 @@ def fit(label: np.ndarray, buckets: list[np.ndarray], values: list[np.ndarray],
         return m
     gw, gv, gwd, gvd, g0 = (np.full_like(m[k], 1e-2) for k in ("w", "v", "wd", "vd", "mean"))
     g0 = 1e-2
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(label)))):
         order = rng.permutation(len(label))
         for lo in range(0, len(order), BATCH):
             ids = order[lo : lo + BATCH]
