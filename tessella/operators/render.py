@@ -50,14 +50,20 @@ def _some(branches: list[Column]) -> Column:
     return F.filter(F.array(*branches), lambda b: F.size(b["kids"]) > 0)
 
 
+def _of_type(items: Column, kind: str) -> Column:
+    return F.filter(items, lambda i: i["type"] == kind)
+
+
+def _evidence(item: Column) -> Column:
+    return F.when((item["evidence"] != "") & (item["evidence"] != NO_EVIDENCE), F.concat(F.lit(EVIDENCE), T.prefix(item["evidence"], 80)))
+
+
 def map_branches(m: Column) -> Column:
     """Branches (title, kids of title and kids) below the root of a knowledge map."""
     out = [_branch(QUESTION, F.when(m["core_question"] != "", F.array(_leaf(m["core_question"]))).otherwise(F.expr("cast(array() as array<struct<title: string, kids: array<string>>>)")))]
     out.append(_branch(CONCLUSIONS, F.transform(m["core_conclusions"], _leaf)))
     for t in TREE_TYPES:
-        own = F.filter(m["items"], lambda i, t=t: i["type"] == t)
-        shown = lambda i: F.when((i["evidence"] != "") & (i["evidence"] != NO_EVIDENCE), F.concat(F.lit(EVIDENCE), T.prefix(i["evidence"], 80)))
-        out.append(_branch(t, F.transform(own, lambda i: _with(T.prefix(i["claim"], 60), shown(i)))))
+        out.append(_branch(t, F.transform(_of_type(m["items"], t), lambda i: _with(T.prefix(i["claim"], 60), _evidence(i)))))
     out.append(_branch(DATA, F.transform(m["data_points"], lambda d: _leaf(T.prefix(d["value"], 60)))))
     out.append(_branch(CAVEATS, F.transform(m["caveats"], lambda c: _leaf(T.prefix(c, 60)))))
     out.append(_branch(RECALL, F.transform(m["recall_questions"], lambda q: _leaf(T.prefix(q, 60)))))

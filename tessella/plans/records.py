@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tessella.operators import jsonx as J
 from tessella.operators import sanitize as S
 
-_BLANK = F.lit("  ")
 
 
 def _events(spark, d):
