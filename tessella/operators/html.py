@@ -55,32 +55,51 @@ def title(html: Column) -> Column:
     return T.trim(F.regexp_replace(decode_entities(F.regexp_replace(raw, "<[^>]+>", " ")), r"(?U)[\s\x{feff}]+", " "))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def balanced(html: Column, opening: str) -> Column:
     """What the first match of ``opening`` encloses, counting tags of its name; to the end if it is never closed. '' without a match."""
-    open_tag = F.regexp_extract(html, opening, 0)
-    name = F.regexp_extract(open_tag, "^<([a-zA-Z0-9]+)", 1)
-    rest = F.substr(html, F.position(open_tag, html) + F.length(open_tag))
-    tags = F.regexp_extract_all(rest, F.concat(F.lit(r"(?s)<"), name, F.lit(r"(?:\s|>)|</"), name, F.lit(r"\s*>|[^<]+|<")), F.lit(0))
-    close = F.concat(F.lit("</"), name)
 
     def step(s: Column, t: Column) -> Column:
-        closes = F.startswith(t, close) & F.endswith(t, F.lit(">"))
-        opens = F.startswith(t, F.concat(F.lit("<"), name)) & (F.length(t) > 1) & ~closes
-        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        closes = F.startswith(t, F.lit("</"))
+        depth = s["depth"] + F.when(closes, -1).when(F.length(t) > 1, F.when(F.startswith(t, F.lit("<")), 1).otherwise(0)).otherwise(0)
         return F.when(s["depth"] == 0, s).otherwise(F.struct(depth.alias("depth"), (s["at"] + F.when(depth == 0, 0).otherwise(F.length(t))).alias("at")))
 
-    end = F.aggregate(tags, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at")), step)
-    return F.when(open_tag == "", F.lit("")).otherwise(F.substr(rest, F.lit(1), end["at"]))
+    def inside(rest: Column, name: Column) -> Column:
+        # pieces: an opening or closing tag of the name, or all up to the next of them
+        tag = F.concat(F.lit("<"), name, F.lit(r"(?:\s|>)|</"), name, F.lit(r"\s*>"))
+        tags = F.regexp_extract_all(rest, F.concat(F.lit("(?s)"), tag, F.lit("|(?:(?!"), tag, F.lit(").)++")), F.lit(0))
+        end = F.aggregate(tags, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at")), _only_tags(name, step))
+        return F.substr(rest, F.lit(1), end["at"])
+
+    def found(tag: Column) -> Column:
+        rest = F.substr(html, F.position(tag, html) + F.length(tag))
+        return F.when(tag == "", F.lit("")).otherwise(let(rest, lambda r: inside(r, F.regexp_extract(tag, "^<([a-zA-Z0-9]+)", 1))))
+
+    return let(F.regexp_extract(html, opening, 0), found)
+
+
+def _only_tags(name: Column, step):
+    """The fold's step for tags of ``name``; other pieces only move the place."""
+
+    def run(s: Column, t: Column) -> Column:
+        own = F.startswith(t, F.concat(F.lit("<"), name)) | F.startswith(t, F.concat(F.lit("</"), name))
+        short = F.length(t) <= F.length(name) + 8
+        other = F.when(s["depth"] == 0, s).otherwise(F.struct(s["depth"].alias("depth"), (s["at"] + F.length(t)).alias("at")))
+        return F.when(own & short & t.rlike(r"^</?[a-zA-Z0-9]+\s*>?$"), step(s, t)).otherwise(other)
+
+    return run
 
 
 def content_region(html: Column) -> Column:
     """The first candidate region with more than 200 characters outside tags, else the body, else everything."""
-    found = F.lit(None).cast("string")
-    for opening in reversed(REGIONS):
-        piece = balanced(html, opening)
-        found = F.when(html.rlike(opening) & (F.length(F.regexp_replace(piece, "<[^>]+>", "")) > LEAST_REGION), piece).otherwise(found)
+    enough = lambda p: F.when(F.length(F.regexp_replace(p, "<[^>]+>", "")) > LEAST_REGION, p)
+    found = [F.when(html.rlike(opening), let(balanced(html, opening), enough)) for opening in REGIONS]
     body = F.when(html.rlike(r"(?is)<body[^>]*>.*?</body>"), F.regexp_extract(html, r"(?is)<body[^>]*>(.*?)</body>", 1))
-    return F.coalesce(found, body, html)
+    return F.coalesce(*found, body, html)
 
 
 def strip_blocks(c: Column) -> Column:
