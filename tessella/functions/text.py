@@ -19,9 +19,18 @@ def trim(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
+def beyond_ascii(c: Column) -> Column:
+    """What is not printable ASCII; nearly all of most texts goes in a few long runs."""
+    return F.regexp_replace(c, LATIN + "+", "")
+
+
+def count_of(c: Column, kind: str) -> Column:
+    return (F.length(c) - F.length(F.regexp_replace(c, kind + "+", ""))).cast("long")
+
+
 def units(c: Column) -> Column:
     """Length in UTF-16 units: a character beyond U+FFFF counts twice."""
-    return (F.length(c) + F.regexp_count(c, F.lit(ASTRAL))).cast("long")
+    return F.length(c).cast("long") + count_of(beyond_ascii(c), ASTRAL)
 
 
 def prefix(c: Column, n: int) -> Column:
@@ -29,7 +38,7 @@ def prefix(c: Column, n: int) -> Column:
     raw = F.substring(F.encode(c, "UTF-16BE"), 1, 2 * n)
     last = F.hex(F.substring(raw, 2 * n - 1, 1))
     cut = F.when(last.between("D8", "DB"), F.substring(raw, 1, 2 * n - 2)).otherwise(raw)
-    return F.when(c.rlike(ASTRAL), F.decode(cut, "UTF-16BE")).otherwise(F.substring(c, 1, n))
+    return F.when(F.length(c) * 2 <= n, c).when(c.rlike(ASTRAL), F.decode(cut, "UTF-16BE")).otherwise(F.substring(c, 1, n))
 
 
 def newlines(c: Column) -> Column:
@@ -38,13 +47,17 @@ def newlines(c: Column) -> Column:
 
 def class_counts(c: Column) -> tuple[Column, Column, Column]:
     """UTF-16 units that are CJK, printable ASCII, and anything else."""
-    cjk = F.regexp_count(c, F.lit(CJK)).cast("long")
-    latin = F.regexp_count(c, F.lit(LATIN)).cast("long")
-    return cjk, latin, units(c) - cjk - latin
+    rest = beyond_ascii(c)
+    cjk = count_of(rest, CJK)
+    return cjk, (F.length(c) - F.length(rest)).cast("long"), F.length(rest).cast("long") + count_of(rest, ASTRAL) - cjk
 
 
 def tokens(c: Column) -> Column:
-    cjk, latin, other = class_counts(c)
+    return weighed(*class_counts(c))
+
+
+def weighed(cjk: Column, latin: Column, other: Column) -> Column:
+    """Tokens of counted units."""
     return F.ceil(cjk * F.lit(TOKENS_CJK) + latin * F.lit(TOKENS_LATIN) + other * F.lit(TOKENS_OTHER)).cast("long")
 
 

@@ -68,8 +68,11 @@ def call(calls: Column, inputs: Column, outputs: Column, rate: Column, latency:
 
 def _counted(x: DataFrame, config: Config) -> DataFrame:
     """Adds chars, length and the token counts of the cuts that the modes need. Each count is a column of its own, computed once."""
-    x = x.withColumn("chars", T.units(F.col("text"))).withColumn("length", F.least("chars", F.lit(config.max_input_chars).cast("long")))
-    x = x.withColumn("t_all", T.tokens(T.prefix(F.col("text"), config.max_input_chars)))
+    x = x.withColumn("rest", T.beyond_ascii(F.col("text"))).withColumns({"cjk": T.count_of(F.col("rest"), T.CJK), "wide": T.count_of(F.col("rest"), T.ASTRAL)})
+    n, left = F.length("text").cast("long"), F.length("rest").cast("long")
+    x = x.withColumn("chars", n + F.col("wide")).withColumn("length", F.least("chars", F.lit(config.max_input_chars).cast("long")))
+    whole = T.weighed(F.col("cjk"), n - left, left + F.col("wide") - F.col("cjk"))
+    x = x.withColumn("t_all", F.when(F.col("chars") <= config.max_input_chars, whole).otherwise(T.tokens(T.prefix(F.col("text"), config.max_input_chars)))).drop("rest", "cjk", "wide")
     for name, most in (("t_chunk", config.chunk_chars), ("t_quick", QUICK_CHARS), ("t_struct", STRUCTURE_CHARS)):
         # most texts are shorter than any of the cuts: their one count serves all modes
         x = x.withColumn(name, F.when(F.col("length") <= most, F.col("t_all")).otherwise(T.tokens(T.prefix(F.col("text"), most))))
