@@ -7,13 +7,19 @@ long, which are exactly the least positions of all runs of LEAST shingles; their
 
 1. HASHES functions give windows (value, text, c, l, r). Equal texts are one class throughout (named by a hash of their
    words), so copies add nothing.
-2. Values that windows of two classes share group windows; each group is joined to two of its classes, the least and the
-   greatest by one fixed order, never to all pairs. Windows of one value meet at c, where both ranges [l, r] overlap.
-   A pair of classes is a candidate if its meetings across hash functions weigh at least SUPPORT (one in a group of few
-   classes weighs double: there both ends are most of the group).
+2. Values that windows of two classes share group windows. Groups of up to SMALL classes give all their pairs; of larger
+   ones each class is joined to two of them, the least and the greatest by one fixed order. Windows of one value meet by
+   equality alone, the extents [l, r] are not moved: c lies in both, so ranges that overlap are among these. A pair of
+   classes is a candidate if its meetings across hash functions weigh at least SUPPORT (one in a group of few classes
+   weighs double).
 3. Candidates are verified on the whole texts: maximal ranges of shingles of one text, at least LEAST long, whose
    Jaccard similarity with the range of the other text that their common shingles span is at least SIMILARITY; at
    least SIMILARITY * LEAST different shingles must be common, so a few words over and over are no passage.
+4. Classes of a large group that share no verified range around its window with either end are compared with the whole
+   group, block against block, by the shingles around the window; pairs that share enough there for a shortest passage
+   are verified as in 3. Some run of LEAST shingles of a passage is as similar as all of it, and its windows see it.
+   Classes that share one with an end are not compared with each other: they are linked over
+   the end, but n_links counts only the links that were verified.
 
 A range of 50 words at similarity 0.8 shares the value of one function with probability 0.8; with four functions 97 in
 100 such pairs meet twice, identical passages always. Longer ranges hold several windows for every function.
@@ -43,6 +49,10 @@ _SEED = A.seeds(HASHES, 41)
 _CODEC = pa.Codec("zstd")
 #: Texts whose shingles a task keeps at hand.
 KEPT = 64
+#: Groups of up to SMALL classes are worked through as pairs, of larger ones what the ends did not link in blocks of about BLOCK.
+SMALL, BLOCK = 64, 1024
+#: Shingles on either side of a window's least one: a shortest passage that holds it, on either text, lies inside.
+REACH = int(LEAST / SIMILARITY) + 1
 
 
 def shingle_sequences(s: A.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +108,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # a text's windows of one value say the same
                 value = A.mix(h[c] ^ _SEED[k] ^ A.BASE)
                 _, one = np.unique(value + A.mix(row.astype(np.uint64)), return_index=True)
-                yield pa.record_batch([pa.array(value[one].view(np.int64)), pa.array(name[row[one]].view(np.int64))], names=["value", "name"])
+                cols = [value[one].view(np.int64), name[row[one]].view(np.int64), c[one] - begin[row[one]]]
+                yield pa.record_batch([pa.array(x) for x in cols], names=["value", "name", "c"])
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +190,54 @@ def _unpacked(x: bytes) -> np.ndarray:
     return shingle_sequences(s)[0]
 
 
+def _both_ways(a: int, b: int, of_a: tuple[np.ndarray, np.ndarray], of_b: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int, int]]:
+    """(name, other, lo, hi) of the word ranges that two texts share; what either direction finds holds for both."""
+    (x, x_order), (y, y_order) = of_a, of_b
+    out = []
+    for p, q, r, t in similar_ranges(x, y, y_order):
+        out += [(a, b, p, q + SHINGLE - 1), (b, a, r, t + SHINGLE - 1)]
+    for p, q, r, t in similar_ranges(y, x, x_order):
+        out += [(b, a, p, q + SHINGLE - 1), (a, b, r, t + SHINGLE - 1)]
+    return out
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every window of a packed text the different shingles (32 bits of each) of all shortest passages around it."""
+    for batch in batches:
+        value, name, around = [], [], []
+        for i, at in enumerate(batch.column(2).to_pylist()):
+            own = (_unpacked(batch.column(1)[i].as_py()) >> A.U(32)).astype("<u4")
+            for w in at:
+                value.append(w["value"])
+                name.append(batch.column(0)[i].as_py())
+                around.append(np.unique(own[max(w["c"] - REACH, 0) : w["c"] + REACH + 1]).tobytes())
+        yield pa.record_batch([pa.array(value, pa.int64()), pa.array(name, pa.int64()), pa.array(around, pa.binary())], names=["value", "name", "around"])
+
+
+def _block(table: pa.Table) -> pa.Table:
+    """Pairs of a block, with a class that its group's ends did not link, that share enough around their window."""
+    name, side, odd = (table.column(c).to_numpy() for c in ("name", "side", "odd"))
+    sets = [np.frombuffer(x, "<u4") for x in table.column("around").to_pylist()]
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = df[col] > 1
+    owner, col = owner[keep], np.unique(col[keep], return_inverse=True)[1]
+    order = np.argsort(col, kind="stable")
+    owner, col = owner[order], col[order]
+    both = np.zeros((n, n), np.float32)
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 1024):
+        a, b = np.searchsorted(col, [lo, lo + 1024])
+        m = np.zeros((n, min(1024, int(col[-1]) + 1 - lo)), np.float32)
+        m[owner[a:b], col[a:b] - lo] = 1
+        both += m @ m.T
+    near = np.triu(both >= SIMILARITY * LEAST, 1) & (odd[:, None] | odd[None, :])
+    if table.column("i")[0].as_py() != table.column("j")[0].as_py():
+        near &= side[:, None] != side[None, :]
+    x, y = (name[k] for k in np.nonzero(near))
+    return pa.table([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # pairs come sorted by one side, and many share the other: the last few texts are kept
     kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -196,12 +255,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = part
         ta, tb = batch.column(batch.schema.get_field_index("ta")), batch.column(batch.schema.get_field_index("tb"))
         for i, (a, b) in enumerate(zip(batch.column(batch.schema.get_field_index("a")).to_pylist(), batch.column(batch.schema.get_field_index("b")).to_pylist())):
-            (x, x_order), (y, y_order) = shingles(a, ta[i]), shingles(b, tb[i])
-            # what either direction finds holds for both texts
-            for p, q, r, t in similar_ranges(x, y, y_order):
-                out += [(a, b, p, q + SHINGLE - 1), (b, a, r, t + SHINGLE - 1)]
-            for p, q, r, t in similar_ranges(y, x, x_order):
-                out += [(b, a, p, q + SHINGLE - 1), (a, b, r, t + SHINGLE - 1)]
+            out += _both_ways(a, b, shingles(a, ta[i]), shingles(b, tb[i]))
         cols = list(zip(*out)) if out else [[], [], [], []]
         yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["name", "other", "lo", "hi"])
 
@@ -209,20 +263,42 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def passages(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(name, other, lo, hi): word ranges of a class of equal texts that repeat in another; and (node, name, n_words) of the rows."""
     texts = numbered(docs)
-    w = texts.select("node", "text").mapInArrow(_windows, "value long, name long")
+    w = texts.select("node", "text").mapInArrow(_windows, "value long, name long, c long")
+    members = scratch.cut(w.groupBy("value", "name").agg(F.min("c").alias("c")), "windows")
     # the least and the greatest class of every value; values of a single class are done
-    ends = w.groupBy("value").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.count("*").alias("n")).where("lo != hi")
+    ends = members.groupBy("value").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.count("*").alias("n")).where("n > 1")
+    group = members.join(ends, "value")
+    all_pairs = F.expr("flatten(transform(v, (x, i) -> transform(slice(v, i + 2, size(v)), y -> struct(x as a, y as b))))")
+    few = group.where(F.col("n") <= SMALL).groupBy("value", "n").agg(F.array_sort(F.collect_list("name")).alias("v")).select("n", F.explode(all_pairs).alias("p"))
+    large = scratch.cut(group.where(F.col("n") > SMALL), "large")
     side = lambda e: F.struct(F.least("name", e).alias("a"), F.greatest("name", e).alias("b"))
     sides = F.array(F.when(F.col("name") != F.col("lo"), side("lo")), F.when((F.col("name") != F.col("hi")) & (F.col("name") != F.col("lo")), side("hi")))
-    met = w.join(ends, "value").select("n", F.explode(sides).alias("p")).where("p is not null")
+    met = few.union(large.select("n", F.explode(sides).alias("p")).where("p is not null"))
     weight = F.when(F.col("n") <= FEW, 2).otherwise(1)
     pairs = met.select("p.a", "p.b", weight.alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= SUPPORT).select("a", "b")
     pairs = scratch.cut(pairs, "pairs")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    scratch.drop(members)
+    need = pairs.select(F.explode(F.array("a", "b")).alias("name")).union(large.select("name")).distinct()
     named = texts.select("node", "text").mapInArrow(_named_texts, "name long, text binary")
     pool = scratch.cut(named.join(need, "name").dropDuplicates(["name"]), "pool")
-    both = pairs.join(pool.withColumnsRenamed({"name": "a", "text": "ta"}), "a").join(pool.withColumnsRenamed({"name": "b", "text": "tb"}), "b")
-    found = scratch.cut(both.mapInArrow(_verify, "name long, other long, lo long, hi long"), "ranges")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(pool.withColumnsRenamed({"name": "a", "text": "ta"}), "a").join(pool.withColumnsRenamed({"name": "b", "text": "tb"}), "b")
+        return both.mapInArrow(_verify, "name long, other long, lo long, hi long")
+
+    found = scratch.cut(verified(pairs), "ranges")
+    # what the ends of a large group did not link around its window, against all of the group
+    known = found.select("name", F.col("other").alias("end"), F.col("lo").alias("from"), F.col("hi").alias("to"))
+    at_end = large.withColumn("end", F.explode(F.array("lo", "hi"))).join(known, ["name", "end"]).where("c >= from and c < to").select("value", "name").distinct()
+    odd = scratch.cut(large.where("name != lo and name != hi").select("value", "name").join(at_end, ["value", "name"], "left_anti").withColumn("odd", F.lit(True)), "odd")
+    left = large.join(odd.select("value").distinct(), "value").join(odd, ["value", "name"], "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
+    left = scratch.cut(left.select("value", "name", "c", "n", "odd"), "left")
+    at = left.groupBy("name").agg(F.collect_list(F.struct("value", "c")).alias("at"))
+    near = pool.join(at, "name").select("name", "text", "at").mapInArrow(_around, "value long, name long, around binary")
+    x = near.join(left, ["value", "name"]).withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("side", F.expr("cast(pmod(xxhash64(name), nb) as int)"))
+    x = x.withColumn("k", F.explode(F.expr("sequence(0, nb - 1)"))).select("value", F.least("side", "k").alias("i"), F.greatest("side", "k").alias("j"), "side", "odd", "name", "around")
+    rest = scratch.cut(x.groupBy("value", "i", "j").applyInArrow(_block, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    found = scratch.cut(found.union(verified(rest)), "ranges")
     rows = scratch.cut(texts.mapInArrow(_names, "node long, name long, n_words long"), "names")
     return found, rows
 

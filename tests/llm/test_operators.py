@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tessella.llm import decontaminate, language, near_dup, packing, passages, quality_model, quality_rules, secrets, suffix, toxicity
 from tessella.llm import arrays as A
@@ -311,6 +312,32 @@ def test_passages_across_documents(spark, docs):
     assert passages.result(docs).where("doc_id = 0 and n_copies = 3").count() == 1
 
 
+@pytest.mark.parametrize("others", [40, 120])
+def test_passages_that_no_end_of_a_group_holds(spark, others):
+    """Two texts share a passage; many others hold its least shingles, and nothing else of it."""
+    rng = random.Random(others)
+    passage = words(rng, 60)
+    data = pa.record_batch([pa.array([" ".join(passage)], pa.binary())], names=["text"])
+    (s,) = A.slices(data)
+    h, begin, _, _ = passages.shingle_sequences(s)
+    least = sorted({int(c) for seed in passages._SEED for c in passages.compact_windows(A.mix(h ^ seed), begin, passages.LEAST)[1]})
+    phrases = [" ".join(passage[c : c + passages.SHINGLE]) for c in least]
+    text = lambda: " ".join(words(rng, 30))
+    texts = [f"{text()} {' '.join(passage)} {text()}" for _ in range(2)]
+    texts += [" ".join(f"{text()} {x} {text()}" for x in phrases) for _ in range(others)]
+    got = {r.doc_id: r for r in passages.result(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert set(got) == {0, 1} and all(r.class_id == 0 and r.n_links == 1 for r in got.values())
+
+
+def test_links_of_one_passage_are_counted(spark):
+    rng = random.Random(12)
+    passage = words(rng, 80)
+    text = lambda n: " ".join(words(rng, n))
+    texts = [f"{text(30)} {' '.join(passage)} {text(30)}" for _ in range(9)]
+    got = passages.result(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == 9 and all(r.n_links == 8 for r in got)
+
+
 # -- quality rules
 
 
