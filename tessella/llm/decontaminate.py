@@ -3,7 +3,7 @@
 A window of words is read by a random walk (Chakraborty, Goldenberg, Koucky): step j writes the word it stands on and
 moves on if a random bit of (j, word) says so. Windows at a small edit distance give outputs at a small Hamming
 distance. Each repetition has its own walk and samples SAMPLES output positions; equal samples are a hit, and
-several hits near one place a candidate. Windows
+several hits near one place (for items under FEW_WORDS words a single one) a candidate. Windows
 of item size are covered by the starts of all walks in the texts against walks from every word of every item, so one
 stretch with few edits anywhere in an item is enough. Candidates are confirmed by the exact edit distance of the item to
 the best place in the text around it (Myers' bit vectors): at most MOST_EDITS of the item's characters.
@@ -14,7 +14,7 @@ Repetitions follow from the target recall: with one word in ten edited a walk ke
 Texts are scanned once per block of items; a block holds at most BLOCK_WORDS words of items, which bounds what is sent
 to the executors. Walks whose first samples no item has are dropped at once, so nearly all words cost two look-ups.
 
-Cases: null texts match nothing; items of fewer than LEAST_WORDS words identify no text and match nothing; repeated rows
+Cases: null texts match nothing; items of fewer than LEAST_WORDS words match only the same words, items of none nothing; repeated rows
 and repeated items are reported each once per (row key, item_id); other columns are ignored.
 """
 
@@ -33,8 +33,9 @@ from tessella.llm import arrays as A
 from tessella.llm.store import cut, own_columns, row_key
 
 RECALL, SAMPLES, MOST_EDITS, LEAST_WORDS, BLOCK_WORDS = 0.95, 5, 0.2, 4, 400_000
-#: Starts with a hit near one place that make a candidate; a leaked item has one at most of its words.
-MIN_HITS = 2
+#: Starts with a hit near one place that make a candidate: a leaked item of many words has one at most of them, of items
+#: under FEW_WORDS words a single one is enough.
+MIN_HITS, FEW_WORDS = 2, 20
 #: Steps of the walks; an item uses the longest walk whose three quarters it has as words.
 WALKS = (16, 8, 4)
 _SPACE = re.compile(r"[\x20\x09-\x0d]+")
@@ -90,6 +91,7 @@ class Index:
         self.items = [(i, plain(t)) for i, t in items]
         self.groups = []
         self.slack = np.array([_slack(t) for _, t in self.items], np.int64)
+        self.least_hits = np.array([1 if t.count(" ") + 1 < FEW_WORDS else MIN_HITS for _, t in self.items], np.int64)
         data = [t.encode() for _, t in self.items]
         off = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
         joined = np.frombuffer(b"".join(data), np.uint8)
@@ -98,10 +100,18 @@ class Index:
         n_words = np.diff(first)
         owner = np.repeat(np.arange(len(data)), n_words)
         place = np.arange(len(words)) - first[owner]
+        #: Per number of words under LEAST_WORDS: keys of the items, sorted, and whose they are.
+        self.short = []
+        for n in range(1, LEAST_WORDS):
+            mine = np.flatnonzero(n_words == n)
+            if len(mine):
+                keys = _run_keys(words, first[mine], n)
+                order = np.argsort(keys, kind="stable")
+                self.short.append((n, keys[order], mine[order]))
         for k, steps in enumerate(WALKS):
             n = n_words[owner]
             most = WALKS[k - 1] * 3 // 4 if k else 1 << 60
-            mine = np.flatnonzero((n >= steps * 3 // 4) & (n < most))
+            mine = np.flatnonzero((n >= max(LEAST_WORDS, steps * 3 // 4)) & (n < most))
             for r in range(repetitions(recall)) if len(mine) else ():
                 # only walks that stay inside their item: a text goes on where an item ends
                 ends_at = _prefix_keys(words, mine, steps, r, len(sampled_steps(steps, r)))[1]
@@ -118,7 +128,7 @@ class Index:
                 self.groups.append((steps, r, tables, full[order], owner[ok][order], place[ok][order]))
 
     def candidates(self, words: np.ndarray, row: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Rows (text, item number, word position where the item would begin) with hits from MIN_HITS starts close to one place."""
+        """Rows (text, item number, word position where the item would begin) with hits from enough starts close to one place."""
         hits = [np.zeros((0, 4), np.int64)]
         for steps, r, tables, keys, owner, place in self.groups:
             at, key = walk_keys(words, last, np.arange(len(words)), steps, r, tables)
@@ -127,6 +137,14 @@ class Index:
             hit = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             hits.append(np.stack([row[np.repeat(at, n)], owner[hit], np.repeat(at, n) - place[hit], np.repeat(at, n)], 1))
         # repetitions that hit at one start say the same: starts are counted
+        for size, keys, owner in self.short:
+            at = np.flatnonzero(np.arange(len(words)) + size <= last)
+            key = _run_keys(words, at, size)
+            lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
+            n = hi - lo
+            hit = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            at = np.repeat(at, n)
+            hits.append(np.stack([row[at], owner[hit], at, at], 1))
         all_ = np.unique(np.concatenate(hits), axis=0)
         if not len(all_):
             return all_[:, :3]
@@ -136,10 +154,18 @@ class Index:
         for shift in (0, 1):
             cell = np.stack([all_[:, 0], all_[:, 1], (all_[:, 2] + shift * (wide // 2)) // wide], 1)
             _, which, count = np.unique(cell, axis=0, return_inverse=True, return_counts=True)
-            good |= count[which.ravel()] >= MIN_HITS
+            good |= count[which.ravel()] >= self.least_hits[all_[:, 1]]
         return np.unique(all_[good, :3], axis=0)
 
 
+def _run_keys(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Keys of the n words from each start."""
+    key = np.full(len(at), A.U(n), np.uint64)
+    for j in range(n):
+        key = A.mix(key * A.BASE + words[at + j])
+    return key
+
+
 def _prefix_keys(words: np.ndarray, at: np.ndarray, steps: int, r: int, m: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the first m samples, and where the walks stand at the last of them."""
     odd, wanted = A.seeds(steps, 77 + 13 * r + steps), sampled_steps(steps, r)[:m]
@@ -194,21 +220,20 @@ def _matches(index: Index, s: A.Slice) -> Iterator[tuple[int, int, int, int, int
         # one look covers all starts nearby: candidates of one place lie next to each other
         if begin < done.get((i, item), -(1 << 60)):
             continue
-        slack = int(index.slack[item])
+        slack = int(index.slack[item]) if n >= LEAST_WORDS else 0
         lo, hi = max(int(first[i]), begin - slack), min(int(first[i + 1]), begin + n + 2 * slack)
         if lo >= hi:
             continue
         text = plain(data[starts[lo] : ends[hi - 1]].tobytes().decode("utf-8", "replace"))
         best, _ = best_place(pattern, text)
         done[(i, item)] = begin + max(1, slack // 2)
-        if best <= MOST_EDITS * len(pattern):
+        if best <= (MOST_EDITS * len(pattern) if n >= LEAST_WORDS else 0):
             yield i, item, best, int(starts[lo] - s.offsets[i]), int(ends[hi - 1] - s.offsets[i])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL) -> DataFrame:
     """k1, k2, doc_id, item_id, edits, item_chars, from_byte, to_byte: each text with each item that it holds, once."""
     items = own_columns(benchmark, "item_id", "text").where("text is not null").select("item_id", "text", F.size(F.split("text", r"[\x20\x09-\x0d]+")).alias("n"))
-    items = items.where(F.col("n") >= LEAST_WORDS)
     total = items.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
     d = own_columns(docs, "doc_id", "text")
@@ -228,7 +253,7 @@ def _scanner(items: list[tuple[int, str]], recall: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(items, recall)
         for batch in batches:
-            for s in A.slices(batch) if index.groups else ():
+            for s in A.slices(batch) if index.groups or index.short else ():
                 got = list(_matches(index, s))
                 if got:
                     take = pa.array([s.lo + g[0] for g in got], pa.int32())

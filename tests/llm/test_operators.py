@@ -219,6 +219,26 @@ def test_leaks_are_found_and_clean_texts_stay(spark, docs):
     assert clean.columns == have.columns and clean.count() == have.count() - len({d for d, _ in got})
 
 
+def test_short_items_are_found_at_the_bound(spark):
+    """A single letter changed in two of six and four of twelve words; under four words the same words only."""
+    rng = random.Random(21)
+    items, texts = [], []
+    for i in range(200):
+        w = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(6 if i % 2 else 12)]
+        items.append((i, " ".join(w)))
+        for k in rng.sample(range(len(w)), len(w) // 3):
+            w[k] = w[k][:3] + "z" + w[k][4:]
+        texts.append((i, " ".join(words(rng, 40) + w + words(rng, 40))))
+    items += [(900 + n, " ".join(["Ab", "Cd", "Ef"][:n])) for n in (1, 2, 3)]
+    texts += [(900, "x ab y"), (901, "x AB  cd"), (902, "ab cd\nef z"), (903, "abx cdx efx")]
+    found = decontaminate.result(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    near = {(d, i) for d, i in got if d < 900}
+    print("found of 200 pairs within the bound:", len(near))
+    assert all(d == i for d, i in near) and len(near) >= 0.9 * 200
+    assert got - near == {(900, 901), (901, 901), (901, 902), (902, 901), (902, 902), (902, 903)}
+
+
 # -- suffix array
 
 
