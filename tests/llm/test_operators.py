@@ -417,6 +417,13 @@ def test_ownership_separates_examples(spark):
     assert red[1] == "see [SECRET] x" and red[10] == f"doc {copied} z" and red[30] == "[SECRET]'"
 
 
+def test_long_mixed_runs_are_candidates(spark):
+    run = "aB3dE5fG7h" * 20
+    d = spark.createDataFrame([(1, f"see {run} x", "a")], "doc_id long, text string, source string")
+    assert [r.spans for r in secrets.result(d).collect()] == ["mixed:4:204"]
+    assert [r.text for r in secrets.redact(d).collect()] == ["see [SECRET] x"]
+
+
 # -- scoring
 
 
