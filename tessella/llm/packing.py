@@ -1,10 +1,10 @@
 """Best-fit packing by bin completion.
 
 Only lengths decide a packing, so it is planned on the histogram of piece lengths (at most CAPACITY rows, whatever the
-corpus holds): around the largest length left, undominated fillings of the rest of the sequence are enumerated depth
-first, largest first, pruned by the waste they cannot undercut; the best-fit filling is the first incumbent. A plan
-is a list of patterns with multiplicities. Small histograms are searched by branch and bound over the fillings until
-the lower bound of sequences is met. Pieces then get their places in parallel: their rank among pieces of one length
+corpus holds): around the largest length left, fillings of the rest of the sequence are enumerated depth first, largest
+first, until one wastes nothing or LOOKS places are seen, and the one of least waste is repeated while pieces last. A plan
+is a list of patterns with multiplicities. Histograms of at most SMALL pieces are searched by branch and bound over the
+fillings until the lower bound of sequences is met; larger ones keep the greedy plan. Pieces then get their places in parallel: their rank among pieces of one length
 (per block, plus the blocks before it) says which pattern and which copy of it they belong to.
 
 Cases: null text is empty (one token, the end mark); repeated rows are packed each; other columns are ignored.
@@ -60,10 +60,9 @@ def cut_points(n: int, capacity: int = CAPACITY) -> list[int]:
 
 
 def fillings(room: int, have: list[int], count: dict[int, int], looks: int = LOOKS, keep: int = CHOICES) -> list[tuple[int, ...]]:
-    """Undominated multisets of lengths that fit into ``room``, least waste first; the first found is the best fit.
+    """Multisets of lengths that fit into ``room`` and leave no room for another one, the ``keep`` of least waste first.
 
-    ``have``: lengths in falling order. A filling is dominated if a length left over still fits, or fits in
-    place of a smaller one of it. Branches that cannot waste less than the ``keep`` best so far are cut.
+    ``have``: lengths in falling order. The search ends at a filling without waste, or after ``looks`` places.
     """
     best: list[tuple[int, tuple[int, ...]]] = []
     least = next((x for x in reversed(have) if count[x] > 0), room + 1)
