@@ -5,27 +5,27 @@ all runs [i, j] with l <= i <= c <= j <= r share the least value at c: one compa
 windows that hold a run of at least LEAST shingles are the nodes of the Cartesian tree of the values whose range is that
 long, which are exactly the least positions of all runs of LEAST shingles; their number is about 2 n / LEAST.
 
-1. HASHES functions give windows (value, text, c, l, r). Equal texts are one class throughout (named by a hash of their
-   words), so copies add nothing.
-2. Values that windows of two classes share group windows. Groups of up to SMALL classes give all their pairs; of larger
-   ones each class is joined to two of them, the least and the greatest by one fixed order. Windows of one value meet by
-   equality alone, the extents [l, r] are not moved: c lies in both, so ranges that overlap are among these. A pair of
-   classes is a candidate if its meetings across hash functions weigh at least SUPPORT (one in a group of few classes
-   weighs double).
-3. Candidates are verified on the whole texts: maximal ranges of shingles of one text, at least LEAST long, whose
-   Jaccard similarity with the range of the other text that their common shingles span is at least SIMILARITY; at
-   least SIMILARITY * LEAST different shingles must be common, so a few words over and over are no passage.
-4. Classes of a large group that share no verified range around its window with either end are compared with the whole
-   group, block against block, by the shingles around the window; pairs that share enough there for a shortest passage
-   are verified as in 3. Some run of LEAST shingles of a passage is as similar as all of it, and its windows see it.
-   Classes that share one with an end are not compared with each other: they are linked over
-   the end, but n_links counts only the links that were verified.
-
-A range of 50 words at similarity 0.8 shares the value of one function with probability 0.8; with four functions 97 in
-100 such pairs meet twice, identical passages always. Longer ranges hold several windows for every function.
+1. HASHES functions give windows (value, text, extent). The extent is [l, r], at most REACH on either side of c: a
+   shortest passage with its least value at c lies inside. Equal texts are one class throughout (named by a hash of
+   their words), so copies add nothing.
+2. Windows of one value meet by their extents (an interval join within the value). Equal extents, by a 128-bit hash,
+   share a passage at once: every class is linked with one of them, and one extent of each content goes on.
+3. Values with two or three different extents give their pairs of classes, verified on the whole texts: maximal ranges
+   of shingles of one text, at least LEAST long, whose Jaccard similarity with the range of the other text that their
+   common shingles span is at least SIMILARITY; at least SIMILARITY * LEAST different shingles must be common, so a few
+   words over and over are no passage.
+4. Values with more extents are solved on the extents themselves by the same test: extents are compared until all that
+   share a passage are connected; what is connected already is not compared again, so a passage that k texts share costs
+   about k tests. Groups of more than LARGE extents are joined to their most frequent one first; what that does not
+   link is compared, in blocks, with all the others. The pairs found are verified on the whole texts as in 3 for their
+   full ranges; what the extents showed stays a link in any case.
+
+A range of 50 words at similarity 0.8 shares the value of one function with probability 0.8, so 1 of 600 such pairs
+meets under none of the four functions; identical passages always meet. Longer ranges hold several windows for every function.
 
 Cases: null, empty and short texts (under 50 words) have no passages; repeated rows are copies; a null doc_id takes
-part, and gets a null doc_id in the result; other columns are ignored.
+part, and gets a null doc_id in the result; of equal values the leftmost is least; a very long text is one row of a task,
+with arrays of about 100 times its bytes; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -42,15 +42,20 @@ from tessella.llm.near_dup import NO_ID, numbered
 from tessella.llm.store import Scratch, components
 from tessella.llm.suffix import sliding_least
 
-SHINGLE, WORDS, HASHES, SUPPORT, FEW, SIMILARITY = 5, 50, 4, 2, 3, 0.8
-#: Shingles of the shortest passage.
+SHINGLE, WORDS, HASHES, SIMILARITY = 5, 50, 4, 0.8
+#: Shingles of the shortest passage, and different ones that a passage has in common with another at least.
 LEAST = WORDS - SHINGLE + 1
+COMMON = SIMILARITY * LEAST
 _SEED = A.seeds(HASHES, 41)
 _CODEC = pa.Codec("zstd")
 #: Texts whose shingles a task keeps at hand.
 KEPT = 64
-#: Groups of up to SMALL classes are worked through as pairs, of larger ones what the ends did not link in blocks of about BLOCK.
-SMALL, BLOCK = 64, 1024
+#: Values of up to FEW extents give pairs, of up to LARGE are solved whole, beyond in blocks of about BLOCK.
+FEW, LARGE, BLOCK = 3, 1024, 1024
+#: Extents that a task solves together, on average.
+TOGETHER = 8192
+#: Extents of a group from which on its most frequent one is tried first.
+HUB = 24
 #: Shingles on either side of a window's least one: a shortest passage that holds it, on either text, lies inside.
 REACH = int(LEAST / SIMILARITY) + 1
 
@@ -99,17 +104,37 @@ def compact_windows(value: np.ndarray, begin: np.ndarray, least: int) -> tuple[n
     return row, c, np.array(left), np.array(right)
 
 
+def _varied(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """True where the range [lo, hi) of ``h`` has COMMON different shingles or more."""
+    order = np.argsort(h, kind="stable")
+    again = np.zeros(len(h) + 1, np.int64)
+    same = h[order[1:]] == h[order[:-1]]
+    again[1:][order[1:][same]] = 1
+    again = np.cumsum(again)
+    good = (hi - lo) - (again[hi] - again[lo]) >= COMMON
+    for i in np.flatnonzero(~good).tolist():
+        good[i] = hi[i] - lo[i] >= COMMON and len(np.unique(h[lo[i] : hi[i]])) >= COMMON
+    return good
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in A.slices(batch):
             h, begin, name, _ = shingle_sequences(s)
+            p, inverse = A.powers(len(h) + 1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(A.mix(h ^ A.BASE) * p[: len(h)])])
             for k in range(HASHES):
-                row, c, _, _ = compact_windows(A.mix(h ^ _SEED[k]), begin, LEAST)
-                # a text's windows of one value say the same
+                row, c, left, right = compact_windows(A.mix(h ^ _SEED[k]), begin, LEAST)
+                if not len(c):
+                    continue
                 value = A.mix(h[c] ^ _SEED[k] ^ A.BASE)
-                _, one = np.unique(value + A.mix(row.astype(np.uint64)), return_index=True)
-                cols = [value[one].view(np.int64), name[row[one]].view(np.int64), c[one] - begin[row[one]]]
-                yield pa.record_batch([pa.array(x) for x in cols], names=["value", "name", "c"])
+                lo, hi = np.maximum(left, c - REACH), np.minimum(right, c + REACH) + 1
+                content = A.mix((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
+                # windows of one text with equal extents say the same
+                _, one = np.unique(A.mix(content ^ value) + A.mix(row.astype(np.uint64)), return_index=True)
+                one = one[_varied(h, lo[one], hi[one], begin)]
+                cols = [value[one].view(np.int64), content[one].view(np.int64), name[row[one]].view(np.int64), lo[one] - begin[row[one]], (hi - lo)[one].astype(np.int16)]
+                yield pa.record_batch([pa.array(x) for x in cols], names=["value", "content", "name", "at", "size"])
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,41 +226,133 @@ def _both_ways(a: int, b: int, of_a: tuple[np.ndarray, np.ndarray], of_b: tuple[
     return out
 
 
-def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For every window of a packed text the different shingles (32 bits of each) of all shortest passages around it."""
+def _extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every wanted extent of a packed text its shingles in order (32 bits of each)."""
     for batch in batches:
-        value, name, around = [], [], []
-        for i, at in enumerate(batch.column(2).to_pylist()):
+        cols: list[list] = [[], [], [], [], [], []]
+        for i, want in enumerate(batch.column(2).to_pylist()):
             own = (_unpacked(batch.column(1)[i].as_py()) >> A.U(32)).astype("<u4")
-            for w in at:
-                value.append(w["value"])
-                name.append(batch.column(0)[i].as_py())
-                around.append(np.unique(own[max(w["c"] - REACH, 0) : w["c"] + REACH + 1]).tobytes())
-        yield pa.record_batch([pa.array(value, pa.int64()), pa.array(name, pa.int64()), pa.array(around, pa.binary())], names=["value", "name", "around"])
+            name = batch.column(0)[i].as_py()
+            for w in want:
+                for to, v in zip(cols, (w["value"], w["content"], w["often"], name, w["at"], own[w["at"] : w["at"] + w["size"]].tobytes())):
+                    to.append(v)
+        yield pa.record_batch([*[pa.array(x, pa.int64()) for x in cols[:5]], pa.array(cols[5], pa.binary())], names=["value", "content", "often", "name", "at", "extent"])
+
+
+_LINKS = "name long, other long, lo long, hi long"
+
+
+class _Extents:
+    """The extents of some windows of one value, and what links them."""
+
+    def __init__(self, names: np.ndarray, at: np.ndarray, raw: list[bytes]):
+        self.names, self.at, self.parts = names, at, [np.frombuffer(x, "<u4") for x in raw]
+        self.order: list[np.ndarray | None] = [None] * len(raw)
+        self.comp = np.arange(len(raw))
+        self.links: list[tuple[int, int, int, int]] = []
+
+    def _sorted(self, i: int) -> np.ndarray:
+        if self.order[i] is None:
+            self.order[i] = np.argsort(self.parts[i])
+        return self.order[i]
+
+    def try_link(self, i: int, j: int) -> None:
+        """Connect i and j if they share a passage."""
+        if self.comp[i] == self.comp[j] or self.names[i] == self.names[j]:
+            return
+        x, y = self.parts[i], self.parts[j]
+        got = [(a, b, c, d) for a, b, c, d in similar_ranges(x, y, self._sorted(j))] or [(c, d, a, b) for a, b, c, d in similar_ranges(y, x, self._sorted(i))]
+        if got:
+            self.comp[self.comp == self.comp[j]] = self.comp[i]
+            p, q, s, t = self.names[i], self.names[j], self.at[i], self.at[j]
+            for a, b, c, d in got:
+                self.links += [(p, q, s + a, s + b + SHINGLE - 1), (q, p, t + c, t + d + SHINGLE - 1)]
+
+    def common(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Numbers of different shingles that each of ``left`` has in common with each of ``right``."""
+        sets = [np.unique(x) for x in self.parts]
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        _, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        keep = df[col] > 1  # what only one extent has never counts
+        owner, col = owner[keep], np.unique(col[keep], return_inverse=True)[1]
+        order = np.argsort(col, kind="stable")
+        owner, col = owner[order], col[order]
+        both = np.zeros((len(left), len(right)), np.float32)
+        width = 2048
+        for lo in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+            a, b = np.searchsorted(col, [lo, lo + width])
+            m = np.zeros((len(sets), min(width, int(col[-1]) + 1 - lo)), np.float32)
+            m[owner[a:b], col[a:b] - lo] = 1
+            both += m[left] @ m[right].T
+        return both
+
+    def compare(self, left: np.ndarray, right: np.ndarray) -> None:
+        """Connect whatever pairs of ``left`` and ``right`` share a passage, unless they are connected by others."""
+        if not len(left) or not len(right):
+            return
+        near = self.common(left, right) >= COMMON
+        for i, row in zip(left.tolist(), near):
+            js = right[row]
+            for j in js[self.comp[js] != self.comp[i]].tolist():
+                self.try_link(i, j)
+
+    def solve(self, often: np.ndarray) -> None:
+        everything = np.arange(len(self.parts))
+        if len(everything) < HUB:
+            return self.compare(everything, everything)
+        hub = int(np.argmax(often))
+        self.compare(np.array([hub]), everything)
+        self.compare(np.flatnonzero(self.comp != self.comp[hub]), everything)
+
+
+def _links(rows: list[tuple[int, int, int, int]]) -> pa.Table:
+    cols = list(zip(*rows)) if rows else [[], [], [], []]
+    return pa.table([pa.array([int(v) for v in c], pa.int64()) for c in cols], names=["name", "other", "lo", "hi"])
+
+
+def _solve(table: pa.Table) -> pa.Table:
+    """All values of a bucket."""
+    value, content = table.column("value").to_numpy(), table.column("content").to_numpy()
+    order = np.lexsort((content, value))
+    value, raw = value[order], table.column("extent").to_pylist()
+    names, at, often = (table.column(c).to_numpy()[order] for c in ("name", "at", "often"))
+    cuts = np.concatenate([[0], np.flatnonzero(value[1:] != value[:-1]) + 1, [len(value)]])
+    out = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        group = _Extents(names[a:b], at[a:b], [raw[i] for i in order[a:b].tolist()])
+        group.solve(often[a:b])
+        out += group.links
+    return _links(out)
+
+
+def _with_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Extents of large groups with their group's most frequent one: the links with it."""
+    for batch in batches:
+        value, content, linked, rows = [], [], [], []
+        cols = {c: batch.column(batch.schema.get_field_index(c)) for c in ("value", "content", "name", "at", "extent", "hname", "hat", "hextent")}
+        for i, (p, q, s, t) in enumerate(zip(cols["name"].to_pylist(), cols["hname"].to_pylist(), cols["at"].to_pylist(), cols["hat"].to_pylist())):
+            pair = _Extents(np.array([p, q]), np.array([s, t]), [cols["extent"][i].as_py(), cols["hextent"][i].as_py()])
+            pair.try_link(0, 1)
+            for link in pair.links or [(None, None, None, None)]:
+                rows.append(link)
+                value.append(cols["value"][i])
+                content.append(cols["content"][i])
+        ints = [pa.array([None if v is None else int(v) for v in c], pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 4
+        yield pa.record_batch([pa.array([v.as_py() for v in value], pa.int64()), pa.array([v.as_py() for v in content], pa.int64()), *ints], names=["value", "content", "name", "other", "lo", "hi"])
 
 
 def _block(table: pa.Table) -> pa.Table:
-    """Pairs of a block, with a class that its group's ends did not link, that share enough around their window."""
-    name, side, odd = (table.column(c).to_numpy() for c in ("name", "side", "odd"))
-    sets = [np.frombuffer(x, "<u4") for x in table.column("around").to_pylist()]
-    n = len(sets)
-    owner = np.repeat(np.arange(n), [len(x) for x in sets])
-    _, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    keep = df[col] > 1
-    owner, col = owner[keep], np.unique(col[keep], return_inverse=True)[1]
-    order = np.argsort(col, kind="stable")
-    owner, col = owner[order], col[order]
-    both = np.zeros((n, n), np.float32)
-    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 1024):
-        a, b = np.searchsorted(col, [lo, lo + 1024])
-        m = np.zeros((n, min(1024, int(col[-1]) + 1 - lo)), np.float32)
-        m[owner[a:b], col[a:b] - lo] = 1
-        both += m @ m.T
-    near = np.triu(both >= SIMILARITY * LEAST, 1) & (odd[:, None] | odd[None, :])
-    if table.column("i")[0].as_py() != table.column("j")[0].as_py():
-        near &= side[:, None] != side[None, :]
-    x, y = (name[k] for k in np.nonzero(near))
-    return pa.table([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+    """Links of the extents of a block that the group's most frequent one did not link, with the others."""
+    odd, content, linked = (table.column(c).to_numpy(zero_copy_only=False) for c in ("as_odd", "content", "linked"))
+    # an extent may be on both sides
+    content, first, number = np.unique(content, return_index=True, return_inverse=True)
+    raw = table.column("extent").to_pylist()
+    group = _Extents(table.column("name").to_numpy()[first], table.column("at").to_numpy()[first], [raw[i] for i in first.tolist()])
+    main = np.flatnonzero(linked[first])
+    if len(main):
+        group.comp[main] = main[0]
+    group.compare(np.unique(number[odd]), np.unique(number[~odd]))
+    return _links(group.links)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,51 +378,59 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def passages(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(name, other, lo, hi): word ranges of a class of equal texts that repeat in another; and (node, name, n_words) of the rows."""
+    """(name, other, lo, hi): word ranges of a class of equal texts that repeat in another, enough to connect all that do; and (node, name, n_words) of the rows."""
     texts = numbered(docs)
-    w = texts.select("node", "text").mapInArrow(_windows, "value long, name long, c long")
-    members = scratch.cut(w.groupBy("value", "name").agg(F.min("c").alias("c")), "windows")
-    # the least and the greatest class of every value; values of a single class are done
-    ends = members.groupBy("value").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.count("*").alias("n")).where("n > 1")
-    group = members.join(ends, "value")
+    w = scratch.cut(texts.select("node", "text").mapInArrow(_windows, "value long, content long, name long, at long, size short"), "windows")
+    # values of a single class are done
+    often = w.groupBy("value").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo < hi").select("value")
+    met = scratch.cut(w.join(often, "value", "left_semi"), "meetings")
+    scratch.drop(w)
+    # extents by content: equal ones are linked, one of each goes on
+    kinds = met.groupBy("value", "content").agg(F.min(F.struct("name", "at", "size")).alias("one"), F.max(F.struct("name", "at")).alias("last"), F.count("*").alias("often"))
+    kinds = scratch.cut(kinds.select("value", "content", "one.*", F.col("last.name").alias("last"), F.col("last.at").alias("last_at"), "often"), "extents")
+    end = lambda at: (F.col(at) + F.col("size") + SHINGLE - 1).alias("hi")
+    same = kinds.where("name < last").select("value", "content", F.col("name").alias("other"))
+    equal = met.join(same, ["value", "content"]).where("name != other").select("name", "other", F.col("at").alias("lo"), end("at"))
+    equal = equal.union(kinds.where("name < last").select("name", F.col("last").alias("other"), F.col("at").alias("lo"), end("at")))
+    equal = scratch.cut(equal.distinct(), "equal")
+    scratch.drop(met)
+    per_value = kinds.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    kinds = scratch.cut(kinds.join(per_value, "value").drop("last", "last_at"), "groups")
     all_pairs = F.expr("flatten(transform(v, (x, i) -> transform(slice(v, i + 2, size(v)), y -> struct(x as a, y as b))))")
-    few = group.where(F.col("n") <= SMALL).groupBy("value", "n").agg(F.array_sort(F.collect_list("name")).alias("v")).select("n", F.explode(all_pairs).alias("p"))
-    large = scratch.cut(group.where(F.col("n") > SMALL), "large")
-    side = lambda e: F.struct(F.least("name", e).alias("a"), F.greatest("name", e).alias("b"))
-    sides = F.array(F.when(F.col("name") != F.col("lo"), side("lo")), F.when((F.col("name") != F.col("hi")) & (F.col("name") != F.col("lo")), side("hi")))
-    met = few.union(large.select("n", F.explode(sides).alias("p")).where("p is not null"))
-    weight = F.when(F.col("n") <= FEW, 2).otherwise(1)
-    pairs = met.select("p.a", "p.b", weight.alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= SUPPORT).select("a", "b")
-    pairs = scratch.cut(pairs, "pairs")
-    scratch.drop(members)
-    need = pairs.select(F.explode(F.array("a", "b")).alias("name")).union(large.select("name")).distinct()
+    few = kinds.where(F.col("n") <= FEW).groupBy("value").agg(F.array_sort(F.collect_set("name")).alias("v")).select(F.explode(all_pairs).alias("p")).select("p.a", "p.b").distinct()
+    few = scratch.cut(few, "pairs")
+    more = kinds.where(F.col("n") > FEW)
+    need = few.select(F.explode(F.array("a", "b")).alias("name")).union(more.select("name")).distinct()
     named = texts.select("node", "text").mapInArrow(_named_texts, "name long, text binary")
     pool = scratch.cut(named.join(need, "name").dropDuplicates(["name"]), "pool")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(pool.withColumnsRenamed({"name": "a", "text": "ta"}), "a").join(pool.withColumnsRenamed({"name": "b", "text": "tb"}), "b")
-        return both.mapInArrow(_verify, "name long, other long, lo long, hi long")
-
-    found = scratch.cut(verified(pairs), "ranges")
-    # what the ends of a large group did not link around its window, against all of the group
-    known = found.select("name", F.col("other").alias("end"), F.col("lo").alias("from"), F.col("hi").alias("to"))
-    at_end = large.withColumn("end", F.explode(F.array("lo", "hi"))).join(known, ["name", "end"]).where("c >= from and c < to").select("value", "name").distinct()
-    odd = scratch.cut(large.where("name != lo and name != hi").select("value", "name").join(at_end, ["value", "name"], "left_anti").withColumn("odd", F.lit(True)), "odd")
-    left = large.join(odd.select("value").distinct(), "value").join(odd, ["value", "name"], "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
-    left = scratch.cut(left.select("value", "name", "c", "n", "odd"), "left")
-    at = left.groupBy("name").agg(F.collect_list(F.struct("value", "c")).alias("at"))
-    near = pool.join(at, "name").select("name", "text", "at").mapInArrow(_around, "value long, name long, around binary")
-    x = near.join(left, ["value", "name"]).withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("side", F.expr("cast(pmod(xxhash64(name), nb) as int)"))
-    x = x.withColumn("k", F.explode(F.expr("sequence(0, nb - 1)"))).select("value", F.least("side", "k").alias("i"), F.greatest("side", "k").alias("j"), "side", "odd", "name", "around")
-    rest = scratch.cut(x.groupBy("value", "i", "j").applyInArrow(_block, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    found = scratch.cut(found.union(verified(rest)), "ranges")
+    want = more.groupBy("name").agg(F.collect_list(F.struct("value", "content", "often", "at", "size")).alias("want"))
+    extents = pool.join(want, "name").select("name", "text", "want").mapInArrow(_extents, "value long, content long, often long, name long, at long, extent binary")
+    extents = scratch.cut(extents.join(per_value, "value"), "extents")
+    middle, large = extents.where(F.col("n") <= LARGE), extents.where(F.col("n") > LARGE)
+    buckets = max(1, middle.count() // TOGETHER)
+    shown = middle.withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(buckets))).groupBy("bucket").applyInArrow(_solve, _LINKS)
+    # large groups: each extent with the most frequent one, then what that did not link with all, block against block
+    hub = large.groupBy("value").agg(F.max(F.struct("often", "content", "name", "at", "extent")).alias("h")).select("value", F.col("h.content").alias("hcontent"), F.col("h.name").alias("hname"), F.col("h.at").alias("hat"), F.col("h.extent").alias("hextent"))
+    hubs = scratch.cut(large.join(hub, "value").where("content != hcontent").select("value", "content", "name", "at", "extent", "hname", "hat", "hextent").mapInArrow(_with_hub, "value long, content long, " + _LINKS), "hubs")
+    odd = hubs.where("name is null").select("value", "content")
+    left = large.join(odd.groupBy("value").agg(F.count("*").alias("n_odd")), "value").join(odd.withColumn("odd", F.lit(True)), ["value", "content"], "left")
+    left = left.withColumn("linked", F.col("odd").isNull()).withColumn("ni", F.ceil(F.col("n_odd") / BLOCK).cast("int")).withColumn("nj", F.ceil(F.col("n") / BLOCK).cast("int"))
+    spread = F.xxhash64("content")
+    as_other = left.withColumn("j", F.pmod(spread, F.col("nj")).cast("int")).withColumn("i", F.explode(F.expr("sequence(0, ni - 1)"))).withColumn("as_odd", F.lit(False))
+    as_odd = left.where("odd").withColumn("i", F.pmod(spread, F.col("ni")).cast("int")).withColumn("j", F.explode(F.expr("sequence(0, nj - 1)"))).withColumn("as_odd", F.lit(True))
+    cols = ["value", "i", "j", "as_odd", "linked", "content", "name", "at", "extent"]
+    rest = as_other.select(*cols).union(as_odd.select(*cols)).groupBy("value", "i", "j").applyInArrow(_block, _LINKS)
+    shown = scratch.cut(shown.union(hubs.where("name is not null").drop("value", "content")).union(rest), "shown")
+    pairs = few.union(shown.where("name < other").select(F.col("name").alias("a"), F.col("other").alias("b"))).distinct()
+    both = pairs.join(pool.withColumnsRenamed({"name": "a", "text": "ta"}), "a").join(pool.withColumnsRenamed({"name": "b", "text": "tb"}), "b")
+    found = scratch.cut(both.mapInArrow(_verify, _LINKS).union(shown).union(equal), "ranges")
     rows = scratch.cut(texts.mapInArrow(_names, "node long, name long, n_words long"), "names")
     return found, rows
 
 
 def result(docs: DataFrame) -> DataFrame:
     """One row per document with a passage that another document repeats: doc_id, class_id (least doc_id reachable over
-    shared passages), n_links (classes of texts linked with), n_copies (rows with the same words), spans (word ranges)."""
+    shared passages), n_links (other texts of the class), n_copies (rows with the same words), spans (word ranges)."""
     scratch = Scratch(docs.sparkSession)
     found, rows = passages(docs, scratch)
     long = rows.where(F.col("n_words") >= WORDS)
@@ -313,10 +438,9 @@ def result(docs: DataFrame) -> DataFrame:
     classes = scratch.cut(classes, "classes")
     comp = components(found.select(F.col("name").alias("a"), F.col("other").alias("b")), scratch)
     comp = classes.join(comp.withColumnRenamed("node", "name"), "name", "left").select("name", F.coalesce("component", "name").alias("component"), "rep", "n_copies", "n_words")
-    least = comp.groupBy("component").agg(F.min("rep").alias("class_node"))
+    least = comp.groupBy("component").agg(F.min("rep").alias("class_node"), (F.count("*") - 1).alias("n_links"))
     spans = found.groupBy("name").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
-    links = found.select("name", "other").distinct().groupBy("name").agg(F.count("*").alias("n_links"))
-    each = comp.join(least, "component").join(spans, "name", "left").join(links, "name", "left").where("n_copies > 1 or n_links is not null")
+    each = comp.join(least, "component").join(spans, "name", "left").where("n_copies > 1 or n_links > 0")
     x = long.select("node", "name").join(each, "name")
     known = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     merged = F.expr(
@@ -324,4 +448,4 @@ def result(docs: DataFrame) -> DataFrame:
         (acc, s) -> if(size(acc) > 0 and s.lo <= element_at(acc, -1).hi,
             concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).lo as lo, greatest(element_at(acc, -1).hi, s.hi) as hi))), concat(acc, array(s)))), s -> concat(s.lo, ':', s.hi))"""
     )
-    return scratch.done(x.select(known("node").alias("doc_id"), known("class_node").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies", F.array_join(merged, ",").alias("spans")))
+    return scratch.done(x.select(known("node").alias("doc_id"), known("class_node").alias("class_id"), "n_links", "n_copies", F.array_join(merged, ",").alias("spans")))
