@@ -59,7 +59,6 @@ def test_packing_places_every_piece(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path())
-    t.encode_special_tokens = True
     got = packing.pack(docs, path(), with_ids=True).toPandas()
     want = Counter()
     for _, text, *_ in rows():
@@ -74,8 +73,11 @@ def test_packing_places_every_piece(docs):
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 1024) + 1
 
 
-def test_special_strings_are_text():
-    assert len(packing.token_ids("<|endoftext|>", path())) > 2
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a <|endoftext|> b", " " * 1_000_000, "\n" * 5000 + "x" + " " * 5000, "ab" * 200_000, "é" * 9000 + "\u3000" * 9000, "1 2  3   4\t\t"])
+def test_ids_are_those_of_tokenizers(text):
+    from tokenizers import Tokenizer
+
+    assert packing.token_ids(text, path()).tolist() == [*Tokenizer.from_file(path()).encode(text, add_special_tokens=False).ids, 2]
 
 
 @pytest.mark.parametrize("seed", range(30))
@@ -105,6 +107,94 @@ def test_fillings_are_undominated():
         rest = Counter(count) - Counter(f)
         assert all(x > left for x in rest.elements())
     assert sum(packing.fillings(8, [7, 5, 4, 1], count)[0]) == 8
+    assert packing.fillings(11, [7, 3], {7: 1, 3: 1}) == [(7, 3)]
+
+
+def brute_fillings(room, count):
+    """All multisets that fit, less those in which an unused piece can replace pieces of no greater total."""
+    import itertools
+
+    out = set()
+    lengths = sorted(count, reverse=True)
+    for n in itertools.product(*[range(count[x] + 1) for x in lengths]):
+        f = tuple(x for x, k in zip(lengths, n) for _ in range(k))
+        if sum(f) > room:
+            continue
+        bad = False
+        for x in (Counter(count) - Counter(f)).keys():
+            for k in range(len(f) + 1):
+                for sub in itertools.combinations(f, k):
+                    if sum(sub) <= x and sum(f) - sum(sub) + x <= room and not sub == (x,):
+                        bad = True
+        if not bad:
+            out.add(f)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_fillings_equal_brute_force(seed):
+    rng = random.Random(seed)
+    count = Counter(rng.randrange(1, 20) for _ in range(rng.randrange(1, 8)))
+    room = rng.randrange(1, 30)
+    got = packing.fillings(room, sorted(count, reverse=True), dict(count))
+    want = brute_fillings(room, {x: n for x, n in count.items() if x <= room})
+    assert len(got) == len(set(got)) and set(got) == want
+    waste = [room - sum(f) for f in got]
+    assert waste == sorted(waste)
+
+
+def plain_best_fit(pieces, capacity):
+    rooms = []
+    for x in sorted(pieces, reverse=True):
+        fit = [r for r in rooms if r >= x]
+        if fit:
+            rooms.remove(min(fit))
+            rooms.append(min(fit) - x)
+        else:
+            rooms.append(capacity - x)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_never_above_best_fit_decreasing(seed):
+    rng = random.Random(100 + seed)
+    capacity = rng.choice([20, 100, 1024])
+    pieces = [rng.randrange(1, capacity // rng.choice([1, 2, 3]) + 1) for _ in range(rng.choice([5, 30, 200, 600]))]
+    hist = Counter(pieces)
+    fit = packing.best_fit(dict(hist), capacity)
+    assert sum((Counter({x: n * p.count(x) for x in set(p)}) for n, p in fit), Counter()) == hist
+    assert sum(n for n, _ in fit) == plain_best_fit(pieces, capacity)
+    made = packing.plan(dict(hist), capacity)
+    assert sum((Counter({x: n * p.count(x) for x in set(p)}) for n, p in made), Counter()) == hist
+    assert all(sum(p) <= capacity and list(p) == sorted(p, reverse=True) for _, p in made)
+    assert packing.lower_bound(hist, capacity) <= sum(n for n, _ in made) <= sum(n for n, _ in fit)
+
+
+def brute_packing(pieces, capacity):
+    """Least number of sequences, by trying every place of every piece."""
+    pieces, best = sorted(pieces, reverse=True), [len(pieces)]
+
+    def visit(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(rooms)
+            return
+        for r in sorted(set(rooms)):
+            if r >= pieces[i]:
+                k = rooms.index(r)
+                visit(i + 1, [*rooms[:k], r - pieces[i], *rooms[k + 1 :]])
+        visit(i + 1, [*rooms, capacity - pieces[i]])
+
+    visit(0, [])
+    return best[0]
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_small_plans_are_optimal(seed):
+    rng = random.Random(500 + seed)
+    pieces = [rng.randrange(15, 65) for _ in range(11)]
+    assert sum(n for n, _ in packing.plan(dict(Counter(pieces)), 100)) == brute_packing(pieces, 100)
 
 
 # -- near duplicates
