@@ -17,7 +17,9 @@ that equal strings meet in one task, without moving the whole corpus:
    of at least that length, and both suffixes start a repeated string.
 
 Cases: null text is empty; matches never cross texts; repeated rows are copies of each other, so all their long
-strings repeat; other columns are ignored.
+strings repeat; of equal hashes the leftmost counts; a very long text is read CHUNK windows at a time (a context ends there,
+which changes no result) and its bytes are one row; an empty table gives an empty result; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -36,14 +38,18 @@ from tessella.llm.store import Scratch, own_columns, row_key
 LEAST, ANCHOR = 400, 64
 #: Bytes of contexts that a shard has on average, and of one anchor's contexts that it takes at most.
 SHARD_BYTES, HOT_BYTES = 1 << 20, 2 << 20
+#: Window starts of one text that are looked at together.
+CHUNK = 1 << 19
+#: Bits of a place within them, and of the hash compared.
+_PLACE_BITS = np.uint64(21)
 
 
 def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     """Position of the least value in every run of ``width``, by block-wise running minima.
 
-    Values are compared by the bits that their position leaves free in 64; the leftmost of equals counts.
+    Values are compared by the bits that a position leaves free in 64; the leftmost of equals counts.
     """
-    n, bits = len(h) - width + 1, np.uint64(max(1, int(len(h) - 1).bit_length()))
+    n, bits = len(h) - width + 1, max(_PLACE_BITS, np.uint64(int(len(h) - 1).bit_length()))
     blocks = -(-len(h) // width)
     packed = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
     packed[: len(h)] = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
@@ -56,6 +62,13 @@ def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
 
 def contexts(data: np.ndarray, offsets: np.ndarray, least: int, anchor: int) -> tuple[np.ndarray, ...]:
     """Row, anchor hash, first and last window start (within the row), and two hashes of the bytes, of every context."""
+    if len(offsets) == 2 and len(data) >= least + CHUNK:
+        # a very long text, some window starts after the other; a context may end at each cut
+        parts = []
+        for lo in range(0, len(data) - least + 1, CHUNK):
+            row, h, first, last, w1, w2 = contexts(data[lo : lo + CHUNK + least - 1], np.array([0, min(CHUNK + least - 1, len(data) - lo)]), least, anchor)
+            parts.append((row, h, first + lo, last + lo, w1, w2))
+        return tuple(np.concatenate(x) for x in zip(*parts))
     sums = A.prefix_sums(data)
     out: list[list[np.ndarray]] = [[], [], [], [], [], []]
     width = least - anchor + 1
@@ -243,16 +256,17 @@ def repeats(docs: DataFrame, scratch: Scratch, least: int = LEAST, anchor: int =
     texts = own_columns(docs, "doc_id", "text").select(*row_key(), F.encode("text", "UTF-8").alias("text"))
     all_ = scratch.cut(texts.mapInArrow(_anchors(least, min(anchor, least)), "k1 long, k2 long, anchor long, lo long, hi long, c1 long, c2 long"), "anchors")
     # anchors that occur once are done; of the others contexts are counted by content. Both counts combine before they move
-    often = all_.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # counts by anchor are tables of their own, so that a join's partition of a hot anchor can be split
+    often = scratch.cut(all_.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
     again = scratch.cut(all_.join(often, "anchor", "left_semi"), "repeated")
-    scratch.drop(all_)
-    content = again.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one"))
+    scratch.drop(all_, often)
+    content = scratch.cut(again.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("one")), "contents")
     kinds = content.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("one.hi") - F.col("one.lo") + least).alias("n_bytes"))
-    seen = scratch.cut(content.join(kinds, "anchor"), "shared")
-    whole = seen.where("copies > 1").select("anchor", "c1", "c2")
+    kinds = scratch.cut(kinds.where("kinds > 1"), "kinds")
+    whole = content.where("copies > 1").select("anchor", "c1", "c2")
     copies = again.join(whole, ["anchor", "c1", "c2"], "left_semi").select("k1", "k2", "lo", (F.col("hi") + least).alias("hi"))
     # one copy of each content goes into the comparison; copies that repeat as a whole need no other result
-    compare = seen.where("kinds > 1").select("anchor", "one.*", (F.col("n_bytes") > HOT_BYTES).alias("hot"))
+    compare = content.join(kinds, "anchor").select("anchor", "one.*", (F.col("n_bytes") > HOT_BYTES).alias("hot"))
     wanted = compare.groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "lo", "hi", "hot")).alias("want"))
     raw = texts.join(wanted, ["k1", "k2"]).mapInArrow(_cut_out(least), "k1 long, k2 long, anchor long, lo long, hot boolean, bytes binary")
     raw = scratch.cut(raw.dropDuplicates(["k1", "k2", "lo"]), "bytes")
@@ -261,7 +275,7 @@ def repeats(docs: DataFrame, scratch: Scratch, least: int = LEAST, anchor: int =
     cold = raw.where("not hot").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     found = cold.groupBy("shard").applyInArrow(_shard(least), _RUNS)
     windows = raw.where("hot").select("k1", "k2", "lo", "bytes").mapInArrow(_windows(least), "k1 long, k2 long, w1 long, w2 long, lo long")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
+    twice = scratch.cut(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "twice")
     hot = windows.join(twice, ["w1", "w2"], "left_semi").select("k1", "k2", "lo", (F.col("lo") + least).alias("hi"))
     return copies.union(found).union(hot)
 

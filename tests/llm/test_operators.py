@@ -349,6 +349,18 @@ def test_removals_equal_brute_force(spark):
         assert (out[i].n_bytes, out[i].n_removed, out[i].n_spans, out[i].kept_sha256) == (len(b), int(gone.sum()), spans, hashlib.sha256(rest).hexdigest())
 
 
+def test_long_texts_are_read_in_parts(monkeypatch):
+    rng = random.Random(8)
+    unit = "".join(rng.choice("ab") for _ in range(90))
+    text = (unit + "".join(rng.choice("abcdef") for _ in range(400)) + unit + unit[:70]).encode()
+    data, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole = suffix.contexts(data, off, 30, 8)
+    monkeypatch.setattr(suffix, "CHUNK", 57)
+    parts = suffix.contexts(data, off, 30, 8)
+    windows = lambda got: sorted((i, h) for _, h, a, b, _, _ in zip(*(x.tolist() for x in got)) for i in range(a, b + 1))
+    assert windows(parts) == windows(whole) and len(windows(whole)) == len(text) - 29
+
+
 @pytest.mark.parametrize("least", [3, 8, 12, 20])
 def test_interval_expansion(least):
     rng = np.random.default_rng(0)
