@@ -54,8 +54,6 @@ KEPT = 64
 FEW, LARGE, BLOCK = 3, 1024, 1024
 #: Extents that a task solves together, on average.
 TOGETHER = 8192
-#: Extents of a group from which on its most frequent one is tried first.
-HUB = 24
 #: Shingles on either side of a window's least one: a shortest passage that holds it, on either text, lies inside.
 REACH = int(LEAST / SIMILARITY) + 1
 
@@ -72,10 +70,10 @@ def shingle_sequences(s: A.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return h, begin, A.mix((total[first[1:]] - total[first[:-1]]) ^ n.astype(np.uint64)), n
 
 
-def compact_windows(value: np.ndarray, begin: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+def compact_windows(value: np.ndarray, begin: np.ndarray, least: int, reach: int | None = None) -> tuple[np.ndarray, ...]:
     """Row, c, l, r (places in ``value``) of every compact window that holds a run of ``least`` values of its row.
 
-    Of equal values the leftmost is least.
+    Of equal values the leftmost is least. With ``reach``, l and r lie at most that far from c.
     """
     none = tuple(np.zeros(0, np.int64) for _ in range(4))
     if len(value) < least:
@@ -85,35 +83,48 @@ def compact_windows(value: np.ndarray, begin: np.ndarray, least: int) -> tuple[n
     at = np.repeat(begin[:-1] - np.cumsum(runs) + runs, runs) + np.arange(int(runs.sum()))
     if not len(at):
         return none
-    c = np.unique(sliding_least(value, least)[at])
+    low = sliding_least(value, least)[at]
+    # the least places of consecutive runs only move on
+    c = low[np.concatenate([[True], low[1:] != low[:-1]])]
     row = np.searchsorted(begin, c, "right") - 1
-    # the nearest lesser value on either side has a longer range, so it is one of these places too
-    v, where, own, ends = value[c].tolist(), c.tolist(), row.tolist(), begin.tolist()
-    left, right, stack, last = [0] * len(v), [0] * len(v), [], -1
-    for i, x in enumerate(v):
-        if own[i] != last:
-            for j in stack:
-                right[j] = ends[last + 1] - 1
-            stack, last = [], own[i]
-        while stack and v[stack[-1]] > x:
-            right[stack.pop()] = where[i] - 1
-        left[i] = where[stack[-1]] + 1 if stack else ends[last]
-        stack.append(i)
-    for j in stack:
-        right[j] = ends[last + 1] - 1
-    return row, c, np.array(left), np.array(right)
-
-
-def _varied(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """True where the range [lo, hi) of ``h`` has COMMON different shingles or more."""
+    first, last = np.asarray(begin)[row], np.asarray(begin)[row + 1] - 1
+    left, right = (first, last) if reach is None else (np.maximum(first, c - reach), np.minimum(last, c + reach))
+    left, right = left.copy(), right.copy()
+    # the nearest lesser value on either side has a longer range, so it is one of these places too: all climb in step
+    v, n = value[c], len(c)
+    for step, edge in ((-1, left), (1, right)):
+        active, other = np.arange(n), np.arange(n) + step
+        while len(active):
+            j = other[active]
+            inside = (j >= 0) & (j < n)
+            active, j = active[inside], j[inside]
+            inside = (c[j] >= left[active]) & (c[j] <= right[active]) & (row[j] == row[active])
+            active, j = active[inside], j[inside]
+            stop = v[j] <= v[active] if step < 0 else v[j] < v[active]
+            edge[active[stop]] = c[j[stop]] - step
+            active = active[~stop]
+            other[active] += step
+    return row, c, left, right
+
+
+def _repeats(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where an equal shingle stands last before every place (-1: nowhere), and up to every place how many have one at most 2 REACH places before."""
     order = np.argsort(h, kind="stable")
-    again = np.zeros(len(h) + 1, np.int64)
     same = h[order[1:]] == h[order[:-1]]
-    again[1:][order[1:][same]] = 1
-    again = np.cumsum(again)
-    good = (hi - lo) - (again[hi] - again[lo]) >= COMMON
-    for i in np.flatnonzero(~good).tolist():
-        good[i] = hi[i] - lo[i] >= COMMON and len(np.unique(h[lo[i] : hi[i]])) >= COMMON
+    before = np.full(len(h), -1)
+    before[order[1:][same]] = order[:-1][same]
+    near = (before >= 0) & (np.arange(len(h)) - before <= 2 * REACH)
+    return before, np.concatenate([[0], np.cumsum(near)])
+
+
+def _varied(before: np.ndarray, near: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """True where the range [lo, hi) has COMMON different shingles or more."""
+    good = (hi - lo) - (near[hi] - near[lo]) >= COMMON
+    unsure = np.flatnonzero(~good & (hi - lo >= COMMON))
+    for part in np.array_split(unsure, max(1, len(unsure) // 4096)):
+        at = lo[part, None] + np.arange(2 * REACH + 1)[None, :]
+        inside = at < hi[part, None]
+        good[part] = (inside & (before[np.where(inside, at, 0)] < lo[part, None])).sum(1) >= COMMON
     return good
 
 
@@ -123,16 +134,16 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, begin, name, _ = shingle_sequences(s)
             p, inverse = A.powers(len(h) + 1)
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(A.mix(h ^ A.BASE) * p[: len(h)])])
+            before, near = _repeats(h)
             for k in range(HASHES):
-                row, c, left, right = compact_windows(A.mix(h ^ _SEED[k]), begin, LEAST)
+                row, c, lo, hi = compact_windows(A.mix(h ^ _SEED[k]), begin, LEAST, REACH)
                 if not len(c):
                     continue
-                value = A.mix(h[c] ^ _SEED[k] ^ A.BASE)
-                lo, hi = np.maximum(left, c - REACH), np.minimum(right, c + REACH) + 1
+                value, hi = A.mix(h[c] ^ _SEED[k] ^ A.BASE), hi + 1
                 content = A.mix((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
                 # windows of one text with equal extents say the same
                 _, one = np.unique(A.mix(content ^ value) + A.mix(row.astype(np.uint64)), return_index=True)
-                one = one[_varied(h, lo[one], hi[one], begin)]
+                one = one[_varied(before, near, lo[one], hi[one])]
                 cols = [value[one].view(np.int64), content[one].view(np.int64), name[row[one]].view(np.int64), lo[one] - begin[row[one]], (hi - lo)[one].astype(np.int16)]
                 yield pa.record_batch([pa.array(x) for x in cols], names=["value", "content", "name", "at", "size"])
 
@@ -228,15 +239,22 @@ def _both_ways(a: int, b: int, of_a: tuple[np.ndarray, np.ndarray], of_b: tuple[
 
 def _extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For every wanted extent of a packed text its shingles in order (32 bits of each)."""
-    for batch in batches:
-        cols: list[list] = [[], [], [], [], [], []]
-        for i, want in enumerate(batch.column(2).to_pylist()):
-            own = (_unpacked(batch.column(1)[i].as_py()) >> A.U(32)).astype("<u4")
-            name = batch.column(0)[i].as_py()
-            for w in want:
-                for to, v in zip(cols, (w["value"], w["content"], w["often"], name, w["at"], own[w["at"] : w["at"] + w["size"]].tobytes())):
-                    to.append(v)
-        yield pa.record_batch([*[pa.array(x, pa.int64()) for x in cols[:5]], pa.array(cols[5], pa.binary())], names=["value", "content", "often", "name", "at", "extent"])
+    for part in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
+        want = part.column(2)
+        flat, per_text = want.flatten(), np.diff(want.offsets.to_numpy())
+        text = np.repeat(np.arange(part.num_rows), per_text)
+        value, content, often, at, size = (flat.field(k).to_numpy().astype(np.int64) for k in range(5))
+        texts = [_CODEC.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in part.column(1).to_pylist()]
+        own, begin = [], [0]
+        for s in A.slices(pa.record_batch([pa.array(texts, pa.large_binary())], names=["text"])):
+            h, first, _, _ = shingle_sequences(s)
+            own.append((h >> A.U(32)).astype("<u4"))
+            begin += (begin[-1] + first[1:]).tolist()
+        own, begin = np.concatenate(own), np.array(begin)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        items = own[np.repeat(begin[text] + at - ends[:-1], size) + np.arange(ends[-1])]
+        raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), pa.py_buffer(items.tobytes())])
+        yield pa.record_batch([pa.array(value), pa.array(content), pa.array(often), part.column(0).take(pa.array(text)), pa.array(at), raw], names=["value", "content", "often", "name", "at", "extent"])
 
 
 _LINKS = "name long, other long, lo long, hi long"
@@ -245,10 +263,10 @@ _LINKS = "name long, other long, lo long, hi long"
 class _Extents:
     """The extents of some windows of one value, and what links them."""
 
-    def __init__(self, names: np.ndarray, at: np.ndarray, raw: list[bytes]):
-        self.names, self.at, self.parts = names, at, [np.frombuffer(x, "<u4") for x in raw]
-        self.order: list[np.ndarray | None] = [None] * len(raw)
-        self.comp = np.arange(len(raw))
+    def __init__(self, names: np.ndarray, at: np.ndarray, parts: list[np.ndarray]):
+        self.names, self.at, self.parts = names, at, parts
+        self.order: list[np.ndarray | None] = [None] * len(parts)
+        self.comp = np.arange(len(parts))
         self.links: list[tuple[int, int, int, int]] = []
 
     def _sorted(self, i: int) -> np.ndarray:
@@ -296,13 +314,6 @@ class _Extents:
             for j in js[self.comp[js] != self.comp[i]].tolist():
                 self.try_link(i, j)
 
-    def solve(self, often: np.ndarray) -> None:
-        everything = np.arange(len(self.parts))
-        if len(everything) < HUB:
-            return self.compare(everything, everything)
-        hub = int(np.argmax(often))
-        self.compare(np.array([hub]), everything)
-        self.compare(np.flatnonzero(self.comp != self.comp[hub]), everything)
 
 
 def _links(rows: list[tuple[int, int, int, int]]) -> pa.Table:
@@ -310,35 +321,94 @@ def _links(rows: list[tuple[int, int, int, int]]) -> pa.Table:
     return pa.table([pa.array([int(v) for v in c], pa.int64()) for c in cols], names=["name", "other", "lo", "hi"])
 
 
+def aligned_runs(parts: list[np.ndarray], group: np.ndarray, hubs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per part, against the hub of its group: shingles that the hub has, and the longest run that stands in both alike (start in the part, start in the hub, length)."""
+    hub_items = np.concatenate(hubs)
+    hub_size = np.array([len(x) for x in hubs])
+    hub_key = np.repeat(np.arange(len(hubs)), hub_size).astype(np.uint64) << A.U(32) | hub_items
+    hub_place = np.arange(len(hub_items)) - np.repeat(np.cumsum(hub_size) - hub_size, hub_size)
+    order = np.argsort(hub_key, kind="stable")
+    hub_key, hub_place = hub_key[order], hub_place[order]
+    size = np.array([len(x) for x in parts])
+    start = np.cumsum(size) - size
+    key = np.repeat(group, size).astype(np.uint64) << A.U(32) | np.concatenate(parts)
+    at = np.minimum(np.searchsorted(hub_key, key), len(hub_key) - 1)
+    hit = hub_key[at] == key
+    place = np.where(hit, hub_place[at], -2)
+    goes_on = np.zeros(len(key), bool)
+    goes_on[1:] = hit[1:] & hit[:-1] & (place[1:] == place[:-1] + 1)
+    goes_on[start] = False
+    index = np.arange(len(key))
+    run = np.where(hit, index - np.maximum.accumulate(np.where(goes_on, 0, index)) + 1, 0)
+    longest = np.maximum.reduceat(run, start)
+    # the first place where a part's longest run ends
+    ends = np.flatnonzero(run == np.repeat(longest, size))
+    end = ends[np.searchsorted(ends, start)]
+    first = end - longest + 1
+    return np.add.reduceat(hit.astype(np.int64), start), first - start, place[first], longest
+
+
+def against_hubs(names: np.ndarray, at: np.ndarray, parts: list[np.ndarray], group: np.ndarray, hub_names: np.ndarray, hub_at: np.ndarray, hubs: list[np.ndarray]) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """Which parts share a passage with the hub of their group (another text's), and the ranges of both."""
+    linked, links = np.zeros(len(parts), bool), []
+    if not len(parts):
+        return linked, links
+    hits, a, c, longest = aligned_runs(parts, group, hubs)
+    other = names != hub_names[group]
+    for i in np.flatnonzero(other & (hits >= COMMON)).tolist():
+        g, n = int(group[i]), int(longest[i])
+        p, q, s, t = names[i], hub_names[g], at[i], hub_at[g]
+        if n >= LEAST and len(set(parts[i][a[i] : a[i] + n].tolist())) >= COMMON:
+            linked[i] = True
+            links += [(p, q, s + a[i], s + a[i] + n + SHINGLE - 1), (q, p, t + c[i], t + c[i] + n + SHINGLE - 1)]
+        else:
+            pair = _Extents(np.array([p, q]), np.array([s, t]), [parts[i], hubs[g]])
+            pair.try_link(0, 1)
+            linked[i] = len(pair.links) > 0
+            links += pair.links
+    return linked, links
+
+
+def _unpacked_extents(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u4") for x in column.to_pylist()]
+
+
 def _solve(table: pa.Table) -> pa.Table:
-    """All values of a bucket."""
-    value, content = table.column("value").to_numpy(), table.column("content").to_numpy()
-    order = np.lexsort((content, value))
-    value, raw = value[order], table.column("extent").to_pylist()
-    names, at, often = (table.column(c).to_numpy()[order] for c in ("name", "at", "often"))
-    cuts = np.concatenate([[0], np.flatnonzero(value[1:] != value[:-1]) + 1, [len(value)]])
-    out = []
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        group = _Extents(names[a:b], at[a:b], [raw[i] for i in order[a:b].tolist()])
-        group.solve(often[a:b])
-        out += group.links
+    """All values of a bucket: each group's extents against its most frequent one, then what that did not link against the rest."""
+    value, content, often = (table.column(c).to_numpy() for c in ("value", "content", "often"))
+    order = np.lexsort((content, -often, value))
+    value, raw = value[order], _unpacked_extents(table.column("extent"))
+    parts = [raw[i] for i in order.tolist()]
+    names, at = (table.column(c).to_numpy()[order] for c in ("name", "at"))
+    cuts = np.concatenate([[0], np.flatnonzero(value[1:] != value[:-1]) + 1])
+    size = np.diff(np.append(cuts, len(value)))
+    group = np.repeat(np.arange(len(cuts)), size)
+    linked, out = against_hubs(names, at, parts, group, names[cuts], at[cuts], [parts[i] for i in cuts.tolist()])
+    linked[cuts] = True
+    done = np.logical_and.reduceat(linked, cuts)
+    for g in np.flatnonzero(~done).tolist():
+        a, b = int(cuts[g]), int(cuts[g] + size[g])
+        own = _Extents(names[a:b], at[a:b], parts[a:b])
+        own.comp[linked[a:b]] = 0
+        own.compare(np.flatnonzero(~linked[a:b]), np.arange(b - a))
+        out += own.links
     return _links(out)
 
 
 def _with_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Extents of large groups with their group's most frequent one: the links with it."""
+    """Extents of large groups with their group's most frequent one: the links with it; a row without names for an extent without."""
     for batch in batches:
-        value, content, linked, rows = [], [], [], []
-        cols = {c: batch.column(batch.schema.get_field_index(c)) for c in ("value", "content", "name", "at", "extent", "hname", "hat", "hextent")}
-        for i, (p, q, s, t) in enumerate(zip(cols["name"].to_pylist(), cols["hname"].to_pylist(), cols["at"].to_pylist(), cols["hat"].to_pylist())):
-            pair = _Extents(np.array([p, q]), np.array([s, t]), [cols["extent"][i].as_py(), cols["hextent"][i].as_py()])
-            pair.try_link(0, 1)
-            for link in pair.links or [(None, None, None, None)]:
-                rows.append(link)
-                value.append(cols["value"][i])
-                content.append(cols["content"][i])
-        ints = [pa.array([None if v is None else int(v) for v in c], pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 4
-        yield pa.record_batch([pa.array([v.as_py() for v in value], pa.int64()), pa.array([v.as_py() for v in content], pa.int64()), *ints], names=["value", "content", "name", "other", "lo", "hi"])
+        if not batch.num_rows:
+            continue
+        value, content, names, at, hub_names, hub_at = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("value", "content", "name", "at", "hname", "hat"))
+        kinds, first, group = np.unique(value, return_index=True, return_inverse=True)
+        hubs = [np.frombuffer(batch.column(batch.schema.get_field_index("hextent"))[i].as_py(), "<u4") for i in first.tolist()]
+        linked, links = against_hubs(names, at, _unpacked_extents(batch.column(batch.schema.get_field_index("extent"))), group, hub_names[first], hub_at[first], hubs)
+        odd = np.flatnonzero(~linked)
+        rows = _links(links).combine_chunks()
+        none = pa.nulls(len(odd), pa.int64())
+        blank = pa.nulls(len(links), pa.int64())
+        yield from pa.table([pa.concat_arrays([pa.array(value[odd]), blank]), pa.concat_arrays([pa.array(content[odd]), blank]), *[pa.concat_arrays([none, *rows.column(k).chunks]) for k in range(4)]], names=["value", "content", "name", "other", "lo", "hi"]).combine_chunks().to_batches()
 
 
 def _block(table: pa.Table) -> pa.Table:
@@ -346,7 +416,7 @@ def _block(table: pa.Table) -> pa.Table:
     odd, content, linked = (table.column(c).to_numpy(zero_copy_only=False) for c in ("as_odd", "content", "linked"))
     # an extent may be on both sides
     content, first, number = np.unique(content, return_index=True, return_inverse=True)
-    raw = table.column("extent").to_pylist()
+    raw = _unpacked_extents(table.column("extent"))
     group = _Extents(table.column("name").to_numpy()[first], table.column("at").to_numpy()[first], [raw[i] for i in first.tolist()])
     main = np.flatnonzero(linked[first])
     if len(main):
