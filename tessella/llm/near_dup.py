@@ -12,11 +12,15 @@ exponential hash of the set is kept on an exponential scale, truncated to ``[0,
    or above it, go on.
 4. Links are confirmed on the full sets, recomputed from the texts.
 5. Buckets that still hold several components are worked through completely: every member outside the largest
-   component of the bucket against every other member of another component; large buckets block against block,
-   each task on a bounded number of members and returning a forest of links, not all pairs.
-
-Cases: null text is an empty text; rows that share a doc_id are one document; a null doc_id is numbered by its text,
-and its component_id is null unless it is linked to a numbered row; columns other than doc_id and text are ignored.
+   component of the bucket against every member of another component. Small buckets by pairs; of large ones blocks of the
+   former against blocks of all, on the full sets, each task on a bounded number of members and returning a forest of
+   confirmed links, not all pairs.
+
+Cases: null text is an empty text; rows that share a doc_id are one document: it has each of their sets, and is linked
+with whatever one of them is (n_shingles is the row's own); repeated rows are one row of it; a null doc_id is numbered by
+its text, and its component_id is null unless it is linked to a numbered row; ties among centres go by id; a very long text
+is one row of a task, with arrays of about 100 times its bytes; an empty table gives an empty result; columns other than
+doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,15 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import arrays as A
-from tessella.llm.store import Scratch, components, own_columns
+from tessella.llm.store import Scratch, components, own_columns, spare_names
 
 #: Registers: BANDS bands of ROWS. A pair of similarity 0.85 misses all bands with probability (1 - 0.85**5)**32 = 7e-9.
 BANDS, ROWS, B, RATE, Q = 32, 5, 1.001, 20.0, 2**16 - 2
 SHINGLE = 5
 #: Buckets of up to SMALL members are worked through as pairs, larger ones in blocks of about BLOCK.
 SMALL, BLOCK = 64, 384
-#: Ids above this stand for rows without doc_id.
+#: Ids above this stand for rows without doc_id, above the second for further sets of one doc_id.
 NO_ID = 1 << 62
+MORE_SETS = NO_ID + (1 << 61)
 _MULT = A.seeds(BANDS * ROWS, 7)
 
 
@@ -106,7 +111,7 @@ def likely_jaccard(ka: np.ndarray, kb: np.ndarray, na: np.ndarray, nb: np.ndarra
     return (lo + hi) / 2
 
 
-_SETS = "node long, n_shingles long, s1 long, s2 long, bands array<long>, regs binary"
+_SETS = "node long, text_hash long, n_shingles long, s1 long, s2 long, bands array<long>, regs binary"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +127,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = n > 0
             at = np.concatenate([[0], np.cumsum(np.where(full, BANDS, 0))]).astype(np.int32)
             yield pa.record_batch(
-                [ids.slice(s.lo, s.hi - s.lo), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[full].ravel())), pa.array([x.tobytes() for x in regs], pa.binary())],
-                names=["node", "n_shingles", "s1", "s2", "bands", "regs"],
+                [ids.slice(s.lo, s.hi - s.lo), batch.column(1).slice(s.lo, s.hi - s.lo), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[full].ravel())), pa.array([x.tobytes() for x in regs], pa.binary())],
+                names=["node", "text_hash", "n_shingles", "s1", "s2", "bands", "regs"],
             )
 
 
@@ -142,9 +147,14 @@ def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([t.column("a"), t.column("b"), pa.array(est)], names=["a", "b", "est"])
 
 
+def node_column(doc_id: str = "doc_id", text: str = "text") -> F.Column:
+    """The doc_id, or for a null one an id above NO_ID from the text."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 3))
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """(node, text): the doc_id, or for a null one an id above NO_ID from the text."""
-    return own_columns(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 2)).alias("node"), "text")
+    """(node, text) of every row."""
+    return own_columns(docs, "doc_id", "text").select(node_column().alias("node"), "text")
 
 
 class _Pairs:
@@ -164,7 +174,7 @@ class _Pairs:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets meet the threshold."""
         need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        # of rows that share an id only the class's own text counts
+        # a node has one set, however many rows
         own = self.texts.join(need, "node").mapInArrow(_full_sets, "node long, items array<long>").dropDuplicates(["node"])
         sets = self.scratch.cut(own, "sets")
         x = pairs.join(sets.withColumnsRenamed({"node": "a", "items": "ia"}), "a").join(sets.withColumnsRenamed({"node": "b", "items": "ib"}), "b")
@@ -174,59 +184,51 @@ class _Pairs:
 
 def _block(percent: int):
     def run(table: pa.Table) -> pa.Table:
+        """Links of the odd members of a block with the others, exact, as a forest over the components so far."""
         t = table.combine_chunks()
         items = t.column("items").combine_chunks() if isinstance(t.column("items"), pa.ChunkedArray) else t.column("items")
-        node, comp, main, side = (t.column(c).to_numpy() for c in ("node", "comp", "main", "side"))
-        n = len(node)
+        node, comp = (t.column(c).to_numpy() for c in ("node", "comp"))
+        as_odd = t.column("as_odd").to_numpy(zero_copy_only=False)
+        left, right = np.flatnonzero(as_odd), np.flatnonzero(~as_odd)
         sizes = np.diff(items.offsets.to_numpy())
         flat = items.flatten().to_numpy()
-        owner = np.repeat(np.arange(n), sizes)
+        owner = np.repeat(np.arange(len(node)), sizes)
         _, col, df = np.unique(flat, return_inverse=True, return_counts=True)
         keep = df[col] > 1  # what only one document has never counts in an overlap
         owner, col = owner[keep], np.unique(col[keep], return_inverse=True)[1]
-        both = np.zeros((n, n), np.float32)
+        both = np.zeros((len(left), len(right)), np.float32)
         order = np.argsort(col, kind="stable")
         owner, col = owner[order], col[order]
         for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 8192):
             a, b = np.searchsorted(col, [lo, lo + 8192])
-            m = np.zeros((n, 8192), np.float32)
+            m = np.zeros((len(node), min(8192, int(col[-1]) + 1 - lo)), np.float32)
             m[owner[a:b], col[a:b] - lo] = 1
-            both += m @ m.T
-        union = sizes[:, None] + sizes[None, :] - both
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        linked = np.triu(100 * both >= percent * union, 1)
-        if i != j:
-            linked &= side[:, None] != side[None, :]
-        # only a forest of links: what is connected already adds nothing to the components
-        root = {int(c): int(c) for c in comp}
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
+            both += m[left] @ m[right].T
+        union = sizes[left][:, None] + sizes[right][None, :] - both
+        linked = 100 * both >= percent * union
         out = []
-        for x, y in zip(*np.nonzero(linked)):
-            p, q = find(int(comp[x])), find(int(comp[y]))
-            if p != q:
-                root[p] = q
-                out.append((min(node[x], node[y]), max(node[x], node[y])))
+        comp = comp.copy()
+        for i, row in zip(left.tolist(), linked):
+            js = right[row]
+            for j in js[comp[js] != comp[i]].tolist():
+                if comp[j] != comp[i]:
+                    comp[comp == comp[j]] = comp[i]
+                    out.append((min(node[i], node[j]), max(node[i], node[j])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
 
 def _in_blocks(left: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links between components within large buckets, found on the full sets, block against block of BLOCK members.
-
-    Sets are compared by 32 bits of each shingle, which can only add to an overlap; the pairs are confirmed afterwards.
-    """
+    """Links of the members of large buckets outside their largest component with all others, block against block of BLOCK members, on the full sets."""
     sets = texts.join(left.select("node").distinct(), "node").mapInArrow(_full_sets, "node long, items array<long>").dropDuplicates(["node"])
-    small = sets.select("node", F.expr("transform(items, x -> cast(shiftright(x, 32) as int))").alias("items"))
-    x = left.join(small, "node").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("side", F.expr("cast(pmod(xxhash64(node), nb) as int)"))
-    x = x.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "comp", "main", "items")
-    return x.groupBy("key", "i", "j").applyInArrow(_block(percent), "a long, b long")
+    odd = left.where("comp != main").groupBy("key").agg(F.count("*").alias("n_odd"))
+    x = left.join(odd, "key").join(sets, "node").withColumn("ni", F.ceil(F.col("n_odd") / BLOCK).cast("int")).withColumn("nj", F.ceil(F.col("n") / BLOCK).cast("int"))
+    spread = F.xxhash64("node")
+    others = x.withColumn("j", F.pmod(spread, F.col("nj")).cast("int")).withColumn("i", F.explode(F.expr("sequence(0, ni - 1)"))).withColumn("as_odd", F.lit(False))
+    odds = x.where("comp != main").withColumn("i", F.pmod(spread, F.col("ni")).cast("int")).withColumn("j", F.explode(F.expr("sequence(0, nj - 1)"))).withColumn("as_odd", F.lit(True))
+    cols = ["key", "i", "j", "as_odd", "node", "comp", "items"]
+    return others.select(*cols).union(odds.select(*cols)).groupBy("key", "i", "j").applyInArrow(_block(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, margin: float = 0.17) -> DataFrame:
@@ -234,12 +236,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, margin: float = 0.17) ->
 
     ``margin``: how far below the threshold an estimate from 160 registers may lie (six standard errors) and still be checked.
     """
-    s, texts = Scratch(docs.sparkSession), numbered(docs)
-    rows = s.cut(texts.mapInArrow(_sets, _SETS), "sketches")
+    s, texts = Scratch(docs.sparkSession), numbered(docs).withColumn("text_hash", F.xxhash64("text"))
+    rows = s.cut(texts.select("node", "text_hash", "text").mapInArrow(_sets, _SETS), "sketches")
+    # a doc_id with several sets: all but one of them get nodes of their own, linked with it in the end
+    several = rows.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("s1", "s2")).alias("own"), F.max(F.struct("s1", "s2")).alias("last")).where("own != last").select("node", "own")
+    several = s.cut(several, "several")
+    more = None
+    if several.limit(1).count():
+        further = rows.join(several, "node").where("n_shingles > 0 and struct(s1, s2) != own")
+        more = s.cut(further.select("node", "text_hash", (F.lit(MORE_SETS) + F.shiftrightunsigned(F.xxhash64("node", "s1", "s2"), 4)).alias("extra")).distinct(), "more")
+        renamed = lambda d: d.join(more, ["node", "text_hash"], "left").withColumn("doc", F.col("node")).withColumn("node", F.coalesce("extra", "node")).drop("extra")
+        rows, texts = s.cut(renamed(rows), "sketches"), renamed(texts).drop("doc")
+    else:
+        rows = rows.withColumn("doc", F.col("node"))
+    texts = texts.select("node", "text")
     full = rows.where("n_shingles > 0")
-    of_set = full.groupBy("s1", "s2").agg(F.min("node").alias("rep"))
+    # a table of its own, so that the join's partition of a hot set can be split
+    of_set = s.cut(full.groupBy("s1", "s2").agg(F.min("node").alias("rep")), "sets")
     member = s.cut(full.select("node", "s1", "s2").join(of_set, ["s1", "s2"]).select("node", "rep").distinct(), "members")
-    classes = full.join(of_set.select(F.col("rep").alias("node")).distinct(), "node").dropDuplicates(["node"])
+    classes = full.join(of_set.select(F.col("rep").alias("node")), "node").dropDuplicates(["node"])
     classes = s.cut(classes, "classes")
     keys = classes.select("node", F.explode("bands").alias("key"))
     order = F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("centre"))
@@ -259,19 +274,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, margin: float = 0.17) ->
     left = s.cut(held.join(split.where("comps > 1").select("key", "n", F.col("m.comp").alias("main")), "key"), "left")
     few = left.where(f"n <= {SMALL}")
     odd = few.where("comp != main").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    more = odd.join(few.select("key", "node", "comp", "main"), "key").where("cx != comp and (comp = main or x < node)")
-    more = more.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    found = s.cut(check.likely(more), "likely").select("a", "b").union(_in_blocks(left.where(f"n > {SMALL}"), pool, percent)).distinct()
-    # the components so far stand for their links
-    links = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a != b").union(s.cut(check.confirmed(found), "links"))
+    more_pairs = odd.join(few.select("key", "node", "comp", "main"), "key").where("cx != comp and (comp = main or x < node)")
+    more_pairs = more_pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    found = s.cut(check.likely(more_pairs), "likely").select("a", "b")
+    in_blocks = s.cut(_in_blocks(left.where(f"n > {SMALL}"), pool, percent), "links")
+    # the components so far stand for their links; further sets of a doc_id belong to it
+    links = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a != b").union(s.cut(check.confirmed(found), "links")).union(in_blocks)
+    if more is not None:
+        own = lambda c: member.select(F.col("node").alias(c), F.col("rep").alias(f"{c}_rep"))
+        same = more.select(F.col("node").alias("a"), F.col("extra").alias("b")).distinct().join(own("a"), "a").join(own("b"), "b")
+        links = links.union(same.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).where("a != b"))
     comp = components(links, s)
-    # a row's component is its class's; rows that share an id join their classes
-    member_links = member.where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    shared = member.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1").select("node", "low")
-    merged = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a != b").union(member.join(shared, "node").select(F.col("rep").alias("a"), F.col("low").alias("b")).where("a != b"))
-    final = components(merged, s) if shared.limit(1).count() else comp
-    whole = member.groupBy("node").agg(F.min("rep").alias("rep")).join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
-    return s.done(rows.select("node", "n_shingles").join(whole, "node", "left").select("node", "n_shingles", F.coalesce("component", "node").alias("component")))
+    whole = member.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
+    out = rows.select("doc", "node", "n_shingles").join(whole, "node", "left").select(F.col("doc").alias("node"), "n_shingles", F.coalesce("component", "doc").alias("component"))
+    return s.done(out)
 
 
 def result(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -284,5 +300,6 @@ def result(docs: DataFrame, percent: int = 85) -> DataFrame:
 def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` that stay: the least document of each group; of rows with one doc_id a single one."""
     kept = near_duplicates(docs, percent).where("node = component").select("node").distinct()
-    with_node = docs.withColumn("__node", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 2)))
-    return with_node.join(kept.withColumnRenamed("node", "__node"), "__node", "left_semi").dropDuplicates(["__node"]).drop("__node")
+    (node,) = spare_names(docs, "node")
+    x = docs.withColumn(node, node_column()).join(kept.withColumnRenamed("node", node), node, "left_semi")
+    return x.dropDuplicates([node]).drop(node)

@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one where none is configured."""
+    """The shared folder of the session; a temporary one where none is configured and driver and executors are one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -68,6 +70,16 @@ def own_columns(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[docs[n] if n.lower() in have else F.lit(None).cast("string").alias(n) for n in names])
 
 
+def spare_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of ``docs`` has them."""
+    have, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def row_key() -> list[Column]:
     """Two longs that name a row by its id and its text; nulls included. Repeated rows share a key."""
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64("doc_id", "text").alias("k2")]

@@ -245,6 +245,52 @@ def test_a_large_group_near_the_threshold(spark):
     assert got == {(k, c) for k, _, c in brute_components(texts)}
 
 
+def test_a_doc_id_with_several_texts(spark):
+    rng = random.Random(11)
+    a, b = words(rng, 100), words(rng, 100)
+    near = lambda w: " ".join(["x", *w[1:]])
+    for two, three in ((2, 3), (1, 4)):
+        texts = [(1, " ".join(a)), (1, " ".join(b)), (two + 10, near(a)), (three + 10, near(b)), (50, "other words only here")]
+        got = near_dup.result(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_components(texts))
+        assert {r.doc_id: r.component_id for r in got} == {1: 1, two + 10: 1, three + 10: 1, 50: 50}
+
+
+def test_a_least_id_reached_through_a_shared_one(spark):
+    rng = random.Random(13)
+    a, b = words(rng, 100), words(rng, 100)
+    near = lambda w: " ".join(["x", *w[1:]])
+    texts = [(9, " ".join(a)), (9, " ".join(b)), (9, " ".join(b)), (4, near(a)), (2, near(b)), (None, " ".join(a))]
+    got = near_dup.result(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter({(9, 2): 3, (4, 2): 1, (2, 2): 1, (None, 2): 1})
+    assert near_dup.one_of_each(spark.createDataFrame(texts, "doc_id long, text string")).collect()[0].doc_id == 2
+
+
+def test_blocks_compare_only_odd_members():
+    """A bucket of 2000 with one member outside its largest component needs 2000 comparisons, not 2000 x 2000."""
+    rng = np.random.default_rng(3)
+    n = 2000
+    items = [np.sort(rng.integers(0, 1 << 60, 40)) for _ in range(n)]
+    items[7] = items[1500].copy()
+    as_odd = [True] + [False] * n
+    node, comp = [1500, *range(n)], [1500, *[1500 if i == 1500 else 0 for i in range(n)]]
+    shapes = []
+    real = np.zeros
+    table = pa.table({"key": [1] * (n + 1), "i": [0] * (n + 1), "j": [0] * (n + 1), "as_odd": as_odd, "node": node, "comp": comp, "items": pa.array([items[1500].tolist(), *[x.tolist() for x in items]], pa.list_(pa.int64()))})
+
+    def counted(shape, *a, **k):
+        shapes.append(shape)
+        return real(shape, *a, **k)
+
+    np.zeros = counted
+    try:
+        got = near_dup._block(85)(table)
+    finally:
+        np.zeros = real
+    assert shapes[0] == (1, n)
+    assert got.to_pylist() == [{"a": 7, "b": 1500}]
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(1)
     x = A.mix(rng.integers(0, 2**63, 3000).astype(np.uint64))
