@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import arrays as A
-from tessella.llm.store import cut, own_columns, row_key
+from tessella.llm.store import Scratch, own_columns, row_key, spare_names
 
 RECALL, SAMPLES, MOST_EDITS, LEAST_WORDS, BLOCK_WORDS = 0.95, 5, 0.2, 4, 400_000
 #: Starts with a hit near one place that make a candidate: a leaked item of many words has one at most of them, of items
@@ -272,6 +272,9 @@ def result(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    bad = cut(leaks(docs, benchmark).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct(), "leaks")
-    x = docs.withColumn("__k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("__k2", F.xxhash64("doc_id", "text"))
-    return x.join(bad, ["__k1", "__k2"], "left_anti").drop("__k1", "__k2")
+    k1, k2 = spare_names(docs, "k1", "k2")
+    bad = leaks(docs, benchmark).select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct()
+    key = row_key()
+    scratch = Scratch(docs.sparkSession)
+    bad = scratch.cut(bad, "leaks")
+    return docs.withColumns({k1: key[0], k2: key[1]}).join(bad, [k1, k2], "left_anti").drop(k1, k2)

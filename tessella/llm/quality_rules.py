@@ -1,20 +1,27 @@
 """Quality rules: base rules on each text, then robust multivariate outliers per language and source.
 
-Each text gives a vector of transformed statistics. Per (language, source) the minimum-covariance-determinant location
-and scatter are estimated from all its rows: starting from the coordinatewise medians, concentration steps keep the
-rows whose Mahalanobis distance is at most the group's median-type quantile and re-estimate mean and covariance from
-them. A row whose distance lies beyond the cutoff is rejected. Every step is one grouped aggregation with sums
-that combine before the shuffle, so a source with a third of all rows needs no task of its own.
+Each text gives a vector of transformed statistics. Per (language, source) the minimum covariance determinant is sought
+over all rows that pass the base rules, COVERAGE of them as the core. Three starts, all from medians and quartiles:
+scaled distances, the correlations of hyperbolic tangents, and those of spatial signs. From each, concentration steps keep the COVERAGE of
+rows at the least Mahalanobis distance and estimate location and scatter from them, until no group's determinant falls any more;
+the start of least determinant counts. The core's covariance is multiplied by its consistency factor under the normal
+distribution, and a fixed diagonal is added (the squared MARGINS): many statistics are zero in most texts, where the
+plain determinant is zero and any text with one digit or one repeated line would be an outlier. A row is rejected if its squared distance
+lies beyond the QUANTILE of chi-square. Every step is one grouped aggregation with sums that combine before the shuffle,
+so a source with a third of all rows needs no task of its own.
 
 Groups with fewer than MIN_ROWS rows that pass the base rules use the estimate of their language, and languages with
-fewer that of all rows; if that is smaller still, no row is an outlier.
+fewer that of all rows.
 
-Cases: null text has no words (rejected by the base rules); null lang or source is a group of its own; repeated rows
-count each; columns other than doc_id, text, lang and source are ignored.
+Cases: null text has no words (rejected by the base rules); null lang or source is a group of its own, apart from the
+empty string; repeated rows count each; ties at the core's edge are all in it; a very long text is one row of a task, with
+arrays of about 100 times its bytes; an empty table gives an empty result; columns other than doc_id, text, lang and
+source are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import arrays as A
-from tessella.llm.store import Scratch, own_columns
+from tessella.llm.store import Scratch, own_columns, row_key, spare_names
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-MIN_ROWS, STEPS, COVERAGE = 60, 4, 0.75
-#: Least standard deviation of each statistic: differences below it are never evidence, whatever a group's spread.
-STATS = {"word_len": 0.12, "upper": 0.04, "symbol": 0.03, "digit": 0.05, "punct": 0.05, "dup_lines": 0.25, "repeat": 0.2, "distinct": 0.06}
-#: Squared distance beyond which a row is an outlier: far beyond the 0.9999 quantile of chi-square with 8 degrees.
-CUTOFF = 72.0
+MIN_ROWS, STEPS, COVERAGE, QUANTILE = 60, 12, 0.75, 0.9999
+#: Statistics and their margins, differences that count as much as one standard deviation in a group without any spread:
+#: 0.05 for shares of characters (arcsine root) and for the share of distinct words, twice that for digits, which come in runs, and
+#: for word length (a tenth), four times that for shares of lines and windows, which come in whole lines.
+MARGINS = {"word_len": 0.1, "upper": 0.05, "symbol": 0.05, "digit": 0.1, "punct": 0.05, "dup_lines": 0.2, "repeat": 0.2, "distinct": 0.05}
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
@@ -127,7 +134,38 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in A.slices(batch):
             c = text_statistics(s)
             own = [batch.column(i).slice(s.lo, s.hi - s.lo) for i in range(5)]
-            yield pa.record_batch(own + [pa.array(c[k].astype(np.int64)) for k in _COUNTS] + [pa.array(v) for v in vectors(c).values()], names=["k1", "k2", "doc_id", "lang", "source", *_COUNTS, *STATS])
+            yield pa.record_batch(own + [pa.array(c[k].astype(np.int64)) for k in _COUNTS] + [pa.array(v) for v in vectors(c).values()], names=["k1", "k2", "doc_id", "lang", "source", *_COUNTS, *MARGINS])
+
+
+def chi_square(x: float, p: float) -> float:
+    """Distribution function, by the series of the incomplete gamma function."""
+    if x <= 0:
+        return 0.0
+    a, y = p / 2, x / 2
+    term = total = 1 / a
+    n = a
+    while term > total * 1e-16:
+        n += 1
+        term *= y / n
+        total += term
+    return total * math.exp(-y + a * math.log(y) - math.lgamma(a))
+
+
+def chi_square_quantile(q: float, p: float) -> float:
+    lo, hi = 0.0, 10.0 * p + 100
+    for _ in range(200):
+        lo, hi = ((lo + hi) / 2, hi) if chi_square((lo + hi) / 2, p) < q else (lo, (lo + hi) / 2)
+    return hi
+
+
+def consistency(coverage: float, p: int) -> float:
+    """What the covariance of the core ``coverage`` of a normal distribution is to be multiplied by."""
+    return coverage / chi_square(chi_square_quantile(coverage, p), p + 2)
+
+
+#: Squared distance beyond which a row is an outlier.
+CUTOFF = chi_square_quantile(QUANTILE, len(MARGINS))
+STARTS = 3
 
 
 def _distance(have: list[str]) -> F.Column:
@@ -141,80 +179,99 @@ def _distance(have: list[str]) -> F.Column:
     return total
 
 
-def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Location, inverse scatter and log-determinant of each group from its sums; the scatter's diagonal has its floor."""
-    p, floor = len(STATS), np.array(list(STATS.values())) ** 2
-    for t in batches:
-        if not t.num_rows:
-            continue
-        n = t.column("n").to_numpy().astype(float)
-        first = np.array(t.column("s1").to_pylist(), float)
-        second = np.array(t.column("s2").to_pylist(), float)
-        loc = first / n[:, None]
-        inv = np.zeros((len(n), p, p))
+_ESTIMATE = "grp string, start int, loc array<double>, inv array<double>, log_det double"
+
+
+def _estimates(correlations: bool):
+    """Sums of each group and start -> location, inverse scatter and its log-determinant; or inverse correlations about zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, margin, c = len(MARGINS), np.array(list(MARGINS.values())), consistency(COVERAGE, len(MARGINS))
         iu = np.triu_indices(p)
-        for g in range(len(n)):
-            cov = np.zeros((p, p))
-            cov[iu] = second[g] / n[g] - (loc[g][:, None] * loc[g][None, :])[iu]
-            cov = cov + cov.T - np.diag(np.diag(cov))
-            inv[g] = np.linalg.inv(cov + np.diag(floor))
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * p), pa.array(loc.ravel()))
-        mat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * p * p), pa.array(inv.ravel()))
-        yield pa.record_batch([t.column("grp"), flat, mat], names=["grp", "loc", "inv"])
+        for t in batches:
+            if not t.num_rows:
+                continue
+            n = t.column("n").to_numpy().astype(float)
+            loc = np.array(t.column("s1").to_pylist(), float) / n[:, None]
+            second = np.array(t.column("s2").to_pylist(), float) / n[:, None]
+            cov = np.zeros((len(n), p, p))
+            cov[:, iu[0], iu[1]] = second - loc[:, iu[0]] * loc[:, iu[1]]
+            cov = cov + np.swapaxes(cov, 1, 2) - np.einsum("gii->gi", cov)[:, :, None] * np.eye(p)
+            if correlations:
+                # a tenth of the identity: statistics without any spread stay uncorrelated
+                d = np.sqrt(np.einsum("gii->gi", cov) + 1e-12)
+                cov, loc = 0.9 * cov / (d[:, :, None] * d[:, None, :]) + 0.1 * np.eye(p), np.zeros_like(loc)
+            else:
+                cov = c * cov + np.diag(margin**2)
+            inv, log_det = np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+            arrays = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * k), pa.array(x.ravel())) for k, x in ((p, loc), (p * p, inv))]
+            yield pa.record_batch([t.column("grp"), t.column("start"), *arrays, pa.array(log_det)], names=["grp", "start", "loc", "inv", "log_det"])
+
+    return run
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    have = list(STATS)
+    have = list(MARGINS)
     # shifted by nothing: the statistics are of order one, so plain sums lose no precision
     sums = [F.sum(k).alias(f"a{i}") for i, k in enumerate(have)] + [F.sum(F.col(have[i]) * F.col(have[j])).alias(f"b{i}_{j}") for i in range(len(have)) for j in range(i, len(have))]
-    g = rows.groupBy("grp").agg(F.count("*").alias("n"), *sums)
-    return g.select("grp", "n", F.array(*[f"a{i}" for i in range(len(have))]).alias("s1"), F.array(*[f"b{i}_{j}" for i in range(len(have)) for j in range(i, len(have))]).alias("s2"))
+    g = rows.groupBy("grp", "start").agg(F.count("*").alias("n"), *sums)
+    return g.select("grp", "start", "n", F.array(*[f"a{i}" for i in range(len(have))]).alias("s1"), F.array(*[f"b{i}_{j}" for i in range(len(have)) for j in range(i, len(have))]).alias("s2"))
+
+
+def least_determinants(work: DataFrame, scratch: Scratch) -> DataFrame:
+    """grp, loc, inv, log_det of every group of ``work`` (grp and the statistics)."""
+    have = list(MARGINS)
+    quartiles = scratch.cut(work.groupBy("grp").agg(*[F.percentile_approx(k, [0.25, 0.5, 0.75], 1000).alias(f"q_{k}") for k in have]), "quartiles")
+    spread = lambda: work.withColumn("start", F.explode(F.array(*[F.lit(i) for i in range(STARTS)])))
+    # standardised by median and quartiles
+    scale = {k: F.sqrt(F.pow((F.col(f"q_{k}")[2] - F.col(f"q_{k}")[0]) / 1.349, 2) + m * m) for k, m in MARGINS.items()}
+    z = spread().join(quartiles, "grp").select("grp", "start", *have, *[((F.col(k) - F.col(f"q_{k}")[1]) / scale[k]).alias(f"z_{k}") for k in have])
+    z = z.withColumn("norm", sum((F.pow(f"z_{k}", 2) for k in have), F.lit(0.0)))
+    shaped = z.where("start > 0").select("grp", "start", *[F.when(F.col("start") == 1, F.tanh(f"z_{k}")).otherwise(F.col(f"z_{k}") / F.sqrt(F.col("norm") + 1e-12)).alias(k) for k in have])
+    first = scratch.cut(_moments(shaped).mapInArrow(_estimates(True), _ESTIMATE), "starts")
+    near = z.join(first, ["grp", "start"], "left")
+    of_z = near.select("grp", "start", "norm", "loc", "inv", *[F.col(k).alias(f"x_{k}") for k in have], *[F.col(f"z_{k}").alias(k) for k in have])
+    near = of_z.withColumn("d2", F.when(F.col("start") == 0, F.col("norm")).otherwise(_distance(have))).select("grp", "start", "d2", *[F.col(f"x_{k}").alias(k) for k in have])
+    est = None
+    for _ in range(STEPS):
+        limit = near.groupBy("grp", "start").agg(F.percentile_approx("d2", COVERAGE, 1000).alias("limit"))
+        core = near.join(limit, ["grp", "start"]).where("d2 <= limit")
+        now = scratch.cut(_moments(core).mapInArrow(_estimates(False), _ESTIMATE), "scatters")
+        fell = est is None or (now.join(est.select("grp", "start", F.col("log_det").alias("before")), ["grp", "start"]).agg(F.max(F.col("before") - F.col("log_det"))).first()[0] or 0.0) > 1e-3
+        est = now
+        if not fell:
+            break
+        near = spread().join(est, ["grp", "start"]).withColumn("d2", _distance(have))
+    return scratch.cut(est.groupBy("grp").agg(F.min(F.struct("log_det", "start", "loc", "inv")).alias("b")).select("grp", "b.loc", "b.inv", "b.log_det"), "mcd")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """k1, k2, doc_id, the base counts, base_failed, distance, kept for every row of ``docs``."""
     scratch = Scratch(docs.sparkSession)
     d = own_columns(docs, "doc_id", "text", "lang", "source")
-    keyed = d.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64("doc_id", "text").alias("k2"), "doc_id", "lang", "source", "text")
+    keyed = d.select(*row_key(), "doc_id", "lang", "source", "text")
     kinds = f"k1 long, k2 long, doc_id {d.schema['doc_id'].dataType.simpleString()}, lang {d.schema['lang'].dataType.simpleString()}, source {d.schema['source'].dataType.simpleString()}, "
-    schema = kinds + ", ".join(f"{k} long" for k in _COUNTS) + ", " + ", ".join(f"{k} double" for k in STATS)
+    schema = kinds + ", ".join(f"{k} long" for k in _COUNTS) + ", " + ", ".join(f"{k} double" for k in MARGINS)
     rows = keyed.mapInArrow(_scan, schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    rows = scratch.cut(rows.withColumn("base_failed", failed), "statistics")
-    fit = rows.where("not base_failed").withColumn("l", F.coalesce(F.col("lang").cast("string"), F.lit(""))).withColumn("s", F.coalesce(F.col("source").cast("string"), F.lit("")))
+    lang, source = F.col("lang").cast("string"), F.col("source").cast("string")
+    rows = rows.withColumn("base_failed", failed).withColumn("ls", F.to_json(F.array(lang, source))).withColumn("l", F.to_json(F.array(lang)))
+    rows = scratch.cut(rows.drop("lang", "source"), "statistics")
+    fit = rows.where("not base_failed")
     # a group for each (language, source) with enough rows, otherwise its language, otherwise all
-    counts = fit.groupBy("l", "s").agg(F.count("*").alias("n_ls"))
+    counts = scratch.cut(fit.groupBy("ls", "l").agg(F.count("*").alias("n_ls")), "counts")
     by_l = counts.groupBy("l").agg(F.sum("n_ls").alias("n_l"))
-    groups = scratch.cut(
-        counts.join(by_l, "l").select(
-            "l", "s", F.when(F.col("n_ls") >= MIN_ROWS, F.to_json(F.array("l", "s"))).when(F.col("n_l") >= MIN_ROWS, F.to_json(F.array("l"))).otherwise(F.lit("[]")).alias("grp")
-        ),
-        "groups",
-    )
+    grp = F.when(F.col("n_ls") >= MIN_ROWS, F.col("ls")).when(F.col("n_l") >= MIN_ROWS, F.col("l")).otherwise(F.lit("[]"))
+    groups = scratch.cut(counts.join(by_l, "l").select("ls", grp.alias("grp")), "groups")
     # an estimate for a language or for all is made from all of its rows, also those that have a group of their own
-    vec = fit.select("l", "s", *STATS)
     needed = groups.select("grp").distinct()
-    levels = F.explode(F.array(F.to_json(F.array("l", "s")), F.to_json(F.array("l")), F.lit("[]")))
-    member = counts.select("l", "s", levels.alias("grp")).join(needed, "grp")
-    work = scratch.cut(vec.join(member, ["l", "s"]).drop("l", "s"), "vectors")
-    middle = work.groupBy("grp").agg(F.count("*").alias("n"), *[F.percentile_approx(k, 0.5, 1000).alias(f"m_{k}") for k in STATS])
-    middle = scratch.cut(middle, "medians")
-    # the start: rows near the medians by each statistic's own floor, whatever the others do
-    near = work.join(middle.drop("n"), "grp")
-    start = sum((F.pow((F.col(k) - F.col(f"m_{k}")) / F.lit(v), 2) for k, v in STATS.items()), F.lit(0.0))
-    near = near.withColumn("d2", start)
-    est = None
-    for step in range(STEPS + 1):
-        limit = near.groupBy("grp").agg(F.percentile_approx("d2", COVERAGE, 1000).alias("limit"))
-        core = near.join(limit, "grp").where("d2 <= limit")
-        est = scratch.cut(_moments(core).mapInArrow(_estimate, "grp string, loc array<double>, inv array<double>"), "mcd")
-        if step < STEPS:
-            near = work.join(est, "grp").withColumn("d2", _distance(list(STATS)))
-    big = middle.where(F.col("n") >= MIN_ROWS).select("grp")
-    judged = groups.join(est.join(big, "grp"), "grp", "left").select(F.col("l").alias("__l"), F.col("s").alias("__s"), "loc", "inv")
-    x = rows.join(judged, (F.coalesce(F.col("lang").cast("string"), F.lit("")) == F.col("__l")) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("__s")), "left")
-    x = x.withColumn("distance", _distance(list(STATS)))
-    return scratch.done(x.select("k1", "k2", "doc_id", *_COUNTS, "base_failed", "distance", (~F.col("base_failed") & ~F.coalesce(F.col("distance") > CUTOFF, F.lit(False))).alias("kept"), *STATS))
+    member = counts.select("ls", F.explode(F.array("ls", "l", F.lit("[]"))).alias("grp")).join(needed, "grp")
+    # tables of their own: their size is known when they are joined, and a large group's partition can be split
+    member = scratch.cut(member, "members")
+    work = scratch.cut(fit.select("ls", *MARGINS).join(member, "ls").drop("ls"), "vectors")
+    judged = scratch.cut(groups.join(least_determinants(work, scratch), "grp").select("ls", "loc", "inv"), "judged")
+    x = rows.join(judged, "ls", "left").withColumn("distance", _distance(list(MARGINS)))
+    return scratch.done(x.select("k1", "k2", "doc_id", *_COUNTS, "base_failed", "distance", (~F.col("base_failed") & ~F.coalesce(F.col("distance") > CUTOFF, F.lit(False))).alias("kept"), *MARGINS))
 
 
 def result(docs: DataFrame) -> DataFrame:
@@ -223,6 +280,7 @@ def result(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass the base rules and are no outliers."""
-    good = verdicts(docs).where("kept").select("k1", "k2").distinct()
-    x = docs.withColumn("__k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("__k2", F.xxhash64("doc_id", "text"))
-    return x.join(good.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left_semi").drop("__k1", "__k2")
+    k1, k2 = spare_names(docs, "k1", "k2")
+    good = verdicts(docs).where("kept").select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct()
+    key = row_key()
+    return docs.withColumns({k1: key[0], k2: key[1]}).join(good, [k1, k2], "left_semi").drop(k1, k2)

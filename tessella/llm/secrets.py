@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.store import Scratch, own_columns
+from tessella.llm.store import Scratch, own_columns, row_key, spare_names
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -115,31 +115,35 @@ def result(docs: DataFrame) -> DataFrame:
     )
 
 
-def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        texts, spans = batch.column(at), batch.column(batch.schema.get_field_index("__spans"))
-        out = []
-        for t, s in zip(texts.to_pylist(), spans.to_pylist()):
-            if t is not None and s:
-                parts, end = [], 0
-                for x in s:
-                    if x["end"] > end:
-                        parts.append(t[end : max(end, x["start"])])
-                        if x["start"] >= end:
-                            parts.append("[SECRET]")
-                        end = x["end"]
-                t = "".join(parts) + t[end:]
-            out.append(t)
-        columns = list(batch.columns)
-        columns[at] = pa.array(out, texts.type)
-        yield pa.record_batch(columns, schema=batch.schema)
+def _redact(column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts, spans = batch.column(at), batch.column(batch.schema.get_field_index(column))
+            out = []
+            for t, s in zip(texts.to_pylist(), spans.to_pylist()):
+                if t is not None and s:
+                    parts, end = [], 0
+                    for x in s:
+                        if x["end"] > end:
+                            parts.append(t[end : max(end, x["start"])])
+                            if x["start"] >= end:
+                                parts.append("[SECRET]")
+                            end = x["end"]
+                    t = "".join(parts) + t[end:]
+                out.append(t)
+            columns = list(batch.columns)
+            columns[at] = pa.array(out, texts.type)
+            yield pa.record_batch(columns, schema=batch.schema)
+
+    return run
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by ``[SECRET]`` in the text (overlapping spans by one); a column n_chars follows the text."""
-    spans = scan(docs).where("size(spans) > 0").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans")).dropDuplicates(["__k1", "__k2"])
-    x = docs.withColumn("__k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("__k2", F.xxhash64("doc_id", "text"))
-    x = x.join(spans, ["__k1", "__k2"], "left").drop("__k1", "__k2")
-    x = x.mapInArrow(_redact, x.schema).drop("__spans")
+    k1, k2, spans = spare_names(docs, "k1", "k2", "spans")
+    found = scan(docs).where("size(spans) > 0").select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(spans)).dropDuplicates([k1, k2])
+    key = row_key()
+    x = docs.withColumns({k1: key[0], k2: key[1]}).join(found, [k1, k2], "left").drop(k1, k2)
+    x = x.mapInArrow(_redact(spans), x.schema).drop(spans)
     return x.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else x

@@ -538,6 +538,46 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert kept == {r[0] for r in clean}
 
 
+def test_least_determinant_equals_brute_force(spark):
+    """Groups of 14 rows: every core of 11 tried."""
+    import itertools
+
+    from tessella.llm.store import Scratch
+
+    names = list(quality_rules.MARGINS)
+    rng = np.random.default_rng(6)
+    groups, rows_ = {}, []
+    for g in range(6):
+        x = rng.normal(0, 0.3, (14, 8)) @ rng.normal(0, 1, (8, 8))
+        x[:3] += 4 + g
+        groups[f"g{g}"] = x
+        rows_ += [(f"g{g}", *map(float, r)) for r in x]
+    work = spark.createDataFrame(rows_, "grp string, " + ", ".join(f"{k} double" for k in names)).repartition(3)
+    scratch = Scratch(spark)
+    got = {r.grp: r for r in quality_rules.least_determinants(work, scratch).collect()}
+    margin = np.diag(np.array(list(quality_rules.MARGINS.values())) ** 2)
+    c = quality_rules.consistency(quality_rules.COVERAGE, 8)
+    for g, x in groups.items():
+        scatter = lambda i: c * np.cov(x[list(i)].T, bias=True) + margin  # noqa: B023, E731
+        cores = {i: np.linalg.slogdet(scatter(i))[1] for i in itertools.combinations(range(14), 11)}
+        best = min(cores, key=cores.get)
+        assert abs(got[g].log_det - cores[best]) < 1e-6, (g, got[g].log_det, cores[best])
+        assert np.allclose(np.array(got[g].loc), x[list(best)].mean(0)) and np.allclose(np.array(got[g].inv).reshape(8, 8), np.linalg.inv(scatter(best)))
+
+
+def test_chi_square_and_consistency():
+    assert abs(quality_rules.chi_square_quantile(0.95, 8) - 15.5073) < 1e-3 and abs(quality_rules.chi_square_quantile(0.5, 1) - 0.45494) < 1e-4
+    x = np.random.default_rng(1).normal(size=(200_000, 2))
+    d = (x**2).sum(1)
+    assert abs(x[d <= np.quantile(d, 0.75)].var(0).mean() * quality_rules.consistency(0.75, 2) - 1) < 0.01
+
+
+def test_null_and_empty_groups_are_apart(spark):
+    texts = [(i, " ".join(f"w{(i * 31 + j * 7) % 900}" for j in range(80)), None if i % 2 else "", "s") for i in range(200)]
+    made = quality_rules.verdicts(spark.createDataFrame(texts, "doc_id long, text string, lang string, source string"))
+    assert made.count() == 200 and made.where("distance is null").count() == 0
+
+
 # -- secrets
 
 
@@ -631,6 +671,20 @@ def test_odd_rows_crash_nothing_and_give_a_row_each(docs, spark):
     assert secrets.redact(docs).count() == n
 
 
+def test_reserved_names_survive(spark):
+    """Columns named like any of the operators' own come back as they were."""
+    extra = ["__k1", "k1", "k2", "k1_", "spans", "__spans", "node", "__node", "name", "value", "grp", "start", "run", "runs", "loc"]
+    rng = random.Random(3)
+    texts = [" ".join(words(rng, 90)) for _ in range(5)] + ["password = abcdef123456 " + " ".join(words(rng, 90))]
+    made = [(i, t, "en", "s", len(t), *[f"{c}{i}" for c in extra]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    bench = spark.createDataFrame([(1, "nothing of the kind stands anywhere here")], "item_id long, text string")
+    for f in (quality_rules.keep, near_dup.one_of_each, lambda d: decontaminate.clean(d, bench), secrets.redact):
+        out = f(docs)
+        assert out.columns == docs.columns
+        assert sorted(tuple(r[c] for c in extra) for r in out.collect()) == sorted(r[5:] for r in made)
+
+
 def test_empty_tables(empty, spark):
     labels, bench = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string")
     for made in (
