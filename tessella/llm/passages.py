@@ -46,14 +46,19 @@ SHINGLE, WORDS, HASHES, SIMILARITY = 5, 50, 4, 0.8
 #: Shingles of the shortest passage, and different ones that a passage has in common with another at least.
 LEAST = WORDS - SHINGLE + 1
 COMMON = SIMILARITY * LEAST
+#: Share of shingles of a passage that the other text has, and number in the shortest.
+SHARE = 2 * SIMILARITY / (1 + SIMILARITY)
+HITS = SHARE * LEAST
 _SEED = A.seeds(HASHES, 41)
 _CODEC = pa.Codec("zstd")
 #: Texts whose shingles a task keeps at hand.
 KEPT = 64
 #: Values of up to FEW extents give pairs, of up to LARGE are solved whole, beyond in blocks of about BLOCK.
-FEW, LARGE, BLOCK = 3, 1024, 1024
+FEW, LARGE, BLOCK = 3, 16384, 16384
 #: Extents that a task solves together, on average.
 TOGETHER = 8192
+#: A shingle of more extents of a group than this is not looked up; 36 of them are no passage.
+RARE = 16
 #: Shingles on either side of a window's least one: a shortest passage that holds it, on either text, lies inside.
 REACH = int(LEAST / SIMILARITY) + 1
 
@@ -170,6 +175,8 @@ def dense_ranges(hit: np.ndarray, least: int, share: float) -> list[tuple[int, i
     """Ranges [a, b) that begin on a hit, and end on one if they can, at least ``least`` long, in which hits are at least ``share``; disjoint, greedily longest."""
     cost = share / (1 - share)
     score = np.concatenate([[0.0], np.cumsum(np.where(hit, 1.0, -cost))])
+    if len(hit) < least or (score[least:] - np.minimum.accumulate(score)[:-least]).max() < -1e-9:
+        return []
     best = np.maximum.accumulate(score[::-1])[::-1]
     out, done = [], 0
     # a range that begins inside a run of hits is never better than one from the run's start
@@ -195,17 +202,26 @@ def dense_ranges(hit: np.ndarray, least: int, share: float) -> list[tuple[int, i
     return out
 
 
+def may_be_dense(hit: np.ndarray) -> np.ndarray:
+    """Which rows of ``hit`` may have a range as ``dense_ranges`` finds it for a passage."""
+    if hit.shape[1] < LEAST:
+        return np.zeros(len(hit), bool)
+    score = np.zeros((len(hit), hit.shape[1] + 1), np.float32)
+    np.cumsum(np.where(hit, np.float32(1), np.float32(-SHARE / (1 - SHARE))), axis=1, out=score[:, 1:])
+    return (score[:, LEAST:] - np.minimum.accumulate(score, axis=1)[:, :-LEAST]).max(1) >= -1e-2
+
+
 def similar_ranges(x: np.ndarray, y: np.ndarray, order: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
     """Ranges of shingles of ``x`` with a range of ``y`` (``order``: of y's values), of similarity SIMILARITY and more."""
     order = np.argsort(y) if order is None else order
     ranked = y[order]
     at = np.minimum(np.searchsorted(ranked, x), len(y) - 1)
     hit = ranked[at] == x
-    if hit.sum() < SIMILARITY * LEAST:
+    if hit.sum() < HITS:
         return []
     place = np.where(hit, order[at], -1)
     out = []
-    for a, b in dense_ranges(hit, LEAST, 2 * SIMILARITY / (1 + SIMILARITY)):
+    for a, b in dense_ranges(hit, LEAST, SHARE):
         spots = np.sort(place[a:b][hit[a:b]])
         # shingles that also stand elsewhere in y would stretch the range: keep what lies around its middle
         mid = spots[len(spots) // 2]
@@ -267,6 +283,7 @@ class _Extents:
         self.names, self.at, self.parts = names, at, parts
         self.order: list[np.ndarray | None] = [None] * len(parts)
         self.comp = np.arange(len(parts))
+        self._sets: list[np.ndarray] | None = None
         self.links: list[tuple[int, int, int, int]] = []
 
     def _sorted(self, i: int) -> np.ndarray:
@@ -274,6 +291,40 @@ class _Extents:
             self.order[i] = np.argsort(self.parts[i])
         return self.order[i]
 
+    @property
+    def sets(self) -> list[np.ndarray]:
+        if self._sets is None:
+            self._sets = [np.unique(x) for x in self.parts]
+            # an extent without repeated shingles needs as many different ones as hits
+            self.least = np.array([HITS if len(x) == len(y) else COMMON for x, y in zip(self._sets, self.parts)])
+        return self._sets
+
+    def near(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which pairs have enough in common for a passage."""
+        both = self.common(left, right)
+        return both >= np.minimum(self.least[left][:, None], self.least[right][None, :])
+
+    def promising(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Those of ``js`` that may share a passage with i: either's hits in the other are dense somewhere."""
+        sets, x = self.sets, self.parts[i]
+        out = []
+        for some in np.array_split(js, max(1, len(js) // 512)):
+            size = np.array([len(self.parts[j]) for j in some.tolist()])
+            inside = np.arange(size.max())[None, :] < size[:, None]
+            items = np.zeros(inside.shape, np.uint32)
+            items[inside] = np.concatenate([self.parts[j] for j in some.tolist()])
+            at = np.minimum(np.searchsorted(sets[i], items), len(sets[i]) - 1)
+            good = may_be_dense((sets[i][at] == items) & inside)
+            other = np.flatnonzero(~good)
+            if len(other):
+                theirs = [sets[j] for j in some[other].tolist()]
+                key = np.repeat(np.arange(len(theirs)), [len(t) for t in theirs]).astype(np.uint64) << A.U(32) | np.concatenate(theirs)
+                want = np.arange(len(theirs)).astype(np.uint64)[:, None] << A.U(32) | x[None, :]
+                at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+                good[other] = may_be_dense(key[at] == want)
+            out.append(some[good])
+        return np.concatenate(out)
+
     def try_link(self, i: int, j: int) -> None:
         """Connect i and j if they share a passage."""
         if self.comp[i] == self.comp[j] or self.names[i] == self.names[j]:
@@ -288,41 +339,80 @@ class _Extents:
 
     def common(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Numbers of different shingles that each of ``left`` has in common with each of ``right``."""
-        sets = [np.unique(x) for x in self.parts]
-        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        _, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        keep = df[col] > 1  # what only one extent has never counts
-        owner, col = owner[keep], np.unique(col[keep], return_inverse=True)[1]
-        order = np.argsort(col, kind="stable")
-        owner, col = owner[order], col[order]
+        sides, items = (left, right), []
+        for side in sides:
+            sets = [self.sets[i] for i in side.tolist()]
+            items.append((np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)))
         both = np.zeros((len(left), len(right)), np.float32)
+        # what only one side has never counts
+        known = np.intersect1d(items[0][1], items[1][1])
         width = 2048
-        for lo in range(0, int(col[-1]) + 1 if len(col) else 0, width):
-            a, b = np.searchsorted(col, [lo, lo + width])
-            m = np.zeros((len(sets), min(width, int(col[-1]) + 1 - lo)), np.float32)
-            m[owner[a:b], col[a:b] - lo] = 1
-            both += m[left] @ m[right].T
+        for lo in range(0, len(known), width):
+            some = known[lo : lo + width]
+            m = []
+            for side, (owner, item) in zip(sides, items):
+                at = np.minimum(np.searchsorted(some, item), len(some) - 1)
+                hit = some[at] == item
+                m.append(np.zeros((len(side), len(some)), np.float32))
+                m[-1][owner[hit], at[hit]] = 1
+            both += m[0] @ m[1].T
         return both
 
+    def sharing(self, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For members of ``left``, those of ``right`` that may have COMMON different shingles in common with it.
+
+        Shingles of more than RARE members are left out of an index. Whoever has fewer than COMMON of those has a rarer one in
+        common with every partner; the others are compared among themselves.
+        """
+        if len(left) * len(right) <= 1 << 16:
+            yield from zip(left.tolist(), (right[row] for row in self.near(left, right)))
+            return
+        sets = self.sets
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        _, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        frequent = np.bincount(owner[df[col] > RARE], minlength=len(sets))
+        keep = (df[col] > 1) & (df[col] <= RARE)
+        owner, col = owner[keep], col[keep]
+        order = np.lexsort((owner, col))
+        owner, col = owner[order], col[order]
+        n, pairs = len(sets), []
+        is_left, is_right = np.zeros(n, bool), np.zeros(n, bool)
+        is_left[left], is_right[right] = True, True
+        for step in range(1, RARE):
+            same = col[step:] == col[:-step]
+            a, b = owner[:-step][same], owner[step:][same]
+            ok = (is_left[a] & is_right[b]) | (is_left[b] & is_right[a])
+            pairs.append(np.unique(a[ok] * n + b[ok]))
+        a, b = np.divmod(np.unique(np.concatenate(pairs)), n)
+        a, b = np.where(is_left[a] & is_right[b], a, b), np.where(is_left[a] & is_right[b], b, a)
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        if len(a):
+            cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            yield from zip(a[cuts].tolist(), np.split(b, cuts[1:]))
+        heavy = frequent >= COMMON
+        left, right = left[heavy[left]], right[heavy[right]]
+        for lo in range(0, len(left), 256):
+            some = left[lo : lo + 256]
+            yield from zip(some.tolist(), (right[row] for row in self.near(some, right)))
+
     def compare(self, left: np.ndarray, right: np.ndarray) -> None:
         """Connect whatever pairs of ``left`` and ``right`` share a passage, unless they are connected by others."""
         if not len(left) or not len(right):
             return
-        near = self.common(left, right) >= COMMON
-        for i, row in zip(left.tolist(), near):
-            js = right[row]
-            for j in js[self.comp[js] != self.comp[i]].tolist():
+        for i, js in self.sharing(left, right):
+            js = js[(self.comp[js] != self.comp[i]) & (self.names[js] != self.names[i])]
+            for j in self.promising(i, js).tolist() if len(js) else ():
                 self.try_link(i, j)
 
 
-
 def _links(rows: list[tuple[int, int, int, int]]) -> pa.Table:
     cols = list(zip(*rows)) if rows else [[], [], [], []]
     return pa.table([pa.array([int(v) for v in c], pa.int64()) for c in cols], names=["name", "other", "lo", "hi"])
 
 
 def aligned_runs(parts: list[np.ndarray], group: np.ndarray, hubs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per part, against the hub of its group: shingles that the hub has, and the longest run that stands in both alike (start in the part, start in the hub, length)."""
+    """Per part, against the hub of its group: number of shingles that the hub has, and the longest run that stands in both alike (start in the part, start in the hub, length)."""
     hub_items = np.concatenate(hubs)
     hub_size = np.array([len(x) for x in hubs])
     hub_key = np.repeat(np.arange(len(hubs)), hub_size).astype(np.uint64) << A.U(32) | hub_items
@@ -354,18 +444,22 @@ def against_hubs(names: np.ndarray, at: np.ndarray, parts: list[np.ndarray], gro
     if not len(parts):
         return linked, links
     hits, a, c, longest = aligned_runs(parts, group, hubs)
-    other = names != hub_names[group]
-    for i in np.flatnonzero(other & (hits >= COMMON)).tolist():
+    other = (names != hub_names[group]) & (hits >= COMMON)
+    for i in np.flatnonzero(other & (longest >= LEAST)).tolist():
         g, n = int(group[i]), int(longest[i])
         p, q, s, t = names[i], hub_names[g], at[i], hub_at[g]
-        if n >= LEAST and len(set(parts[i][a[i] : a[i] + n].tolist())) >= COMMON:
+        if len(set(parts[i][a[i] : a[i] + n].tolist())) >= COMMON:
             linked[i] = True
             links += [(p, q, s + a[i], s + a[i] + n + SHINGLE - 1), (q, p, t + c[i], t + c[i] + n + SHINGLE - 1)]
-        else:
-            pair = _Extents(np.array([p, q]), np.array([s, t]), [parts[i], hubs[g]])
-            pair.try_link(0, 1)
-            linked[i] = len(pair.links) > 0
-            links += pair.links
+    rest = np.flatnonzero(other & ~linked)
+    rest = rest[np.argsort(group[rest], kind="stable")]
+    for some in np.split(rest, np.flatnonzero(np.diff(group[rest])) + 1) if len(rest) else ():
+        g = int(group[some[0]])
+        own = _Extents(np.concatenate([hub_names[[g]], names[some]]), np.concatenate([hub_at[[g]], at[some]]), [hubs[g], *[parts[i] for i in some.tolist()]])
+        for j in own.promising(0, np.arange(1, len(some) + 1)).tolist():
+            own.try_link(0, j)
+            linked[some[j - 1]] = own.comp[j] == own.comp[0]
+        links += own.links
     return linked, links
 
 
@@ -375,8 +469,9 @@ def _unpacked_extents(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
 
 def _solve(table: pa.Table) -> pa.Table:
     """All values of a bucket: each group's extents against its most frequent one, then what that did not link against the rest."""
-    value, content, often = (table.column(c).to_numpy() for c in ("value", "content", "often"))
-    order = np.lexsort((content, -often, value))
+    value, content, often, names = (table.column(c).to_numpy() for c in ("value", "content", "often", "name"))
+    # of equally frequent ones the least name, so that the texts of a class meet the same text in all their windows
+    order = np.lexsort((content, names, -often, value))
     value, raw = value[order], _unpacked_extents(table.column("extent"))
     parts = [raw[i] for i in order.tolist()]
     names, at = (table.column(c).to_numpy()[order] for c in ("name", "at"))
@@ -480,7 +575,7 @@ def passages(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     buckets = max(1, middle.count() // TOGETHER)
     shown = middle.withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(buckets))).groupBy("bucket").applyInArrow(_solve, _LINKS)
     # large groups: each extent with the most frequent one, then what that did not link with all, block against block
-    hub = large.groupBy("value").agg(F.max(F.struct("often", "content", "name", "at", "extent")).alias("h")).select("value", F.col("h.content").alias("hcontent"), F.col("h.name").alias("hname"), F.col("h.at").alias("hat"), F.col("h.extent").alias("hextent"))
+    hub = large.groupBy("value").agg(F.max(F.struct("often", (-F.col("name")).alias("least"), "content", "name", "at", "extent")).alias("h")).select("value", F.col("h.content").alias("hcontent"), F.col("h.name").alias("hname"), F.col("h.at").alias("hat"), F.col("h.extent").alias("hextent"))
     hubs = scratch.cut(large.join(hub, "value").where("content != hcontent").select("value", "content", "name", "at", "extent", "hname", "hat", "hextent").mapInArrow(_with_hub, "value long, content long, " + _LINKS), "hubs")
     odd = hubs.where("name is null").select("value", "content")
     left = large.join(odd.groupBy("value").agg(F.count("*").alias("n_odd")), "value").join(odd.withColumn("odd", F.lit(True)), ["value", "content"], "left")
