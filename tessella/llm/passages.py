@@ -51,8 +51,8 @@ SHARE = 2 * SIMILARITY / (1 + SIMILARITY)
 HITS = SHARE * LEAST
 _SEED = A.seeds(HASHES, 41)
 _CODEC = pa.Codec("zstd")
-#: Texts whose shingles a task keeps at hand.
-KEPT = 64
+#: Pairs whose texts a task reads together.
+PAIRS = 256
 #: Values of up to FEW extents give pairs, of up to LARGE are solved whole, beyond in blocks of about BLOCK.
 FEW, LARGE, BLOCK = 3, 16384, 16384
 #: Extents that a task solves together, on average.
@@ -235,11 +235,14 @@ def similar_ranges(x: np.ndarray, y: np.ndarray, order: np.ndarray | None = None
     return out
 
 
-def _unpacked(x: bytes) -> np.ndarray:
-    """Shingles of a packed text."""
-    text = _CODEC.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True)
-    (s,) = A.slices(pa.record_batch([pa.array([text], pa.binary())], names=["text"]))
-    return shingle_sequences(s)[0]
+def _unpacked(packed: list[bytes]) -> list[np.ndarray]:
+    """Shingles of packed texts."""
+    texts = [_CODEC.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in packed]
+    out = []
+    for s in A.slices(pa.record_batch([pa.array(texts, pa.large_binary())], names=["text"])):
+        h, begin, _, _ = shingle_sequences(s)
+        out += [h[a:b].copy() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+    return out
 
 
 def _both_ways(a: int, b: int, of_a: tuple[np.ndarray, np.ndarray], of_b: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int, int]]:
@@ -260,13 +263,9 @@ def _extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, per_text = want.flatten(), np.diff(want.offsets.to_numpy())
         text = np.repeat(np.arange(part.num_rows), per_text)
         value, content, often, at, size = (flat.field(k).to_numpy().astype(np.int64) for k in range(5))
-        texts = [_CODEC.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in part.column(1).to_pylist()]
-        own, begin = [], [0]
-        for s in A.slices(pa.record_batch([pa.array(texts, pa.large_binary())], names=["text"])):
-            h, first, _, _ = shingle_sequences(s)
-            own.append((h >> A.U(32)).astype("<u4"))
-            begin += (begin[-1] + first[1:]).tolist()
-        own, begin = np.concatenate(own), np.array(begin)
+        own = _unpacked(part.column(1).to_pylist())
+        begin = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+        own = (np.concatenate(own) >> A.U(32)).astype("<u4")
         ends = np.concatenate([[0], np.cumsum(size)])
         items = own[np.repeat(begin[text] + at - ends[:-1], size) + np.arange(ends[-1])]
         raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), pa.py_buffer(items.tobytes())])
@@ -521,23 +520,19 @@ def _block(table: pa.Table) -> pa.Table:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    # pairs come sorted by one side, and many share the other: the last few texts are kept
+    # pairs come sorted by one side, and many share the other: texts of a part are read once, those of the last part kept
     kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def shingles(name: int, packed: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-        if name not in kept:
-            if len(kept) >= KEPT:
-                del kept[next(iter(kept))]
-            own = _unpacked(packed.as_py())
-            kept[name] = own, np.argsort(own).astype(np.int32)
-        return kept[name]
-
-    for part in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
+    for part in (b.slice(lo, PAIRS) for b in batches for lo in range(0, b.num_rows, PAIRS)):
         out: list[tuple[int, int, int, int]] = []
-        batch = part
-        ta, tb = batch.column(batch.schema.get_field_index("ta")), batch.column(batch.schema.get_field_index("tb"))
-        for i, (a, b) in enumerate(zip(batch.column(batch.schema.get_field_index("a")).to_pylist(), batch.column(batch.schema.get_field_index("b")).to_pylist())):
-            out += _both_ways(a, b, shingles(a, ta[i]), shingles(b, tb[i]))
+        a, b, ta, tb = (part.column(part.schema.get_field_index(c)) for c in ("a", "b", "ta", "tb"))
+        pairs = list(zip(a.to_pylist(), b.to_pylist()))
+        where = {n: (t, i) for t, names in ((ta, a), (tb, b)) for i, n in enumerate(names.to_pylist())}
+        kept = {n: x for n, x in kept.items() if n in where}
+        new = [n for n in where if n not in kept]
+        for n, own in zip(new, _unpacked([where[n][0][where[n][1]].as_py() for n in new])):
+            kept[n] = own, np.argsort(own).astype(np.int32)
+        for x, y in pairs:
+            out += _both_ways(x, y, kept[x], kept[y])
         cols = list(zip(*out)) if out else [[], [], [], []]
         yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["name", "other", "lo", "hi"])
 
