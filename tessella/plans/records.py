@@ -16,7 +16,7 @@ def _events(spark, d):
 def _talk(spark, d):
     """One array of (a, b, c) per conversation in the order of its turns; every third text is blank."""
     x = spark.read.parquet(f"{d}/conversations.parquet")
-    t = F.when(F.col("turn") % 3 == 1, F.lit(" \n ")).otherwise(F.concat(F.lit(" "), F.substring("text", 1, 60)))
+    t = F.when(F.col("turn") % 3 == 1, F.lit(" \n ")).otherwise(F.concat(F.lit(" "), F.col("text")))
     s = F.struct("turn", t.alias("a"), F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise(F.lit(" ")).alias("b"), F.col("role").alias("c"))
     return x.groupBy((F.col("conv_id") % 20).alias("conv_id")).agg(F.array_sort(F.collect_list(F.struct("conv_id", s.alias("s")))).alias("v")).select("conv_id", F.transform("v", lambda x: x["s"]).alias("v"))
 
@@ -42,7 +42,7 @@ def _oracle(kind):
       SELECT conv_id, list_filter(list_transform(v[1:{most}], lambda x: struct_pack({made})), lambda x: {ok}) AS r FROM ({_TALK})))"""
 
 
-_TALK = """SELECT conv_id % 20 AS conv_id, list(struct_pack(a := CASE WHEN turn % 3 = 1 THEN ' ' || chr(10) || ' ' ELSE ' ' || substr(text, 1, 60) END, b := CASE WHEN turn % 2 = 0 THEN role ELSE ' ' END, c := role) ORDER BY conv_id, turn) AS v FROM conversations GROUP BY conv_id % 20"""
+_TALK = """SELECT conv_id % 20 AS conv_id, list(struct_pack(a := CASE WHEN turn % 3 = 1 THEN ' ' || chr(10) || ' ' ELSE ' ' || text END, b := CASE WHEN turn % 2 = 0 THEN role ELSE ' ' END, c := role) ORDER BY conv_id, turn) AS v FROM conversations GROUP BY conv_id % 20"""
 
 
 def _texts(most):

@@ -39,7 +39,7 @@ def progress_lines(spark, d):
 
 
 def pdf_progress(spark, d):
-    return G.pdf_progress(_events(spark, d).where("event_id < 300").select("event_id", (F.col("event_id") % 90 + 1).alias("pages")), "event_id")
+    return G.pdf_progress(_events(spark, d).select("event_id", (F.col("event_id") % 90 + 1).alias("pages")), "event_id")
 
 
 _KINDS = [*R.TYPES, "其他", ""]
@@ -47,7 +47,7 @@ _KINDS = [*R.TYPES, "其他", ""]
 
 def _items(spark, d):
     kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("turn") * 5 % 12 + F.col("conv_id") % 2).cast("int").__mod__(12) + 1)
-    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", kind.alias("type"), F.substring("text", 1, 30).alias("claim"))
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", kind.alias("type"), F.col("text").alias("claim"))
 
 
 def group_items_by_type(spark, d):
@@ -62,7 +62,7 @@ def confidence_class(spark, d):
 
 def _articles(spark, d):
     """A reading per conversation: turns are arguments and quotes."""
-    x = spark.read.parquet(f"{d}/conversations.parquet").withColumn("t", F.substring("text", 1, 90))
+    x = spark.read.parquet(f"{d}/conversations.parquet").withColumn("t", F.col("text"))
     arg = F.struct("turn", F.struct(F.col("t").alias("claim"), F.when(F.col("turn") % 2 == 0, F.col("t")).otherwise(F.lit("")).alias("evidence"), F.lit("").alias("quote"), F.col("role").alias("source")).alias("a"))
     g = x.groupBy("conv_id").agg(F.array_sort(F.collect_list(arg)).alias("v"))
     args = F.slice(F.transform("v", lambda s: s["a"]), 1, 10)
@@ -83,32 +83,7 @@ def export_freemind(spark, d):
     return _trees(spark, d).select("conv_id", R.freemind(F.col("title"), F.col("branches")).alias("x")).select("conv_id", F.length("x").alias("chars"), F.md5("x").alias("md5"))
 
 
-def render_markdown(spark, d):
-    x = _articles(spark, d)
-    r = F.struct("title", "summary", "thesis", "arguments", "quotes", F.expr("cast(array() as array<struct<term: string, explanation: string>>)").alias("concepts"), F.expr("cast(array() as array<string>)").alias("questions"))
-    return x.select("conv_id", R.article_markdown(r, F.lit("（完）")).alias("x")).select("conv_id", F.length("x").alias("chars"), F.md5("x").alias("md5"))
-
-
-def export_html(spark, d):
-    x = _trees(spark, d)
-    secs = F.array(F.struct(F.lit("总结").alias("heading"), F.col("summary").alias("body")), F.struct(F.lit("论点").alias("heading"), F.col("thesis").alias("body")))
-    return x.select("conv_id", R.html_page(F.col("title"), secs, F.col("branches")).alias("x")).select("conv_id", F.length("x").alias("chars"), F.md5("x").alias("md5"))
-
-
-def render_estimate_md(spark, d):
-    x = B.estimate_modes(spark.read.parquet(f"{d}/documents.parquet"))
-    g = x.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "mode", "calls", "total_tokens", "minutes"))).alias("m"))
-    return g.select("doc_id", F.md5(R.estimate_markdown(F.col("m"))).alias("md5"))
-
-
-def meta_footer(spark, d):
-    e = F.col("event_id")
-    status = F.element_at(F.array(*[F.lit(x) for x in ("hit", "fallback", "miss", "disabled", "")]), (e % 5 + 1).cast("int"))
-    m = F.struct(status.alias("cache"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm").alias("fetched_at"), F.when(e % 2 == 0, e).alias("calls"), (e * 3).alias("total_tokens"), (e.cast("double") / 4).alias("minutes"), F.when(e % 3 == 0, F.lit(" a ")).alias("source"), e.alias("chars"), F.lit("map").alias("depth"))
-    return _events(spark, d).select("event_id", R.meta_footer(m).alias("line"))
-
-
-QUERIES = {f.__name__: f for f in (route_request, job_label, progress_lines, pdf_progress, group_items_by_type, confidence_class, mind_tree, export_freemind, render_markdown, export_html, render_estimate_md, meta_footer)}
+QUERIES = {f.__name__: f for f in (route_request, job_label, progress_lines, pdf_progress, group_items_by_type, confidence_class, mind_tree, export_freemind)}
 
 
 def _num(x: str) -> str:
@@ -118,8 +93,8 @@ def _num(x: str) -> str:
 from tessella.plans.budgets import ORACLE_SQL as _B  # noqa: E402
 from tessella.plans.texts import _CHUNKS  # noqa: E402
 
-_ITEMS = f"SELECT conv_id, turn, ({_KINDS!r})[CAST((turn * 5 % 12 + conv_id % 2) % 12 + 1 AS INT)] AS type, substr(text, 1, 30) AS claim FROM conversations"
-_ART = """SELECT conv_id, '会话 <' || conv_id || '>' AS title, a[1].t AS thesis, a[1:10] AS a, a[1:8] AS q FROM (SELECT conv_id, list(struct_pack(t := substr(text, 1, 90), e := CASE WHEN turn % 2 = 0 THEN substr(text, 1, 90) ELSE '' END, s := role) ORDER BY turn) AS a FROM conversations GROUP BY conv_id)"""
+_ITEMS = f"SELECT conv_id, turn, ({_KINDS!r})[CAST((turn * 5 % 12 + conv_id % 2) % 12 + 1 AS INT)] AS type, text AS claim FROM conversations"
+_ART = """SELECT conv_id, '会话 <' || conv_id || '>' AS title, a[1].t AS thesis, a[1:10] AS a, a[1:8] AS q FROM (SELECT conv_id, list(struct_pack(t := text, e := CASE WHEN turn % 2 = 0 THEN text ELSE '' END, s := role) ORDER BY turn) AS a FROM conversations GROUP BY conv_id)"""
 _ESC = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _N = "chr(10)"
 ORACLE_SQL = {
@@ -129,7 +104,7 @@ ORACLE_SQL = {
       LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({_CHUNKS}) GROUP BY doc_id) c ON c.doc_id = d.doc_id JOIN (SELECT doc_id, minutes FROM ({_B["estimate_modes"]}) WHERE mode = 'deep') m ON m.doc_id = d.doc_id""",
     "progress_lines": """WITH p AS (SELECT doc_id, CAST(least(ceil(length(text) / 6000.0::DOUBLE), 20) AS BIGINT) AS n FROM documents WHERE length(text) > 9000), e AS (SELECT doc_id, n, unnest(range(1, n + 1)) AS i FROM p)
       SELECT doc_id, i * 2 - 1 AS seq, '精读第 ' || i || '/' || n || ' 段…' AS line FROM e UNION ALL SELECT doc_id, i * 2, '完成第 ' || i || '/' || n || ' 段' FROM e UNION ALL SELECT doc_id, n * 2 + 1, '汇总中…' FROM p""",
-    "pdf_progress": """WITH RECURSIVE j AS (SELECT event_id, event_id % 90 + 1 AS n FROM events WHERE event_id < 300), s AS (
+    "pdf_progress": """WITH RECURSIVE j AS (SELECT event_id, event_id % 90 + 1 AS n FROM events), s AS (
       SELECT event_id, n, 0::BIGINT AS page, -1::BIGINT AS last, -1::BIGINT AS pct, false AS say FROM j UNION ALL
       SELECT event_id, n, page + 1, CASE WHEN f THEN p ELSE last END, p, f FROM (SELECT *, page + 1 >= n OR p >= last + 5 AS f FROM (SELECT *, CAST(floor((page + 1)::DOUBLE / n * 100 + 0.5::DOUBLE) AS BIGINT) AS p FROM (SELECT event_id, n, page, last FROM s WHERE page < n))))
       SELECT event_id, page, '解析 PDF 中… ' || pct || '%（' || page || '/' || n || ' 页）' AS line FROM s WHERE say""",
@@ -144,11 +119,4 @@ ORACLE_SQL = {
       || '    <node TEXT="核心论点">' || {_N} || '      <node TEXT="' || {_ESC.format('thesis')} || '"/>' || {_N} || '    </node>' || {_N} || '    <node TEXT="论证结构">' || {_N}
       || array_to_string(list_transform(a, lambda x: '      <node TEXT="' || {_ESC.format('substr(x.t, 1, 60)')} || CASE WHEN x.e = '' THEN '"/>' ELSE '">' || {_N} || '        <node TEXT="论据：' || {_ESC.format('substr(x.e, 1, 80)')} || '"/>' || {_N} || '      </node>' END), {_N}) || {_N} || '    </node>' || {_N}
       || '    <node TEXT="金句摘录">' || {_N} || array_to_string(list_transform(q, lambda x: '      <node TEXT="' || {_ESC.format('substr(x.t, 1, 60)')} || '"/>'), {_N}) || {_N} || '    </node>' || {_N} || '  </node>' || {_N} || '</map>' AS x FROM ({_ART}))""",
-    "render_markdown": f"""SELECT conv_id, length(x) AS chars, md5(x) AS md5 FROM (SELECT conv_id, '# ' || title || {_N} || {_N} || '**一句话总结**：s' || {_N} || {_N} || '**核心论点**：' || thesis || {_N} || {_N} || '## 论证结构' || {_N}
-      || array_to_string(list_transform(a, lambda x, i: i || '. ' || x.t || CASE WHEN x.e <> '' THEN ' —— 论据：' || x.e ELSE '' END || '（' || x.s || '）'), {_N}) || {_N} || {_N} || '## 金句摘录' || {_N} || array_to_string(list_transform(q, lambda x: '> ' || x.t), {_N} || {_N}) || {_N} || {_N} || '---' || {_N} || {_N} || '（完）' AS x FROM ({_ART}))""",
-    "export_html": f"""SELECT conv_id, length(x) AS chars, md5(x) AS md5 FROM (SELECT conv_id, '<!DOCTYPE html><html><head><meta charset="utf-8"><title>' || {_ESC.format('title')} || '</title></head><body><h1>' || {_ESC.format('title')} || '</h1><section class="sec"><h2><span class="num">01</span>总结</h2><p>s</p></section><section class="sec"><h2><span class="num">02</span>论点</h2><p>' || replace({_ESC.format('thesis')}, {_N}, '<br>') || '</p></section><ul class="tree"><li>核心论点<ul><li>' || {_ESC.format('thesis')} || '</li></ul></li><li>论证结构<ul>'
-      || array_to_string(list_transform(a, lambda x: '<li>' || {_ESC.format('substr(x.t, 1, 60)')} || CASE WHEN x.e = '' THEN '' ELSE '<ul><li>论据：' || {_ESC.format('substr(x.e, 1, 80)')} || '</li></ul>' END || '</li>'), '') || '</ul></li><li>金句摘录<ul>' || array_to_string(list_transform(q, lambda x: '<li>' || {_ESC.format('substr(x.t, 1, 60)')} || '</li>'), '') || '</ul></li></ul></body></html>' AS x FROM ({_ART}))""",
-    "render_estimate_md": f"""SELECT doc_id, md5('# 预算预检' || {_N} || {_N} || '| 模式 | 调用次数 | token | 分钟 |' || {_N} || '| --- | --- | --- | --- |' || {_N} || string_agg('| ' || mode || ' | ' || calls || ' | ' || total_tokens || ' | ' || ({_num('minutes')}) || ' |', {_N} ORDER BY ord)) AS md5 FROM ({_B["estimate_modes"]}) GROUP BY doc_id""",
-    "meta_footer": f"""SELECT event_id, '（来源：' || CASE WHEN event_id % 3 = 0 THEN 'a' ELSE '粘贴文本' END || ' · 字数：' || event_id || ' · 深度：map' || CASE event_id % 5 WHEN 0 THEN ' · 缓存命中（抓取于 ' || a || '，未重新联网）' WHEN 1 THEN ' · 回退缓存（抓取于 ' || a || '）' WHEN 2 THEN ' · 已重新抓取并写入缓存' WHEN 3 THEN ' · 缓存已禁用' ELSE '' END
-      || CASE WHEN event_id % 2 = 0 THEN ' · 本次预算：约 ' || event_id || ' 次调用 / ' || event_id * 3 || ' token / ≈' || ({_num('m')}) || ' 分钟' ELSE '' END || '）' AS line FROM (SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS a, event_id::DOUBLE / 4 AS m FROM events)""",
 }

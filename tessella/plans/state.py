@@ -30,16 +30,17 @@ def cache_stale(spark, d):
 
 def cache_write(spark, d):
     x = _records(spark, d)
-    return S.cache_write(x.where("event_id % 3 = 0").select("url", "text", "fetched_at").limit(0), x, _now(), 72)
+    none = spark.createDataFrame([], "url string, text string, fetched_at string")
+    return S.cache_write(none, x, _now(), 72)
 
 
 def _cache(spark, d):
-    x = _records(spark, d).where("event_id % 2 = 0")
+    x = _records(spark, d)
     return x.groupBy("url").agg(F.max(F.struct("seq", "text", "fetched_at")).alias("m")).select("url", F.when(F.col("m.seq") % 10 != 4, F.col("m.text")).alias("text"), "m.fetched_at")
 
 
 def cache_read(spark, d):
-    r = _events(spark, d).where("event_id % 2 = 1").select("event_id", F.concat(F.lit("u"), "user_id").alias("url"))
+    r = _events(spark, d).select("event_id", F.concat(F.lit("u"), "user_id").alias("url"))
     x = S.cache_read(r, _cache(spark, d), _now(), 72)
     return x.select("event_id", "url", F.col("text").isNotNull().alias("hit"), "fetched_at")
 
@@ -47,7 +48,7 @@ def cache_read(spark, d):
 def cache_policy(spark, d):
     e = F.col("event_id")
     fetched = F.when(e % 3 == 1, F.concat(F.lit("page "), e.cast("string"))).when(e % 30 == 5, F.lit("环境异常"))
-    r = _events(spark, d).where("event_id % 2 = 1").select(e.alias("req_id"), F.concat(F.lit("u"), "user_id").alias("url"), (e % 7 == 0).alias("refresh"), fetched.alias("fetched"), F.lit("timeout").alias("error"))
+    r = _events(spark, d).select(e.alias("req_id"), F.concat(F.lit("u"), "user_id").alias("url"), (e % 7 == 0).alias("refresh"), fetched.alias("fetched"), F.lit("timeout").alias("error"))
     return S.cache_policy(r, _cache(spark, d), _now(), 72).select("req_id", "cache", F.md5("text").alias("md5"), "fetched_at", "note", "write")
 
 
@@ -90,7 +91,7 @@ def history_read(spark, d):
 
 _REC = "SELECT event_id, 'u' || user_id AS url, props AS text, ts, event_id % 50 = 7 AS bad, CASE WHEN event_id % 50 = 7 THEN 'not-a-date' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') END AS fetched_at, event_id AS seq FROM events"
 _STALE = f"(bad OR epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts) >= {{}}::BIGINT * 3600000000)"
-_CACHE = f"SELECT url, CASE WHEN seq % 10 <> 4 THEN text END AS text, fetched_at, {_STALE.format(72)} AS stale FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq DESC) AS rn FROM ({_REC}) WHERE event_id % 2 = 0) WHERE rn = 1"
+_CACHE = f"SELECT url, CASE WHEN seq % 10 <> 4 THEN text END AS text, fetched_at, {_STALE.format(72)} AS stale FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq DESC) AS rn FROM ({_REC})) WHERE rn = 1"
 _HIST = "SELECT source || '|' || kind || '|' || title AS id, * FROM (SELECT 's' || (user_id % 40) AS source, (['article', 'book', 'map', 'feynman', 'batch'])[CAST(event_id % 5 + 1 AS INT)] AS kind, event_type AS title, event_id AS seq, value AS chars FROM events)"
 _HIST_TOP = f"SELECT id, seq, source, kind, title, chars FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM ({_HIST})) WHERE rn = 1 ORDER BY seq DESC LIMIT"
 
@@ -98,11 +99,11 @@ QUERIES = {f.__name__: f for f in (cache_stale, cache_write, cache_read, cache_p
 ORACLE_SQL = {
     "cache_stale": f"SELECT event_id, {_STALE.format(168)} AS stale FROM ({_REC})",
     "cache_write": f"SELECT url, text, fetched_at FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq DESC) AS rn FROM ({_REC})) WHERE rn = 1 AND NOT {_STALE.format(72)} ORDER BY fetched_at DESC, url DESC LIMIT 200",
-    "cache_read": f"SELECT e.event_id, 'u' || e.user_id AS url, c.text IS NOT NULL AS hit, c.fetched_at FROM events e LEFT JOIN (SELECT * FROM ({_CACHE}) WHERE text IS NOT NULL AND NOT stale) c ON c.url = 'u' || e.user_id WHERE e.event_id % 2 = 1",
+    "cache_read": f"SELECT e.event_id, 'u' || e.user_id AS url, c.text IS NOT NULL AS hit, c.fetched_at FROM events e LEFT JOIN (SELECT * FROM ({_CACHE}) WHERE text IS NOT NULL AND NOT stale) c ON c.url = 'u' || e.user_id",
     "cache_policy": f"""SELECT req_id, cache, md5(CASE WHEN hit THEN text ELSE coalesce(fetched, text) END) AS md5, CASE WHEN hit OR fetched IS NULL THEN fetched_at END AS fetched_at, CASE WHEN cache = 'fallback' THEN '抓取失败（timeout），已回退缓存全文' END AS note, NOT hit AND fetched IS NOT NULL AND fetched <> '环境异常' AS write FROM (
       SELECT *, CASE WHEN hit THEN 'hit' WHEN fetched IS NOT NULL THEN 'miss' WHEN text IS NOT NULL THEN 'fallback' END AS cache FROM (
       SELECT e.event_id AS req_id, c.text, c.fetched_at, CASE WHEN e.event_id % 3 = 1 THEN 'page ' || e.event_id WHEN e.event_id % 30 = 5 THEN '环境异常' END AS fetched, c.text IS NOT NULL AND e.event_id % 7 <> 0 AND NOT coalesce(c.stale, true) AS hit
-      FROM events e LEFT JOIN (SELECT * FROM ({_CACHE}) WHERE text IS NOT NULL) c ON c.url = 'u' || e.user_id WHERE e.event_id % 2 = 1))""",
+      FROM events e LEFT JOIN (SELECT * FROM ({_CACHE}) WHERE text IS NOT NULL) c ON c.url = 'u' || e.user_id))""",
     "ewma_calibration": """SELECT event_type, count(*) AS calls, list_reduce(list(r ORDER BY event_id), lambda a, x: a * 0.8::DOUBLE + x * 0.2::DOUBLE) AS rate, list_reduce(list(l ORDER BY event_id), lambda a, x: a * 0.8::DOUBLE + x * 0.2::DOUBLE) AS latency FROM (
       SELECT event_type, event_id, CASE WHEN event_id % 11 = 0 THEN -value ELSE value + 1 END AS r, CASE WHEN value * 100 - 200 > 0 THEN least(5000.0::DOUBLE, greatest(50.0::DOUBLE, value * 100 - 200)) ELSE 800.0::DOUBLE END AS l FROM events) WHERE r > 0 GROUP BY event_type""",
     "calibration_load": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id + 0.5::DOUBLE WHEN 2 THEN 64.0::DOUBLE END AS rate, CASE event_id % 4 WHEN 2 THEN 750.0::DOUBLE END AS latency, CASE event_id % 4 WHEN 0 THEN 3.0::DOUBLE WHEN 2 THEN 0.0::DOUBLE END AS calls, CASE event_id % 4 WHEN 0 THEN 'x' END AS updated_at FROM events",
