@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessella.plans import budgets, pages, readings, records, rendering, reports, state, texts
+from tessella.plans import budgets, files, pages, readings, records, rendering, reports, state, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (budgets, texts, pages, state, records, reports, rendering, readings):
+for _module in (budgets, texts, pages, files, state, records, reports, rendering, readings):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)

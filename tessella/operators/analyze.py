@@ -25,6 +25,8 @@ from tessella.operators.budget import OUT_PART, OUT_QUICK, OUT_SHORT
 from tessella.providers import CORRECTION, ModelError, ModelProvider
 
 #: Attempts of a call, growth of the output budget after an error or a cut answer, and its cap.
+#: What is said of a request without a text.
+NOTHING = "nothing to analyse"
 ATTEMPTS, GROWTH, MOST_BUDGET, TEMPERATURE, TAIL = 3, 1.5, 16000, 0.2, 160
 
 _FIELDS = {
@@ -109,7 +111,11 @@ def call_stage(prompts: DataFrame, provider: ModelProvider, keys: list[str], fol
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
     spark = prompts.sparkSession
-    base = folder or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-")
+    base = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tessella-")
     path = f"{base}/answers-{uuid.uuid4().hex}"
     # many small tasks: calls are slow and should spread over all executors
     own.repartition(*keys).mapInArrow(run, f"{kinds}, answer string, attempts int, budget int, error string").write.parquet(path)
@@ -123,24 +129,32 @@ def _texts(requests: DataFrame, config: Config) -> DataFrame:
     return requests.select("req_id", T.prefix(T.newlines(F.col("text")), config.max_input_chars).alias("text"), col("language", "auto").alias("language"), col("focus", "").alias("focus")).where(T.or_else(F.col("text")) != "")
 
 
+def _blank_apart(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests with a text, and (req_id, error) of those without."""
+    blank = T.or_else(F.col("text")) == ""
+    return requests.where(~blank), requests.where(blank).select("req_id", F.lit(NOTHING).alias("error"))
+
+
 def _section_user(text: Column, label: Column) -> Column:
     return F.concat(F.when(label != "", label).otherwise(F.lit("以下是待精读的内容：")), F.lit("\n\n"), text)
 
 
 def quick(requests: DataFrame, provider: ModelProvider, config: Config = Config(), budget: int = OUT_QUICK) -> DataFrame:
     """One call a document on its first 30000 characters: req_id, r (sanitised reading), error."""
+    requests, blank = _blank_apart(requests)
     x = _texts(requests, config).withColumn("text", T.prefix(F.col("text"), QUICK_CHARS))
     p = x.select("req_id", system_prompt("section", F.col("language"), F.col("focus"), True).alias("system"), _section_user(F.col("text"), F.lit("")).alias("user"), F.lit(budget).alias("budget"))
-    return call_stage(p, provider, ["req_id"]).select("req_id", F.when(F.col("error").isNull(), S.section(F.col("v"), "未命名内容")).alias("r"), "error", "attempts")
+    return call_stage(p, provider, ["req_id"]).select("req_id", F.when(F.col("error").isNull(), S.section(F.col("v"), "未命名内容")).alias("r"), "error", "attempts").unionByName(blank, allowMissingColumns=True)
 
 
 def sections(requests: DataFrame, provider: ModelProvider, config: Config = Config(), kind: str = "section") -> DataFrame:
     """One call per chunk, all in parallel: req_id, index, total, v, error."""
+    requests, blank = _blank_apart(requests)
     x = _texts(requests, config)
     c = C.chunks(x, "req_id", config, "part" if kind == "section" else "chapter")
     c = c.join(x.select("req_id", "language", "focus"), "req_id")
     p = c.select("req_id", "index", "total", system_prompt(kind, F.col("language"), F.col("focus")).alias("system"), _section_user(F.col("text"), F.col("label")).alias("user"), F.lit(OUT_PART).alias("budget"))
-    return call_stage(p, provider, ["req_id", "index", "total"])
+    return call_stage(p, provider, ["req_id", "index", "total"]).unionByName(blank, allowMissingColumns=True)
 
 
 def chapters(parts: DataFrame) -> DataFrame:
@@ -167,6 +181,7 @@ def _split(requests: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
 
 def deep(requests: DataFrame, provider: ModelProvider, config: Config = Config(), book: bool = False) -> DataFrame:
     """Short texts by one call; long ones (and all of a book) by sections and a final call: req_id, kind, r, structure, citations, chapters, error."""
+    requests, blank = _blank_apart(requests)
     short, long = (requests.where("false"), requests) if book else _split(requests, config)
     x = _texts(short, config)
     p = x.select("req_id", system_prompt("section", F.col("language"), F.col("focus")).alias("system"), _section_user(F.col("text"), F.lit("")).alias("user"), F.lit(OUT_SHORT).alias("budget"))
@@ -178,22 +193,24 @@ def deep(requests: DataFrame, provider: ModelProvider, config: Config = Config()
     return y.select(
         "req_id", F.lit("book" if book else "article").alias("kind"), F.when(F.col("error").isNull(), S.section(F.col("v"), title)).alias("r"), S.texts(S.member(F.col("v"), "structure"), S.STEPS).alias("structure"),
         S.records(S.member(F.col("v"), "citations"), S.CITATIONS).alias("citations"), "chapters", "error",
-    )
+    ).unionByName(blank, allowMissingColumns=True)
 
 
 def knowledge_map(requests: DataFrame, provider: ModelProvider, config: Config = Config()) -> DataFrame:
     """req_id, m (sanitised map), error; long texts by sections first."""
+    requests, blank = _blank_apart(requests)
     short, long = _split(requests, config)
     x = _texts(short, config)
     user = F.concat(F.lit("以下是待整理的内容：\n\n"), F.col("text"))
     p = x.select("req_id", system_prompt("map", F.col("language"), F.col("focus")).alias("system"), user.alias("user"), F.lit(OUT_PART).alias("budget"))
     one = call_stage(p, provider, ["req_id"]).select("req_id", "v", "error")
     many = _final(long, chapters(sections(long, provider, config)), provider, "map", config).select("req_id", "v", "error")
-    return one.unionByName(many).select("req_id", F.when(F.col("error").isNull(), S.knowledge_map(F.col("v"))).alias("m"), "error")
+    return one.unionByName(many).select("req_id", F.when(F.col("error").isNull(), S.knowledge_map(F.col("v"))).alias("m"), "error").unionByName(blank, allowMissingColumns=True)
 
 
 def feynman(requests: DataFrame, provider: ModelProvider, config: Config = Config()) -> DataFrame:
     """req_id, toc, questions, chapters, title, summary, thesis, book_map, final_explanation, review_plan, error."""
+    requests, blank = _blank_apart(requests)
     _, long = _split(requests, config)
     x = _texts(long, config)
     user = F.concat(F.lit("请浏览目录并提出阅读问题：\n\n"), T.prefix(F.col("text"), STRUCTURE_CHARS))
@@ -213,7 +230,7 @@ def feynman(requests: DataFrame, provider: ModelProvider, config: Config = Confi
         "req_id", F.coalesce("toc", none).alias("toc"), F.coalesce("questions", none).alias("questions"), "chapters", or_text("title", F.when(F.col("toc").isNotNull(), "费曼读书报告").otherwise("费曼精读报告")).alias("title"),
         or_text("summary", F.coalesce(T.prefix(first["explanation"], 100), F.lit(""))).alias("summary"), or_text("thesis", claim).alias("thesis"), S.text(v, "bookMap").alias("book_map"),
         S.text(v, "finalExplanation").alias("final_explanation"), S.records(S.member(v, "reviewPlan"), S.REVIEW).alias("review_plan"), F.coalesce("error", "plan_error").alias("error"),
-    )
+    ).unionByName(blank, allowMissingColumns=True)
 
 
 def batch(requests: DataFrame, provider: ModelProvider, config: Config = Config()) -> DataFrame:

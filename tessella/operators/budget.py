@@ -142,3 +142,27 @@ def batch_estimate(docs: DataFrame, config: Config = Config(), rates: Rates = Ra
     minutes = toks.cast("double") / F.lit(float(rates.rate)) / F.lit(60.0) + (calls.cast("double") * F.lit(float(rates.latency))) / F.lit(60000.0)
     totals = rows.groupBy("batch_id").agg(n.alias("items"), F.sum("chars").alias("chars"), calls.alias("total_calls"), toks.alias("total_tokens"), T.round_half_up(minutes, 10).alias("total_minutes"))
     return rows, totals
+
+
+#: What a budget request that is no POST, or that names no source, is told.
+ONLY_POST, NO_SOURCE = "仅支持 POST", "请提供 url、path 或 text（至少其一）"
+
+
+def envelopes(requests: DataFrame, sources: DataFrame, config: Config = Config(), rates: Rates = Rates()) -> DataFrame:
+    """Answers of the budget endpoint: req_id, status, ok, error, chars, source, source_kind, note, cache, modes, est_tokens_per_second, est_latency_per_call_ms, calibrated.
+
+    ``requests``: req_id, method, url, path, text. ``sources``: what they resolve to (req_id, text, source, source_kind, note, cache, error).
+    """
+    named = (T.or_else(F.col("url")) != "") | (T.or_else(F.col("path")) != "") | (T.or_else(F.col("text")) != "")
+    refused = F.when(F.upper(F.coalesce("method", F.lit(""))) != "POST", ONLY_POST).when(~named, NO_SOURCE)
+    asked = requests.select("req_id", refused.alias("refused"))
+    x = asked.join(sources.withColumnRenamed("text", "body"), "req_id", "left").withColumn("error", F.coalesce("refused", "error"))
+    good = x.where("error is null").select("req_id", F.col("body").alias("text"))
+    m = F.struct("ord", "mode", "note", "calls", "input_tokens", "output_tokens", "total_tokens", "minutes", "minutes_formula")
+    e = estimate_modes(good, "req_id", config, rates).groupBy("req_id").agg(
+        F.array_sort(F.collect_list(m)).alias("modes"), F.first("chars").alias("chars"), F.first("est_tokens_per_second").alias("est_tokens_per_second"), F.first("est_latency_per_call_ms").alias("est_latency_per_call_ms"), F.first("calibrated").alias("calibrated")
+    )
+    ok = F.col("error").isNull()
+    status = F.when(F.col("refused") == ONLY_POST, 405).when(ok | F.col("refused").isNotNull(), 200).otherwise(500)
+    own = [F.when(ok, F.when(F.col(c) != "", F.col(c)) if c == "note" else F.col(c)).alias(c) for c in ("source", "source_kind", "note", "cache")]
+    return x.join(e, "req_id", "left").select("req_id", status.alias("status"), ok.alias("ok"), "error", "chars", *own, "modes", "est_tokens_per_second", "est_latency_per_call_ms", "calibrated")

@@ -25,29 +25,32 @@ BLOCKS = ("script", "style", "noscript", "svg", "iframe", "form", "nav", "footer
 STRAY = ("script", "style", "noscript", "svg", "iframe")
 CLOSING = "p|div|section|article|li|tr|h[1-6]|blockquote|pre|ul|ol|figure|figcaption|header|footer|table|details"
 OPENING = "p|div|section|article|blockquote|pre|table"
-#: Stands for an ampersand that came from an entity, so that it starts no other one.
-_AMP = ""
+#: Fixed value: the form of an entity.
+ENTITY = r"&(?:#x?[0-9a-fA-F]+|[a-zA-Z]+);"
 
 
 def decode_entities(c: Column) -> Column:
-    """Named and numeric entities in one pass: what an entity gives is never read as one again."""
-    for name, to in ENTITIES.items():
-        if name != "amp":
-            c = F.regexp_replace(c, f"(?i)&{name};", to)
-    c = F.regexp_replace(c, "(?i)&amp;", _AMP)
-
-    def put(text: Column, e: Column) -> Column:
-        hexa = F.lower(F.substring(e, 3, 1)) == "x"
-        digits = F.when(hexa, F.regexp_extract(e, "(?i)x([0-9a-f]+)", 1)).otherwise(F.regexp_extract(e, "([0-9]+)", 1))
-        code = F.when(hexa, F.conv(digits, 16, 10)).otherwise(digits).cast("decimal(20,0)").cast("long")
+    """Named and numeric entities in one pass: what an entity gives is never read as one again.
+
+    A number without ``x`` counts as far as its decimal digits go. Numbers that are no character, and unknown names, stay as they are.
+    """
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def char(e: Column) -> Column:
+        hexa = F.startswith(e, F.lit("&#x"))
+        digits = F.when(hexa, F.conv(F.substring(e, 4, 20), 16, 10)).otherwise(F.regexp_extract(e, "^&#([0-9]+)", 1))
+        code = F.when(F.length(F.regexp_replace(digits, "^0+", "")) <= 9, digits).try_cast("long")
         ok = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(F.when(ok, code).otherwise(F.lit(63).cast("long"))), 8, "0")), "UTF-32")
-        char = F.when(char == "&", F.lit(_AMP)).otherwise(char)
-        return F.when(ok, F.replace(text, e, char)).otherwise(text)
+        made = F.decode(F.unhex(F.lpad(F.hex(F.when(ok, code).otherwise(F.lit(63).cast("long"))), 8, "0")), "UTF-32")
+        number = F.when(ok, made).otherwise(e)
+        return F.when(F.startswith(e, F.lit("&#")), number).otherwise(F.coalesce(F.try_element_at(names, F.lower(F.regexp_replace(e, "[&;]", ""))), e))
+
+    def whole(t: Column) -> Column:
+        between, found = F.split(t, ENTITY, -1), F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))
+        return F.array_join(F.zip_with(between, found, lambda x, e: F.concat(x, F.when(e.isNull(), F.lit("")).otherwise(char(e)))), "")
 
-    # one element array: the text is named once, however often the fold reads it
-    once = F.transform(F.array(c), lambda t: F.aggregate(F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#(?:[0-9]{1,12}|[xX][0-9a-fA-F]{1,12});"), F.lit(0))), t, put))
-    return F.replace(F.element_at(once, 1), F.lit(_AMP), F.lit("&"))
+    # one element array: the text is named once, however often it is read
+    return F.when(F.contains(c, F.lit("&")), F.element_at(F.transform(F.array(c), whole), 1)).otherwise(c)
 
 
 def title(html: Column) -> Column:

@@ -68,7 +68,7 @@ def records(v: Column, kind: tuple) -> Column:
 def struct_records(c: Column, kind: tuple) -> Column:
     """The same for an array of structs that already has the fields; null is an empty array."""
     fields, most, keep = kind
-    cleaned = F.transform(F.slice(F.coalesce(c, F.expr("array()")) if False else c, 1, most), lambda x: F.struct(*[T.or_else(x[f]).alias(f) for f in fields]))
+    cleaned = F.transform(F.slice(c, 1, most), lambda x: F.struct(*[T.or_else(x[f]).alias(f) for f in fields]))
 
     def good(s: Column) -> Column:
         ok = s[keep[0]] != ""
@@ -76,7 +76,7 @@ def struct_records(c: Column, kind: tuple) -> Column:
             ok = ok | (s[k] != "")
         return ok
 
-    return F.filter(cleaned, good)
+    return F.coalesce(F.filter(cleaned, good), F.slice(F.array(F.struct(*[F.lit("").alias(f) for f in fields])), 1, 0))
 
 
 def texts(v: Column, most: int, trimmed: bool = True) -> Column:

@@ -98,7 +98,7 @@ _MODEL = """{"title": " T ", "summary": "s", "thesis": 7, "arguments": ["plain",
 
 
 def _one(spark, d):
-    return _events(spark, d).where("event_id < 10").select("event_id", F.parse_json(F.lit(_MODEL)).alias("v"))
+    return _events(spark, d).select("event_id", F.parse_json(F.lit(_MODEL)).alias("v"))
 
 
 def sanitize_section(spark, d):
@@ -140,7 +140,7 @@ ORACLE_SQL = {
     "looks_truncated": "SELECT event_id, event_id % 6 IN (1, 2) OR (event_id % 6 = 4 AND right(substr(props, 1, length(props) - 2), 1) NOT IN ('}', ']')) AS cut FROM events",
     "coerce_arr": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a|b' WHEN 1 THEN 'one' ELSE '' END AS items FROM events",
     "retry_budget": "SELECT event_id, b0, b1, CAST(least(ceil(b1 * 1.5::DOUBLE), 16000) AS BIGINT) AS b2 FROM (SELECT event_id, event_id % 16000 + 1 AS b0, CAST(least(ceil((event_id % 16000 + 1) * 1.5::DOUBLE), 16000) AS BIGINT) AS b1 FROM events)",
-    **{k: f"SELECT event_id, '{v}' AS json FROM events WHERE event_id < 10" for k, v in (("sanitize_section", _SECTION), ("sanitize_map", _MAP), ("sanitize_feynman_chapter", _CHAPTER), ("sanitize_comparison", _COMPARE), ("condense_parts", _CONDENSED))},
+    **{k: f"SELECT event_id, '{v}' AS json FROM events" for k, v in (("sanitize_section", _SECTION), ("sanitize_map", _MAP), ("sanitize_feynman_chapter", _CHAPTER), ("sanitize_comparison", _COMPARE), ("condense_parts", _CONDENSED))},
     **{k: _oracle(v) for k, v in _KINDS.items()},
     **{k: _texts_oracle(v) for k, v in _LISTS.items()},
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.config import PDF_BYTES
+from tessella.config import PDF_BYTES, SAMPLED_PDF_BYTES
 from tessella.functions import text as T
 from tessella.operators import html as H
 
@@ -83,12 +83,39 @@ def scan_files(spark: SparkSession, *paths: str) -> DataFrame:
     return x.select("path", F.when(html, H.body_text(F.col("text"))).when(ok, F.col("text")).alias("text"), F.lit("file").alias("source_kind"), F.when(~ok, F.lit("unsupported file type")).alias("error"))
 
 
-def scan_pdfs(spark: SparkSession, *paths: str, stats_only: bool = False) -> DataFrame:
-    """path, text or page statistics, error of PDF files of at most 30 MiB; longer ones are skipped by their length before they are read."""
+def _files(spark: SparkSession, paths: tuple[str, ...]) -> DataFrame:
+    return spark.read.format("binaryFile").load(list(paths)).select("path", "length", "content")
+
+
+def _apart(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files (path, length, content) that are read, and (path, error) of those of more than PDF_BYTES, which are not."""
+    return files.where(F.col("length") <= PDF_BYTES), files.where(F.col("length") > PDF_BYTES).select("path", F.lit("file too large").alias("error"))
+
+
+def read_pdfs(files: DataFrame, stats_only: bool = False) -> DataFrame:
+    """path, pages and text or page statistics, error of PDF files (path, length, content)."""
+    from tessella.sources import pdf
+
+    fit, large = _apart(files)
+    return (pdf.stats(fit) if stats_only else pdf.texts(fit)).unionByName(large, allowMissingColumns=True)
+
+
+def for_estimate(files: DataFrame) -> DataFrame:
+    """path, pages and text, n_pages and sample statistics, error: files of more than SAMPLED_PDF_BYTES are only sampled, the others read whole."""
     from tessella.sources import pdf
 
-    x = spark.read.format("binaryFile").load(list(paths)).where(F.col("length") <= PDF_BYTES).select("path", "content")
-    return pdf.stats(x) if stats_only else pdf.texts(x)
+    fit, large = _apart(files)
+    whole = pdf.texts(fit.where(F.col("length") <= SAMPLED_PDF_BYTES))
+    some = pdf.stats(fit.where(F.col("length") > SAMPLED_PDF_BYTES)).withColumnRenamed("pages", "n_pages")
+    return whole.unionByName(some, allowMissingColumns=True).unionByName(large, allowMissingColumns=True)
+
+
+def scan_pdfs(spark: SparkSession, *paths: str, stats_only: bool = False) -> DataFrame:
+    return read_pdfs(_files(spark, paths), stats_only)
+
+
+def scan_for_estimate(spark: SparkSession, *paths: str) -> DataFrame:
+    return for_estimate(_files(spark, paths))
 
 
 def with_title(title: Column, text: Column) -> Column:

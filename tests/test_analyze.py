@@ -47,7 +47,8 @@ def test_every_reason_is_kept():
 def test_short_texts_take_one_call_long_ones_a_call_per_part(spark):
     docs = spark.createDataFrame([(1, "short text."), (2, "字" * 10000), (3, None), (4, " ")], DDL)
     got = {r.req_id: r for r in A.deep(docs, FixtureProvider(answer=lambda s, u: section(u[:20]))).collect()}
-    assert set(got) == {1, 2}
+    assert set(got) == {1, 2, 3, 4}
+    assert all(got[i].error == A.NOTHING and got[i].r is None for i in (3, 4))
     assert got[1].chapters == [] and len(got[2].chapters) == 2
     assert got[2].chapters[0].title.startswith("【第 1 / 2 部分】") and len(got[2].r.arguments) == 10
     assert got[2].structure == ["a", "b"] and got[1].citations[0].source == "第3页"
@@ -81,3 +82,14 @@ def test_batch_compares_ten_documents(spark):
     docs = spark.createDataFrame([(b, i, f"Text {i}. Two. ") for b in (1, 2) for i in range(1, 13)], "batch_id long, item long, text string")
     got = {r.batch_id: r for r in A.batch(docs, FixtureProvider()).collect()}
     assert set(got) == {1, 2} and got[1]["items"] == 10 and got[1].comparison[0].positions and got[1].error is None
+
+
+def test_blank_texts_are_rows_with_an_error(spark):
+    docs = spark.createDataFrame([(1, "short text."), (2, None), (3, " \n ")], DDL)
+    provider = FixtureProvider()
+    for f in (A.quick, A.sections, A.deep, lambda r, p: A.deep(r, p, book=True), A.knowledge_map, A.feynman):
+        got = f(docs, provider).collect()
+        assert sorted(r.req_id for r in got) == [1, 2, 3]
+        assert {r.req_id: r.error for r in got} == {1: None, 2: A.NOTHING, 3: A.NOTHING}
+    b = spark.createDataFrame([(1, 1, "a b."), (2, 1, " "), (2, 2, "c d.")], "batch_id long, item long, text string")
+    assert {r.batch_id: r.error for r in A.batch(b, provider).collect()} == {1: None, 2: A.NOTHING}

@@ -100,7 +100,7 @@ def test_chunks(spark):
 
 @pytest.mark.parametrize(
     "raw,want",
-    [("&amp;lt;", "&lt;"), ("&#38;lt;", "&lt;"), ("&amp;#65;", "&#65;"), ("&#x1F600;&#65;", "😀A"), ("&bogus; &COPY;", "&bogus; ©"), ("&#0;&#x110000;&#xD800;", "&#0;&#x110000;&#xD800;"), ("&nbsp;", " ")],
+    [("&amp;lt;", "&lt;"), ("&#38;lt;", "&lt;"), ("&amp;#65;", "&#65;"), ("&#x1F600;&#65;", "😀A"), ("&bogus; &COPY;", "&bogus; ©"), ("&#0;&#x110000;&#xD800;", "&#0;&#x110000;&#xD800;"), ("&nbsp;", " "), ("&#X41;&#41A;&#abc;&#x;", "&#X41;)&#abc;&#x;"), ("a\ue000b&amp;\ue000", "a\ue000b&\ue000"), ("&#00000000000065;&#99999999999999999999;&a1;&;", "A&#99999999999999999999;&a1;&;"), ("x & y", "x & y")],
 )
 def test_entities(spark, raw, want):
     assert one(spark, H.decode_entities(F.col("t")), t=raw)[0] == want
