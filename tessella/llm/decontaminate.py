@@ -5,24 +5,29 @@ moves on if a random bit of (j, word) says so. Windows at a small edit distance
 distance. Each repetition has its own walk and samples SAMPLES output positions; equal samples are a hit, and
 several hits near one place (for items under FEW_WORDS words a single one) a candidate. Windows
 of item size are covered by the starts of all walks in the texts against walks from every word of every item, so one
-stretch with few edits anywhere in an item is enough. Candidates are confirmed by the exact edit distance of the item to
-the best place in the text around it (Myers' bit vectors): at most MOST_EDITS of the item's characters.
+stretch with few edits anywhere in an item is enough. Candidates are confirmed by exact edit distances of the item to
+the best place in the text around it (Myers' bit vectors). The rule is stated in words, the letters of the embedding: a text
+holds an item if at most MOST_EDITS of the item's words are inserted, deleted or replaced; or, for typing errors, at most
+MOST_TYPOS of its words and MOST_EDITS of its characters.
 
 Repetitions follow from the target recall: with one word in ten edited a walk keeps its samples with probability about
-0.25 somewhere in an item of sixteen words, so ceil(log(1 - recall) / log(1 - 0.25)) are made.
+0.25 somewhere in an item of sixteen words, so ceil(log(1 - recall) / log(1 - 0.25)) are made. Tests measure the recall over
+all pairs that the rule accepts, by kind of edit and length of item.
 
 Texts are scanned once per block of items; a block holds at most BLOCK_WORDS words of items, which bounds what is sent
-to the executors. Walks whose first samples no item has are dropped at once, so nearly all words cost two look-ups.
+to the executors and what the driver holds; each block's matches are written before the next block is read. Walks whose first samples
+no item has are dropped at once, so nearly all words cost two look-ups.
 
 Cases: null texts match nothing; items of fewer than LEAST_WORDS words match only the same words, items of none nothing; repeated rows
-and repeated items are reported each once per (row key, item_id); other columns are ignored.
+and repeated items are reported each once per (row key, item_id), at the place of fewest edits, of equal ones the first; a very long text is
+one row of a task, with arrays of about 100 times its bytes; empty tables give an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 from tessella.llm import arrays as A
 from tessella.llm.store import Scratch, own_columns, row_key, spare_names
 
-RECALL, SAMPLES, MOST_EDITS, LEAST_WORDS, BLOCK_WORDS = 0.95, 5, 0.2, 4, 400_000
+RECALL, SAMPLES, MOST_EDITS, MOST_TYPOS, LEAST_WORDS, BLOCK_WORDS = 0.95, 5, 0.2, 0.4, 4, 400_000
 #: Starts with a hit near one place that make a candidate: a leaked item of many words has one at most of them, of items
 #: under FEW_WORDS words a single one is enough.
 MIN_HITS, FEW_WORDS = 2, 20
@@ -98,6 +103,7 @@ class Index:
         starts, ends, first = A.word_bounds(joined, off)
         words = A.span_hashes(A.prefix_sums(joined), starts, ends)
         n_words = np.diff(first)
+        self.words = [words[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
         owner = np.repeat(np.arange(len(data)), n_words)
         place = np.arange(len(words)) - first[owner]
         #: Per number of words under LEAST_WORDS: keys of the items, sorted, and whose they are.
@@ -180,10 +186,10 @@ def _prefix_keys(words: np.ndarray, at: np.ndarray, steps: int, r: int, m: int)
     return key, here
 
 
-def best_place(pattern: str, text: str) -> tuple[int, int]:
-    """Least edit distance of ``pattern`` to any substring of ``text``, and the end of the first such place."""
+def best_place(pattern: Sequence, text: Sequence) -> tuple[int, int]:
+    """Least edit distance of ``pattern`` to any part of ``text`` (characters or words), and the end of the first such place."""
     m = len(pattern)
-    peq: dict[str, int] = {}
+    peq: dict = {}
     for i, c in enumerate(pattern):
         peq[c] = peq.get(c, 0) | 1 << i
     mask, high = (1 << m) - 1, 1 << (m - 1)
@@ -224,10 +230,13 @@ def _matches(index: Index, s: A.Slice) -> Iterator[tuple[int, int, int, int, int
         lo, hi = max(int(first[i]), begin - slack), min(int(first[i + 1]), begin + n + 2 * slack)
         if lo >= hi:
             continue
+        done[(i, item)] = begin + max(1, slack // 2)
+        edited, _ = best_place(index.words[item], words[lo:hi].tolist())
+        if edited > (MOST_TYPOS * n if n >= LEAST_WORDS else 0):
+            continue
         text = plain(data[starts[lo] : ends[hi - 1]].tobytes().decode("utf-8", "replace"))
         best, _ = best_place(pattern, text)
-        done[(i, item)] = begin + max(1, slack // 2)
-        if best <= (MOST_EDITS * len(pattern) if n >= LEAST_WORDS else 0):
+        if edited <= MOST_EDITS * n or best <= MOST_EDITS * len(pattern):
             yield i, item, best, int(starts[lo] - s.offsets[i]), int(ends[hi - 1] - s.offsets[i])
 
 
@@ -240,10 +249,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL) -> Data
     kind, ikind = d.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"k1 long, k2 long, doc_id {kind}, item_id {ikind}, edits int, item_chars int, from_byte long, to_byte long"
     keyed = d.select(*row_key(), "doc_id", "text")
-    out = None
+    out, scratch = None, Scratch(docs.sparkSession)
     for b in range(blocks):
         own = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select("item_id", "text").collect()]
         hits = keyed.mapInArrow(_scanner(own, recall), schema)
+        # of several blocks each is written, so that only one block's items are held at a time
+        hits = scratch.cut(hits, "hits") if blocks > 1 else hits
         out = hits if out is None else out.union(hits)
     best = out.groupBy("k1", "k2", "doc_id", "item_id").agg(F.min(F.struct("edits", "item_chars", "from_byte", "to_byte")).alias("m"))
     return best.select("k1", "k2", "doc_id", "item_id", "m.*")

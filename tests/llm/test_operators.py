@@ -375,6 +375,66 @@ def test_short_items_are_found_at_the_bound(spark):
     assert got - near == {(900, 901), (901, 901), (901, 902), (902, 901), (902, 902), (902, 903)}
 
 
+def edited(rng, words_, kind):
+    """Words with as many edits of a kind as the rule allows."""
+    w, n = list(words_), len(words_)
+    many = int(decontaminate.MOST_EDITS * n) if kind != "typo" else int(decontaminate.MOST_TYPOS * n)
+    for at in sorted(rng.sample(range(n), many), reverse=True):
+        if kind == "replace":
+            w[at] = f"other{rng.randrange(9999)}"
+        elif kind == "delete":
+            del w[at]
+        elif kind == "insert":
+            w.insert(at, f"more{rng.randrange(9999)}")
+        else:
+            c = rng.randrange(len(w[at]))
+            w[at] = w[at][:c] + "#" + w[at][c + 1 :]
+    return w
+
+
+def letters(rng):
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+
+
+@pytest.mark.parametrize("kind", ["replace", "delete", "insert", "typo"])
+def test_recall_of_every_kind_of_edit(kind):
+    """Items with as many edits as the rule allows, in texts; recall over the pairs that the exact rule accepts."""
+    rng = random.Random(21)
+    vocabulary = [letters(rng) for _ in range(3000)]
+    items, texts = [], []
+    for n in (4, 5, 6, 8, 10, 12, 16, 20, 30, 40):
+        for _ in range(30):
+            w = [rng.choice(vocabulary) for _ in range(n)]
+            items.append((len(items), " ".join(w)))
+            texts.append(" ".join([rng.choice(vocabulary) for _ in range(40)] + edited(rng, w, kind) + [rng.choice(vocabulary) for _ in range(40)]))
+    batch = pa.record_batch([pa.array([t.encode() for t in texts], pa.binary())], names=["text"])
+    index = decontaminate.Index(items, decontaminate.RECALL)
+    found = {(s.lo + i, index.items[k][0]) for s in A.slices(batch) for i, k, *_ in decontaminate._matches(index, s)}
+    accepted = 0
+    missed = Counter()
+    for i, (k, item) in enumerate(items):
+        n = len(item.split())
+        by_words, _ = decontaminate.best_place(item.split(), texts[i].split())
+        by_chars, _ = decontaminate.best_place(item, texts[i])
+        if by_words <= decontaminate.MOST_EDITS * n or (by_words <= decontaminate.MOST_TYPOS * n and by_chars <= decontaminate.MOST_EDITS * len(item)):
+            accepted += 1
+            missed[n] += (i, k) not in found
+    assert accepted >= 250
+    print(kind, "accepted", accepted, "missed by length", dict(missed))
+    assert sum(missed.values()) <= 0.1 * accepted
+    assert all(i == k for i, k in found)
+
+
+def test_blocks_of_items_give_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    items = [(i, " ".join(words(rng, 12))) for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(words(rng, 30)) + " " + items[i][1] + " " + " ".join(words(rng, 30))) for i in range(40)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, decontaminate.result(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 100)
+    assert sorted(map(tuple, decontaminate.result(docs, bench).collect())) == one and len(one) == 40
+
+
 # -- suffix array
 
 
