@@ -8,7 +8,9 @@ gives a value per language. Texts are scored in batches: bits x landmarks, then
 Learned from at most SAMPLE texts of each language, never held-out ones. Text only is an input of a prediction.
 
 Cases: null text or text without a letter is ``und`` with score 0, and so is every text if nothing can be learned;
-repeated rows are scored alike; columns other than doc_id, text and lang are ignored.
+repeated rows are scored alike; of equal values the first language by name is predicted; ties in the sample go by id; a very long
+text is one row of a task, with arrays of about 50 times its bytes; an empty table gives an empty result; columns other than doc_id,
+text and lang are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -541,8 +541,8 @@ def passages(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(name, other, lo, hi): word ranges of a class of equal texts that repeat in another, enough to connect all that do; and (node, name, n_words) of the rows."""
     texts = numbered(docs)
     w = scratch.cut(texts.select("node", "text").mapInArrow(_windows, "value long, content long, name long, at long, size short"), "windows")
-    # values of a single class are done
-    often = w.groupBy("value").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo < hi").select("value")
+    # values of a single class are done. What is counted by value is a table of its own, so that a join's partition of a hot value can be split
+    often = scratch.cut(w.groupBy("value").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo < hi").select("value"), "often")
     met = scratch.cut(w.join(often, "value", "left_semi"), "meetings")
     scratch.drop(w)
     # extents by content: equal ones are linked, one of each goes on
@@ -554,7 +554,7 @@ def passages(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     equal = equal.union(kinds.where("name < last").select("name", F.col("last").alias("other"), F.col("at").alias("lo"), end("at")))
     equal = scratch.cut(equal.distinct(), "equal")
     scratch.drop(met)
-    per_value = kinds.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    per_value = scratch.cut(kinds.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     kinds = scratch.cut(kinds.join(per_value, "value").drop("last", "last_at"), "groups")
     all_pairs = F.expr("flatten(transform(v, (x, i) -> transform(slice(v, i + 2, size(v)), y -> struct(x as a, y as b))))")
     few = kinds.where(F.col("n") <= FEW).groupBy("value").agg(F.array_sort(F.collect_set("name")).alias("v")).select(F.explode(all_pairs).alias("p")).select("p.a", "p.b").distinct()

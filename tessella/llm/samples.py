@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,11 +24,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFra
 def sample_by_value(docs: DataFrame, column: str, rows: int) -> DataFrame:
     """doc_id, text, label for at most ``rows`` documents of each value of ``column``, first by a hash of the id."""
     pool = docs.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(column).alias("label"))
-    values = sorted(r[0] for r in pool.groupBy("label").count().select("label").collect())
-    if not values:
-        return docs.select("doc_id", "text").withColumn("label", F.lit(None).cast("string")).where("false")
-    ids = None
-    for v in values:
-        part = pool.where(F.col("label") == F.lit(v)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        ids = part if ids is None else ids.union(part)
-    return docs.select("doc_id", "text").join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id")
+    # ranked with a limit per value before the shuffle, so a value that most rows have needs no large task
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).select("doc_id", "label").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").join(ids, "doc_id")

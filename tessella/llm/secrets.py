@@ -7,14 +7,16 @@ owner looks live and is added; a value that several owners copy is an example an
 their ownership is reported. Counting is two grouped aggregations (value x owner, then value), both combined before the
 shuffle, so one value that a third of all rows hold is one row per task.
 
-Cases: null text is empty; a null source is an owner of its own; repeated rows are one repository; columns other than
-doc_id, text and source are ignored.
+Cases: null text is empty; a null source is an owner of its own, apart from the empty one; repeated rows are one
+repository; spans of one start come in the order of the kinds; a very long text is one row of a task, searched in time
+in proportion to its length; an empty table gives an empty result; columns other than doc_id, text and source are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,13 +57,24 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 def added_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Further candidates that no base span and no earlier kind overlaps."""
     out: list[tuple[int, int, int, str]] = []
+    # what is taken, as disjoint ranges in order
+    starts, ends = [], []
+    for a, _, b, _ in base:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for number, kind in enumerate(KINDS[3:], 3):
         for m in ADDED[kind].finditer(text):
             v = m[0]
             if kind == "mixed" and not (any(c.isdigit() for c in v) and any(c.islower() for c in v) and any(c.isupper() for c in v)):
                 continue
-            if all(m.end() <= s or m.start() >= e for s, _, e, _ in [*base, *out]):
+            at = bisect_left(starts, m.end())
+            if not at or ends[at - 1] <= m.start():
                 out.append((m.start(), number, m.end(), v))
+                starts.insert(at, m.start())
+                ends.insert(at, m.end())
     return sorted(out)
 
 
@@ -88,14 +101,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame) -> DataFrame:
     """k1, k2, doc_id, spans (array of start, kind, end, owners, repositories, live) for every row of ``docs``."""
     d = own_columns(docs, "doc_id", "source", "text")
-    keyed = d.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64("doc_id", "text").alias("k2"), "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text")
+    keyed = d.select(*row_key(), "doc_id", F.to_json(F.array(F.col("source").cast("string"))).alias("source"), "text")
     kind = d.schema["doc_id"].dataType.simpleString()
     scratch = Scratch(docs.sparkSession)
     rows = scratch.cut(keyed.mapInArrow(_scan, f"k1 long, k2 long, doc_id {kind}, source string, found array<struct<start: long, kind: int, end: long, value: long>>"), "candidates")
     each = rows.where("size(found) > 0").select("k1", "k2", "source", F.explode("found").alias("f")).select("k1", "k2", "source", "f.*")
     one = each.select("value", "source", "k1", "k2").distinct()
     per_owner = one.groupBy("value", "source").agg(F.count("*").alias("n"))
-    owned = per_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
+    # a table of its own, so that the join's partition of a value that very many texts hold can be split
+    owned = scratch.cut(per_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories")), "owned")
     judged = each.join(owned, "value").withColumn("live", F.col("owners") < EXAMPLE_OWNERS)
     judged = judged.where("kind < 3 or live")
     per_row = judged.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "owners", "repositories", "live"))).alias("spans"))

@@ -9,8 +9,11 @@ that the sample's toxic documents use far more often. Output is the expected gra
 The model is fitted on at most SAMPLE labelled rows that are not held out. Without labelled rows of both kinds every
 score is the share of toxic labels (0 without any).
 
-Cases: null or empty text has no features and gets the base rate; repeated rows are scored alike; columns other than
-doc_id and text are ignored; a null label is no label.
+The output says so too: the column ``grades`` names what each grade was learned from.
+
+Cases: null or empty text has no features and gets the base rate; repeated rows are scored alike, of several labels of one doc_id the
+highest counts; a null label is no label; ties in the sample go by id; a very long text is one row of a task, with arrays of
+about 100 times its bytes; an empty table gives an empty result, empty labels the base rate 0; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ SAMPLE, MIN_DF, GRADES, PREFIXES = 8000, 4, 3, (4, 6)
 STEPS, L1, LEAST_Z = 4000, 1e-5, 4.0
 #: A document is called toxic from this probability of any grade above 0 on.
 DECIDE = 0.2
+LEARNED = "grade > 0: labels.toxic; grades 1-3: thirds of the amount of telling words among toxic sample rows"
 
 _INNER = np.array([chr(b).isalnum() and b < 128 or b >= 128 for b in range(256)])
 
@@ -71,7 +75,7 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.searchsorted(row, np.arange(s.hi - s.lo + 1))
             yield pa.record_batch(
                 [batch.column(batch.schema.get_field_index("label")).slice(s.lo, s.hi - s.lo)]
-                + [pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()) for x in (h, n.astype(np.uint16))],
+                + [pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()) for x in (h, n.astype(np.uint32))],
                 names=["label", "h", "n"],
             )
 
@@ -156,7 +160,7 @@ def expected(model: dict, s: A.Slice) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> dict:
     got = sample(own_columns(docs, "doc_id", "text"), labels, "toxic", rows).select("label", "text").mapInArrow(_collect, "label int, h binary, n binary").toArrow()
     label = np.array(got.column("label").to_pylist(), float)
-    return fit((label > 0).astype(float), [np.frombuffer(x, np.uint64) for x in got.column("h").to_pylist()], [np.frombuffer(x, np.uint16) for x in got.column("n").to_pylist()])
+    return fit((label > 0).astype(float), [np.frombuffer(x, np.uint64) for x in got.column("h").to_pylist()], [np.frombuffer(x, np.uint32) for x in got.column("n").to_pylist()])
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -173,4 +177,4 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def result(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, train(docs, labels)).select("doc_id", held_out().alias("held_out"), "severity", "score", F.col("toxic").alias("predicted"))
+    return score(docs, train(docs, labels)).select("doc_id", held_out().alias("held_out"), "severity", "score", F.col("toxic").alias("predicted"), F.lit(LEARNED).alias("grades"))

@@ -566,6 +566,71 @@ def test_links_of_one_passage_are_counted(spark):
     assert len(got) == 9 and all(r.n_links == 8 for r in got)
 
 
+@pytest.mark.parametrize("long,common", [(55, 40), (54, 44), (55, 25)])
+def test_passages_behind_a_common_beginning(spark, long, common):
+    """60 pairs share a passage each; 200 other texts share its first words, which are too few for a passage."""
+    rng = random.Random(long * common)
+    start = words(rng, common)
+    text = lambda n: " ".join(words(rng, n, 100_000))
+    texts = []
+    for _ in range(60):
+        passage = " ".join([*start, *words(rng, long - common, 100_000)])
+        texts += [f"{text(40)} {passage} {text(40)}" for _ in range(2)]
+    texts += [f"{text(40)} {' '.join(start)} {text(40)}" for _ in range(200)]
+    got = {r.doc_id: r.class_id for r in passages.result(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got.get(2 * i) is not None and got.get(2 * i) == got.get(2 * i + 1) for i in range(60)) == 60
+    if common < 37:
+        assert set(got) == set(range(120)) and all(got[i] == i // 2 * 2 for i in got)
+
+
+def test_passages_of_a_group_beyond_one_task(spark, monkeypatch):
+    """A large group solved in blocks gives the classes that it gives as a whole."""
+    rng = random.Random(77)
+    start = words(rng, 30)
+    text = lambda n: " ".join(words(rng, n, 100_000))
+    tails = [words(rng, 30, 100_000) for _ in range(20)]
+    texts = [f"{text(40)} {' '.join(start + tails[i % 20])} {text(40)}" if i < 50 else f"{text(40)} {' '.join(start)} {text(40)}" for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = sorted((r.doc_id, r.class_id) for r in passages.result(docs).collect())
+    monkeypatch.setattr(passages, "LARGE", 16)
+    monkeypatch.setattr(passages, "BLOCK", 16)
+    assert sorted((r.doc_id, r.class_id) for r in passages.result(docs).collect()) == whole == [(i, i % 20) for i in range(50)]
+
+
+def test_recall_of_passages_against_all_pairs(spark):
+    """Every pair of texts of the smallest table, by the verification alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: (r.text or "") for r in docs.select("doc_id", "text").collect()}
+    batch = pa.record_batch([pa.array([t.encode() for t in texts.values()], pa.binary())], names=["text"])
+    h, names, n_words = [], [], []
+    for s in A.slices(batch):
+        x, begin, name, n = passages.shingle_sequences(s)
+        h += [x[a:b] for a, b in zip(begin[:-1], begin[1:])]
+        names += name.tolist()
+        n_words += n.tolist()
+    ids = list(texts)
+    linked = set()
+    for i in range(len(ids)):
+        for j in range(i):
+            if min(n_words[i], n_words[j]) >= passages.WORDS and (names[i] == names[j] or passages.similar_ranges(h[i], h[j]) or passages.similar_ranges(h[j], h[i])):
+                linked.add((j, i))
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in linked:
+        root[find(a)] = find(b)
+    want = {ids[i]: find(i) for pair in linked for i in pair}
+    got = {r.doc_id: r.class_id for r in passages.result(docs).collect()}
+    assert set(got) >= set(want)
+    together = sum(got[ids[a]] == got[ids[b]] for a, b in linked)
+    print("linked pairs", len(linked), "in one class", together, "documents", len(want), "found", len(got))
+    assert together >= 0.995 * len(linked)
+
+
 # -- quality rules
 
 
@@ -665,6 +730,33 @@ def test_ownership_separates_examples(spark):
     assert red[1] == "see [SECRET] x" and red[10] == f"doc {copied} z" and red[30] == "[SECRET]'"
 
 
+def test_ownership_equals_brute_force(docs, spark):
+    rng = random.Random(31)
+    values = ["aB3" + "".join(rng.choice("abcDEF0123") for _ in range(30)) for _ in range(6)]
+    made = [(r[0], r[1], r[3]) for r in rows()]
+    made += [(2000 + i, f"{rng.choice(values)} and {rng.choice(values)}", rng.choice(["s0", "s1", "s2", "s3", "", None])) for i in range(40)]
+    owners, texts = defaultdict(set), defaultdict(set)
+    spans = {}
+    for doc_id, text, source in made:
+        base = secrets.base_spans(text or "")
+        spans[doc_id, text] = base + secrets.added_spans(text or "", base)
+        for *_, v in spans[doc_id, text]:
+            owners[v].add(source)
+            texts[v].add((doc_id, text))
+    want = Counter()
+    for doc_id, text, _ in made:
+        keep = sorted((a, k, b) for a, k, b, v in spans[doc_id, text] if k < 3 or len(owners[v]) < secrets.EXAMPLE_OWNERS)
+        want[doc_id, ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in keep)] += 1
+    got = secrets.result(spark.createDataFrame(made, "doc_id long, text string, source string"))
+    assert Counter((r.doc_id, r.spans) for r in got.collect()) == want
+    assert any(len(o) >= secrets.EXAMPLE_OWNERS for o in owners.values()) and any(len(o) < secrets.EXAMPLE_OWNERS for o in owners.values())
+
+
+def test_many_spans_in_one_text():
+    text = " ".join(f"aB{i:05d}" + "xY9" * 8 for i in range(20000))
+    assert len(secrets.added_spans(text, secrets.base_spans(text))) == 20000
+
+
 def test_long_mixed_runs_are_candidates(spark):
     run = "aB3dE5fG7h" * 20
     d = spark.createDataFrame([(1, f"see {run} x", "a")], "doc_id long, text string, source string")
@@ -708,6 +800,61 @@ def test_models_hold_out_and_learn(spark):
     assert all(0 <= r.severity <= toxicity.GRADES for r in t.values())
 
 
+def test_language_scores_equal_the_kernel(spark):
+    """Every score again by n-gram sets, one landmark and one text at a time."""
+    docs = labelled(spark)[0]
+    model = language.train(docs)
+    marks = [{int(b) for b in np.flatnonzero(m)} for m in model["marks"]]
+    for r in language.score(docs, model).join(docs.select("doc_id", "text"), "doc_id").limit(25).collect():
+        data = r.text.lower().encode()
+        grams = set()
+        for k in range(1, language.LONGEST + 1):
+            for i in range(len(data) - k + 1):
+                h = 0
+                for b in data[i : i + k]:
+                    h = (h * 257 + b + 1) % (1 << 64)
+                grams.add(((h + k - 1) * int(A.BASE) % (1 << 64)) >> 49)
+        kernel = np.array([len(grams & m) / np.sqrt(len(grams) * len(m)) for m in marks])
+        value = kernel @ model["coef"].astype(float) + model["bias"]
+        assert r.lang_pred == model["names"][int(value.argmax())] and abs(r.score - np.clip(value.max(), 0, 1)) < 1e-4
+
+
+def test_severity_equals_word_by_word(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.train(docs, labels)
+    weight = dict(zip(model["h"].tolist(), model["w"].tolist()))
+
+    def key(word):
+        return toxicity.occurrences(next(A.slices(pa.record_batch([pa.array([word], pa.binary())], names=["text"]))))[1].tolist()
+
+    assert weight
+    for r in toxicity.result(docs, labels).join(docs.select("doc_id", "text"), "doc_id").limit(40).collect():
+        count = Counter(h for w in (r.text or "").encode().split() for h in key(w))
+        eta = sum((1 + np.log(n)) * weight[h] for h, n in count.items() if h in weight)
+        p = 1 / (1 + np.exp(-np.clip(eta - model["theta"], -40, 40)))
+        assert abs(r.severity - p.sum()) < 1e-9 and abs(r.score - p[0]) < 1e-9 and r.predicted == int(p[0] >= toxicity.DECIDE)
+
+
+def test_quality_scores_equal_all_pairs(spark):
+    docs, labels = labelled(spark)
+    m = quality_model.train(docs, labels)
+    for r in quality_model.result(docs, labels).join(docs.select("doc_id", "text"), "doc_id").limit(10).collect():
+        (s,) = A.slices(pa.record_batch([pa.array([(r.text or "").encode()], pa.binary())], names=["text"]))
+        _, bucket, value, dense = quality_model.inputs(s)
+        z = np.clip((dense[0] - m["mean"]) / m["scale"], -8, 8)
+        x, w, v = np.concatenate([value, z]), np.concatenate([m["w"][bucket], m["wd"]]), np.concatenate([m["v"][bucket], m["vd"]])
+        raw = m["w0"] + x @ w + sum(v[i] @ v[j] * x[i] * x[j] for i in range(len(x)) for j in range(i))
+        assert abs(r.score - 1 / (1 + np.exp(-raw))) < 1e-6
+
+
+def test_counts_beyond_16_bits():
+    text = " ".join(["bad"] * 70_000)
+    (s,) = A.slices(pa.record_batch([pa.array([text.encode()], pa.binary())], names=["text"]))
+    assert toxicity.counted(*toxicity.occurrences(s))[2].max() == 70_000
+    (b,) = toxicity._collect(iter([pa.record_batch([pa.array([1], pa.int32()), pa.array([text.encode()], pa.binary())], names=["label", "text"])]))
+    assert np.frombuffer(b.column("n")[0].as_py(), np.uint32).max() == 70_000
+
+
 def test_machine_equals_the_sum_over_pairs():
     rng = np.random.default_rng(2)
     m = quality_model.fit(np.zeros(0), [], [], np.zeros((0, 3)))
