@@ -1,6 +1,13 @@
 """From raw documents to packed training sequences: five stages, each on all that its predecessor kept.
 
-``run`` writes every stage's rows to the session's shared folder and reads them back before the next stage.
+``run`` writes every stage's rows to the session's shared folder, reads them back before the next stage, and deletes them
+once the next stage's rows are written.
+
+Cases: a null or empty text fails the base rules of the first stage and goes no further; a null doc_id takes part in every
+stage (one row of each such text stays in the second) and is null in the result; of rows with one doc_id the second
+stage keeps a single one, of repeated rows and groups of near copies the row with the least id; a null language or source is a
+group and an owner of its own; very long texts go through whole; an empty table gives an empty result of the same columns;
+columns beyond those of ``documents``, whatever their names, pass through the filtering stages.
 """
 
 from __future__ import annotations
@@ -8,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import decontaminate, near_dup, packing, quality_rules, secrets
-from tessella.llm.store import cut
+from tessella.llm.store import Scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the least id."""
-    return near_dup.one_of_each(docs)
+    """One document of each near-duplicate group (similarity 0.8 or more): the one with the least id."""
+    return near_dup.one_of_each(docs, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir).select(*docs.columns), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        made = scratch.cut(stage(spark, docs, sf_dir).select(*docs.columns), name)
+        scratch.drop(docs)
+        docs = made
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    # the last stage's result is a written table too
+    scratch.drop(docs)
+    return packed
