@@ -1,10 +1,12 @@
-"""Model stages over whole tables with the stand-in model. Their rows are checked by tests; SQL cannot express a model."""
+"""Model stages over whole tables with the stand-in model, and the same as SQL: its answers are arithmetic on sentences."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.config import QUICK_CHARS, SHORT_TEXT, STRUCTURE_CHARS
 from tessella.operators import analyze as A
+from tessella.plans.texts import _CHUNKS, _t
 from tessella.providers import FixtureProvider
 
 
@@ -42,4 +44,43 @@ def batch_pipeline(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (quick_pipeline, section_map, deep_pipeline, book_pipeline, map_pipeline, feynman_pipeline, batch_pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _sentences(body: str) -> str:
+    """The first six sentences that the stand-in model sees in a text."""
+    return f"list_filter(list_transform(string_split(replace({body}, chr(10), ' '), '. '), lambda p: {_t('p')}), lambda p: p <> '')[1:6]"
+
+
+def _cut(x: str, n: int) -> str:
+    return f"substr({x}, 1, {n})"
+
+
+def _title(x: str, back: str) -> str:
+    return f"coalesce(nullif({_t(_cut(x, 40))}, ''), {back})"
+
+
+_BLANK = f"coalesce({_t('text')}, '') = ''"
+_NOTHING = f"CASE WHEN {_BLANK} THEN '{A.NOTHING}' END AS error"
+#: Chunks with their sentences, the first twenty of a text.
+_PARTS = f"SELECT doc_id, pos, chunk, least(n, 20) AS total, {_sentences('chunk')} AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM ({_CHUNKS})) WHERE pos < 20"
+#: What the last call sees of the first part of a long text: JSON, one sentence as a whole, as no value has a sentence's end.
+_FIRST = f"SELECT doc_id, total, '[{{\"title\":' || to_json({_title('p[1]', chr(39) + '第 1 部分' + chr(39))})::VARCHAR || ',\"summary\":' || to_json({_t(_cut('p[1]', 80))})::VARCHAR || ',\"thesis\":\"' AS j FROM ({_PARTS}) WHERE pos = 0"
+_CHAPTER = f"SELECT doc_id, total, '[{{\"title\":' || to_json({_title('p[1]', chr(39) + '第 1 章' + chr(39))})::VARCHAR || ',\"points\":[{{\"claim\":' || to_json({_t(_cut('p[1]', 60))})::VARCHAR || ',\"data\":\"\",' AS j FROM ({_PARTS}) WHERE pos = 0"
+_SHORT = f"SELECT doc_id, text, {_sentences('text')} AS p FROM documents WHERE length(text) <= {SHORT_TEXT} AND NOT {_BLANK}"
+_EMPTY = f"FROM documents WHERE {_BLANK}"
+_LONG = f"(SELECT doc_id FROM documents WHERE length(text) > {SHORT_TEXT})"
+ORACLE_SQL = {
+    "quick_pipeline": f"""SELECT doc_id AS req_id, {_title('p[1]', chr(39) + '未命名内容' + chr(39))} AS title, {_t(_cut('p[-1]', 80))} AS thesis, len(p) AS n_arguments, 1 AS attempts, NULL::VARCHAR AS error FROM (SELECT doc_id, {_sentences(_cut('text', QUICK_CHARS))} AS p FROM documents WHERE NOT {_BLANK})
+      UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, '{A.NOTHING}' {_EMPTY}""",
+    "section_map": f"SELECT doc_id AS req_id, pos + 1 AS index, total, {_cut('p[1]', 40)} AS title, 1 AS attempts, NULL::VARCHAR AS error FROM ({_PARTS}) UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, '{A.NOTHING}' {_EMPTY}",
+    "deep_pipeline": f"""SELECT doc_id AS req_id, 'article' AS kind, {_title('p[1]', chr(39) + '未命名内容' + chr(39))} AS title, 0 AS n_chapters, 1 AS n_citations, NULL::VARCHAR AS error FROM ({_SHORT})
+      UNION ALL SELECT doc_id, 'article', {_t(_cut('j', 40))}, total, 1, NULL FROM ({_FIRST}) WHERE doc_id IN {_LONG} UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, '{A.NOTHING}' {_EMPTY}""",
+    "book_pipeline": f"SELECT doc_id AS req_id, 'book' AS kind, {_t(_cut('j', 40))} AS title, total AS n_chapters, NULL::VARCHAR AS error FROM ({_FIRST}) UNION ALL SELECT doc_id, NULL, NULL, NULL, '{A.NOTHING}' {_EMPTY}",
+    "map_pipeline": f"""SELECT doc_id AS req_id, {_title('p[1]', chr(39) + '未命名知识地图' + chr(39))} AS title, {_t(_cut('p[-1]', 30))} AS thesis, len(p) AS n_items, NULL::VARCHAR AS error FROM ({_SHORT})
+      UNION ALL SELECT doc_id, {_t(_cut('j', 40))}, {_t(_cut('j', 30))}, 1, NULL FROM ({_FIRST}) WHERE doc_id IN {_LONG} UNION ALL SELECT doc_id, NULL, NULL, NULL, '{A.NOTHING}' {_EMPTY}""",
+    "feynman_pipeline": f"""SELECT c.doc_id AS req_id, {_t(_cut('j', 40))} AS title, total AS n_chapters, CASE WHEN length(d.text) > {SHORT_TEXT} AND len({_sentences(_cut('d.text', STRUCTURE_CHARS))}) > 0 THEN 1 ELSE 0 END AS n_toc, NULL::VARCHAR AS error FROM ({_CHAPTER}) c JOIN documents d ON d.doc_id = c.doc_id
+      UNION ALL SELECT doc_id, NULL, NULL, NULL, '{A.NOTHING}' {_EMPTY}""",
+    "batch_pipeline": f"""SELECT batch_id, n AS items, CASE WHEN bad THEN n || ' 篇文章对比' ELSE {_t(_cut('j', 40))} END AS title, CASE WHEN NOT bad THEN 1 END AS n_themes, CASE WHEN bad THEN '{A.NOTHING}' END AS error FROM (
+      SELECT batch_id, count(*) AS n, bool_or(blank) AS bad, '[{{\"title\":' || to_json({_title('min_by(p, item)[1]', chr(39) + '未命名内容' + chr(39))})::VARCHAR || ',\"summary\":' || to_json({_t(_cut('min_by(p, item)[1]', 80))})::VARCHAR || ',\"thesis\":\"' AS j
+      FROM (SELECT CAST(floor(doc_id / 12) AS BIGINT) AS batch_id, doc_id % 12 + 1 AS item, {_BLANK} AS blank, {_sentences(_cut('text', QUICK_CHARS))} AS p FROM documents WHERE doc_id % 12 < 10) GROUP BY batch_id)""",
+}

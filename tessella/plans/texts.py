@@ -27,7 +27,7 @@ def split_chunks(spark, d):
 def pack_paragraphs(spark, d):
     # sentences as paragraphs exercise the packing of many short ones
     x = _read(spark, d, "documents").select("doc_id", F.posexplode(C.split_chunks(F.regexp_replace("text", r"\.\n", ".\n\n"), 1500)).alias("pos", "chunk"))
-    return x.select("doc_id", F.col("pos").cast("long").alias("pos"), F.length("chunk").cast("long").alias("chars"))
+    return x.select("doc_id", F.col("pos").cast("long").alias("pos"), F.length("chunk").cast("long").alias("chars"), F.md5("chunk").alias("md5"))
 
 
 def cap_parts(spark, d):
@@ -141,6 +141,18 @@ _CHUNKS = f"""WITH RECURSIVE c AS (
     SELECT doc_id, pos + 1, CASE WHEN length(rest) > 6000 THEN {_t("substr(rest, 1, k)")} ELSE {_t("rest")} END, CASE WHEN length(rest) > 6000 THEN substr(rest, k + 1) ELSE '' END
     FROM (SELECT *, CASE WHEN m > 3001 THEN m ELSE 6000 END AS k FROM (SELECT *, 6000 - CAST(least({", ".join(f"CASE WHEN instr(reverse(substr(rest, 1, 6000)), '{e}') = 0 THEN 99999 ELSE instr(reverse(substr(rest, 1, 6000)), '{e}') END" for e in "。！？；.!?;")}) AS BIGINT) + 1 AS m FROM c WHERE rest <> ''))
   ) SELECT doc_id, pos - 1 AS pos, chunk FROM c WHERE chunk IS NOT NULL"""
+#: Greedy packing: a step takes a paragraph, or cuts a piece off one that is too long.
+_WINDOW = "substr(rest, 1, 1500)"
+_LAST_END = ", ".join(f"CASE WHEN instr(reverse({_WINDOW}), '{e}') = 0 THEN 99999 ELSE instr(reverse({_WINDOW}), '{e}') END" for e in "。！？；.!?;")
+_PACKED = f"""WITH RECURSIVE c AS (
+    SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, '.' || chr(10), '.' || chr(10) || chr(10)), '\\n{{2,}}|\\r\\n{{2,}}'), lambda p: {_t("p")}), lambda p: p <> '') AS ps, 1 AS i, '' AS cur, '' AS rest, -1 AS pos, NULL::VARCHAR AS chunk, false AS over FROM documents
+    UNION ALL
+    SELECT doc_id, ps, CASE WHEN kind IN ('long', 'full', 'join') THEN i + 1 ELSE i END, CASE kind WHEN 'cut' THEN '' WHEN 'rest' THEN {_t("rest")} WHEN 'long' THEN '' WHEN 'full' THEN ps[i] WHEN 'join' THEN CASE WHEN cur = '' THEN ps[i] ELSE cur || chr(10) || chr(10) || ps[i] END ELSE '' END,
+      CASE kind WHEN 'cut' THEN substr(rest, k + 1) WHEN 'long' THEN ps[i] ELSE '' END, CASE WHEN said IS NULL THEN pos ELSE pos + 1 END, said, kind = 'end'
+    FROM (SELECT *, CASE kind WHEN 'cut' THEN {_t("substr(rest, 1, k)")} WHEN 'long' THEN nullif({_t("cur")}, '') WHEN 'full' THEN {_t("cur")} WHEN 'end' THEN nullif({_t("cur")}, '') END AS said
+    FROM (SELECT *, CASE WHEN m > 751 THEN m ELSE 1500 END AS k, CASE WHEN length(rest) > 1500 THEN 'cut' WHEN rest <> '' THEN 'rest' WHEN i > len(ps) THEN 'end' WHEN length(ps[i]) > 1500 THEN 'long' WHEN (CASE WHEN cur = '' THEN 0 ELSE length(cur) + 2 END) + length(ps[i]) > 1500 THEN 'full' ELSE 'join' END AS kind
+    FROM (SELECT doc_id, ps, i, cur, rest, pos, 1500 - CAST(least({_LAST_END}) AS BIGINT) + 1 AS m FROM c WHERE NOT over)))
+  ) SELECT doc_id, pos, chunk FROM c WHERE chunk IS NOT NULL"""
 _REQ = """SELECT event_id AS req_id, CASE event_id % 4 WHEN 0 THEN ' https://mp.weixin.qq.com/s/' || event_id WHEN 1 THEN 'https://example.com/' || event_id ELSE '' END AS url,
    CASE event_id % 3 WHEN 0 THEN '/a/b.PDF' WHEN 1 THEN 'note.md' END AS path, 't' || event_id AS text, (['quick', 'deep', 'map', 'feynman', 'book', 'deep', 'deep'])[CAST(event_id % 7 + 1 AS INT)] AS depth,
    CASE WHEN event_id % 2 = 0 THEN true END AS refresh FROM events"""
@@ -151,6 +163,7 @@ _N1 = "CASE WHEN x = floor(x) THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE CAST(
 ORACLE_SQL = {
     "split_paragraphs": f"SELECT doc_id, i - 1 AS pos, length(p[i]) AS chars, md5(p[i]) AS md5 FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, '. ', '.\n\n'), '\\n{{2,}}|\\r\\n{{2,}}'), lambda x: {_t('x')}), lambda x: length(x) > 0) AS p FROM documents))",
     "split_chunks": f"SELECT doc_id, pos, length(chunk) AS chars, md5(chunk) AS md5 FROM ({_CHUNKS})",
+    "pack_paragraphs": f"SELECT doc_id, CAST(pos AS BIGINT) AS pos, length(chunk) AS chars, md5(chunk) AS md5 FROM ({_PACKED})",
     "cap_parts": f"SELECT doc_id, least(max(n), 20) AS parts, CAST(sum(length(chunk)) AS BIGINT) AS chars FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM ({_CHUNKS})) WHERE pos < 20 GROUP BY doc_id",
     "chunk_labels": f"SELECT doc_id, pos + 1 AS index, least(n, 20) AS total, CASE WHEN n > 1 THEN '【第 ' || (pos + 1) || ' / ' || least(n, 20) || ' 部分】' ELSE '' END AS label, '【第 ' || (pos + 1) || ' / ' || least(n, 20) || ' 章】' AS chapter FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM ({_CHUNKS})) WHERE pos < 20",
     "coerce_str": f"SELECT conv_id, turn, coalesce(nullif({_t('c')}, ''), '无') AS value FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN ' \t' || text || '\n ' WHEN 1 THEN '  ' END AS c FROM conversations)",
