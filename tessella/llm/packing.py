@@ -35,7 +35,7 @@ from tessella.llm.store import Scratch, own_columns, row_key
 CAPACITY, END = 1024, 2
 #: Nodes of the search beyond best-fit decreasing, and levels between completions by it.
 NODES, DEEP = 4000, 16
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = 10_000
 
 
 #: From runs of white space of this length on, and for strings of special tokens, ``tokenizers`` itself gives the ids.
