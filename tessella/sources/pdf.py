@@ -193,12 +193,96 @@ class Document:
             raise ValueError("not a PDF file")
         self.data, self.values, self.streams = data, {}, {}
         self.cmaps: dict[int, dict] = {}
-        places = [(m, int(m[1])) for m in _OBJECT.finditer(data)]
-        for m, number in places:
-            end = data.find(b"endobj", m.end())
-            self._read(number, data[m.end() : end if end >= 0 else len(data)])
+        for m in _OBJECT.finditer(data):
+            self._read(int(m[1]), self._body(m.end()))
         for number in [k for k, v in self.values.items() if isinstance(v, dict) and v.get("Type") == "ObjStm"]:
-            self._expand(number)
+            for own, value in self._expand(number).items():
+                self.values.setdefault(own, value)
+        # the scan finds objects even without a cross-reference; where one is sound, it says which version counts
+        self.root = None
+        self._follow()
+
+    def _body(self, at: int) -> bytes:
+        end = self.data.find(b"endobj", at)
+        return self.data[at : end if end >= 0 else len(self.data)]
+
+    def _follow(self) -> None:
+        """Apply the chain of cross-reference tables and streams, newest first: offsets, members of object streams, freed objects."""
+        places: dict[int, tuple[int, int]] = {}
+        starts = re.findall(rb"startxref\s+(\d+)", self.data)
+        todo, seen = [int(starts[-1])] if starts else [], set()
+        while todo:
+            at = todo.pop(0)
+            if at in seen or not 0 <= at < len(self.data):
+                continue
+            seen.add(at)
+            if self.data[at : at + 4] == b"xref":
+                rows, d = self._table(at + 4)
+            else:
+                rows, d = self._xref_stream(at)
+            for number, place in rows:
+                places.setdefault(number, place)
+            if self.root is None and isinstance(d.get("Root"), Ref):
+                self.root = d["Root"]
+            # the stream of a hybrid file comes before the older tables
+            todo = [int(d[k]) for k in ("XRefStm", "Prev") if isinstance(d.get(k), (int, float))] + todo
+        members: dict[int, dict[int, Any]] = {}
+        for number, (kind, where) in places.items():
+            if kind == 1:
+                m = _OBJECT.match(self.data, where)
+                if m and int(m[1]) == number:
+                    self._read(number, self._body(m.end()))
+            elif kind == 0 and number:
+                self.values.pop(number, None)
+                self.streams.pop(number, None)
+        for number, (kind, where) in places.items():
+            if kind == 2 and isinstance(self.values.get(where), dict):
+                if where not in members:
+                    members[where] = self._expand(where)
+                if number in members[where]:
+                    self.values[number] = members[where][number]
+                    self.streams.pop(number, None)
+
+    def _table(self, at: int) -> tuple[list, dict]:
+        """Rows (number, (kind, offset)) of a classic table, and its trailer."""
+        rows, section = [], re.compile(rb"\s*(\d+)[ \t]+(\d+)[ \t]*[\r\n]+")
+        while m := section.match(self.data, at):
+            at = m.end()
+            for i in range(int(m[2])):
+                row = re.compile(rb"\s*(\d{10}) (\d{5}) ([nf])").match(self.data, at)
+                if not row:
+                    break
+                rows.append((int(m[1]) + i, (1 if row[3] == b"n" else 0, int(row[1]))))
+                at = row.end()
+        t = re.compile(rb"\s*trailer").match(self.data, at)
+        d = next((v for v, _ in tokens(self.data, t.end()) if isinstance(v, dict)), {}) if t else {}
+        return rows, d
+
+    def _xref_stream(self, at: int) -> tuple[list, dict]:
+        """Rows (number, (kind, offset or containing stream)) of a cross-reference stream, and its dictionary."""
+        m = _OBJECT.match(self.data, at)
+        if not m:
+            return [], {}
+        number = int(m[1])
+        kept = self.values.get(number), self.streams.get(number)
+        self._read(number, self._body(m.end()))
+        d = self.values.get(number)
+        if not isinstance(d, dict) or d.get("Type") != "XRef" or not isinstance(d.get("W"), list):
+            self.values[number] = kept[0]
+            if kept[1] is not None:
+                self.streams[number] = kept[1]
+            return [], {}
+        data, (w0, w1, w2) = self.stream(number), [int(w) for w in d["W"][:3]]
+        index = d["Index"] if isinstance(d.get("Index"), list) else [0, int(d.get("Size", 0))]
+        numbers = [n for first, count in zip(index[::2], index[1::2]) for n in range(int(first), int(first) + int(count))]
+        width, rows = w0 + w1 + w2, []
+        for i, own in enumerate(numbers):
+            row = data[i * width : (i + 1) * width]
+            if len(row) < width:
+                break
+            # a missing first field means an offset
+            rows.append((own, (int.from_bytes(row[:w0], "big") if w0 else 1, int.from_bytes(row[w0 : w0 + w1], "big"))))
+        return rows, d
 
     def _read(self, number: int, body: bytes) -> None:
         values = _refs([v for v, _ in self._until_stream(body)])
@@ -223,16 +307,17 @@ class Document:
         listed = lambda v: v if isinstance(v, list) else [] if v is None else [v]
         return decode(self.streams[number], [str(f) for f in listed(self.get(d.get("Filter")))], [self.get(p) for p in listed(self.get(d.get("DecodeParms")))])
 
-    def _expand(self, number: int) -> None:
-        d, data = self.values[number], self.stream(number)
+    def _expand(self, number: int) -> dict[int, Any]:
+        """Objects of an object stream by their numbers."""
+        d, data, out = self.values[number], self.stream(number), {}
         first = int(self.get(d.get("First", 0)) or 0)
         head = [v for v, _ in tokens(data[:first]) if isinstance(v, int)]
         places = sorted(zip(head[1::2], head[::2]))
         for i, (at, own) in enumerate(places):
             end = first + places[i + 1][0] if i + 1 < len(places) else len(data)
-            if own not in self.values:
-                values = _refs([v for v, _ in tokens(data[first + at : end])])
-                self.values[own] = values[0] if values else None
+            values = _refs([v for v, _ in tokens(data[first + at : end])])
+            out[own] = values[0] if values else None
+        return out
 
     def get(self, v: Any) -> Any:
         seen = 0
@@ -242,8 +327,8 @@ class Document:
 
     def pages(self) -> list[dict]:
         """Page dictionaries in reading order; a tree that leads to itself is walked once."""
-        root = None
-        for m in re.finditer(rb"trailer", self.data):
+        root = self.root
+        for m in re.finditer(rb"trailer", self.data) if root is None else ():
             t = next((v for v, _ in tokens(self.data, m.end()) if isinstance(v, dict)), {})
             root = t.get("Root", root)
         if root is None:
