@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 from tessella.operators import budget as B
 from tessella.operators import chunk as C
+from tessella.operators import jobs as J
 from tessella.operators import render as R
 from tessella.operators import route as G
 
@@ -42,6 +43,20 @@ def pdf_progress(spark, d):
     return G.pdf_progress(_events(spark, d).select("event_id", (F.col("event_id") % 90 + 1).alias("pages")), "event_id")
 
 
+def job_lifecycle(spark, d):
+    e = F.col("event_id")
+    x = _events(spark, d).select("event_id", "event_type", "value", J.outcome(F.when(e % 4 != 0, F.concat(F.lit("boom "), e.cast("string"))), e % 3 == 0, F.when(e % 9 == 0, F.lit("")).otherwise(F.col("event_type"))).alias("o"))
+    first = J.resolved_line(F.col("event_type"), e, F.when(e % 2 == 0, e % 5))
+    return x.select("event_id", "o.status", "o.detail", J.last_line(F.col("o"), F.lit("# r")).alias("line"), first.alias("first"))
+
+
+def job_output(spark, d):
+    """Every seventh event of a user reads the output, the others are lines, some of them blank."""
+    e = F.col("event_id")
+    line = F.when(e % 7 != 0, F.when(e % 5 == 0, F.lit("")).otherwise(F.concat("event_type", F.lit(" "), e.cast("string"))))
+    return J.drained(_events(spark, d).select("user_id", "event_id", line.alias("line")), "user_id", "event_id", "line")
+
+
 _KINDS = [*R.TYPES, "其他", ""]
 
 
@@ -83,7 +98,7 @@ def export_freemind(spark, d):
     return _trees(spark, d).select("conv_id", R.freemind(F.col("title"), F.col("branches")).alias("x")).select("conv_id", F.length("x").alias("chars"), F.md5("x").alias("md5"))
 
 
-QUERIES = {f.__name__: f for f in (route_request, job_label, progress_lines, pdf_progress, group_items_by_type, confidence_class, mind_tree, export_freemind)}
+QUERIES = {f.__name__: f for f in (route_request, job_label, progress_lines, pdf_progress, group_items_by_type, confidence_class, mind_tree, export_freemind, job_lifecycle, job_output)}
 
 
 def _num(x: str) -> str:
@@ -98,6 +113,10 @@ _ART = """SELECT conv_id, '会话 <' || conv_id || '>' AS title, a[1].t AS thesi
 _ESC = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _N = "chr(10)"
 ORACLE_SQL = {
+    "job_lifecycle": f"""SELECT event_id, status, detail, CASE status WHEN 'completed' THEN '【最终报告】' || {_N} || '# r' WHEN 'killed' THEN '已取消：' || detail ELSE '后台精读失败：' || detail END AS line, '已解析「' || event_type || '」（' || event_id || ' 字' || CASE WHEN event_id % 2 = 0 AND event_id % 5 > 0 THEN '，PDF 解析 ' || event_id % 5 || 'ms' ELSE '' END || '）' AS first
+      FROM (SELECT *, CASE status WHEN 'killed' THEN CASE WHEN event_id % 9 = 0 THEN '已取消' ELSE event_type END WHEN 'failed' THEN 'boom ' || event_id END AS detail FROM (SELECT event_id, event_type, CASE WHEN event_id % 4 = 0 THEN 'completed' WHEN event_id % 3 = 0 THEN 'killed' ELSE 'failed' END AS status FROM events))""",
+    "job_output": f"""SELECT r.user_id, r.event_id, coalesce(string_agg(CASE WHEN l.event_id % 5 <> 0 THEN l.event_type || ' ' || l.event_id END, {_N} ORDER BY l.event_id), '') AS output FROM (SELECT user_id, event_id, coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), -1) AS before FROM events WHERE event_id % 7 = 0) r
+      LEFT JOIN events l ON l.user_id = r.user_id AND l.event_id > r.before AND l.event_id < r.event_id AND l.event_id % 7 <> 0 GROUP BY r.user_id, r.event_id""",
     "route_request": """SELECT req_id, CASE WHEN jobs AND reason IN ('batch', 'long pdf', 'long') THEN 'background' ELSE 'foreground' END AS route, reason FROM (SELECT doc_id AS req_id, doc_id % 17 <> 0 AS jobs,
       CASE WHEN doc_id % 11 = 0 THEN 'estimate' WHEN doc_id % 13 >= 11 THEN 'batch' WHEN doc_id % 5 = 0 THEN 'quick' WHEN length(text) > 9000 AND doc_id % 4 = 0 THEN 'long pdf' WHEN length(text) > 9000 THEN 'long' ELSE 'short' END AS reason FROM documents)""",
     "job_label": f"""SELECT d.doc_id, '精读「' || d.source || '」· ' || greatest(1, least(coalesce(c.n, 0), 20)) || ' 段 · 预算≈' || ({_num('m.minutes')}) || '分钟' AS label FROM documents d
