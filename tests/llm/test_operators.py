@@ -892,6 +892,26 @@ def test_reserved_names_survive(spark):
         assert sorted(tuple(r[c] for c in extra) for r in out.collect()) == sorted(r[5:] for r in made)
 
 
+def test_a_very_long_text(spark):
+    """One text of 5 MB beside short ones: a row for every row, its counts as by hand."""
+    rng = random.Random(1)
+    unit = [" ".join(words(rng, 9)) + "." for _ in range(9000)]
+    long = "\n".join(rng.choice(unit) for _ in range(100_000)) + " token = abcdef123456"
+    assert len(long) > 4_000_000
+    made = [(1, long, "en", "s"), (2, unit[0], "en", "s"), (3, None, None, None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string").repartition(2)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, " ".join(long.split()[-13:-1]))], "item_id long, text string")
+    for f in (near_dup.result, suffix.result, quality_rules.result, secrets.result, language.result, lambda d: toxicity.result(d, labels), lambda d: quality_model.result(d, labels)):
+        assert f(docs).count() == 3
+    assert passages.result(docs).count() <= 1
+    assert [r.doc_id for r in decontaminate.result(docs, bench).collect()] == [1]
+    assert secrets.result(docs).where("doc_id = 1").first().n_assign == 1
+    assert quality_rules.result(docs).where("doc_id = 1").first().n_words == len(long.split())
+    packed = packing.pack(docs, path()).where("doc_id = 1").toPandas()
+    assert packed.length.sum() > 1_000_000
+
+
 def test_empty_tables(empty, spark):
     labels, bench = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string")
     for made in (
