@@ -234,7 +234,8 @@ def least_determinants(work: DataFrame, scratch: Scratch) -> DataFrame:
     near = of_z.withColumn("d2", F.when(F.col("start") == 0, F.col("norm")).otherwise(_distance(have))).select("grp", "start", "d2", *[F.col(f"x_{k}").alias(k) for k in have])
     est = None
     for _ in range(STEPS):
-        limit = near.groupBy("grp", "start").agg(F.percentile_approx("d2", COVERAGE, 1000).alias("limit"))
+        # a table of its own: its size is known, so the rows need not move to it
+        limit = scratch.cut(near.groupBy("grp", "start").agg(F.percentile_approx("d2", COVERAGE, 1000).alias("limit")), "limits")
         core = near.join(limit, ["grp", "start"]).where("d2 <= limit")
         now = scratch.cut(_moments(core).mapInArrow(_estimates(False), _ESTIMATE), "scatters")
         fell = est is None or (now.join(est.select("grp", "start", F.col("log_det").alias("before")), ["grp", "start"]).agg(F.max(F.col("before") - F.col("log_det"))).first()[0] or 0.0) > 1e-3
