@@ -98,6 +98,17 @@ def test_chunks(spark):
         assert r.c == brute_chunks(texts[r.i] or "", 20), texts[r.i]
 
 
+def test_cutting_stops_at_the_cap(spark):
+    import random
+
+    rng = random.Random(2)
+    texts = ["字" * 400, "x. " * 300, "\n\n".join("a" * 15 for _ in range(60)), "ab"]
+    texts += ["".join(rng.choice(["ab", ". ", "\n\n", "。", "c" * 9, " ", "\n", "d" * 50]) for _ in range(rng.randrange(90))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    for r in df.select("i", F.slice(C.split_chunks(F.col("text"), 20, 4), 1, 4).alias("c")).collect():
+        assert r.c == brute_chunks(texts[r.i], 20)[:4], texts[r.i]
+
+
 @pytest.mark.parametrize(
     "raw,want",
     [("&amp;lt;", "&lt;"), ("&#38;lt;", "&lt;"), ("&amp;#65;", "&#65;"), ("&#x1F600;&#65;", "😀A"), ("&bogus; &COPY;", "&bogus; ©"), ("&#0;&#x110000;&#xD800;", "&#0;&#x110000;&#xD800;"), ("&nbsp;", " "), ("&#X41;&#41A;&#abc;&#x;", "&#X41;)&#abc;&#x;"), ("a\ue000b&amp;\ue000", "a\ue000b&\ue000"), ("&#00000000000065;&#99999999999999999999;&a1;&;", "A&#99999999999999999999;&a1;&;"), ("x & y", "x & y")],
