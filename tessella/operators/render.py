@@ -433,10 +433,26 @@ def html_page(kind: str, title: Column, m: Column, sections: Column, tree: Colum
     )
 
 
-def write_exports(results: DataFrame, folder: str, formats: tuple[str, ...] = ("md", "mm", "html")) -> dict[str, str]:
-    """Write columns ``md``, ``mm``, ``html`` as one text dataset per format, partitioned by file name; returns their paths."""
+#: Fixed value: beginning of the note on files that could not be written.
+EXPORT_FAILED = "导出文件失败："
+
+
+def write_exports(results: DataFrame, folder: str, formats: tuple[str, ...] = ("md", "mm", "html"), note: str = "") -> dict[str, str]:
+    """Write columns ``md``, ``mm``, ``html`` as one text dataset per format, partitioned by file name; returns their paths.
+
+    What cannot be written below the folder is written beside it. If that fails too, there are no paths but a note that
+    says why, behind the note so far.
+    """
     out = {}
     for f in formats:
-        out[f] = f"{folder}/{f}"
-        results.select(T.safe_filename(F.col("title")).alias("name"), F.col(f).alias("value")).write.mode("overwrite").partitionBy("name").option("compression", "none").text(out[f])
+        rows = results.select(T.safe_filename(F.col("title")).alias("name"), F.col(f).alias("value"))
+        for path, last in ((f"{folder}/{f}", False), (f"{folder}-{f}", True)):
+            try:
+                rows.write.mode("overwrite").partitionBy("name").option("compression", "none").text(path)
+            except Exception as e:  # a folder that cannot be written is reported, not fatal: the results stand without files
+                if last:
+                    return {"note": (f"{note}；" if note else "") + EXPORT_FAILED + str(e).split("\n")[0]}
+                continue
+            out[f] = path
+            break
     return out

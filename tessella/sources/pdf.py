@@ -1,7 +1,7 @@
 """Text of PDF files: a small reader inside Arrow batches, one file at a time.
 
-Objects are found by scanning (later definitions win) and by expanding object streams, so classic, stream and hybrid
-cross references all lead to the same objects. A token reader walks dictionaries and content streams alike.
+Objects are found by scanning (later definitions win) and by expanding object streams; where the chain of classic, stream and
+hybrid cross references is sound, it says which version of an object counts. A token reader walks dictionaries and content streams alike.
 Known limits: the quote operators show text on a new line without their spacing arguments; encrypted files fail.
 """
 

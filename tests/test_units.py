@@ -208,3 +208,12 @@ def test_exports(spark, tmp_path):
     paths = R.write_exports(df, str(tmp_path))
     assert {f: spark.read.text(p).first().value for f, p in paths.items()} == {"md": "# A", "mm": "<map/>", "html": "<html/>"}
     assert spark.read.text(paths["md"]).first()["name"] == "A-b-c"
+
+
+def test_exports_beside_a_folder_that_cannot_be(spark, tmp_path):
+    df = spark.createDataFrame([("a b", "# a")], "title string, md string")
+    (tmp_path / "taken").write_text("a file")
+    assert R.write_exports(df, str(tmp_path / "taken"), ("md",)) == {"md": f"{tmp_path}/taken-md"}
+    assert (tmp_path / "taken-md" / "name=a-b").is_dir()
+    got = R.write_exports(df, str(tmp_path / "taken" / "below" / "x"), ("md",), "old")
+    assert set(got) == {"note"} and got["note"].startswith("old；" + R.EXPORT_FAILED)
