@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import arrays as A
 from tessella.llm.samples import held_out, sample_by_value
-from tessella.llm.store import own_columns
+from tessella.llm.store import Scratch, own_columns
 
 SAMPLE, LANDMARKS, BUCKETS, LONGEST, RIDGE, ROWS = 400, 24, 1 << 15, 4, 1e-2, 96
 
@@ -79,7 +79,9 @@ def fit(label: list[str], bits: np.ndarray) -> dict:
 
 def train(docs: DataFrame, rows: int = SAMPLE) -> dict:
     d = own_columns(docs, "doc_id", "text", "lang").where(F.col("text").rlike(r"\p{L}"))
-    got = sample_by_value(d, "lang", rows).select("doc_id", F.col("label").cast("string"), F.lower("text").alias("text")).mapInArrow(_collect, "doc_id long, label string, bits binary").toArrow().sort_by("doc_id")
+    scratch = Scratch(docs.sparkSession)
+    got = sample_by_value(d, "lang", rows, scratch).select("doc_id", F.col("label").cast("string"), F.lower("text").alias("text")).mapInArrow(_collect, "doc_id long, label string, bits binary").toArrow().sort_by("doc_id")
+    scratch.drop(*scratch.paths.values())
     bits = [np.unpackbits(np.frombuffer(x, np.uint8)) for x in got.column("bits").to_pylist()]
     return fit(got.column("label").to_pylist(), np.array(bits))
 

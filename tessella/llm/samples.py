@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.store import Scratch
+
 
 def held_out(doc_id: str = "doc_id") -> Column:
     """True where crc32 of the id as text is divisible by 5; such rows are never learned from. A null id is not held out."""
@@ -21,10 +23,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFra
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
-def sample_by_value(docs: DataFrame, column: str, rows: int) -> DataFrame:
-    """doc_id, text, label for at most ``rows`` documents of each value of ``column``, first by a hash of the id."""
+def sample_by_value(docs: DataFrame, column: str, rows: int, scratch: Scratch) -> DataFrame:
+    """doc_id, text, label for at most ``rows`` documents of each value of ``column``, first by a hash of the id.
+
+    The ids are a written table: its size is known when the texts are joined, so these need not move for a few ids.
+    """
     pool = docs.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(column).alias("label"))
     # ranked with a limit per value before the shuffle, so a value that most rows have needs no large task
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).select("doc_id", "label").dropDuplicates(["doc_id"])
-    return docs.select("doc_id", "text").join(ids, "doc_id")
+    return docs.select("doc_id", "text").join(scratch.cut(ids, "sample"), "doc_id")
