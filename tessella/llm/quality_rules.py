@@ -166,6 +166,8 @@ def consistency(coverage: float, p: int) -> float:
 #: Squared distance beyond which a row is an outlier.
 CUTOFF = chi_square_quantile(QUANTILE, len(MARGINS))
 STARTS = 3
+#: Up to so many groups their estimates (three starts of 73 doubles each, 7 MB at most) are sent to all tasks; beyond, rows move to them.
+SENT_GROUPS = 4096
 
 
 def _distance(have: list[str]) -> F.Column:
@@ -222,27 +224,28 @@ def least_determinants(work: DataFrame, scratch: Scratch) -> DataFrame:
     """grp, loc, inv, log_det of every group of ``work`` (grp and the statistics)."""
     have = list(MARGINS)
     quartiles = scratch.cut(work.groupBy("grp").agg(*[F.percentile_approx(k, [0.25, 0.5, 0.75], 1000).alias(f"q_{k}") for k in have]), "quartiles")
+    small = F.broadcast if quartiles.count() <= SENT_GROUPS else lambda table: table
     spread = lambda: work.withColumn("start", F.explode(F.array(*[F.lit(i) for i in range(STARTS)])))
     # standardised by median and quartiles
     scale = {k: F.sqrt(F.pow((F.col(f"q_{k}")[2] - F.col(f"q_{k}")[0]) / 1.349, 2) + m * m) for k, m in MARGINS.items()}
-    z = spread().join(quartiles, "grp").select("grp", "start", *have, *[((F.col(k) - F.col(f"q_{k}")[1]) / scale[k]).alias(f"z_{k}") for k in have])
+    z = spread().join(small(quartiles), "grp").select("grp", "start", *have, *[((F.col(k) - F.col(f"q_{k}")[1]) / scale[k]).alias(f"z_{k}") for k in have])
     z = z.withColumn("norm", sum((F.pow(f"z_{k}", 2) for k in have), F.lit(0.0)))
     shaped = z.where("start > 0").select("grp", "start", *[F.when(F.col("start") == 1, F.tanh(f"z_{k}")).otherwise(F.col(f"z_{k}") / F.sqrt(F.col("norm") + 1e-12)).alias(k) for k in have])
     first = scratch.cut(_moments(shaped).mapInArrow(_estimates(True), _ESTIMATE), "starts")
-    near = z.join(first, ["grp", "start"], "left")
+    near = z.join(small(first), ["grp", "start"], "left")
     of_z = near.select("grp", "start", "norm", "loc", "inv", *[F.col(k).alias(f"x_{k}") for k in have], *[F.col(f"z_{k}").alias(k) for k in have])
     near = of_z.withColumn("d2", F.when(F.col("start") == 0, F.col("norm")).otherwise(_distance(have))).select("grp", "start", "d2", *[F.col(f"x_{k}").alias(k) for k in have])
     est = None
     for _ in range(STEPS):
         # a table of its own: its size is known, so the rows need not move to it
         limit = scratch.cut(near.groupBy("grp", "start").agg(F.percentile_approx("d2", COVERAGE, 1000).alias("limit")), "limits")
-        core = near.join(limit, ["grp", "start"]).where("d2 <= limit")
+        core = near.join(small(limit), ["grp", "start"]).where("d2 <= limit")
         now = scratch.cut(_moments(core).mapInArrow(_estimates(False), _ESTIMATE), "scatters")
         fell = est is None or (now.join(est.select("grp", "start", F.col("log_det").alias("before")), ["grp", "start"]).agg(F.max(F.col("before") - F.col("log_det"))).first()[0] or 0.0) > 1e-3
         est = now
         if not fell:
             break
-        near = spread().join(est, ["grp", "start"]).withColumn("d2", _distance(have))
+        near = spread().join(small(est), ["grp", "start"]).withColumn("d2", _distance(have))
     return scratch.cut(est.groupBy("grp").agg(F.min(F.struct("log_det", "start", "loc", "inv")).alias("b")).select("grp", "b.loc", "b.inv", "b.log_det"), "mcd")
 
 
