@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tessella.llm.store import Scratch
 
 
+#: Pieces of a value's rows that are ranked apart.
+PIECES = 64
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True where crc32 of the id as text is divisible by 5; such rows are never learned from. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
@@ -29,7 +33,9 @@ def sample_by_value(docs: DataFrame, column: str, rows: int, scratch: Scratch) -
     The ids are a written table: its size is known when the texts are joined, so these need not move for a few ids.
     """
     pool = docs.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(column).alias("label"))
-    # ranked with a limit per value before the shuffle, so a value that most rows have needs no large task
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).select("doc_id", "label").dropDuplicates(["doc_id"])
+    # ranked in two steps: within PIECES pieces of a value first, so that one which most rows have needs no large task
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    own = Window.partitionBy("label", "piece").orderBy(*order)
+    pool = pool.withColumn("piece", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PIECES))).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= rows)
+    ids = pool.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where(F.col("rank") <= rows).select("doc_id", "label").dropDuplicates(["doc_id"])
     return docs.select("doc_id", "text").join(scratch.cut(ids, "sample"), "doc_id")
