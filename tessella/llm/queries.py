@@ -79,6 +79,18 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.result(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import topk
+
+    return topk.result(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import codes
+
+    return codes.result(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -91,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_model": op9_quality_model,
     "op10_secrets": op10_secrets,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: DuckDB SQL for the queries that it can express on whole tables.
