@@ -63,8 +63,9 @@ _BLANK = f"coalesce({_t('text')}, '') = ''"
 _NOTHING = f"CASE WHEN {_BLANK} THEN '{A.NOTHING}' END AS error"
 #: Chunks with their sentences, the first twenty of a text.
 _PARTS = f"SELECT doc_id, pos, chunk, least(n, 20) AS total, {_sentences('chunk')} AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM ({_CHUNKS})) WHERE pos < 20"
-#: What the last call sees of the first part of a long text: JSON, one sentence as a whole, as no value has a sentence's end.
-_FIRST = f"SELECT doc_id, total, '[{{\"title\":' || to_json({_title('p[1]', chr(39) + '第 1 部分' + chr(39))})::VARCHAR || ',\"summary\":' || to_json({_t(_cut('p[1]', 80))})::VARCHAR || ',\"thesis\":\"' AS j FROM ({_PARTS}) WHERE pos = 0"
+#: What the last call sees of the first part of a long text: JSON up to its arguments, one sentence as a whole, as no value has a
+#: sentence's end. With a title and a thesis of one character each it still has more than the 40 characters that are cut off it.
+_FIRST = f"SELECT doc_id, total, '[{{\"title\":' || to_json({_title('p[1]', chr(39) + '第 1 部分' + chr(39))})::VARCHAR || ',\"summary\":' || to_json({_t(_cut('p[1]', 80))})::VARCHAR || ',\"thesis\":' || to_json({_t(_cut('p[-1]', 80))})::VARCHAR || ',\"arguments\":[' AS j FROM ({_PARTS}) WHERE pos = 0"
 _CHAPTER = f"SELECT doc_id, total, '[{{\"title\":' || to_json({_title('p[1]', chr(39) + '第 1 章' + chr(39))})::VARCHAR || ',\"points\":[{{\"claim\":' || to_json({_t(_cut('p[1]', 60))})::VARCHAR || ',\"data\":\"\",' AS j FROM ({_PARTS}) WHERE pos = 0"
 _SHORT = f"SELECT doc_id, text, {_sentences('text')} AS p FROM documents WHERE length(text) <= {SHORT_TEXT} AND NOT {_BLANK}"
 _EMPTY = f"FROM documents WHERE {_BLANK}"
@@ -81,6 +82,6 @@ ORACLE_SQL = {
     "feynman_pipeline": f"""SELECT c.doc_id AS req_id, {_t(_cut('j', 40))} AS title, total AS n_chapters, CASE WHEN length(d.text) > {SHORT_TEXT} AND len({_sentences(_cut('d.text', STRUCTURE_CHARS))}) > 0 THEN 1 ELSE 0 END AS n_toc, NULL::VARCHAR AS error FROM ({_CHAPTER}) c JOIN documents d ON d.doc_id = c.doc_id
       UNION ALL SELECT doc_id, NULL, NULL, NULL, '{A.NOTHING}' {_EMPTY}""",
     "batch_pipeline": f"""SELECT batch_id, n AS items, CASE WHEN bad THEN n || ' 篇文章对比' ELSE {_t(_cut('j', 40))} END AS title, CASE WHEN NOT bad THEN 1 END AS n_themes, CASE WHEN bad THEN '{A.NOTHING}' END AS error FROM (
-      SELECT batch_id, count(*) AS n, bool_or(blank) AS bad, '[{{\"title\":' || to_json({_title('min_by(p, item)[1]', chr(39) + '未命名内容' + chr(39))})::VARCHAR || ',\"summary\":' || to_json({_t(_cut('min_by(p, item)[1]', 80))})::VARCHAR || ',\"thesis\":\"' AS j
+      SELECT batch_id, count(*) AS n, bool_or(blank) AS bad, '[{{\"title\":' || to_json({_title('min_by(p, item)[1]', chr(39) + '未命名内容' + chr(39))})::VARCHAR || ',\"summary\":' || to_json({_t(_cut('min_by(p, item)[1]', 80))})::VARCHAR || ',\"thesis\":' || to_json({_t(_cut('min_by(p, item)[-1]', 80))})::VARCHAR || ',\"arguments\":[' AS j
       FROM (SELECT CAST(floor(doc_id / 12) AS BIGINT) AS batch_id, doc_id % 12 + 1 AS item, {_BLANK} AS blank, {_sentences(_cut('text', QUICK_CHARS))} AS p FROM documents WHERE doc_id % 12 < 10) GROUP BY batch_id)""",
 }

@@ -1,4 +1,4 @@
-"""Every query of the document engine against its SQL in DuckDB, on the smallest tables."""
+"""Every query of the document engine against its SQL in DuckDB, on the two smallest scales."""
 
 import math
 
@@ -9,15 +9,16 @@ import __spark_entry__ as entry
 from tessella import catalog
 
 DATA = "/root/testdata/sf0.001"
+SCALES = [DATA, "/root/testdata/sf0.01"]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.fixture(scope="module")
-def duck():
+@pytest.fixture(scope="module", params=SCALES)
+def scale(request):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
-    return con
+        con.execute(f"create view {t} as select * from '{request.param}/{t}.parquet'")
+    return request.param, con
 
 
 def plain(v):
@@ -27,8 +28,9 @@ def plain(v):
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
-def test_equal(name, spark, duck):
-    df = entry.queries()[name](spark, DATA)
+def test_equal(name, spark, scale):
+    data, duck = scale
+    df = entry.queries()[name](spark, data)
     columns = sorted(df.columns)
     cursor = duck.execute(catalog.ORACLE_SQL[name])
     names = [c[0] for c in cursor.description]
