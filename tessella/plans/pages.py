@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import html as H
+from tessella.providers import ReplayFetcher
 from tessella.sources import resolve as R
+from tessella.sources import web as W
 
 
 def _pages(spark, d):
@@ -58,6 +60,13 @@ def scan_url(spark, d):
     return x.select("page_id", F.md5(R.with_title(F.col("title"), F.col("text"))).alias("md5"))
 
 
+def fetch_pages(spark, d):
+    """Links of the pages table fetched from a replay of what it recorded, by the replay's rules; links of one domain are refused."""
+    x = _pages(spark, d).select("page_id", "url", F.col("html").alias("recorded"))
+    out = W.fetch_pages(x, ReplayFetcher(), lambda url: F.endswith(R.host(url), F.lit(".example.com")) | F.endswith(R.host(url), F.lit(".example.org")))
+    return out.select("page_id", "status", "agent", "calls", "retried", F.md5("title").alias("title_md5"), F.md5("text").alias("md5"), "error")
+
+
 _NAMED = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&nbsp;": " ", "&apos;": "''", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…"}
 
 
@@ -98,7 +107,16 @@ def _sql(x: str) -> str:
     return f"SELECT page_id, length(x) AS chars, md5(x) AS md5 FROM (SELECT page_id, {x} AS x FROM pages)"
 
 
-QUERIES = {f.__name__: f for f in (html_title, content_region, strip_blocks, block_breaks, img_alt, strip_tags, collapse_ws, decode_entities, html_to_text, scan_url)}
+#: The replay's rules on the number in a link: what the service answers, what a browser does, and which answer counts.
+_NO_SERVICE = "n % 9 = 1"
+_WALL = "n % 7 = 2 AND n % 11 <> 3"
+_FETCH = f"""WITH p AS (SELECT page_id, url, html, regexp_extract(url, '/([0-9]+)', 1)::BIGINT AS n, regexp_matches(lower(regexp_extract(url, '(?i)^https?://([^/?#]+)', 1)), '[.]example[.](com|org)$') AS ok, {_TITLE} AS t, {_REGION} AS r FROM pages),
+  q AS (SELECT *, {_TEXT} AS x, {_NO_SERVICE} AND n % 2 = 0 AS dead, n % 11 = 3 AS gone, {_WALL} AND (n % 9 <> 1 OR n % 14 = 2) AS walled, {_WALL} AND n % 14 <> 2 AND n % 9 <> 1 AND (n % 13 = 4 OR n % 17 <> 5 AND {_TEXT} <> '') AS passed, n % 13 = 4 AS plain, n % 17 = 5 AS bare FROM p),
+  v AS (SELECT *, CASE WHEN walled AND (NOT passed OR plain OR t = '') THEN '验证' WHEN plain OR bare THEN '' ELSE t END AS title, CASE WHEN walled AND NOT passed THEN '环境异常，请完成验证' WHEN plain THEN 'plain ' || n WHEN bare THEN '' ELSE x END AS body FROM q),
+  w AS (SELECT *, CASE WHEN NOT ok THEN 'host not allowed' WHEN dead THEN '{W.FAILED}no provider' WHEN gone THEN '{W.STATUS[0]}404{W.STATUS[1]}' WHEN body = '' THEN '{W.EMPTY}' END AS error FROM v)"""
+
+
+QUERIES = {f.__name__: f for f in (html_title, content_region, strip_blocks, block_breaks, img_alt, strip_tags, collapse_ws, decode_entities, html_to_text, scan_url, fetch_pages)}
 ORACLE_SQL = {
     "html_title": f"SELECT page_id, {_TITLE} AS title FROM pages",
     "content_region": _sql(_REGION),
@@ -110,4 +128,9 @@ ORACLE_SQL = {
     "decode_entities": _sql(_entities("html")),
     "html_to_text": f"SELECT page_id, title, length(x) AS chars, md5(x) AS md5 FROM (SELECT page_id, title, {_TEXT} AS x FROM (SELECT page_id, {_TITLE} AS title, {_REGION} AS r FROM pages))",
     "scan_url": f"SELECT page_id, md5(CASE WHEN title <> '' AND NOT contains(x, title) THEN title || '\n\n' || x ELSE x END) AS md5 FROM (SELECT page_id, title, {_TEXT} AS x FROM (SELECT page_id, {_TITLE} AS title, {_REGION} AS r FROM pages))",
+    "fetch_pages": f"""{_FETCH} SELECT page_id, CASE WHEN ok AND NOT dead THEN CASE WHEN gone THEN 404 ELSE 200 END END AS status, CASE WHEN NOT ok OR dead THEN NULL WHEN {_NO_SERVICE} OR taken THEN 'browser' ELSE 'service' END AS agent,
+      CASE WHEN ok THEN 1 + (({_NO_SERVICE})::INT) + ((walled AND NOT dead AND NOT gone)::INT) END AS calls, CASE WHEN ok THEN walled AND NOT dead AND NOT gone END AS retried,
+      CASE WHEN error IS NULL THEN md5(title) END AS title_md5, CASE WHEN error IS NULL THEN md5(CASE WHEN title <> '' AND NOT contains(body, title) THEN title || '
+
+' || body ELSE body END) END AS md5, error FROM (SELECT *, passed AND NOT dead AND NOT gone AS taken FROM w)""",
 }

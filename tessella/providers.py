@@ -17,9 +17,78 @@ class ModelProvider(Protocol):
         """The whole answer; raises ModelError if the call fails."""
 
 
+class FetchError(Exception):
+    """A fetch without any answer."""
+
+
 class Fetcher(Protocol):
-    def fetch(self, url: str) -> tuple[int, str, str]:
-        """Status, kind (html or text), body."""
+    def fetch(self, url: str, agent: str, recorded: str | None) -> tuple[int, str, str]:
+        """Status, kind (html or text), body, called as ``agent``; ``recorded`` is what a replay answers. Raises FetchError if there is no answer."""
+
+
+@dataclass
+class HttpFetcher:
+    """Plain HTTP by the standard library: redirects followed, text in the charset that the answer names."""
+
+    timeout: float = 20.0
+    most: int = 10 << 20
+    #: What each agent says it is.
+    agents: dict[str, str] = field(default_factory=lambda: {"service": "tessella/1.0", "browser": "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/126.0 Safari/537.36"})
+
+    def fetch(self, url: str, agent: str, recorded: str | None = None) -> tuple[int, str, str]:
+        import urllib.error
+        import urllib.request
+
+        try:
+            request = urllib.request.Request(url, headers={"User-Agent": self.agents[agent]})
+            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+                status, head, body = answer.status, answer.headers, answer.read(self.most)
+        except urllib.error.HTTPError as e:
+            status, head, body = e.code, e.headers, e.read(self.most)
+        except (OSError, ValueError) as e:
+            raise FetchError(str(getattr(e, "reason", e))) from e
+        try:
+            text = body.decode(head.get_content_charset() or "utf-8", "replace")
+        except LookupError:
+            text = body.decode("utf-8", "replace")
+        return status, "html" if head.get_content_type() in ("text/html", "application/xhtml+xml") else "text", text
+
+
+@dataclass
+class ScriptedFetcher:
+    """Answers by link and agent; what is not in the script fails."""
+
+    answers: dict[tuple[str, str], tuple[int, str, str]] = field(default_factory=dict)
+
+    def fetch(self, url: str, agent: str, recorded: str | None) -> tuple[int, str, str]:
+        if (url, agent) not in self.answers:
+            raise FetchError(f"{agent} is down")
+        return self.answers[url, agent]
+
+
+@dataclass
+class ReplayFetcher:
+    """Answers what was recorded, and fails by the number in the link's path: no answer, other statuses, verification pages, blank pages."""
+
+    #: Fixed value: a verification page.
+    wall: str = "<html><title>验证</title><body><p>环境异常，请完成验证</p></body></html>"
+
+    def fetch(self, url: str, agent: str, recorded: str | None) -> tuple[int, str, str]:
+        import re
+
+        found = re.search(r"/([0-9]+)", url)
+        n = int(found[1]) if found else 0
+        if n % 9 == 1 and (agent == "service" or n % 2 == 0):
+            raise FetchError("no provider" if agent == "service" else "timeout")
+        if n % 11 == 3:
+            return 404, "html", recorded or ""
+        if n % 7 == 2 and (agent == "service" or n % 14 == 2):
+            return 200, "html", self.wall
+        if n % 13 == 4:
+            return 200, "text", f"plain {n}"
+        if n % 17 == 5:
+            return 200, "html", "<script>nothing to see</script>"
+        return 200, "html", recorded or ""
 
 
 def pick_model(selected: tuple[str, str] | None, catalog: dict[str, list[str]]) -> tuple[str, str]:
