@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from tessella.config import CACHE_ENTRIES, HISTORY_ENTRIES, HISTORY_SHOWN, Config
 from tessella.functions import text as T
+from tessella.tables import Scratch, carried, in_order
 
 #: Weights of the moving average, bounds of a latency, and what replaces one that is not positive.
 OLD, NEW, LATENCY_LOW, LATENCY_HIGH, LATENCY_DEFAULT = 0.8, 0.2, 50.0, 5000.0, 800.0
 #: Kinds of a recent read; any other drops the record.
 HISTORY_KINDS = ("article", "book", "map", "feynman", "batch")
-#: Values that a moving average still remembers: 0.8 ** 400 is far below the last bit of a double.
-MEMORY = 400
+#: The latest calls of a part that a moving average folds one by one; what lies before them in it is one weighted sum.
+EXACT = 128
 
 
 def stale(fetched_at: Column, now: Column, ttl_hours: float = Config.cache_ttl_hours) -> Column:
@@ -41,6 +42,46 @@ def cache_write(cache: DataFrame, writes: DataFrame, now: Column, ttl_hours: flo
     return last.where(~stale(F.col("fetched_at"), now, ttl_hours)).orderBy(F.desc("fetched_at"), F.desc("url")).limit(most)
 
 
+def cache_over_time(writes: DataFrame, reads: DataFrame, ttl_hours: float = Config.cache_ttl_hours, durable: bool = True, folder: str | None = None) -> DataFrame:
+    """Every read (req_id, url, at, seq, ignore_ttl) against the cache as it was at its own time: outcome, text, fetched_at.
+
+    ``writes`` are (url, text, at, seq); of one time, rows go by seq, writes first. Outcomes: hit; expired, for the read that finds a stale record and
+    deletes it; gone, if a record was deleted before (by an earlier read of it, or by any write, which sweeps all stale ones); none, without a
+    record. A read that ignores the expiry gets a stale record unless it is gone, and never deletes. Without ``durable`` (the
+    store is down, records are kept in memory) nothing is ever deleted. A record without a text is none. The cap on records is that of ``cache_write``.
+
+    An as-of join without pairs: the latest write of a link and the latest read that may have deleted its record are running values along (url, at),
+    the latest write at all one along time, all carried from part to part; texts are joined to hits only.
+    """
+    scratch = Scratch(writes.sparkSession, folder)
+    kind = F.lit(0).alias("kind")
+    none = F.lit(None)
+    w = writes.select("url", "at", F.col("seq").cast("long").alias("seq"), kind, none.cast(dict(reads.dtypes)["req_id"]).alias("req_id"), F.lit(False).alias("ignore_ttl"), F.col("text").isNotNull().alias("real"))
+    r = reads.select("url", "at", F.col("seq").cast("long").alias("seq"), F.lit(1).alias("kind"), "req_id", F.coalesce("ignore_ttl", F.lit(False)).alias("ignore_ttl"), none.cast("boolean").alias("real"))
+    x = w.unionByName(r).where("at is not null")
+    write = F.col("kind") == 0
+    if durable:
+        time = ["at", "seq", "kind", "url"]
+        x = carried(in_order(x, time, scratch, "time"), [], time, {"swept": F.when(write, F.col("at"))}, {"swept": "max"}).drop("_part")
+    order = ["url", "at", "seq", "kind"]
+    values = {"record": F.when(write, F.struct(F.col("at").alias("at"), F.col("seq").alias("seq"), F.col("real").alias("real"))), "looked": F.when(~write & ~F.col("ignore_ttl"), F.col("at"))}
+    x = carried(in_order(x, order, scratch, "links"), ["url"], order, values, {"record": "last", "looked": "last"}, inclusive=False)
+    ttl = F.lit(int(ttl_hours * 3_600_000_000))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    due = micros("record.at") + ttl
+    stale_now = micros("at") >= due
+    gone = (F.coalesce(micros("swept") >= due, F.lit(False)) | F.coalesce(micros("looked") >= due, F.lit(False))) if durable else F.lit(False)
+    outcome = (
+        F.when(~F.coalesce("record.real", F.lit(False)), "none").when(gone, "gone")
+        .when(stale_now & ~F.col("ignore_ttl"), "expired" if durable else "stale").otherwise("hit")
+    )
+    told = scratch.cut(x.where(~write).select("req_id", "url", "at", outcome.alias("outcome"), F.col("record.at").alias("fetched_at"), F.col("record.seq").alias("w_seq")), "told")
+    texts = writes.select(F.col("url").alias("w_url"), F.col("at").alias("w_at"), F.col("seq").cast("long").alias("seq"), "text")
+    hits = told.where("outcome = 'hit'").join(texts, (F.col("url") == F.col("w_url")) & (F.col("fetched_at") == F.col("w_at")) & (F.col("w_seq") == F.col("seq")))
+    columns = ["req_id", "url", "at", "outcome", "fetched_at"]
+    return scratch.done(hits.select(*columns, "text").unionByName(told.where("outcome <> 'hit'").select("req_id", "url", "at", "outcome", F.when(F.col("outcome") == "expired", F.col("fetched_at")).alias("fetched_at")), allowMissingColumns=True), "reads")
+
+
 def cache_policy(requests: DataFrame, cache: DataFrame, now: Column, ttl_hours: float = Config.cache_ttl_hours, enabled: bool = True) -> DataFrame:
     """Status of each request (req_id, url, refresh, fetched: text or null, error): hit, miss, fallback, disabled or null if it fails.
 
@@ -62,25 +103,44 @@ def cache_policy(requests: DataFrame, cache: DataFrame, now: Column, ttl_hours:
 
 
 def ewma(calls: DataFrame, key: str, seq: str, rate: str, latency: str) -> DataFrame:
-    """Moving averages of rate and latency per key over calls in the order of ``seq``, and their number.
+    """Moving averages of rate and latency per key over all calls in the order of ``seq`` (ties: by value), and their number.
 
-    The first value stands as it is; rates that are not positive and finite do not count. Only the last MEMORY calls of
-    a key are folded (ranked with a limit per group before the shuffle): what lies before them is below the last bit.
+    The first value stands as it is; rates that are not positive and finite do not count. A run of n calls maps an average a to
+    a * OLD ** n + s, and such maps compose, so runs fold apart: rows are dealt by sampled ranges of (key, seq), every part gives a
+    weighted sum of its earlier calls and a list of its EXACT latest, and a key's parts are folded in order. No window or list holds a whole
+    key. Sums of the earlier calls are added in any order: what they give is within 1e-12 of itself, times OLD ** EXACT (4e-13) of
+    the calls that follow, so results have the same bits as a plain fold unless earlier calls are a million times larger.
     """
     r, ms = F.col(rate), F.col(latency)
     inf = F.lit(float("inf"))
     ok = calls.where(r.isNotNull() & ~F.isnan(r) & (r > 0) & (r < inf))
     good = ms.isNotNull() & ~F.isnan(ms) & (ms > 0) & (ms < inf)
-    x = ok.select(key, seq, r.cast("double").alias("r"), F.when(good, F.least(F.lit(LATENCY_HIGH), F.greatest(F.lit(LATENCY_LOW), ms.cast("double")))).otherwise(F.lit(LATENCY_DEFAULT)).alias("l"))
-    counts = x.groupBy(key).agg(F.count("*").alias("calls"))
-    last = x.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(seq)))).where(F.col("rank") <= MEMORY)
-    folded = last.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(seq, "r", "l"))).alias("v"))
+    x = ok.select(F.col(key).alias("k"), F.col(seq).alias("q"), r.cast("double").alias("r"), F.when(good, F.least(F.lit(LATENCY_HIGH), F.greatest(F.lit(LATENCY_LOW), ms.cast("double")))).otherwise(F.lit(LATENCY_DEFAULT)).alias("l"))
+    order = ["q", "r", "l"]
+    x = x.repartitionByRange("k", *order).withColumn("part", F.spark_partition_id())
+    x = x.withColumn("back", F.row_number().over(Window.partitionBy("k", "part").orderBy(*[F.desc(c) for c in order])))
+    early = F.col("back") > EXACT
+    weight = F.pow(F.lit(OLD), F.col("back") - F.lit(EXACT + 1))
+    value = lambda c: F.struct(*[c[f] for f in ("r", "l")])
+    parts = x.groupBy("k", "part").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.when(early, F.col(c) * F.lit(NEW) * weight)).alias(f"s_{c}") for c in ("r", "l")], F.max_by(F.struct("r", "l"), "back").alias("first"),
+        F.array_sort(F.collect_list(F.when(~early, F.struct((-F.col("back")).alias("place"), "r", "l")))).alias("late"),
+    )
+    n_early = F.greatest(F.col("n") - F.lit(EXACT), F.lit(0))
+    by_key = parts.select("k", "n", F.struct("part", n_early.alias("early"), F.pow(F.lit(OLD), n_early).alias("m"), "s_r", "s_l", "first", F.transform("late", value).alias("late")).alias("p"))
+    by_key = by_key.groupBy("k").agg(F.sum("n").alias("calls"), F.array_sort(F.collect_list("p")).alias("parts"))
 
     def average(f: str) -> Column:
         step = lambda a, v: F.when(a.isNull(), v[f]).otherwise(a * F.lit(OLD) + v[f] * F.lit(NEW))
-        return F.aggregate(F.col("v"), F.lit(None).cast("double"), step)
 
-    return folded.select(key, average("r").alias("rate"), average("l").alias("latency")).join(counts, key).select(key, "calls", "rate", "latency")
+        def part(a: Column, p: Column) -> Column:
+            # the very first call counts whole, not by NEW
+            begun = F.when(a.isNull(), p[f"s_{f}"] + p["first"][f] * F.lit(OLD) * p["m"] / F.lit(OLD)).otherwise(a * p["m"] + p[f"s_{f}"])
+            return F.aggregate(p["late"], F.when(p["early"] > 0, begun).otherwise(a), step)
+
+        return F.aggregate("parts", F.lit(None).cast("double"), part)
+
+    return by_key.select(F.col("k").alias(key), "calls", average("r").alias("rate"), average("l").alias("latency"))
 
 
 def load_calibration(raw: Column) -> Column:

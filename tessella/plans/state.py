@@ -52,6 +52,22 @@ def cache_policy(spark, d):
     return S.cache_policy(r, _cache(spark, d), _now(), 72).select("req_id", "cache", F.md5("text").alias("md5"), "fetched_at", "note", "write")
 
 
+def _over_time(spark, d):
+    """Every third event writes its props under its user, the others read; every seventh read ignores the expiry."""
+    e, url = F.col("event_id"), F.concat(F.lit("u"), "user_id").alias("url")
+    x = _events(spark, d)
+    text = F.when(e % 30 != 9, F.col("props")).alias("text")
+    return x.where(e % 3 == 0).select(url, text, F.col("ts").alias("at"), e.alias("seq")), x.where(e % 3 != 0).select(e.alias("req_id"), url, F.col("ts").alias("at"), e.alias("seq"), (e % 7 == 0).alias("ignore_ttl"))
+
+
+def cache_over_time(spark, d):
+    return S.cache_over_time(*_over_time(spark, d), 24).select("req_id", "outcome", "fetched_at", F.md5("text").alias("md5"))
+
+
+def memory_fallback(spark, d):
+    return S.cache_over_time(*_over_time(spark, d), 24, durable=False).select("req_id", "outcome", "fetched_at", F.md5("text").alias("md5"))
+
+
 def ewma_calibration(spark, d):
     v = F.when(F.col("event_id") % 11 == 0, -F.col("value")).otherwise(F.col("value") + 1)
     x = _events(spark, d).select("event_type", "event_id", v.alias("r"), (F.col("value") * 100 - 200).alias("ms"))
@@ -95,7 +111,14 @@ _CACHE = f"SELECT url, CASE WHEN seq % 10 <> 4 THEN text END AS text, fetched_at
 _HIST = "SELECT source || '|' || kind || '|' || title AS id, * FROM (SELECT 's' || (user_id % 40) AS source, (['article', 'book', 'map', 'feynman', 'batch'])[CAST(event_id % 5 + 1 AS INT)] AS kind, event_type AS title, event_id AS seq, value AS chars FROM events)"
 _HIST_TOP = f"SELECT id, seq, source, kind, title, chars FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM ({_HIST})) WHERE rn = 1 ORDER BY seq DESC LIMIT"
 
-QUERIES = {f.__name__: f for f in (cache_stale, cache_write, cache_read, cache_policy, ewma_calibration, calibration_load, client_calibration, history_upsert, history_recent, history_read)}
+_TIMES = """WITH x AS (SELECT event_id, 'u' || user_id AS url, ts, event_id % 3 = 0 AS w, event_id % 7 = 0 AS ign, CASE WHEN event_id % 30 <> 9 THEN props END AS text FROM events),
+  y AS (SELECT *, last_value(CASE WHEN w THEN ts END IGNORE NULLS) OVER u AS rec, last_value(CASE WHEN w THEN event_id END IGNORE NULLS) OVER u AS rec_id, last_value(CASE WHEN NOT w AND NOT ign THEN ts END IGNORE NULLS) OVER u AS looked, max(CASE WHEN w THEN ts END) OVER (ORDER BY ts, event_id) AS swept FROM x
+    WINDOW u AS (PARTITION BY url ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  z AS (SELECT y.*, x.text AS rec_text, rec + INTERVAL 24 HOUR AS due FROM y LEFT JOIN x ON x.event_id = y.rec_id WHERE NOT y.w),
+  o AS (SELECT *, CASE WHEN rec_text IS NULL THEN 'none' WHEN {gone} THEN 'gone' WHEN ts >= due AND NOT ign THEN '{stale}' ELSE 'hit' END AS outcome FROM z)
+  SELECT event_id AS req_id, outcome, CASE WHEN outcome IN ('hit', 'expired') THEN rec END AS fetched_at, CASE WHEN outcome = 'hit' THEN md5(rec_text) END AS md5 FROM o"""
+
+QUERIES = {f.__name__: f for f in (cache_stale, cache_write, cache_read, cache_policy, cache_over_time, memory_fallback, ewma_calibration, calibration_load, client_calibration, history_upsert, history_recent, history_read)}
 ORACLE_SQL = {
     "cache_stale": f"SELECT event_id, {_STALE.format(168)} AS stale FROM ({_REC})",
     "cache_write": f"SELECT url, text, fetched_at FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq DESC) AS rn FROM ({_REC})) WHERE rn = 1 AND NOT {_STALE.format(72)} ORDER BY fetched_at DESC, url DESC LIMIT 200",
@@ -104,6 +127,8 @@ ORACLE_SQL = {
       SELECT *, CASE WHEN hit THEN 'hit' WHEN fetched IS NOT NULL THEN 'miss' WHEN text IS NOT NULL THEN 'fallback' END AS cache FROM (
       SELECT e.event_id AS req_id, c.text, c.fetched_at, CASE WHEN e.event_id % 3 = 1 THEN 'page ' || e.event_id WHEN e.event_id % 30 = 5 THEN '环境异常' END AS fetched, c.text IS NOT NULL AND e.event_id % 7 <> 0 AND NOT coalesce(c.stale, true) AS hit
       FROM events e LEFT JOIN (SELECT * FROM ({_CACHE}) WHERE text IS NOT NULL) c ON c.url = 'u' || e.user_id))""",
+    "cache_over_time": _TIMES.format(gone="swept >= due OR looked >= due", stale="expired"),
+    "memory_fallback": _TIMES.format(gone="false", stale="stale"),
     "ewma_calibration": """SELECT event_type, count(*) AS calls, list_reduce(list(r ORDER BY event_id), lambda a, x: a * 0.8::DOUBLE + x * 0.2::DOUBLE) AS rate, list_reduce(list(l ORDER BY event_id), lambda a, x: a * 0.8::DOUBLE + x * 0.2::DOUBLE) AS latency FROM (
       SELECT event_type, event_id, CASE WHEN event_id % 11 = 0 THEN -value ELSE value + 1 END AS r, CASE WHEN value * 100 - 200 > 0 THEN least(5000.0::DOUBLE, greatest(50.0::DOUBLE, value * 100 - 200)) ELSE 800.0::DOUBLE END AS l FROM events) WHERE r > 0 GROUP BY event_type""",
     "calibration_load": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id + 0.5::DOUBLE WHEN 2 THEN 64.0::DOUBLE END AS rate, CASE event_id % 4 WHEN 2 THEN 750.0::DOUBLE END AS latency, CASE event_id % 4 WHEN 0 THEN 3.0::DOUBLE WHEN 2 THEN 0.0::DOUBLE END AS calls, CASE event_id % 4 WHEN 0 THEN 'x' END AS updated_at FROM events",

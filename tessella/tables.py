@@ -59,7 +59,7 @@ class Scratch:
         return out
 
 
-def in_order(df: DataFrame, order: list[str | Column], scratch: Scratch, name: str = "ordered") -> DataFrame:
+def in_order(df: DataFrame, order: list[str], scratch: Scratch, name: str = "ordered") -> DataFrame:
     """``df`` as a written table with ``_part``: parts follow one another in ``order``, so running values can be built part by part.
 
     Rows are dealt by sampled ranges: a key with most of the rows lies in many parts, as long as its rows differ in ``order``.
@@ -67,7 +67,7 @@ def in_order(df: DataFrame, order: list[str | Column], scratch: Scratch, name: s
     return scratch.cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
 
 
-def carried(ordered: DataFrame, keys: list[str], order: list[str | Column], values: dict[str, Column], folds: dict[str, str], inclusive: bool = True) -> DataFrame:
+def carried(ordered: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], folds: dict[str, str], inclusive: bool = True) -> DataFrame:
     """Running folds along ``order`` within ``keys`` of a table of ``in_order``, without a window over a whole key.
 
     ``values`` name what is folded and ``folds`` say how: last (the latest that is not null), max, min or sum. Every part folds its own rows first; totals of
@@ -85,7 +85,7 @@ def carried(ordered: DataFrame, keys: list[str], order: list[str | Column], valu
     for v, f in folds.items():
         if f == "last":
             # the latest of a part is a grouped maximum of places; orders end in a column that tells rows apart
-            ends.append(F.max_by(names[v], F.when(F.col(names[v]).isNotNull(), F.struct(*[_plain(o) for o in order]))).alias(names[v]))
+            ends.append(F.max_by(names[v], F.when(F.col(names[v]).isNotNull(), F.struct(*order))).alias(names[v]))
         else:
             ends.append({"max": F.max, "min": F.min, "sum": F.sum}[f](names[v]).alias(names[v]))
     before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,7 +99,3 @@ def carried(ordered: DataFrame, keys: list[str], order: list[str | Column], valu
         return {"last": F.coalesce(a, b), "max": F.greatest(a, b), "min": F.least(a, b), "sum": F.when(a.isNull() & b.isNull(), None).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))}[f]
 
     return joined.withColumns({v: both(v, f) for v, f in folds.items()}).drop(*names.values(), *[f"{n}_earlier" for n in names.values()])
-
-
-def _plain(order: str | Column) -> Column:
-    return F.col(order) if isinstance(order, str) else order
