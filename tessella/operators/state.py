@@ -42,11 +42,11 @@ def cache_write(cache: DataFrame, writes: DataFrame, now: Column, ttl_hours: flo
     return last.where(~stale(F.col("fetched_at"), now, ttl_hours)).orderBy(F.desc("fetched_at"), F.desc("url")).limit(most)
 
 
-def cache_over_time(writes: DataFrame, reads: DataFrame, ttl_hours: float = Config.cache_ttl_hours, durable: bool = True, folder: str | None = None) -> DataFrame:
+def cache_over_time(writes: DataFrame, reads: DataFrame, ttl_hours: float = Config.cache_ttl_hours, durable: bool = True, sweep: bool = True, folder: str | None = None) -> DataFrame:
     """Every read (req_id, url, at, seq, ignore_ttl) against the cache as it was at its own time: outcome, text, fetched_at.
 
     ``writes`` are (url, text, at, seq); of one time, rows go by seq, writes first. Outcomes: hit; expired, for the read that finds a stale record and
-    deletes it; gone, if a record was deleted before (by an earlier read of it, or by any write, which sweeps all stale ones); none, without a
+    deletes it; gone, if a record was deleted before (by an earlier read of it or, with ``sweep``, by any write, which takes all stale ones along); none, without a
     record. A read that ignores the expiry gets a stale record unless it is gone, and never deletes. Without ``durable`` (the
     store is down, records are kept in memory) nothing is ever deleted. A record without a text is none. The cap on records is that of ``cache_write``.
 
@@ -60,7 +60,8 @@ def cache_over_time(writes: DataFrame, reads: DataFrame, ttl_hours: float = Conf
     r = reads.select("url", "at", F.col("seq").cast("long").alias("seq"), F.lit(1).alias("kind"), "req_id", F.coalesce("ignore_ttl", F.lit(False)).alias("ignore_ttl"), none.cast("boolean").alias("real"))
     x = w.unionByName(r).where("at is not null")
     write = F.col("kind") == 0
-    if durable:
+    sweep = durable and sweep
+    if sweep:
         time = ["at", "seq", "kind", "url"]
         x = carried(in_order(x, time, scratch, "time"), [], time, {"swept": F.when(write, F.col("at"))}, {"swept": "max"}).drop("_part")
     order = ["url", "at", "seq", "kind"]
@@ -70,7 +71,8 @@ def cache_over_time(writes: DataFrame, reads: DataFrame, ttl_hours: float = Conf
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     due = micros("record.at") + ttl
     stale_now = micros("at") >= due
-    gone = (F.coalesce(micros("swept") >= due, F.lit(False)) | F.coalesce(micros("looked") >= due, F.lit(False))) if durable else F.lit(False)
+    looked = F.coalesce(micros("looked") >= due, F.lit(False)) if durable else F.lit(False)
+    gone = looked | F.coalesce(micros("swept") >= due, F.lit(False)) if sweep else looked
     outcome = (
         F.when(~F.coalesce("record.real", F.lit(False)), "none").when(gone, "gone")
         .when(stale_now & ~F.col("ignore_ttl"), "expired" if durable else "stale").otherwise("hit")
