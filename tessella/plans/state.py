@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import state as S
+from tessella.streaming import cache as C
 
 NOW = "2024-01-20 00:00:00"
 _ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
@@ -68,6 +69,15 @@ def memory_fallback(spark, d):
     return S.cache_over_time(*_over_time(spark, d), 24, durable=False).select("req_id", "outcome", "fetched_at", F.md5("text").alias("md5"))
 
 
+def stream_cache(spark, d):
+    """The same reads and writes as a stream that ends: rows of the last hour still wait for the watermark."""
+    e, w = F.col("event_id"), F.col("event_id") % 3 == 0
+    x = spark.readStream.schema(_events(spark, d).schema).parquet(f"{d}/event[s].parquet")  # a pattern, as a stream takes no single file
+    x = x.select(F.concat(F.lit("u"), "user_id").alias("url"), F.col("ts").alias("at"), e.alias("seq"), F.when(w, C.WRITE).otherwise(C.READ).alias("kind"), e.alias("req_id"), F.when(w & (e % 30 != 9), F.col("props")).alias("text"), (e % 7 == 0).alias("ignore_ttl"))
+    out = C.ended(C.answered(x, "1 hour", 24))
+    return out.select(F.col("req_id").cast("long").alias("req_id"), "outcome", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"), F.md5("text").alias("md5"))
+
+
 def ewma_calibration(spark, d):
     v = F.when(F.col("event_id") % 11 == 0, -F.col("value")).otherwise(F.col("value") + 1)
     x = _events(spark, d).select("event_type", "event_id", v.alias("r"), (F.col("value") * 100 - 200).alias("ms"))
@@ -118,7 +128,7 @@ _TIMES = """WITH x AS (SELECT event_id, 'u' || user_id AS url, ts, event_id % 3
   o AS (SELECT *, CASE WHEN rec_text IS NULL THEN 'none' WHEN {gone} THEN 'gone' WHEN ts >= due AND NOT ign THEN '{stale}' ELSE 'hit' END AS outcome FROM z)
   SELECT event_id AS req_id, outcome, CASE WHEN outcome IN ('hit', 'expired') THEN rec END AS fetched_at, CASE WHEN outcome = 'hit' THEN md5(rec_text) END AS md5 FROM o"""
 
-QUERIES = {f.__name__: f for f in (cache_stale, cache_write, cache_read, cache_policy, cache_over_time, memory_fallback, ewma_calibration, calibration_load, client_calibration, history_upsert, history_recent, history_read)}
+QUERIES = {f.__name__: f for f in (cache_stale, cache_write, cache_read, cache_policy, cache_over_time, memory_fallback, stream_cache, ewma_calibration, calibration_load, client_calibration, history_upsert, history_recent, history_read)}
 ORACLE_SQL = {
     "cache_stale": f"SELECT event_id, {_STALE.format(168)} AS stale FROM ({_REC})",
     "cache_write": f"SELECT url, text, fetched_at FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq DESC) AS rn FROM ({_REC})) WHERE rn = 1 AND NOT {_STALE.format(72)} ORDER BY fetched_at DESC, url DESC LIMIT 200",
@@ -129,6 +139,7 @@ ORACLE_SQL = {
       FROM events e LEFT JOIN (SELECT * FROM ({_CACHE}) WHERE text IS NOT NULL) c ON c.url = 'u' || e.user_id))""",
     "cache_over_time": _TIMES.format(gone="swept >= due OR looked >= due", stale="expired"),
     "memory_fallback": _TIMES.format(gone="false", stale="stale"),
+    "stream_cache": _TIMES.format(gone="looked >= due", stale="expired") + " WHERE ceil(epoch_us(ts) / 1000) <= (SELECT floor(epoch_us(max(ts)) / 1000) FROM events) - 3600000",
     "ewma_calibration": """SELECT event_type, count(*) AS calls, list_reduce(list(r ORDER BY event_id), lambda a, x: a * 0.8::DOUBLE + x * 0.2::DOUBLE) AS rate, list_reduce(list(l ORDER BY event_id), lambda a, x: a * 0.8::DOUBLE + x * 0.2::DOUBLE) AS latency FROM (
       SELECT event_type, event_id, CASE WHEN event_id % 11 = 0 THEN -value ELSE value + 1 END AS r, CASE WHEN value * 100 - 200 > 0 THEN least(5000.0::DOUBLE, greatest(50.0::DOUBLE, value * 100 - 200)) ELSE 800.0::DOUBLE END AS l FROM events) WHERE r > 0 GROUP BY event_type""",
     "calibration_load": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id + 0.5::DOUBLE WHEN 2 THEN 64.0::DOUBLE END AS rate, CASE event_id % 4 WHEN 2 THEN 750.0::DOUBLE END AS latency, CASE event_id % 4 WHEN 0 THEN 3.0::DOUBLE WHEN 2 THEN 0.0::DOUBLE END AS calls, CASE event_id % 4 WHEN 0 THEN 'x' END AS updated_at FROM events",

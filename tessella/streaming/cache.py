@@ -8,6 +8,7 @@ checkpoint: a restarted query goes on where it stopped. A link is one key and so
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tessella.config import Config
+from tessella.tables import delete, shared_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _EVENT = "at_us long, seq long, kind int, req_id string, text string, ignore_ttl boolean"
@@ -34,16 +36,14 @@ class LinkCache(StatefulProcessor):
         self.waiting = handle.getListState("waiting", _EVENT)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        due = set()
-        for r in rows:
-            self.waiting.appendValue((r.at_us, r.seq, r.kind, r.req_id, r.text, r.ignore_ttl))
-            due.add(_timer(r.at_us))
-        for at in due:
-            self.handle.registerTimer(at)
+        new = [(r.at_us, r.seq, r.kind, r.req_id, r.text, r.ignore_ttl) for r in rows]
+        self.waiting.appendList(new)
+        # one timer for the first of them: it takes all that the watermark has passed, and sets the next one
+        self.handle.registerTimer(min(_timer(r[0]) for r in new))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
         ready = sorted((r for r in rows if _timer(r[0]) <= now), key=lambda r: r[:3])
         later = [r for r in rows if _timer(r[0]) > now]
@@ -51,6 +51,7 @@ class LinkCache(StatefulProcessor):
             self.waiting.clear()
             if later:
                 self.waiting.put(later)
+                self.handle.registerTimer(min(_timer(r[0]) for r in later))
         record = tuple(self.record.get()) if self.record.exists() else None
         out, had = [], record
         for at, _, kind, req_id, text, ignore in ready:
@@ -102,3 +103,12 @@ def answered(events: DataFrame, delay: str, ttl_hours: float = Config.cache_ttl_
     processor = LinkCache(int(ttl_hours * hour), durable, None if forget_hours is None else int(forget_hours * hour))
     out = x.withWatermark("at", delay).groupBy("url").transformWithState(processor, _OUT, "append", "eventTime")
     return out.select("req_id", "url", F.timestamp_micros("at_us").alias("at"), "outcome", F.timestamp_micros("fetched_us").alias("fetched_at"), "text")
+
+
+def ended(stream: DataFrame) -> DataFrame:
+    """Run a stream over what its source holds now, and read back what it gave. Its checkpoint is deleted."""
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    delete(spark, f"{base}/state")
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
