@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators.sanitize import NO_EVIDENCE, NO_RELATION, NO_TYPE
+from tessella.sources.document_files import distinct_names, write_files
+from tessella.tables import Scratch
 
 #: Item types in the order of reports, those that mind trees show, and classes of the confidence labels.
 TYPES = ("核心结论", "分论点", "原因或作用机制", "事实", "数据", "案例", "隐含前提", "反对意见", "限制条件", "可执行建议")
@@ -438,14 +440,15 @@ EXPORT_FAILED = "导出文件失败："
 
 
 def write_exports(results: DataFrame, folder: str, formats: tuple[str, ...] = ("md", "mm", "html"), note: str = "") -> dict[str, str]:
-    """Write columns ``md``, ``mm``, ``html`` as one text dataset per format, partitioned by file name; returns their paths.
+    """Write columns ``md``, ``mm``, ``html`` as one text dataset per format, partitioned by distinct file names; returns their paths.
 
     What cannot be written below the folder is written beside it. If that fails too, there are no paths but a note that
     says why, behind the note so far.
     """
     out = {}
+    named = distinct_names(results.select("title", *formats), F.col("title"), "title", Scratch(results.sparkSession))
     for f in formats:
-        rows = results.select(T.safe_filename(F.col("title")).alias("name"), F.col(f).alias("value"))
+        rows = named.select("name", F.col(f).alias("value"))
         for path, last in ((f"{folder}/{f}", False), (f"{folder}-{f}", True)):
             try:
                 rows.write.mode("overwrite").partitionBy("name").option("compression", "none").text(path)
@@ -456,3 +459,31 @@ def write_exports(results: DataFrame, folder: str, formats: tuple[str, ...] = ("
             out[f] = path
             break
     return out
+
+
+def export_files(results: DataFrame, folder: str, key: str, formats: tuple[str, ...] = ("md", "mm", "html")) -> DataFrame:
+    """One file per document and format below ``folder`` (columns ``key``, title and those of the formats): key, format, file, note.
+
+    Files appear all at once when their format is written, or not at all. What cannot be written below the folder is written beside it; if
+    that fails too, there is no file but a note that says why. A null content is no file.
+    """
+    spark, out = results.sparkSession, []
+    scratch = Scratch(spark)
+    named = scratch.cut(distinct_names(results.select(key, "title", *formats), F.col("title"), key, scratch), "exports")
+    for f in formats:
+        rows = named.where(F.col(f).isNotNull()).select(key, F.concat("name", F.lit(f".{f}")).alias("name"), F.col(f).alias("content"))
+        note = None
+        for path in (folder, f"{folder}-{f}"):
+            try:
+                write_files(rows, path, overwrite=False)
+            except Exception as e:  # a folder that cannot be written is reported, not fatal: the results stand without files
+                note = EXPORT_FAILED + str(e).split("\n")[0]
+                continue
+            out.append(rows.select(key, F.lit(f).alias("format"), F.concat(F.lit(f"{path}/"), "name").alias("file"), F.lit(None).cast("string").alias("note")))
+            break
+        else:
+            out.append(rows.select(key, F.lit(f).alias("format"), F.lit(None).cast("string").alias("file"), F.lit(note).alias("note")))
+    whole = out[0]
+    for o in out[1:]:
+        whole = whole.unionByName(o)
+    return scratch.done(whole, "exported")

@@ -1,14 +1,18 @@
-"""Queries of PDF files and of the budget endpoint, with their SQL. The files are made of the rows of ``part``."""
+"""Queries of PDF files, of the budget endpoint and of written files, with their SQL. The PDF files are made of the rows of ``part``."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessella.config import SAMPLED_PDF_BYTES
 from tessella.operators import budget as B
+from tessella.operators import render as E
 from tessella.plans.budgets import ORACLE_SQL as _BUDGETS
 from tessella.plans.budgets import _cls
 from tessella.sources import resolve as R
+from tessella.tables import shared_dir
 
 
 def _object(number: int, body):
@@ -53,12 +57,12 @@ def extract_pdf_stats(spark, d):
 
 
 def resolve_for_estimate(spark, d):
-    """Every 500th file is filled up beyond the size from which files are only sampled."""
-    x = _files(spark, d).where("p_partkey % 7 <> 0")
+    """Every 500th file is filled up beyond the size from which files are only sampled; broken ones are rows with an error."""
+    x = _files(spark, d)
     long = F.concat("content", F.encode(F.repeat(F.lit(" "), SAMPLED_PDF_BYTES), "UTF-8"))
     x = x.withColumn("content", F.when(F.col("p_partkey") % 500 == 0, long).otherwise(F.col("content"))).withColumn("length", F.length("content").cast("long"))
     y = R.for_estimate(x.drop("p_partkey"))
-    return y.select(F.col("path").cast("long").alias("p_partkey"), F.col("text").isNull().alias("sampled"), F.length("text").cast("long").alias("chars"), "n_pages", "sample_pages", "sample_chars")
+    return y.select(F.col("path").cast("long").alias("p_partkey"), (F.col("text").isNull() & F.col("error").isNull()).alias("sampled"), F.length("text").cast("long").alias("chars"), "n_pages", "sample_pages", "sample_chars", F.col("error").isNotNull().alias("failed"))
 
 
 def budget_api(spark, d):
@@ -71,17 +75,33 @@ def budget_api(spark, d):
     return e.select("req_id", "status", "ok", "error", "chars", "source", "source_kind", "note", "cache", F.array_join(F.transform("modes", lambda m: m["mode"]), ",").alias("modes"), total.alias("tokens"), "calibrated")
 
 
-QUERIES = {f.__name__: f for f in (scan_pdf, pdf_filters, extract_pdf_stats, resolve_for_estimate, budget_api)}
+def export_files(spark, d):
+    """A Markdown file and a link file per page, named by the first word of its title, written and listed."""
+    x = spark.read.parquet(f"{d}/pages.parquet")
+    word = F.regexp_extract("html", "(?is)<title[^>]*>([^ <]*)", 1).alias("title")
+    x = x.select("page_id", word, F.concat(F.lit("# "), F.col("page_id").cast("string"), F.lit("\n"), F.md5("html")).alias("md"), F.when(F.col("page_id") % 3 > 0, F.col("url")).alias("url"))
+    folder = f"{shared_dir(spark)}/exports-{uuid.uuid4().hex}"
+    files = E.export_files(x, folder, "page_id", ("md", "url"))
+    found = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.md5("content").alias("md5"))
+    told = files.select("page_id", F.regexp_extract("file", "[^/]+$", 0).alias("name"))
+    return told.join(found, "name", "full")
+
+
+QUERIES = {f.__name__: f for f in (scan_pdf, pdf_filters, extract_pdf_stats, resolve_for_estimate, budget_api, export_files)}
 _N = "chr(10)"
 _SECOND = "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END"
 _TEXT = f"""'【第1页】' || {_N} || p_name || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE {_N} || {_N} || '【第2页】' || {_N} || p_type END || {_N} || {_N} || '【第' || (CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 3 END) || '页】' || {_N} || p_brand"""
 _PDF = f"""SELECT p_partkey, CASE WHEN ok THEN 3::BIGINT END AS n_pages, CASE WHEN ok THEN p_name || '|' || {_SECOND} || '|' || p_brand END AS pages, CASE WHEN ok THEN {_TEXT} END AS text, NOT ok AS failed FROM (SELECT *, p_partkey % 7 <> 0 AS ok FROM part)"""
 _CHARS = f"length(p_name) + length({_SECOND})"
+_NAME = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(word, '[\\/:*?"<>|\x00-\x1f]+', '-', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')"""
+_NAMED = f"""SELECT *, name || CASE WHEN row_number() OVER (PARTITION BY lower(name) ORDER BY page_id) > 1 THEN '--' || row_number() OVER (PARTITION BY lower(name) ORDER BY page_id) ELSE '' END AS own
+  FROM (SELECT page_id, url, html, coalesce(nullif(substr({_NAME}, 1, 40), ''), 'report') AS name FROM (SELECT *, regexp_extract(html, '(?is)<title[^>]*>([^ <]*)', 1) AS word FROM pages))"""
 ORACLE_SQL = {
+    "export_files": f"""WITH n AS ({_NAMED}) SELECT page_id, own || '.md' AS name, md5('# ' || page_id || chr(10) || md5(html)) AS md5 FROM n UNION ALL SELECT page_id, own || '.url', md5(url) FROM n WHERE page_id % 3 > 0""",
     "scan_pdf": _PDF,
     "pdf_filters": _PDF,
     "extract_pdf_stats": f"SELECT p_partkey, CASE WHEN ok THEN 3::BIGINT END AS pages, CASE WHEN ok THEN 2::BIGINT END AS sample_pages, CASE WHEN ok THEN {_CHARS} END AS sample_chars, CASE WHEN ok THEN CAST(ceil(cjk * 0.6::DOUBLE + latin * 0.25::DOUBLE + other * 0.5::DOUBLE) AS BIGINT) END AS sample_tokens, NOT ok AS failed FROM (SELECT *, {_cls('joint')} FROM (SELECT *, p_name || chr(10) || {_SECOND} AS joint, p_partkey % 7 <> 0 AS ok FROM part))",
-    "resolve_for_estimate": f"SELECT p_partkey, p_partkey % 500 = 0 AS sampled, CASE WHEN p_partkey % 500 <> 0 THEN length({_TEXT}) END AS chars, CASE WHEN p_partkey % 500 = 0 THEN 3::BIGINT END AS n_pages, CASE WHEN p_partkey % 500 = 0 THEN 2::BIGINT END AS sample_pages, CASE WHEN p_partkey % 500 = 0 THEN {_CHARS} END AS sample_chars FROM part WHERE p_partkey % 7 <> 0",
+    "resolve_for_estimate": f"SELECT p_partkey, ok AND large AS sampled, CASE WHEN ok AND NOT large THEN length({_TEXT}) END AS chars, CASE WHEN ok AND large THEN 3::BIGINT END AS n_pages, CASE WHEN ok AND large THEN 2::BIGINT END AS sample_pages, CASE WHEN ok AND large THEN {_CHARS} END AS sample_chars, NOT ok AS failed FROM (SELECT *, p_partkey % 7 <> 0 AS ok, p_partkey % 500 = 0 AS large FROM part)",
     "budget_api": f"""SELECT doc_id AS req_id, CASE WHEN doc_id % 9 = 0 THEN 405 WHEN ok OR doc_id % 10 = 3 THEN 200 ELSE 500 END AS status, ok, CASE WHEN doc_id % 9 = 0 THEN '{B.ONLY_POST}' WHEN doc_id % 10 = 3 THEN '{B.NO_SOURCE}' WHEN doc_id % 10 = 7 THEN 'timeout' END AS error, CASE WHEN ok THEN chars END AS chars, CASE WHEN ok THEN source END AS source,
       CASE WHEN ok THEN 'text' END AS source_kind, CASE WHEN ok AND doc_id % 4 = 1 THEN 'note' END AS note, CASE WHEN ok AND doc_id % 5 = 0 THEN 'hit' END AS cache, CASE WHEN ok THEN 'quick,deep,book,map,feynman' END AS modes, CASE WHEN ok THEN tokens END AS tokens, CASE WHEN ok THEN false END AS calibrated
       FROM (SELECT d.doc_id, d.source, e.chars, e.tokens, d.doc_id % 9 <> 0 AND d.doc_id % 10 <> 3 AND d.doc_id % 10 <> 7 AS ok FROM documents d JOIN (SELECT doc_id, any_value(chars) AS chars, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM ({_BUDGETS["estimate_modes"]}) GROUP BY doc_id) e ON e.doc_id = d.doc_id)""",
