@@ -1,19 +1,20 @@
 """Readings by a model: sections per chunk in parallel, one final call per document or batch, everything sanitised.
 
 A stage is one ``mapInArrow`` over prompts; its answers are written before the next stage reads them, so a lost executor
-or a second action never pays for a call twice. Final calls read condensed parts, gathered per document (at most
+or a second action never pays for a call twice, and deleted once a reading's rows are written. A streamed answer is joined piece by piece; a call
+that takes longer than it may fails between two pieces. If the stage's Spark jobs are cancelled by their tag, its tasks end between two pieces
+too, and its rows say that they were cancelled. Final calls read condensed parts, gathered per document (at most
 ``max_parts`` of them). Prompts ask for one JSON object; failed attempts are repeated up to three times with a note.
 """
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessella.config import BATCH_ITEMS, QUICK_CHARS, SHORT_TEXT, STRUCTURE_CHARS, Config
@@ -23,9 +24,14 @@ from tessella.operators import jsonx as J
 from tessella.operators import sanitize as S
 from tessella.operators.budget import OUT_PART, OUT_QUICK, OUT_SHORT
 from tessella.providers import CORRECTION, ModelError, ModelProvider
+from tessella.tables import Scratch, write
 
 #: What is said of a request without a text.
 NOTHING = "nothing to analyse"
+#: Fixed value: what is said of a request whose stage was cancelled.
+CANCELLED = "任务已取消"
+#: Answers that a task passes on at once.
+ROWS = 64
 #: Attempts of a call, growth of the output budget after an error or a cut answer, and its cap.
 ATTEMPTS, GROWTH, MOST_BUDGET, TEMPERATURE, TAIL = 3, 1.5, 16000, 0.2, 160
 
@@ -55,13 +61,25 @@ def next_budget(budget: int) -> int:
     return min(math.ceil(budget * GROWTH), MOST_BUDGET)
 
 
-def call_json(provider: ModelProvider, parse, system: str, user: str, budget: int) -> dict:
+def whole(provider: ModelProvider, system: str, prompt: str, budget: int, seconds: float | None = None) -> str:
+    """An answer, joined from its pieces as they come if the provider streams; fails between two pieces after ``seconds``."""
+    if not hasattr(provider, "stream"):
+        return provider.complete(system, prompt, budget, TEMPERATURE)
+    end, text = None if seconds is None else time.monotonic() + seconds, []
+    for piece in provider.stream(system, prompt, budget, TEMPERATURE):
+        if end is not None and time.monotonic() > end:
+            raise ModelError(f"no answer within {seconds:g} s")
+        text.append(piece)
+    return "".join(text)
+
+
+def call_json(provider: ModelProvider, parse, system: str, user: str, budget: int, seconds: float | None = None) -> dict:
     """Up to three attempts; more budget after an error or a cut answer, the same after a mere slip of format."""
     prompt, history = user, []
     for attempt in range(1, ATTEMPTS + 1):
         answer, error = "", None
         try:
-            answer = provider.complete(system, prompt, budget, TEMPERATURE)
+            answer = whole(provider, system, prompt, budget, seconds)
             if not answer.strip():
                 raise ModelError("empty answer")
         except ModelError as e:
@@ -95,31 +113,39 @@ def _parses(text: str) -> bool:
     return False
 
 
-def call_stage(prompts: DataFrame, provider: ModelProvider, keys: list[str], folder: str | None = None) -> DataFrame:
-    """keys, v (the parsed answer), attempts, budget, error for prompts (keys, system, user, budget); written once."""
+def cancelled(e: Exception) -> bool:
+    """Whether Spark ended a job because it was cancelled."""
+    return "SPARK_JOB_CANCELLED" in str(e)
+
+
+def call_stage(prompts: DataFrame, provider: ModelProvider, keys: list[str], scratch: Scratch | None = None, seconds: float | None = None, seen: Observation | None = None) -> DataFrame:
+    """keys, v (the parsed answer), attempts, budget, error for prompts (keys, system, user, budget); written once.
+
+    ``seen`` observes finished, failed and attempts while answers are written. Without ``scratch`` the written table stays. A cancelled stage gives
+    every prompt's row with that error, and no answer.
+    """
     own = prompts.select(*keys, "system", "user", "budget")
     schema = own.select(*keys).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                got = call_json(provider, _parses, b.column("system")[i].as_py(), b.column("user")[i].as_py(), b.column("budget")[i].as_py())
-                yield pa.record_batch(
-                    [b.column(k).slice(i, 1) for k in keys] + [pa.array([got["answer"]], pa.string()), pa.array([got["attempts"]], pa.int32()), pa.array([got["budget"]], pa.int32()), pa.array([got["error"]], pa.string())],
-                    names=[*keys, "answer", "attempts", "budget", "error"],
-                )
+        for b in (x.slice(i, ROWS) for x in batches for i in range(0, x.num_rows, ROWS)):
+            got = [call_json(provider, _parses, *asked, seconds) for asked in zip(*(b.column(c).to_pylist() for c in ("system", "user", "budget")))]
+            found = [pa.array([g[c] for g in got], t) for c, t in (("answer", pa.string()), ("attempts", pa.int32()), ("budget", pa.int32()), ("error", pa.string()))]
+            yield pa.record_batch([*(b.column(k) for k in keys), *found], names=[*keys, "answer", "attempts", "budget", "error"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
-    spark = prompts.sparkSession
-    base = folder or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="tessella-")
-    path = f"{base}/answers-{uuid.uuid4().hex}"
     # many small tasks: calls are slow and should spread over all executors
-    own.repartition(*keys).mapInArrow(run, f"{kinds}, answer string, attempts int, budget int, error string").write.parquet(path)
-    return spark.read.parquet(path).withColumn("v", J.parse(F.col("answer")))
+    answers = own.repartition(*keys).mapInArrow(run, f"{kinds}, answer string, attempts int, budget int, error string")
+    if seen is not None:
+        answers = answers.observe(seen, F.count(F.lit(1)).alias("finished"), F.count(F.when(F.col("error").isNotNull(), 1)).alias("failed"), F.sum("attempts").alias("attempts"))
+    try:
+        table = scratch.cut(answers, "answers") if scratch else write(answers, "answers")[0]
+    except Exception as e:
+        if not cancelled(e):
+            raise
+        none = F.lit(None).cast("string")
+        table = own.select(*keys, none.alias("answer"), F.lit(0).alias("attempts"), "budget", F.lit(CANCELLED).alias("error"))
+    return table.withColumn("v", J.parse(F.col("answer")))
 
 
 def _texts(requests: DataFrame, config: Config) -> DataFrame:
@@ -139,22 +165,25 @@ def _section_user(text: Column, label: Column) -> Column:
     return F.concat(F.when(label != "", label).otherwise(F.lit("以下是待精读的内容：")), F.lit("\n\n"), text)
 
 
-def quick(requests: DataFrame, provider: ModelProvider, config: Config = Config(), budget: int = OUT_QUICK) -> DataFrame:
+def quick(requests: DataFrame, provider: ModelProvider, config: Config = Config(), budget: int = OUT_QUICK, scratch: Scratch | None = None) -> DataFrame:
     """One call a document on its first 30000 characters: req_id, r (sanitised reading), error."""
+    own = scratch or Scratch(requests.sparkSession)
     requests, blank = _blank_apart(requests)
     x = _texts(requests, config).withColumn("text", T.prefix(F.col("text"), QUICK_CHARS))
     p = x.select("req_id", system_prompt("section", F.col("language"), F.col("focus"), True).alias("system"), _section_user(F.col("text"), F.lit("")).alias("user"), F.lit(budget).alias("budget"))
-    return call_stage(p, provider, ["req_id"]).select("req_id", F.when(F.col("error").isNull(), S.section(F.col("v"), "未命名内容")).alias("r"), "error", "attempts").unionByName(blank, allowMissingColumns=True)
+    done = call_stage(p, provider, ["req_id"], own, config.timeout_ms / 1000).select("req_id", F.when(F.col("error").isNull(), S.section(F.col("v"), "未命名内容")).alias("r"), "error", "attempts")
+    made = done.unionByName(blank, allowMissingColumns=True)
+    return made if scratch else own.done(made, "readings")
 
 
-def sections(requests: DataFrame, provider: ModelProvider, config: Config = Config(), kind: str = "section") -> DataFrame:
-    """One call per chunk, all in parallel: req_id, index, total, v, error."""
+def sections(requests: DataFrame, provider: ModelProvider, config: Config = Config(), kind: str = "section", scratch: Scratch | None = None, seen: Observation | None = None) -> DataFrame:
+    """One call per chunk, all in parallel: req_id, index, total, v, error. Its answers stay a written table unless ``scratch`` deletes it."""
     requests, blank = _blank_apart(requests)
     x = _texts(requests, config)
     c = C.chunks(x, "req_id", config, "part" if kind == "section" else "chapter")
     c = c.join(x.select("req_id", "language", "focus"), "req_id")
     p = c.select("req_id", "index", "total", system_prompt(kind, F.col("language"), F.col("focus")).alias("system"), _section_user(F.col("text"), F.col("label")).alias("user"), F.lit(OUT_PART).alias("budget"))
-    return call_stage(p, provider, ["req_id", "index", "total"]).unionByName(blank, allowMissingColumns=True)
+    return call_stage(p, provider, ["req_id", "index", "total"], scratch, config.timeout_ms / 1000, seen).unionByName(blank, allowMissingColumns=True)
 
 
 def chapters(parts: DataFrame) -> DataFrame:
@@ -165,12 +194,12 @@ def chapters(parts: DataFrame) -> DataFrame:
     return g.select("req_id", F.transform("p", lambda c: c["s"]).alias("chapters"), F.col("e.error").alias("error"))
 
 
-def _final(requests: DataFrame, gathered: DataFrame, provider: ModelProvider, kind: str, config: Config, condensed: Column | None = None) -> DataFrame:
+def _final(requests: DataFrame, gathered: DataFrame, provider: ModelProvider, kind: str, config: Config, scratch: Scratch, condensed: Column | None = None) -> DataFrame:
     x = _texts(requests, config).select("req_id", T.units(F.col("text")).alias("chars"), "language", "focus").join(gathered.where("error is null"), "req_id")
     parts = S.condense(F.col("chapters")) if condensed is None else condensed
     user = F.concat(F.lit("全文共 "), F.col("chars").cast("string"), F.lit(" 字，分为 "), F.size("chapters").cast("string"), F.lit(" 个部分。以下 JSON 数组是各部分已提取的要点：\n\n"), F.to_json(parts))
     p = x.select("req_id", system_prompt(kind, F.col("language"), F.col("focus")).alias("system"), user.alias("user"), F.lit(OUT_PART).alias("budget"))
-    done = call_stage(p, provider, ["req_id"]).select("req_id", "v", F.col("error").alias("final_error"))
+    done = call_stage(p, provider, ["req_id"], scratch, config.timeout_ms / 1000).select("req_id", "v", F.col("error").alias("final_error"))
     return gathered.join(done, "req_id", "left").withColumn("error", F.coalesce("error", "final_error")).drop("final_error")
 
 
@@ -181,72 +210,80 @@ def _split(requests: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
 
 def deep(requests: DataFrame, provider: ModelProvider, config: Config = Config(), book: bool = False) -> DataFrame:
     """Short texts by one call; long ones (and all of a book) by sections and a final call: req_id, kind, r, structure, citations, chapters, error."""
+    scratch = Scratch(requests.sparkSession)
     requests, blank = _blank_apart(requests)
     short, long = (requests.where("false"), requests) if book else _split(requests, config)
     x = _texts(short, config)
     p = x.select("req_id", system_prompt("section", F.col("language"), F.col("focus")).alias("system"), _section_user(F.col("text"), F.lit("")).alias("user"), F.lit(OUT_SHORT).alias("budget"))
     none = F.slice(F.array(S.section(F.col("v"), "")), 1, 0)
-    one = call_stage(p, provider, ["req_id"]).withColumn("chapters", none).select("req_id", "chapters", "error", "v")
-    many = _final(long, chapters(sections(long, provider, config)), provider, "final", config).select("req_id", "chapters", "error", "v")
+    one = call_stage(p, provider, ["req_id"], scratch, config.timeout_ms / 1000).withColumn("chapters", none).select("req_id", "chapters", "error", "v")
+    many = _final(long, chapters(sections(long, provider, config, scratch=scratch)), provider, "final", config, scratch).select("req_id", "chapters", "error", "v")
     title = F.coalesce(F.try_element_at("chapters", F.lit(1))["title"], F.lit("未命名内容"))
     y = one.unionByName(many)
-    return y.select(
+    made = y.select(
         "req_id", F.lit("book" if book else "article").alias("kind"), F.when(F.col("error").isNull(), S.section(F.col("v"), title)).alias("r"), S.texts(S.member(F.col("v"), "structure"), S.STEPS).alias("structure"),
         S.records(S.member(F.col("v"), "citations"), S.CITATIONS).alias("citations"), "chapters", "error",
-    ).unionByName(blank, allowMissingColumns=True)
+    )
+    return scratch.done(made.unionByName(blank, allowMissingColumns=True), "readings")
 
 
 def knowledge_map(requests: DataFrame, provider: ModelProvider, config: Config = Config()) -> DataFrame:
     """req_id, m (sanitised map), error; long texts by sections first."""
+    scratch = Scratch(requests.sparkSession)
     requests, blank = _blank_apart(requests)
     short, long = _split(requests, config)
     x = _texts(short, config)
     user = F.concat(F.lit("以下是待整理的内容：\n\n"), F.col("text"))
     p = x.select("req_id", system_prompt("map", F.col("language"), F.col("focus")).alias("system"), user.alias("user"), F.lit(OUT_PART).alias("budget"))
-    one = call_stage(p, provider, ["req_id"]).select("req_id", "v", "error")
-    many = _final(long, chapters(sections(long, provider, config)), provider, "map", config).select("req_id", "v", "error")
-    return one.unionByName(many).select("req_id", F.when(F.col("error").isNull(), S.knowledge_map(F.col("v"))).alias("m"), "error").unionByName(blank, allowMissingColumns=True)
+    one = call_stage(p, provider, ["req_id"], scratch, config.timeout_ms / 1000).select("req_id", "v", "error")
+    many = _final(long, chapters(sections(long, provider, config, scratch=scratch)), provider, "map", config, scratch).select("req_id", "v", "error")
+    made = one.unionByName(many).select("req_id", F.when(F.col("error").isNull(), S.knowledge_map(F.col("v"))).alias("m"), "error")
+    return scratch.done(made.unionByName(blank, allowMissingColumns=True), "readings")
 
 
 def feynman(requests: DataFrame, provider: ModelProvider, config: Config = Config()) -> DataFrame:
     """req_id, toc, questions, chapters, title, summary, thesis, book_map, final_explanation, review_plan, error."""
+    scratch = Scratch(requests.sparkSession)
     requests, blank = _blank_apart(requests)
     _, long = _split(requests, config)
     x = _texts(long, config)
     user = F.concat(F.lit("请浏览目录并提出阅读问题：\n\n"), T.prefix(F.col("text"), STRUCTURE_CHARS))
     p = x.select("req_id", system_prompt("structure", F.col("language"), F.lit("")).alias("system"), user.alias("user"), F.lit(OUT_QUICK).alias("budget"))
-    plan = call_stage(p, provider, ["req_id"]).select("req_id", S.texts(S.member(F.col("v"), "toc"), S.TOC).alias("toc"), S.texts(S.member(F.col("v"), "questions"), S.READING).alias("questions"), F.col("error").alias("plan_error"))
-    parts = sections(requests, provider, config, "chapter")
+    plan = call_stage(p, provider, ["req_id"], scratch, config.timeout_ms / 1000).select("req_id", S.texts(S.member(F.col("v"), "toc"), S.TOC).alias("toc"), S.texts(S.member(F.col("v"), "questions"), S.READING).alias("questions"), F.col("error").alias("plan_error"))
+    parts = sections(requests, provider, config, "chapter", scratch)
     c = parts.select("req_id", F.struct("index", S.feynman_chapter(F.col("v"), F.col("index")).alias("c")).alias("p"), "error")
     g = c.groupBy("req_id").agg(F.transform(F.array_sort(F.collect_list("p")), lambda s: s["c"]).alias("chapters"), F.max("error").alias("error"))
     short = F.transform("chapters", lambda h: F.struct(h["title"].alias("title"), F.slice(h["points"], 1, 3).alias("points"), T.prefix(h["explanation"], 300).alias("explanation")))
-    f = _final(requests, g, provider, "feynman", config, short).join(plan, "req_id", "left")
+    f = _final(requests, g, provider, "feynman", config, scratch, short).join(plan, "req_id", "left")
     first = F.try_element_at("chapters", F.lit(1))
     claim = F.coalesce(F.try_element_at(first["points"], F.lit(1))["claim"], F.lit(""))
     v = F.col("v")
     or_text = lambda name, back: F.coalesce(F.nullif(S.text(v, name), F.lit("")), back)
     none = F.array().cast("array<string>")
-    return f.select(
+    made = f.select(
         "req_id", F.coalesce("toc", none).alias("toc"), F.coalesce("questions", none).alias("questions"), "chapters", or_text("title", F.when(F.col("toc").isNotNull(), "费曼读书报告").otherwise("费曼精读报告")).alias("title"),
         or_text("summary", F.coalesce(T.prefix(first["explanation"], 100), F.lit(""))).alias("summary"), or_text("thesis", claim).alias("thesis"), S.text(v, "bookMap").alias("book_map"),
         S.text(v, "finalExplanation").alias("final_explanation"), S.records(S.member(v, "reviewPlan"), S.REVIEW).alias("review_plan"), F.coalesce("error", "plan_error").alias("error"),
-    ).unionByName(blank, allowMissingColumns=True)
+    )
+    return scratch.done(made.unionByName(blank, allowMissingColumns=True), "readings")
 
 
 def batch(requests: DataFrame, provider: ModelProvider, config: Config = Config()) -> DataFrame:
     """Compare the first ten documents of each batch (batch_id, item, text): quick readings, then one call on their condensed form."""
+    scratch = Scratch(requests.sparkSession)
     x = requests.where(F.col("item") <= BATCH_ITEMS).withColumn("req_id", F.struct("batch_id", "item"))
-    q = quick(x.withColumn("req_id", F.to_json("req_id")), provider, config)
+    q = quick(x.withColumn("req_id", F.to_json("req_id")), provider, config, scratch=scratch)
     key = F.from_json("req_id", "batch_id long, item long")
     docs = q.select(key.alias("k"), "r", "error").select("k.*", "r", "error")
     g = docs.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("item", "r"))).alias("d"), F.max("error").alias("error"), F.count("*").alias("n"))
     compact = F.transform("d", lambda s: F.struct(s["r"]["title"].alias("title"), s["r"]["summary"].alias("summary"), s["r"]["thesis"].alias("thesis"), F.slice(s["r"]["arguments"], 1, 3).alias("arguments"), F.slice(s["r"]["quotes"], 1, 3).alias("quotes")))
     user = F.concat(F.lit("以下 JSON 数组是 "), F.col("n").cast("string"), F.lit(" 篇文章各自的要点：\n\n"), F.to_json(compact))
     p = g.where("error is null").select("batch_id", system_prompt("batch", F.lit("auto"), F.lit("")).alias("system"), user.alias("user"), F.lit(OUT_PART).alias("budget"))
-    f = call_stage(p, provider, ["batch_id"]).select("batch_id", "v", F.col("error").alias("final_error"))
+    f = call_stage(p, provider, ["batch_id"], scratch, config.timeout_ms / 1000).select("batch_id", "v", F.col("error").alias("final_error"))
     v = F.col("v")
     y = g.join(f, "batch_id", "left")
-    return y.select(
+    made = y.select(
         "batch_id", F.col("n").alias("items"), F.coalesce(F.nullif(S.text(v, "title"), F.lit("")), F.concat(F.col("n").cast("string"), F.lit(" 篇文章对比"))).alias("title"), S.comparison(S.member(v, "comparison"), S.THEMES).alias("comparison"),
         S.comparison(S.member(v, "conflicts"), S.CONFLICTS).alias("conflicts"), S.text(v, "complementarity").alias("complementarity"), S.text(v, "synthesis").alias("synthesis"), S.texts(S.member(v, "questions"), S.BATCH_QUESTIONS, False).alias("questions"), F.coalesce("error", "final_error").alias("error"),
-    )
+    )
+    return scratch.done(made, "readings")

@@ -43,6 +43,21 @@ def progress_lines(jobs: DataFrame, key: str) -> DataFrame:
     return each.union(end)
 
 
+def section_lines(parts: DataFrame, key: str) -> DataFrame:
+    """Lines of readings by their parts (key, index, total, error): each part's beginning and end, in order, and the summing up once all are there.
+
+    A reading stops at its first part that failed: that one has begun and not ended, and nothing follows.
+    """
+    x = parts.where("index is not null")
+    bad = x.where("error is not null").groupBy(key).agg(F.min("index").alias("bad"))
+    y = x.join(bad, key, "left").where(F.col("bad").isNull() | (F.col("index") <= F.col("bad")))
+    i, n = F.col("index").cast("string"), F.col("total").cast("string")
+    begun = F.struct((F.col("index") * 2 - 1).cast("long").alias("seq"), F.concat(F.lit("精读第 "), i, F.lit("/"), n, F.lit(" 段…")).alias("line"))
+    ended = F.when(~F.coalesce(F.col("index") == F.col("bad"), F.lit(False)), F.struct((F.col("index") * 2).cast("long").alias("seq"), F.concat(F.lit("完成第 "), i, F.lit("/"), n, F.lit(" 段")).alias("line")))
+    last = F.when((F.col("index") == F.col("total")) & F.col("bad").isNull(), F.struct((F.col("index") * 2 + 1).cast("long").alias("seq"), F.lit("汇总中…").alias("line")))
+    return y.select(key, F.explode(F.array_compact(F.array(begun, ended, last))).alias("l")).select(key, "l.*")
+
+
 def pdf_progress(jobs: DataFrame, key: str, step: int = 5) -> DataFrame:
     """Lines while a PDF of ``pages`` pages is read: the first, then whenever ``step`` per cent more are done, and the last.
 

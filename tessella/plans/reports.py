@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.operators import analyze as A
 from tessella.operators import budget as B
 from tessella.operators import chunk as C
 from tessella.operators import jobs as J
 from tessella.operators import render as R
 from tessella.operators import route as G
+from tessella.providers import FixtureProvider
+
+#: A word that some chunks have; the model is down for these.
+_DOWN = "rthe"
 
 
 def _events(spark, d):
@@ -39,6 +46,48 @@ def progress_lines(spark, d):
     return G.progress_lines(x.select("doc_id", F.least(F.ceil(F.length("text") / 6000), F.lit(20)).alias("parts")), "doc_id")
 
 
+def section_progress(spark, d):
+    """Lines of the sections of all documents, short ones included, as the stage gave them; parts with a certain word in them fail."""
+    provider = FixtureProvider(script={_DOWN: ["!down"]})
+    parts = A.sections(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("req_id"), "text"), provider)
+    return G.section_lines(parts, "req_id")
+
+
+def job_runs(spark, d):
+    """Three jobs over the documents: one counts their chunks, one meets a document that fails, one is cancelled while it works."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+
+    def chunks(job):
+        job.say("counting")
+        return f"{C.chunks(docs).count()} chunks"
+
+    def broken(job):
+        job.say("reading")
+        last = docs.agg(F.max("doc_id")).first()[0]
+        bad = F.raise_error(F.concat(F.lit("cannot read document "), F.col("doc_id").cast("string")))
+        return str(docs.select(F.when(F.col("doc_id") == last, bad).otherwise(F.col("text")).alias("x")).agg(F.max("x")).first())
+
+    def endless(job):
+        job.say("waiting")
+        docs.select("doc_id").mapInArrow(_wait, "doc_id long").count()
+        return "never"
+
+    jobs = [J.Job(spark, f.__name__, f).start() for f in (chunks, broken, endless)]
+    jobs[0].wait(), jobs[1].wait()
+    while not jobs[2].counts()["running"]:
+        time.sleep(0.05)
+    jobs[2].cancel("not needed")
+    jobs[2].wait()
+    return J.log(spark, jobs).select("label", "status", "detail", "seq", "line", (F.col("failed") > 0).alias("failed"))
+
+
+def _wait(batches):
+    """A reading that would take an hour a batch."""
+    for b in batches:
+        time.sleep(3600)
+        yield b
+
+
 def pdf_progress(spark, d):
     return G.pdf_progress(_events(spark, d).select("event_id", (F.col("event_id") % 90 + 1).alias("pages")), "event_id")
 
@@ -98,7 +147,7 @@ def export_freemind(spark, d):
     return _trees(spark, d).select("conv_id", R.freemind(F.col("title"), F.col("branches")).alias("x")).select("conv_id", F.length("x").alias("chars"), F.md5("x").alias("md5"))
 
 
-QUERIES = {f.__name__: f for f in (route_request, job_label, progress_lines, pdf_progress, group_items_by_type, confidence_class, mind_tree, export_freemind, job_lifecycle, job_output)}
+QUERIES = {f.__name__: f for f in (route_request, job_label, progress_lines, pdf_progress, group_items_by_type, confidence_class, mind_tree, export_freemind, job_lifecycle, job_output, section_progress, job_runs)}
 
 
 def _num(x: str) -> str:
@@ -112,7 +161,15 @@ _ITEMS = f"SELECT conv_id, turn, ({_KINDS!r})[CAST((turn * 5 % 12 + conv_id % 2)
 _ART = """SELECT conv_id, '会话 <' || conv_id || '>' AS title, a[1].t AS thesis, a[1:10] AS a, a[1:8] AS q FROM (SELECT conv_id, list(struct_pack(t := text, e := CASE WHEN turn % 2 = 0 THEN text ELSE '' END, s := role) ORDER BY turn) AS a FROM conversations GROUP BY conv_id)"""
 _ESC = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _N = "chr(10)"
+_PROGRESS = f"""WITH p AS (SELECT doc_id AS req_id, pos + 1 AS i, least(n, 20) AS n, contains(chunk, '{_DOWN}') AS down FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM ({_CHUNKS})) WHERE pos < 20),
+      q AS (SELECT *, coalesce(min(CASE WHEN down THEN i END) OVER (PARTITION BY req_id), 99) AS bad FROM p)
+      SELECT req_id, CAST(i * 2 - 1 AS BIGINT) AS seq, '精读第 ' || i || '/' || n || ' 段…' AS line FROM q WHERE i <= bad UNION ALL SELECT req_id, i * 2, '完成第 ' || i || '/' || n || ' 段' FROM q WHERE i < bad UNION ALL SELECT req_id, i * 2 + 1, '汇总中…' FROM q WHERE i = n AND bad = 99"""
 ORACLE_SQL = {
+    "section_progress": _PROGRESS,
+    "job_runs": f"""WITH x AS (SELECT (SELECT count(*) FROM (SELECT row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM ({_CHUNKS})) WHERE i <= 20) AS n, (SELECT max(doc_id) FROM documents) AS last)
+      SELECT 'chunks' AS label, 'completed' AS status, NULL AS detail, unnest([1, 2])::BIGINT AS seq, unnest(['counting', '【最终报告】' || {_N} || n || ' chunks']) AS line, false AS failed FROM x
+      UNION ALL SELECT 'broken', 'failed', 'cannot read document ' || last, unnest([1, 2]), unnest(['reading', '后台精读失败：cannot read document ' || last]), true FROM x
+      UNION ALL SELECT 'endless', 'killed', 'not needed', unnest([1, 2]), unnest(['waiting', '已取消：not needed']), true FROM x""",
     "job_lifecycle": f"""SELECT event_id, status, detail, CASE status WHEN 'completed' THEN '【最终报告】' || {_N} || '# r' WHEN 'killed' THEN '已取消：' || detail ELSE '后台精读失败：' || detail END AS line, '已解析「' || event_type || '」（' || event_id || ' 字' || CASE WHEN event_id % 2 = 0 AND event_id % 5 > 0 THEN '，PDF 解析 ' || event_id % 5 || 'ms' ELSE '' END || '）' AS first
       FROM (SELECT *, CASE status WHEN 'killed' THEN CASE WHEN event_id % 9 = 0 THEN '已取消' ELSE event_type END WHEN 'failed' THEN 'boom ' || event_id END AS detail FROM (SELECT event_id, event_type, CASE WHEN event_id % 4 = 0 THEN 'completed' WHEN event_id % 3 = 0 THEN 'killed' ELSE 'failed' END AS status FROM events))""",
     "job_output": f"""SELECT r.user_id, r.event_id, coalesce(string_agg(CASE WHEN l.event_id % 5 <> 0 THEN l.event_type || ' ' || l.event_id END, {_N} ORDER BY l.event_id), '') AS output FROM (SELECT user_id, event_id, coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), -1) AS before FROM events WHERE event_id % 7 = 0) r

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -13,6 +14,8 @@ class ModelError(Exception):
 
 
 class ModelProvider(Protocol):
+    """A provider may also have ``stream`` with the same arguments, which gives the answer piece by piece and is preferred then."""
+
     def complete(self, system: str, user: str, max_tokens: int, temperature: float) -> str:
         """The whole answer; raises ModelError if the call fails."""
 
@@ -121,6 +124,27 @@ class FixtureProvider:
         return self.answer(system, user) if self.answer else extract_stub(user)
 
 
+@dataclass
+class PiecewiseProvider:
+    """A double that streams the answers of another provider in pieces, with a pause before each; it breaks off after ``most`` pieces if told so."""
+
+    whole: ModelProvider
+    size: int = 16
+    pause: float = 0.0
+    most: int | None = None
+
+    def complete(self, system: str, user: str, max_tokens: int, temperature: float) -> str:
+        return self.whole.complete(system, user, max_tokens, temperature)
+
+    def stream(self, system: str, user: str, max_tokens: int, temperature: float) -> Iterator[str]:
+        text = self.complete(system, user, max_tokens, temperature)
+        for n, i in enumerate(range(0, len(text), self.size)):
+            if self.most is not None and n >= self.most:
+                raise ModelError("the stream broke off")
+            time.sleep(self.pause)
+            yield text[i : i + self.size]
+
+
 #: Mark of the note that is put behind a prompt after a failed attempt.
 CORRECTION = "[correction]"
 
