@@ -4,7 +4,7 @@ A stage is one ``mapInArrow`` over prompts; its answers are written before the n
 or a second action never pays for a call twice, and deleted once a reading's rows are written. A streamed answer is joined piece by piece; a call
 that takes longer than it may fails between two pieces. If the stage's Spark jobs are cancelled by their tag, its tasks end between two pieces
 too, and its rows say that they were cancelled. Final calls read condensed parts, gathered per document (at most
-``max_parts`` of them). Prompts ask for one JSON object; failed attempts are repeated up to three times with a note.
+``max_parts`` of them; beyond FAN they are reduced by a tree of calls first). Prompts ask for one JSON object; failed attempts are repeated up to three times with a note.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ NOTHING = "nothing to analyse"
 CANCELLED = "任务已取消"
 #: Answers that a task passes on at once.
 ROWS = 64
+#: Parts that one call reads, and characters of their titles and other texts once there are more parts than that.
+FAN, CLIP_TITLE, CLIP = 20, 80, 200
 #: Attempts of a call, growth of the output budget after an error or a cut answer, and its cap.
 ATTEMPTS, GROWTH, MOST_BUDGET, TEMPERATURE, TAIL = 3, 1.5, 16000, 0.2, 160
 
@@ -194,9 +196,45 @@ def chapters(parts: DataFrame) -> DataFrame:
     return g.select("req_id", F.transform("p", lambda c: c["s"]).alias("chapters"), F.col("e.error").alias("error"))
 
 
+def _clipped(p: Column) -> Column:
+    """A condensed part of a bounded size."""
+    args = F.transform(p["arguments"], lambda a: F.struct(*[T.prefix(a[f], CLIP).alias(f) for f in S.ARGUMENTS[0]]))
+    return F.struct(T.prefix(p["title"], CLIP_TITLE).alias("title"), *[T.prefix(p[f], CLIP).alias(f) for f in ("summary", "thesis")], args.alias("arguments"))
+
+
+def reduced(x: DataFrame, provider: ModelProvider, config: Config, scratch: Scratch) -> DataFrame:
+    """``x`` (req_id, language, parts, error) with at most FAN parts each: FAN neighbours at a time become one by a call, again and again.
+
+    A part that stands for others carries all their titles, so every one reaches the last call; a call reads at most FAN clipped parts and those titles. A failed
+    call is its document's error. As many rounds as the logarithm of ``max_parts`` to base FAN, less one.
+    """
+    titled = F.transform("parts", lambda p: F.struct(*[_clipped(p)[f].alias(f) for f in ("title", "summary", "thesis", "arguments")], F.lit(None).cast("array<string>").alias("titles")))
+    x = x.withColumn("parts", titled)
+    most = config.max_parts
+    while most > FAN:
+        most = -(-most // FAN)
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / FAN).cast("int")), lambda g: F.slice("parts", g * FAN + 1, FAN))
+        wide = x.where((F.size("parts") > FAN) & F.col("error").isNull()).select("req_id", "language", F.posexplode(groups).alias("g", "group"))
+        user = F.concat(F.lit("以下 JSON 数组是相邻 "), F.size("group").cast("string"), F.lit(" 个部分已提取的要点，请合并为一个部分：\n\n"), F.to_json("group"))
+        p = wide.select("req_id", "g", system_prompt("section", F.col("language"), F.lit("")).alias("system"), user.alias("user"), F.lit(OUT_PART).alias("budget"))
+        answers = call_stage(p, provider, ["req_id", "g"], scratch, config.timeout_ms / 1000)
+        titles = F.flatten(F.transform("group", lambda t: F.coalesce(t["titles"], F.array(t["title"]))))
+        y = wide.select("req_id", "g", titles.alias("titles"), F.element_at("group", 1)["title"].alias("first")).join(answers, ["req_id", "g"])
+        made = _clipped(F.element_at(S.condense(F.array(S.section(F.col("v"), F.col("first")))), 1))
+        one = F.struct(*[made[f].alias(f) for f in ("title", "summary", "thesis", "arguments")], F.col("titles"))
+        z = y.groupBy("req_id").agg(F.array_sort(F.collect_list(F.struct("g", one.alias("p")))).alias("n"), F.min(F.when(F.col("error").isNotNull(), F.struct("g", "error"))).alias("e"))
+        new = z.select("req_id", F.transform("n", lambda s: s["p"]).alias("new"), F.col("e.error").alias("bad"))
+        x = scratch.cut(x.join(new, "req_id", "left").select("req_id", "language", F.coalesce("new", "parts").alias("parts"), F.coalesce("error", "bad").alias("error")), "reduced")
+    return x
+
+
 def _final(requests: DataFrame, gathered: DataFrame, provider: ModelProvider, kind: str, config: Config, scratch: Scratch, condensed: Column | None = None) -> DataFrame:
     x = _texts(requests, config).select("req_id", T.units(F.col("text")).alias("chars"), "language", "focus").join(gathered.where("error is null"), "req_id")
     parts = S.condense(F.col("chapters")) if condensed is None else condensed
+    if config.max_parts > FAN and condensed is None:
+        tree = reduced(x.select("req_id", "language", parts.alias("parts"), "error"), provider, config, scratch).select("req_id", "parts", F.col("error").alias("tree_error"))
+        gathered = gathered.join(tree.select("req_id", "tree_error"), "req_id", "left").withColumn("error", F.coalesce("error", "tree_error")).drop("tree_error")
+        x, parts = x.join(tree.where("tree_error is null"), "req_id"), F.col("parts")
     user = F.concat(F.lit("全文共 "), F.col("chars").cast("string"), F.lit(" 字，分为 "), F.size("chapters").cast("string"), F.lit(" 个部分。以下 JSON 数组是各部分已提取的要点：\n\n"), F.to_json(parts))
     p = x.select("req_id", system_prompt(kind, F.col("language"), F.col("focus")).alias("system"), user.alias("user"), F.lit(OUT_PART).alias("budget"))
     done = call_stage(p, provider, ["req_id"], scratch, config.timeout_ms / 1000).select("req_id", "v", F.col("error").alias("final_error"))

@@ -152,3 +152,36 @@ def comparison(v: Column, most: int) -> Column:
 def condense(parts: Column) -> Column:
     """Of each part the title, summary, thesis and first three arguments."""
     return F.transform(parts, lambda p: F.struct(p["title"].alias("title"), p["summary"].alias("summary"), p["thesis"].alias("thesis"), F.slice(p["arguments"], 1, 3).alias("arguments")))
+
+
+def relation_graph(items: Column, conclusion: str) -> Column:
+    """Sanitised items with what their relations lead to: index, claim, type, targets (index or null, type), unresolved, cyclic, conclusions, ends.
+
+    A relation names the beginning of another claim: its target is the first other item that begins so. What an item reaches is
+    spread along relations until nothing changes (item by item, a bit per item, so at most 63 of them: there are ITEMS): ``cyclic``
+    items reach themselves, ``conclusions`` are the claims of the given type among the others, ``ends`` the indices that lead nowhere.
+    """
+    bit = lambda m, k: F.call_function("shiftright", m, k).bitwiseAND(F.lit(1)) == 1
+    first = lambda to, i: F.try_element_at(F.filter(F.transform(items, lambda y, j: F.when((j != i) & F.startswith(y["claim"], to), j)), lambda j: j.isNotNull()), F.lit(1))
+    linked = F.transform(items, lambda x, i: F.struct(i.alias("index"), x["claim"].alias("claim"), x["type"].alias("type"), F.transform(x["relations"], lambda r: F.struct(first(r["to"], i).alias("index"), r["type"].alias("type"), r["to"].alias("to"))).alias("targets")))
+    mask = lambda x: F.aggregate(x["targets"], F.lit(0).cast("long"), lambda m, t: F.when(t["index"].isNull(), m).otherwise(m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t["index"]))))
+
+    def reached(direct: Column) -> Column:
+        ks = F.transform(direct, lambda m, k: k)
+        return F.aggregate(ks, direct, lambda reach, k: F.transform(reach, lambda m: F.when(bit(m, k), m.bitwiseOR(F.get(reach, k))).otherwise(m)))
+
+    def told(linked: Column, direct: Column, reach: Column) -> Column:
+        def one(x: Column) -> Column:
+            i = x["index"]
+            own = F.get(reach, i)
+            others = F.filter(linked, lambda y: bit(own, y["index"]))
+            found = F.transform(F.filter(others, lambda y: (y["type"] == conclusion) & (y["index"] != i)), lambda y: y["claim"])
+            ends = F.transform(F.filter(others, lambda y: F.get(direct, y["index"]) == 0), lambda y: y["index"])
+            unresolved = F.transform(F.filter(x["targets"], lambda t: t["index"].isNull()), lambda t: t["to"])
+            return F.struct(i.alias("index"), x["claim"].alias("claim"), x["type"].alias("type"), x["targets"].alias("targets"), unresolved.alias("unresolved"), bit(own, i).alias("cyclic"), found.alias("conclusions"), ends.alias("ends"))
+
+        return F.transform(linked, one)
+
+    # each value is computed once, however often what follows reads it
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    return once(linked, lambda a: once(F.transform(a, mask), lambda d: once(reached(d), lambda r: told(a, d, r))))

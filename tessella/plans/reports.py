@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
@@ -13,6 +14,7 @@ from tessella.operators import chunk as C
 from tessella.operators import jobs as J
 from tessella.operators import render as R
 from tessella.operators import route as G
+from tessella.operators import sanitize as S
 from tessella.providers import FixtureProvider
 
 #: A word that some chunks have; the model is down for these.
@@ -124,9 +126,28 @@ def confidence_class(spark, d):
     return _events(spark, d).select("event_id", R.confidence_class(c).alias("css"))
 
 
+def map_relations(spark, d):
+    """Maps of ten conversations each, turns as claims: each relates to others by the beginning of their text, some to what is not there."""
+    x = spark.read.parquet(f"{d}/conversations.parquet").select(F.floor(F.col("conv_id") / 10).alias("map_id"), "conv_id", "turn", "text")
+    x = x.withColumn("i", F.row_number().over(Window.partitionBy("map_id").orderBy("conv_id", "turn"))).where(F.col("i") <= S.ITEMS)
+    claims = F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda s: s["text"])
+    n = F.size("claims")
+    to = lambda k: F.substring(F.get(F.col("claims"), F.pmod(k, n)), 1, 12)
+    relation = lambda t, kind: F.struct(t.alias("to"), F.lit(kind).alias("type"))
+    relations = lambda i: F.array_compact(F.array(relation(to(i * 3 + 1), "支持"), F.when(i % 4 == 0, relation(F.lit("没有这句"), "反驳")), F.when(i % 5 == 2, relation(to(i + 2), "导致"))))
+    kinds = F.array(*[F.lit(t) for t in R.TYPES])
+    item = lambda c, i: F.struct(F.get(kinds, i * 7 % 10).alias("type"), c.alias("claim"), relations(i).alias("relations"))
+    g = x.groupBy("map_id").agg(claims.alias("claims")).select("map_id", F.transform("claims", item).alias("items"))
+    y = g.select("map_id", F.explode(S.relation_graph(F.col("items"), R.TYPES[0])).alias("r")).select("map_id", "r.*")
+    joined = lambda a: F.array_join(F.transform(a, lambda e: e.cast("string")), ",")
+    targets = F.array_join(F.transform("targets", lambda t: F.concat(F.coalesce(t["index"].cast("string"), F.lit("?")), t["type"])), ",")
+    return y.select("map_id", F.col("index").cast("long").alias("index"), targets.alias("targets"), F.size("unresolved").cast("long").alias("n_unresolved"), "cyclic", F.size("conclusions").cast("long").alias("n_conclusions"), F.md5(F.array_join("conclusions", "|")).alias("conclusions"), joined("ends").alias("ends"))
+
+
 def _articles(spark, d):
-    """A reading per conversation: turns are arguments and quotes."""
+    """A reading per conversation: its first ten turns are arguments and quotes."""
     x = spark.read.parquet(f"{d}/conversations.parquet").withColumn("t", F.col("text"))
+    x = x.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("rank <= 10")
     arg = F.struct("turn", F.struct(F.col("t").alias("claim"), F.when(F.col("turn") % 2 == 0, F.col("t")).otherwise(F.lit("")).alias("evidence"), F.lit("").alias("quote"), F.col("role").alias("source")).alias("a"))
     g = x.groupBy("conv_id").agg(F.array_sort(F.collect_list(arg)).alias("v"))
     args = F.slice(F.transform("v", lambda s: s["a"]), 1, 10)
@@ -147,7 +168,7 @@ def export_freemind(spark, d):
     return _trees(spark, d).select("conv_id", R.freemind(F.col("title"), F.col("branches")).alias("x")).select("conv_id", F.length("x").alias("chars"), F.md5("x").alias("md5"))
 
 
-QUERIES = {f.__name__: f for f in (route_request, job_label, progress_lines, pdf_progress, group_items_by_type, confidence_class, mind_tree, export_freemind, job_lifecycle, job_output, section_progress, job_runs)}
+QUERIES = {f.__name__: f for f in (route_request, job_label, progress_lines, pdf_progress, group_items_by_type, confidence_class, mind_tree, export_freemind, job_lifecycle, job_output, section_progress, job_runs, map_relations)}
 
 
 def _num(x: str) -> str:
@@ -164,7 +185,18 @@ _N = "chr(10)"
 _PROGRESS = f"""WITH p AS (SELECT doc_id AS req_id, pos + 1 AS i, least(n, 20) AS n, contains(chunk, '{_DOWN}') AS down FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM ({_CHUNKS})) WHERE pos < 20),
       q AS (SELECT *, coalesce(min(CASE WHEN down THEN i END) OVER (PARTITION BY req_id), 99) AS bad FROM p)
       SELECT req_id, CAST(i * 2 - 1 AS BIGINT) AS seq, '精读第 ' || i || '/' || n || ' 段…' AS line FROM q WHERE i <= bad UNION ALL SELECT req_id, i * 2, '完成第 ' || i || '/' || n || ' 段' FROM q WHERE i < bad UNION ALL SELECT req_id, i * 2 + 1, '汇总中…' FROM q WHERE i = n AND bad = 99"""
+_RELATIONS = f"""WITH RECURSIVE i AS (SELECT map_id, row_number() OVER (PARTITION BY map_id ORDER BY conv_id, turn) - 1 AS i, text AS claim FROM (SELECT *, CAST(floor(conv_id / 10) AS BIGINT) AS map_id FROM conversations)),
+  n AS (SELECT *, count(*) OVER (PARTITION BY map_id) AS n FROM i WHERE i < {S.ITEMS}),
+  r AS (SELECT a.map_id, a.i, 1 AS k, '支持' AS type, substr(b.claim, 1, 12) AS tox FROM n a JOIN n b ON b.map_id = a.map_id AND b.i = (a.i * 3 + 1) % a.n UNION ALL SELECT map_id, i, 2, '反驳', '没有这句' FROM n WHERE i % 4 = 0
+    UNION ALL SELECT a.map_id, a.i, 3, '导致', substr(b.claim, 1, 12) FROM n a JOIN n b ON b.map_id = a.map_id AND b.i = (a.i + 2) % a.n WHERE a.i % 5 = 2),
+  t AS (SELECT r.*, (SELECT min(y.i) FROM n y WHERE y.map_id = r.map_id AND y.i <> r.i AND starts_with(y.claim, r.tox)) AS j FROM r),
+  p AS (SELECT DISTINCT map_id, i, j FROM t WHERE j IS NOT NULL UNION SELECT p.map_id, p.i, t.j FROM p JOIN t ON t.map_id = p.map_id AND t.i = p.j WHERE t.j IS NOT NULL),
+  e AS (SELECT p.map_id, p.i, string_agg(p.j::VARCHAR, ',' ORDER BY p.j) FILTER (WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.map_id = p.map_id AND t.i = p.j AND t.j IS NOT NULL)) AS ends, bool_or(p.i = p.j) AS cyclic,
+    count(*) FILTER (WHERE p.j * 7 % 10 = 0 AND p.j <> p.i) AS nc, string_agg(y.claim, '|' ORDER BY p.j) FILTER (WHERE p.j * 7 % 10 = 0 AND p.j <> p.i) AS cs FROM p JOIN n y ON y.map_id = p.map_id AND y.i = p.j GROUP BY p.map_id, p.i),
+  g AS (SELECT map_id, i, string_agg(coalesce(j::VARCHAR, '?') || type, ',' ORDER BY k) AS targets, count(*) FILTER (WHERE j IS NULL) AS nu FROM t GROUP BY map_id, i)
+  SELECT g.map_id, g.i AS index, targets, nu AS n_unresolved, coalesce(cyclic, false) AS cyclic, coalesce(nc, 0) AS n_conclusions, md5(coalesce(cs, '')) AS conclusions, coalesce(ends, '') AS ends FROM g LEFT JOIN e USING (map_id, i)"""
 ORACLE_SQL = {
+    "map_relations": _RELATIONS,
     "section_progress": _PROGRESS,
     "job_runs": f"""WITH x AS (SELECT (SELECT count(*) FROM (SELECT row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM ({_CHUNKS})) WHERE i <= 20) AS n, (SELECT max(doc_id) FROM documents) AS last)
       SELECT 'chunks' AS label, 'completed' AS status, NULL AS detail, unnest([1, 2])::BIGINT AS seq, unnest(['counting', '【最终报告】' || {_N} || n || ' chunks']) AS line, false AS failed FROM x
