@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.config import QUICK_CHARS, SHORT_TEXT, STRUCTURE_CHARS
 from tessella.operators import analyze as A
+from tessella.operators import prompts as P
 from tessella.plans.texts import _CHUNKS, _t
 from tessella.providers import FixtureProvider
 
@@ -43,7 +44,15 @@ def batch_pipeline(spark, d):
     return A.batch(x, FixtureProvider()).select("batch_id", "items", "title", F.size("comparison").alias("n_themes"), "error")
 
 
-QUERIES = {f.__name__: f for f in (quick_pipeline, section_map, deep_pipeline, book_pipeline, map_pipeline, feynman_pipeline, batch_pipeline)}
+def build_prompt(spark, d):
+    """The system prompt of every document for each kind of call, with its language and, for some, a focus."""
+    x = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), "source", F.lit(" "))).when(F.col("doc_id") % 3 == 1, F.lit(" ")).alias("focus"))
+    each = F.array(*[F.struct(F.lit(name).alias("kind"), P.system_prompt(kind, F.col("lang"), F.col("focus"), quick).alias("prompt")) for name, kind, quick in _CALLS])
+    return x.select("doc_id", F.explode(each).alias("p")).select("doc_id", "p.kind", F.length("p.prompt").cast("long").alias("chars"), F.md5("p.prompt").alias("md5"))
+
+
+_CALLS = [("quick", "section", True), *[(k, k, False) for k in ("section", "final", "map", "structure", "chapter", "feynman", "batch")]]
+QUERIES = {f.__name__: f for f in (quick_pipeline, section_map, deep_pipeline, book_pipeline, map_pipeline, feynman_pipeline, batch_pipeline, build_prompt)}
 
 
 def _sentences(body: str) -> str:
@@ -70,7 +79,9 @@ _CHAPTER = f"SELECT doc_id, total, '[{{\"title\":' || to_json({_title('p[1]', ch
 _SHORT = f"SELECT doc_id, text, {_sentences('text')} AS p FROM documents WHERE length(text) <= {SHORT_TEXT} AND NOT {_BLANK}"
 _EMPTY = f"FROM documents WHERE {_BLANK}"
 _LONG = f"(SELECT doc_id FROM documents WHERE length(text) > {SHORT_TEXT})"
+_HEADS = " UNION ALL ".join("SELECT '{}' AS kind, '{}' AS head, {} AS focused".format(name, P.head(kind, quick).replace("'", "''"), kind in P._FOCUSED) for name, kind, quick in _CALLS)
 ORACLE_SQL = {
+    "build_prompt": f"""SELECT doc_id, kind, length(p) AS chars, md5(p) AS md5 FROM (SELECT doc_id, kind, head || 'Language: ' || CASE lang WHEN 'zh' THEN '{P.LANGUAGES['zh']}' WHEN 'en' THEN 'English' ELSE '{P.LANGUAGES['auto']}' END || '.' || CASE WHEN focused AND doc_id % 3 = 0 AND trim(source) <> '' THEN chr(10) || 'The reader cares about: ' || trim(source) || '.' ELSE '' END AS p FROM documents, ({_HEADS}))""",
     "quick_pipeline": f"""SELECT doc_id AS req_id, {_title('p[1]', chr(39) + '未命名内容' + chr(39))} AS title, {_t(_cut('p[-1]', 80))} AS thesis, len(p) AS n_arguments, 1 AS attempts, NULL::VARCHAR AS error FROM (SELECT doc_id, {_sentences(_cut('text', QUICK_CHARS))} AS p FROM documents WHERE NOT {_BLANK})
       UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, '{A.NOTHING}' {_EMPTY}""",
     "section_map": f"SELECT doc_id AS req_id, pos + 1 AS index, total, {_cut('p[1]', 40)} AS title, 1 AS attempts, NULL::VARCHAR AS error FROM ({_PARTS}) UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, '{A.NOTHING}' {_EMPTY}",

@@ -93,3 +93,23 @@ def test_blank_texts_are_rows_with_an_error(spark):
         assert {r.req_id: r.error for r in got} == {1: None, 2: A.NOTHING, 3: A.NOTHING}
     b = spark.createDataFrame([(1, 1, "a b."), (2, 1, " "), (2, 2, "c d.")], "batch_id long, item long, text string")
     assert {r.batch_id: r.error for r in A.batch(b, provider).collect()} == {1: None, 2: A.NOTHING}
+
+
+def test_every_rule_of_a_prompt_is_said(spark):
+    """Counts, lengths and labels that answers are held to, for each kind of call."""
+    from pyspark.sql import functions as F
+
+    from tessella.operators import prompts as P
+
+    want = {
+        "section": ["第N部分", "one or two sentences", "【第N页】", "Close reading"], "final": ["3 to 8 most important supporting claims", "3 to 8 most important claims", "keep it in citations"],
+        "map": ["at most 100 characters", "1 to 3 conclusions", *P.TYPES, *P.CONFIDENCE, *P.RELATION_TYPES, "原文未提供证据", "never invented data", "5 questions", "tabs", "no cause"],
+        "structure": ["3 to 6"], "chapter": ["child of twelve", "原文未提供证据", "mindmap"], "feynman": [*P.INTERVALS, "mindmap"], "batch": ["3 to 6", "2 to 4 sentences", "1 to 3", "real ones only"],
+    }
+    for kind, said in want.items():
+        assert [x for x in said if x not in P.head(kind)] == [], kind
+    assert "at most 3 arguments, 3 quotes, 4 concepts and 3 questions" in P.head("section", True)
+    df = spark.createDataFrame([("zh", " tea "), ("xx", " "), (None, None)], "lang string, focus string")
+    got = [r[0].split("\n") for r in df.select(P.system_prompt("section", F.col("lang"), F.col("focus"))).collect()]
+    assert got[0][-2:] == ["Language: 简体中文.", "The reader cares about: tea."] and got[1][-1] == got[2][-1] == "Language: the language of the text."
+    assert "cares" not in df.select(P.system_prompt("final", F.col("lang"), F.col("focus"))).first()[0]
