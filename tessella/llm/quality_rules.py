@@ -3,8 +3,8 @@
 Each text gives a vector of transformed statistics. Per (language, source) the minimum covariance determinant is sought
 over all rows that pass the base rules, COVERAGE of them as the core. Three starts, all from medians and quartiles:
 scaled distances, the correlations of hyperbolic tangents, and those of spatial signs. From each, concentration steps keep the COVERAGE of
-rows at the least Mahalanobis distance and estimate location and scatter from them, until no group's determinant falls any more;
-the start of least determinant counts. The core's covariance is multiplied by its consistency factor under the normal
+rows at the least Mahalanobis distance and estimate location and scatter from them; after TRIED steps only the start of
+least determinant goes on, until the group's determinant falls no more. Groups that have settled leave the rows of further steps. The core's covariance is multiplied by its consistency factor under the normal
 distribution, and a fixed diagonal is added (the squared MARGINS): many statistics are zero in most texts, where the
 plain determinant is zero and any text with one digit or one repeated line would be an outlier. A row is rejected if its squared distance
 lies beyond the QUANTILE of chi-square. Every step is one grouped aggregation with sums that combine before the shuffle,
@@ -165,7 +165,8 @@ def consistency(coverage: float, p: int) -> float:
 
 #: Squared distance beyond which a row is an outlier.
 CUTOFF = chi_square_quantile(QUANTILE, len(MARGINS))
-STARTS = 3
+#: Starts of each group, and steps after which only the one of least determinant goes on.
+STARTS, TRIED = 3, 3
 #: Up to so many groups their estimates (three starts of 73 doubles each, 7 MB at most) are sent to all tasks; beyond, rows move to them.
 SENT_GROUPS = 4096
 
@@ -235,18 +236,33 @@ def least_determinants(work: DataFrame, scratch: Scratch) -> DataFrame:
     near = z.join(small(first), ["grp", "start"], "left")
     of_z = near.select("grp", "start", "norm", "loc", "inv", *[F.col(k).alias(f"x_{k}") for k in have], *[F.col(f"z_{k}").alias(k) for k in have])
     near = of_z.withColumn("d2", F.when(F.col("start") == 0, F.col("norm")).otherwise(_distance(have))).select("grp", "start", "d2", *[F.col(f"x_{k}").alias(k) for k in have])
-    est = None
-    for _ in range(STEPS):
+    # est: the last estimates of groups that still move; done: those of groups that have settled
+    est, done = None, []
+    for step in range(STEPS):
         # a table of its own: its size is known, so the rows need not move to it
         limit = scratch.cut(near.groupBy("grp", "start").agg(F.percentile_approx("d2", COVERAGE, 1000).alias("limit")), "limits")
         core = near.join(small(limit), ["grp", "start"]).where("d2 <= limit")
-        now = scratch.cut(_moments(core).mapInArrow(_estimates(False), _ESTIMATE), "scatters")
-        fell = est is None or (now.join(est.select("grp", "start", F.col("log_det").alias("before")), ["grp", "start"]).agg(F.max(F.col("before") - F.col("log_det"))).first()[0] or 0.0) > 1e-3
-        est = now
-        if not fell:
+        now = _moments(core).mapInArrow(_estimates(False), _ESTIMATE)
+        if step == TRIED - 1:
+            # the other starts have lost
+            now = now.groupBy("grp").agg(F.min(F.struct("log_det", "start", "loc", "inv")).alias("b")).select("grp", "b.start", "b.loc", "b.inv", "b.log_det")
+        if est is not None:
+            now = now.join(small(est.select("grp", "start", F.col("log_det").alias("before"))), ["grp", "start"])
+        falls = F.lit(True) if step < TRIED else F.col("before") - F.col("log_det") > 1e-3
+        now = scratch.cut(now.withColumn("falls", falls), "scatters")
+        if step >= TRIED or step == STEPS - 1:
+            done.append(now.where("not falls") if step < STEPS - 1 else now)
+        est = now.where("falls")
+        if not est.limit(1).count():
+            done = done or [now]
             break
-        near = spread().join(small(est), ["grp", "start"]).withColumn("d2", _distance(have))
-    return scratch.cut(est.groupBy("grp").agg(F.min(F.struct("log_det", "start", "loc", "inv")).alias("b")).select("grp", "b.loc", "b.inv", "b.log_det"), "mcd")
+        if step < STEPS - 1:
+            rows = spread() if step < TRIED - 1 else work
+            near = rows.join(small(est), ["grp", "start"] if step < TRIED - 1 else "grp").withColumn("d2", _distance(have))
+    whole = done[0]
+    for d in done[1:]:
+        whole = whole.unionByName(d, allowMissingColumns=True)
+    return scratch.cut(whole.select("grp", "loc", "inv", "log_det"), "mcd")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
