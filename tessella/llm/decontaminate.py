@@ -240,7 +240,7 @@ def _matches(index: Index, s: A.Slice) -> Iterator[tuple[int, int, int, int, int
             yield i, item, best, int(starts[lo] - s.offsets[i]), int(ends[hi - 1] - s.offsets[i])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL, scratch: Scratch | None = None) -> DataFrame:
     """k1, k2, doc_id, item_id, edits, item_chars, from_byte, to_byte: each text with each item that it holds, once."""
     items = own_columns(benchmark, "item_id", "text").where("text is not null").select("item_id", "text", F.size(F.split("text", r"[\x20\x09-\x0d]+")).alias("n"))
     total = items.agg(F.sum("n")).first()[0] or 0
@@ -249,7 +249,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL) -> Data
     kind, ikind = d.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"k1 long, k2 long, doc_id {kind}, item_id {ikind}, edits int, item_chars int, from_byte long, to_byte long"
     keyed = d.select(*row_key(), "doc_id", "text")
-    out, scratch = None, Scratch(docs.sparkSession)
+    out, scratch = None, scratch or Scratch(docs.sparkSession)
     for b in range(blocks):
         own = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select("item_id", "text").collect()]
         hits = keyed.mapInArrow(_scanner(own, recall), schema)
@@ -278,14 +278,17 @@ def _scanner(items: list[tuple[int, str]], recall: float):
 
 
 def result(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return leaks(docs, benchmark).select("doc_id", "item_id", "edits", "item_chars", "from_byte", "to_byte")
+    scratch = Scratch(docs.sparkSession)
+    out = leaks(docs, benchmark, scratch=scratch).select("doc_id", "item_id", "edits", "item_chars", "from_byte", "to_byte")
+    return scratch.done(out, "leaks") if scratch.paths else out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item."""
+def clean(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs`` that hold no item. They hang on a small table of keys, which is in ``scratch`` to be dropped once they are written."""
     k1, k2 = spare_names(docs, "k1", "k2")
-    bad = leaks(docs, benchmark).select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct()
+    own, scratch = Scratch(docs.sparkSession), scratch or Scratch(docs.sparkSession)
+    bad = leaks(docs, benchmark, scratch=own).select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct()
     key = row_key()
-    scratch = Scratch(docs.sparkSession)
     bad = scratch.cut(bad, "leaks")
+    own.drop(*own.paths.values())
     return docs.withColumns({k1: key[0], k2: key[1]}).join(bad, [k1, k2], "left_anti").drop(k1, k2)

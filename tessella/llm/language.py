@@ -80,7 +80,7 @@ def fit(label: list[str], bits: np.ndarray) -> dict:
 def train(docs: DataFrame, rows: int = SAMPLE) -> dict:
     d = own_columns(docs, "doc_id", "text", "lang").where(F.col("text").rlike(r"\p{L}"))
     scratch = Scratch(docs.sparkSession)
-    got = sample_by_value(d, "lang", rows, scratch).select("doc_id", F.col("label").cast("string"), F.lower("text").alias("text")).mapInArrow(_collect, "doc_id long, label string, bits binary").toArrow().sort_by("doc_id")
+    got = sample_by_value(d, "lang", rows, scratch).select("doc_id", F.col("label").cast("string"), F.lower("text").alias("text")).mapInArrow(_collect, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, label string, bits binary").toArrow().sort_by("doc_id")
     scratch.drop(*scratch.paths.values())
     bits = [np.unpackbits(np.frombuffer(x, np.uint8)) for x in got.column("bits").to_pylist()]
     return fit(got.column("label").to_pylist(), np.array(bits))

@@ -19,8 +19,8 @@ exponential hash of the set is kept on an exponential scale, truncated to ``[0,
 Cases: null text is an empty text; rows that share a doc_id are one document: it has each of their sets, and is linked
 with whatever one of them is (n_shingles is the row's own); repeated rows are one row of it; a null doc_id is numbered by
 its text, and its component_id is null unless it is linked to a numbered row; ties among centres go by id; a very long text
-is one row of a task, with arrays of about 100 times its bytes; an empty table gives an empty result; columns other than
-doc_id and text are ignored, whatever their names.
+is one row of a task, with arrays of about 100 times its bytes; an empty table gives an empty result; ids that are no whole numbers
+are named by 62 bits of a hash (two of 100 million share one with probability 0.001); columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tessella.llm import arrays as A
 from tessella.llm.store import Scratch, components, own_columns, spare_names
@@ -147,14 +148,32 @@ def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([t.column("a"), t.column("b"), pa.array(est)], names=["a", "b", "est"])
 
 
-def node_column(doc_id: str = "doc_id", text: str = "text") -> F.Column:
-    """The doc_id, or for a null one an id above NO_ID from the text."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 3))
+def whole_ids(docs: DataFrame) -> bool:
+    """Whether the table's ids are whole numbers, which name their nodes; others are named by 62 bits of a hash."""
+    return "doc_id" not in {c.lower() for c in docs.columns} or isinstance(docs.schema[next(c for c in docs.columns if c.lower() == "doc_id")].dataType, IntegralType)
+
+
+def node_column(docs: DataFrame) -> F.Column:
+    """The doc_id as a number, or for a null one an id above NO_ID from the text."""
+    own = F.col("doc_id").cast("long") if whole_ids(docs) else F.when(F.col("doc_id").isNotNull(), F.shiftrightunsigned(F.xxhash64(F.lit(9), "doc_id"), 2))
+    return F.coalesce(own, F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 3))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     """(node, text) of every row."""
-    return own_columns(docs, "doc_id", "text").select(node_column().alias("node"), "text")
+    d = own_columns(docs, "doc_id", "text")
+    return d.select(node_column(docs).alias("node"), "text")
+
+
+def with_ids(x: DataFrame, docs: DataFrame, node: str, group: str) -> DataFrame:
+    """``x`` with ``doc_id`` of its ``node`` and ``least_id``, the least doc_id of its ``group``, in the table's own type; null where there is none."""
+    if whole_ids(docs):
+        kind = docs.schema["doc_id"].dataType.simpleString() if "doc_id" in docs.columns else "long"
+        known = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).cast(kind)
+        return x.withColumns({"doc_id": known(node), "least_id": known(group)})
+    ids = own_columns(docs, "doc_id", "text").where("doc_id is not null").select(node_column(docs).alias(node), "doc_id").distinct()
+    x = x.join(ids, node, "left")
+    return x.join(x.groupBy(group).agg(F.min("doc_id").alias("least_id")), group)
 
 
 class _Pairs:
@@ -292,14 +311,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, margin: float = 0.17) ->
 
 def result(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row."""
-    x = near_duplicates(docs, percent)
-    known = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    return x.select(known("node").alias("doc_id"), "n_shingles", known("component").alias("component_id"), (F.col("node") == F.col("component")).alias("kept"))
+    x = with_ids(near_duplicates(docs, percent), docs, "node", "component")
+    kept = F.coalesce(F.col("doc_id") == F.col("least_id"), F.col("node") == F.col("component"))
+    return x.select("doc_id", "n_shingles", F.col("least_id").alias("component_id"), kept.alias("kept"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` that stay: the least document of each group; of rows with one doc_id a single one."""
-    kept = near_duplicates(docs, percent).where("node = component").select("node").distinct()
+    x = near_duplicates(docs, percent)
+    if whole_ids(docs):
+        kept = x.where("node = component").select("node").distinct()
+    else:
+        first = with_ids(x, docs, "node", "component").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("m"))
+        kept = first.select("m.node")
     (node,) = spare_names(docs, "node")
-    x = docs.withColumn(node, node_column()).join(kept.withColumnRenamed("node", node), node, "left_semi")
+    x = docs.withColumn(node, node_column(docs)).join(kept.withColumnRenamed("node", node), node, "left_semi")
     return x.dropDuplicates([node]).drop(node)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import arrays as A
-from tessella.llm.near_dup import NO_ID, numbered
+from tessella.llm.near_dup import numbered, with_ids
 from tessella.llm.store import Scratch, components
 from tessella.llm.suffix import sliding_least
 
@@ -602,10 +602,10 @@ def result(docs: DataFrame) -> DataFrame:
     spans = found.groupBy("name").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
     each = comp.join(least, "component").join(spans, "name", "left").where("n_copies > 1 or n_links > 0")
     x = long.select("node", "name").join(each, "name")
-    known = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    x = with_ids(x, docs, "node", "class_node")
     merged = F.expr(
         """transform(aggregate(if(n_copies > 1, array(struct(0L as lo, n_words as hi)), spans), cast(array() as array<struct<lo: bigint, hi: bigint>>),
         (acc, s) -> if(size(acc) > 0 and s.lo <= element_at(acc, -1).hi,
             concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).lo as lo, greatest(element_at(acc, -1).hi, s.hi) as hi))), concat(acc, array(s)))), s -> concat(s.lo, ':', s.hi))"""
     )
-    return scratch.done(x.select(known("node").alias("doc_id"), known("class_node").alias("class_id"), "n_links", "n_copies", F.array_join(merged, ",").alias("spans")))
+    return scratch.done(x.select("doc_id", F.col("least_id").alias("class_id"), "n_links", "n_copies", F.array_join(merged, ",").alias("spans")))

@@ -81,8 +81,9 @@ def spare_names(docs: DataFrame, *names: str) -> list[str]:
 
 
 def row_key() -> list[Column]:
-    """Two longs that name a row by its id and its text; nulls included. Repeated rows share a key."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64("doc_id", "text").alias("k2")]
+    """Two longs that name a row by its id (a hash of it, if it is no number) and its text; nulls included. Repeated rows share a key."""
+    other = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit(1), "doc_id"))
+    return [F.coalesce(F.col("doc_id").try_cast("long"), other, F.lit(-(2**63))).alias("k1"), F.xxhash64("doc_id", "text").alias("k2")]
 
 
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
