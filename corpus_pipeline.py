@@ -28,9 +28,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return near_dup.one_of_each(docs, percent=80)
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """Documents that hold no item of the benchmark table."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +60,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        made = scratch.cut(stage(spark, docs, sf_dir).select(*docs.columns), name)
-        scratch.drop(docs)
+        kept = stage(spark, docs, sf_dir, scratch) if stage is decontamination else stage(spark, docs, sf_dir)
+        made = scratch.cut(kept.select(*docs.columns), name)
+        # the stage before, and what this one's rows hung on
+        scratch.drop(*[t for t in scratch.paths.values() if t is not made])
         docs = made
     packed = STAGES[-1][1](spark, docs, sf_dir)
     # the last stage's result is a written table too
