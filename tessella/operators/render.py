@@ -17,6 +17,12 @@ CONFIDENCE = {"作者原意": "c-author", "原文事实与数据": "c-fact", "
 #: Headings of the branches, and how long titles may be.
 ROOT, QUESTION, CONCLUSIONS, EVIDENCE, DATA, CAVEATS, RECALL = "精读报告", "核心问题", "核心结论", "证据：", "关键数据", "反对意见与局限", "主动回忆问题"
 THESIS, ARGUMENTS, GROUNDS, QUOTES, CHAPTERS = "核心论点", "论证结构", "论据：", "金句摘录", "章节脉络"
+#: Titles of the Markdown reports, then headings of their blocks: a reading's, a map's, a Feynman reading's, a comparison's.
+R_ARTICLE, R_MAP, R_FEYNMAN, R_BATCH, R_ESTIMATE = "📖 精读报告", "🗺️ 知识地图", "🧠 费曼读书报告", "🔀 跨篇对比", "🧮 预算预检"
+ONE_LINE, LINE, TERMS, CITED, PARTS, CRITICAL = "一句话总结", "论证脉络", "核心概念", "引用溯源", "各部分脉络", "批判性思考"
+ABSTRACT, CLAIMS, DATA_TABLE, MERMAID, XMIND = "摘要", "观点与证据表", "关键数据表", "Mermaid 思维导图", "XMind 大纲"
+THREE, CHAPTER_MAP, GAPS, CORRECTIONS, CONTENTS, TO_ASK, BOOK_MAP = "观点 · 数据 · 证据", "章节导图", "知识缺口", "原文修正", "目录", "阅读问题清单", "合并全书导图"
+SYNTHESIS, EACH, MATRIX, CONFLICTS_MD, ACROSS = "综合结论", "各篇速览", "对比矩阵", "冲突点", "跨篇追问"
 
 
 def confidence_class(c: Column) -> Column:
@@ -194,9 +200,9 @@ def article_markdown(r: Column, footer: Column) -> Column:
     citations = F.transform(r["citations"], lambda c: F.concat(c["claim"], _around(" — 位置：", c["source"]), _around(" — 原文：“", c["quote"], "”")))
     chapters = F.transform(r["chapters"], lambda c, i: F.concat(F.when(c["title"] != "", c["title"]).otherwise(F.concat(F.lit("第 "), (i + 1).cast("string"), F.lit(" 部分"))), _around("：", c["summary"])))
     return _report(
-        _heading("📖 精读报告", r["title"]), footer, _said("一句话总结", r["summary"]), _said("核心论点", r["thesis"]), _listed("论证结构", _numbered(arguments)),
-        _said("论证脉络", F.array_join(r["structure"], " → ")), _said("核心概念", F.array_join(concepts, "；")), _listed("金句摘录", quotes), _listed("引用溯源", _numbered(citations)),
-        _listed("各部分脉络", _numbered(chapters)), _listed("批判性思考", _bulleted(r["questions"])),
+        _heading(R_ARTICLE, r["title"]), footer, _said(ONE_LINE, r["summary"]), _said(THESIS, r["thesis"]), _listed(ARGUMENTS, _numbered(arguments)),
+        _said(LINE, F.array_join(r["structure"], " → ")), _said(TERMS, F.array_join(concepts, "；")), _listed(QUOTES, quotes), _listed(CITED, _numbered(citations)),
+        _listed(PARTS, _numbered(chapters)), _listed(CRITICAL, _bulleted(r["questions"])),
     )
 
 
@@ -212,8 +218,8 @@ def map_markdown(m: Column, footer: Column) -> Column:
     parts = (("period", "时间"), ("subject", "对象"), ("baseline", "基准"), ("source", "来源"), ("location", "位置"))
     data = F.transform(m["data_points"], lambda d: F.concat(F.lit("- "), d["value"], *[_around(f" · {label}：", d[f]) for f, label in parts]))
     return _report(
-        _heading("🗺️ 知识地图", m["title"]), footer, _said("摘要", m["summary"]), _said(QUESTION, m["core_question"]), _listed(CONCLUSIONS, _numbered(m["core_conclusions"])), _listed("观点与证据表", _flat(m["items"], item)),
-        _listed("关键数据表", data), _listed(CAVEATS, _bulleted(m["caveats"])), _fenced("Mermaid 思维导图", "mermaid", m["mermaid"]), _fenced("XMind 大纲", "markdown", m["outline"]), _listed(RECALL, _numbered(m["recall_questions"])),
+        _heading(R_MAP, m["title"]), footer, _said(ABSTRACT, m["summary"]), _said(QUESTION, m["core_question"]), _listed(CONCLUSIONS, _numbered(m["core_conclusions"])), _listed(CLAIMS, _flat(m["items"], item)),
+        _listed(DATA_TABLE, data), _listed(CAVEATS, _bulleted(m["caveats"])), _fenced(MERMAID, "mermaid", m["mermaid"]), _fenced(XMIND, "markdown", m["outline"]), _listed(RECALL, _numbered(m["recall_questions"])),
     )
 
 
@@ -223,14 +229,14 @@ def feynman_markdown(r: Column, footer: Column) -> Column:
     def chapter(c: Column) -> Column:
         points = F.transform(c["points"], lambda p: F.concat(p["claim"], _around("（数据：", p["data"], "）"), _around(" —— 证据：", p["evidence"])))
         return F.concat(
-            _lines("", F.concat(F.lit("## 第 "), c["index"].cast("string"), F.lit(" 章："), c["title"])), _listed("观点 · 数据 · 证据", _numbered(points)), _fenced("章节导图", "mermaid", c["chapter_map"]),
-            _if(c["explanation"] != "", _lines("", "**费曼讲解（合上书）**：", c["explanation"])), _listed("知识缺口", _bulleted(c["gaps"])), _listed("原文修正", _bulleted(c["corrections"])),
+            _lines("", F.concat(F.lit("## 第 "), c["index"].cast("string"), F.lit(" 章："), c["title"])), _listed(THREE, _numbered(points)), _fenced(CHAPTER_MAP, "mermaid", c["chapter_map"]),
+            _if(c["explanation"] != "", _lines("", "**费曼讲解（合上书）**：", c["explanation"])), _listed(GAPS, _bulleted(c["gaps"])), _listed(CORRECTIONS, _bulleted(c["corrections"])),
         )
 
     plan = F.transform(r["review_plan"], lambda x: F.concat(F.lit("- **"), x["interval"], F.lit("**："), x["focus"], _around("（", x["method"], "）")))
     return _report(
-        _heading("🧠 费曼读书报告", r["title"]), footer, _said("一句话总结", r["summary"]), _said("核心论点", r["thesis"]), _listed("目录", _bulleted(r["toc"])), _listed("阅读问题清单", _numbered(r["questions"])), _flat(r["chapters"], chapter),
-        _fenced("合并全书导图", "mermaid", r["book_map"], True), _if(r["final_explanation"] != "", _lines("", "## 再讲一次（全书终讲）", r["final_explanation"])), _if(F.size(plan) > 0, _lines("", "## 间隔复习计划"), plan),
+        _heading(R_FEYNMAN, r["title"]), footer, _said(ONE_LINE, r["summary"]), _said(THESIS, r["thesis"]), _listed(CONTENTS, _bulleted(r["toc"])), _listed(TO_ASK, _numbered(r["questions"])), _flat(r["chapters"], chapter),
+        _fenced(BOOK_MAP, "mermaid", r["book_map"], True), _if(r["final_explanation"] != "", _lines("", "## 再讲一次（全书终讲）", r["final_explanation"])), _if(F.size(plan) > 0, _lines("", "## 间隔复习计划"), plan),
     )
 
 
@@ -250,8 +256,8 @@ def batch_markdown(r: Column, footer: Column) -> Column:
 
     part = lambda title, lines: _if(F.size(lines) > 0, _lines("", f"## {title}"), lines)
     return _report(
-        _heading("🔀 跨篇对比", r["title"], "批量精读"), footer, _said("综合结论", r["summary"]), part("各篇速览", _flat(r["items"], item)), part("对比矩阵", _flat(r["comparison"], theme)), part("冲突点", _flat(r["conflicts"], theme)),
-        _if(r["complementarity"] != "", _lines("", "## 互补关系", r["complementarity"])), part("跨篇追问", _numbered(r["questions"])),
+        _heading(R_BATCH, r["title"], "批量精读"), footer, _said(SYNTHESIS, r["summary"]), part(EACH, _flat(r["items"], item)), part(MATRIX, _flat(r["comparison"], theme)), part(CONFLICTS_MD, _flat(r["conflicts"], theme)),
+        _if(r["complementarity"] != "", _lines("", "## 互补关系", r["complementarity"])), part(ACROSS, _numbered(r["questions"])),
     )
 
 
@@ -272,7 +278,7 @@ def estimate_markdown(source: Column, e: Column, most_chars: int = 400_000) -> C
     basis = F.concat(F.lit("**口径**：中文≈0.6 token/字，拉丁≈0.25 token/字符；输出按各阶段预算计；时间=(总token÷"), rate, F.lit(" tok/s)+(调用次数×"), latency, F.lit("ms)。"))
     return F.array_join(
         F.concat(
-            _lines(_heading("🧮 预算预检", source, "内容"), "", basis, "", "| 模式 | 调用次数 | 输入 token | 输出 token | 总 token | 预计耗时 | 说明 |", "| --- | --- | --- | --- | --- | --- | --- |"), F.transform(e["modes"], row),
+            _lines(_heading(R_ESTIMATE, source, "内容"), "", basis, "", "| 模式 | 调用次数 | 输入 token | 输出 token | 总 token | 预计耗时 | 说明 |", "| --- | --- | --- | --- | --- | --- | --- |"), F.transform(e["modes"], row),
             _if(e["chars"].isNotNull(), _lines("", F.concat(F.lit("输入字数："), _whole(e["chars"]), F.lit(f"（超过 {most_chars} 会被截断）")))),
             _if(F.coalesce(e["sampled"], F.lit(False)), _lines("", "> 本预检采用 PDF 采样外推（前 2 页字数 ÷ 2 × 总页数），仅作数量级参考。")), _calibrated(e), _lines("", "> 估算基于本地字数启发式与默认速率/延迟，实际取决于模型速度、负载与网络。"),
         ),
@@ -292,7 +298,7 @@ def batch_estimate_markdown(source: Column, e: Column) -> Column:
     item = lambda o: F.concat(F.lit("- **"), F.coalesce(F.concat(F.lit("#"), o["index"].cast("string"), F.lit(" ")), F.lit("")), T.or_else(o["title"], "未命名"), F.lit("**（"), _whole(o["chars"]), F.lit(" 字）· 1 次调用 · 约 "), _whole(o["total_tokens"]), F.lit(" token · 约 "), T.number(o["minutes"]), F.lit(" 分钟"))
     final = F.concat(F.lit("- **跨篇对比**（1 次）· 约 "), _whole(e["final_tokens"]), F.lit(" token"))
     total = F.concat(F.lit("**合计**："), _whole(e["total_calls"]), F.lit(" 次调用 · 约 "), _whole(e["total_tokens"]), F.lit(" token · 预计 "), T.number(e["total_minutes"]), F.lit(" 分钟"))
-    return F.array_join(F.concat(_lines(_heading("🧮 预算预检", source, "内容"), "", basis, ""), F.transform(e["items"], item), _lines(final, "", total), _calibrated(e)), "\n")
+    return F.array_join(F.concat(_lines(_heading(R_ESTIMATE, source, "内容"), "", basis, ""), F.transform(e["items"], item), _lines(final, "", total), _calibrated(e)), "\n")
 
 
 def feynman_branches(r: Column) -> Column:
