@@ -33,6 +33,8 @@ from tessella.llm import arrays as A
 from tessella.llm.store import Scratch, own_columns, row_key, spare_names
 
 SYMBOLS = b"#*$%&|<>"
+#: Bytes of texts whose arrays (about 100 times as large) a task holds at once.
+SLICE = 1 << 18
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 MIN_ROWS, STEPS, COVERAGE, QUANTILE = 60, 12, 0.75, 0.9999
 #: Statistics and their margins, differences that count as much as one standard deviation in a group without any spread:
@@ -131,7 +133,7 @@ _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for s in A.slices(batch):
+        for s in A.slices(batch, most=SLICE):
             c = text_statistics(s)
             own = [batch.column(i).slice(s.lo, s.hi - s.lo) for i in range(5)]
             yield pa.record_batch(own + [pa.array(c[k].astype(np.int64)) for k in _COUNTS] + [pa.array(v) for v in vectors(c).values()], names=["k1", "k2", "doc_id", "lang", "source", *_COUNTS, *MARGINS])
