@@ -105,9 +105,7 @@ def for_estimate(files: DataFrame) -> DataFrame:
     from tessella.sources import pdf
 
     fit, large = _apart(files)
-    whole = pdf.texts(fit.where(F.col("length") <= SAMPLED_PDF_BYTES))
-    some = pdf.stats(fit.where(F.col("length") > SAMPLED_PDF_BYTES)).withColumnRenamed("pages", "n_pages")
-    return whole.unionByName(some, allowMissingColumns=True).unionByName(large, allowMissingColumns=True)
+    return pdf.estimates(fit, F.col("length") > SAMPLED_PDF_BYTES).unionByName(large, allowMissingColumns=True)
 
 
 def scan_pdfs(spark: SparkSession, *paths: str, stats_only: bool = False) -> DataFrame:
