@@ -56,7 +56,10 @@ def section_progress(spark, d):
 
 
 def job_runs(spark, d):
-    """Three jobs over the documents: one counts their chunks, one meets a document that fails, one is cancelled while it works."""
+    """Three jobs over the documents: one counts their chunks, one meets a document that fails, one is cancelled while it works.
+
+    The last one begins when the others are over: its tasks hold all cores until they are cancelled, so beside it nothing else might ever begin.
+    """
     docs = spark.read.parquet(f"{d}/documents.parquet")
 
     def chunks(job):
@@ -74,8 +77,10 @@ def job_runs(spark, d):
         docs.select("doc_id").mapInArrow(_wait, "doc_id long").count()
         return "never"
 
-    jobs = [J.Job(spark, f.__name__, f).start() for f in (chunks, broken, endless)]
-    jobs[0].wait(), jobs[1].wait()
+    jobs = [J.Job(spark, f.__name__, f) for f in (chunks, broken, endless)]
+    for job in [job.start() for job in jobs[:2]]:
+        job.wait()
+    jobs[2].start()
     while not jobs[2].counts()["running"]:
         time.sleep(0.05)
     jobs[2].cancel("not needed")

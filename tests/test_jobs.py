@@ -151,3 +151,28 @@ def _by(rows):
     for r in rows:
         out.setdefault(r.req_id, []).append(r)
     return out
+
+
+def test_job_runs_ends_with_more_partitions_than_cores(spark, tmp_path, monkeypatch):
+    """The job that waits takes all cores, so the others are over before it begins, however their threads are scheduled."""
+    from tessella.plans import reports
+
+    spark.createDataFrame([(i, f"One {i}. Two.") for i in range(48)], "doc_id long, text string").repartition(16).write.parquet(f"{tmp_path}/documents.parquet")
+    begun, start = [], J.Job.start
+
+    def watched(self):
+        begun.append((self.label, [j.label for j in jobs if not j._over.is_set()]))
+        jobs.append(self)
+        return start(self)
+
+    jobs = []
+    monkeypatch.setattr(J.Job, "start", watched)
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
+    try:
+        rows = reports.job_runs(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+    assert begun[-1] == ("endless", [])
+    assert {(r.label, r.status) for r in rows} == {("chunks", "completed"), ("broken", "failed"), ("endless", "killed")}
+    assert {r.line for r in rows} >= {"【最终报告】\n48 chunks", "后台精读失败：cannot read document 47", "已取消：not needed"}
