@@ -4,6 +4,7 @@ import sys
 import pytest
 from pyspark import cloudpickle
 
+from tessella.functions import text as T
 from tessella.config import Config
 from tessella.operators import analyze as A
 from tessella.providers import CORRECTION, FixtureProvider, pick_model
@@ -113,3 +114,24 @@ def test_every_rule_of_a_prompt_is_said(spark):
     got = [r[0].split("\n") for r in df.select(P.system_prompt("section", F.col("lang"), F.col("focus"))).collect()]
     assert got[0][-2:] == ["Language: 简体中文.", "The reader cares about: tea."] and got[1][-1] == got[2][-1] == "Language: the language of the text."
     assert "cares" not in df.select(P.system_prompt("final", F.col("lang"), F.col("focus"))).first()[0]
+
+
+def test_parts_are_made_without_a_join(spark):
+    """Language and focus travel with the chunks; texts are not shuffled to meet them."""
+    docs = spark.createDataFrame([(1, "One. " * 3000), (2, " ")], "req_id long, text string")
+    seen = []
+
+    class Kept(A.Scratch):
+        def cut(self, df, name="table"):
+            seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return super().cut(df, name)
+
+    A.sections(docs, FixtureProvider(), scratch=Kept(spark))
+    assert len(seen) == 1 and "Join" not in seen[0]
+
+
+def test_quick_trims_equal_the_plain_one(spark):
+    rows = [(t,) for t in (None, "", " ", "　a", "a\n", "﻿a b﻿", "a​", "\x85é", "中 ", " \U0001f600", "\x1c")]
+    t = F.col("t")
+    x = spark.createDataFrame(rows, "t string")
+    assert x.where(~T.trim(t).eqNullSafe(T.trim_of(t)) | ((T.or_else(t) == "") != T.blank(t))).count() == 0
