@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import jsonx as J
 from tessella.operators import sanitize as S
+from tessella.tables import dealt
 
 
 
@@ -98,7 +99,7 @@ _MODEL = """{"title": " T ", "summary": "s", "thesis": 7, "arguments": ["plain",
 
 
 def _one(spark, d):
-    return _events(spark, d).select("event_id", F.parse_json(F.lit(_MODEL)).alias("v"))
+    return dealt(_events(spark, d).select("event_id"), "event_id").select("event_id", F.parse_json(F.lit(_MODEL)).alias("v"))
 
 
 def sanitize_section(spark, d):

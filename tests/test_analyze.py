@@ -3,6 +3,7 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.config import Config
@@ -135,3 +136,10 @@ def test_quick_trims_equal_the_plain_one(spark):
     t = F.col("t")
     x = spark.createDataFrame(rows, "t string")
     assert x.where(~T.trim(t).eqNullSafe(T.trim_of(t)) | ((T.or_else(t) == "") != T.blank(t))).count() == 0
+
+
+def test_answers_of_one_file_are_sanitised_on_all_cores(spark, tmp_path):
+    from tessella.plans import records
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert records._one(spark, tmp_path).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
