@@ -77,3 +77,13 @@ def test_records_are_forgotten(spark, tmp_path):
     assert run(spark, tmp_path / "x", rows[:2] + [("z", hour(80), 9, C.WRITE, None, "t", None)], "out", forget_hours=24.0)["soon"][1] == "hit"
     assert run(spark, tmp_path / "x", rows[2:] + [END], "out", forget_hours=24.0)["late"][1] == "none"
     assert run(spark, tmp_path / "y", rows + [END], "out")["late"][1] == "hit"
+
+
+def test_links_share_buckets(spark, tmp_path, monkeypatch):
+    """Forty links in two buckets, over two runs: the answers are the batch operator's, and rows wait in a few values of the state, not one by one."""
+    monkeypatch.setattr(C, "BUCKETS", 2, raising=False)
+    rows = events(300, 7, urls=40)
+    run(spark, tmp_path, rows, "out")
+    waiting = spark.read.format("statestore").option("path", f"{tmp_path}/out-state").option("stateVarName", "waiting").load()
+    assert 0 < waiting.count() <= 2 < sum(r[1] > rows[-1][1] - dt.timedelta(hours=12) for r in rows)
+    assert run(spark, tmp_path, [END], "out") == batch(spark, rows, True)
