@@ -143,3 +143,35 @@ def test_answers_of_one_file_are_sanitised_on_all_cores(spark, tmp_path):
 
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     assert records._one(spark, tmp_path).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_an_article_is_read_to_its_end(spark, tmp_path):
+    """Texts of more than 20 parts and of more than 400,000 characters: every part has its call, values reach the next one uncut, rows equal the SQL."""
+    import duckdb
+
+    from tessella.plans import readings
+
+    sentence = "A sentence of the text goes on and on to some hundred characters, so that parts end behind one of these. "
+    docs = [(0, sentence * 1500 + "Its end."), (1, sentence * 4000 + "Its end."), (2, sentence * 100), (3, "Short. Text."), (4, " ")]
+    folder = tmp_path / "documents.parquet"
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(folder))
+    found = readings.deep_pipeline(spark, str(tmp_path))
+    rows = found.collect()
+    chapters = {r.req_id: r.n_chapters for r in rows}
+    assert 20 < chapters[0] < 30 and chapters[1] > 60 and chapters[2] < 20 and chapters[3] == 0
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/*.parquet'")
+    want = con.execute(f"select {', '.join(found.columns)} from ({readings.ORACLE_SQL['deep_pipeline']})").fetchall()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want))
+
+    def told(system, user):
+        if not user.startswith("全文共") and "合并为一个部分" not in user:
+            return json.dumps({"title": "end" if "Its end" in user else "part", "summary": "s" * 5000, "thesis": "t"})
+        parts = json.loads(user.split("\n\n", 1)[1])
+        ends = sum(p["title"] == "end" or "end" in p.get("titles", []) for p in parts)
+        return json.dumps({"title": f"{len(parts)} read, {ends} of them the end", "summary": "s" * min(len(p["summary"]) for p in parts)})
+
+    x = spark.createDataFrame(docs[:2], DDL)
+    got = {r.req_id: r for r in A.deep(x, FixtureProvider(answer=told)).collect()}
+    assert {k: (r.error, r.r.title) for k, r in got.items()} == {0: (None, "2 read, 1 of them the end"), 1: (None, "4 read, 1 of them the end")}
+    assert all(len(r.r.summary) == 5000 for r in got.values())
